@@ -22,7 +22,10 @@ R_DP = 6
 def pearson(x: Column, y: Column) -> Column:
     """Aggregate Pearson correlation, NULL for a constant column."""
     x, y = x.cast("double"), y.cast("double")
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    # pairwise-complete rows, as pandas / DuckDB: mask each side by the other
+    xm = F.when(y.isNotNull(), x)
+    ym = F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(xm) * F.stddev_samp(ym))
 
 
 def target_correlation(df: DataFrame, col: str, target: str = TARGET_COL) -> DataFrame:
@@ -54,18 +57,28 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]):
 def correlated_pairs(df: DataFrame, features: Sequence[str], threshold: float = 0.85, top: int = 10) -> DataFrame:
     """AG16: upper-triangle pairs with |r| > threshold, |r| descending, top.
 
-    The matrix is computed distributed (one pass); only the bounded
-    feature x feature result is handled on the driver, and turned back into
-    a small DataFrame."""
+    Pairwise-complete like pandas: columns without NULLs go through MLlib's
+    one-pass Gramian; only pairs that touch a column with NULLs are computed
+    as masked pairwise aggregates. Only the bounded feature x feature result
+    reaches the driver; it is turned back into a small DataFrame."""
     import math
-    m = correlation_matrix(df, features)
-    rows = []
-    n = len(features)
-    for i in range(n):
-        for j in range(i + 1, n):
-            r = float(m[i, j])
-            if not math.isnan(r) and abs(r) > threshold:
-                rows.append((features[i], features[j], round(abs(r), R_DP)))
+    nulls = df.agg(*[F.count_if(F.col(f).isNull()).alias(f"_n{i}") for i, f in enumerate(features)]).head()
+    nullable = {f for i, f in enumerate(features) if nulls[f"_n{i}"] > 0}
+    complete = [f for f in features if f not in nullable]
+    r: dict[tuple[str, str], float] = {}
+    if len(complete) > 1:
+        m = correlation_matrix(df, complete)
+        for i, a in enumerate(complete):
+            for j in range(i + 1, len(complete)):
+                r[(a, complete[j])] = float(m[i, j])
+    pos = {f: i for i, f in enumerate(features)}
+    mixed = [(a, b) for a in features for b in features if pos[a] < pos[b] and (a in nullable or b in nullable)]
+    if mixed:
+        row = df.agg(*[pearson(F.col(a), F.col(b)).alias(f"_p{k}") for k, (a, b) in enumerate(mixed)]).head()
+        for k, ab in enumerate(mixed):
+            v = row[f"_p{k}"]
+            r[ab] = float("nan") if v is None else float(v)
+    rows = [(a, b, round(abs(v), R_DP)) for (a, b), v in r.items() if not math.isnan(v) and abs(v) > threshold]
     spark = df.sparkSession
     out = spark.createDataFrame(rows, "feature_a string, feature_b string, abs_r double")
     return out.orderBy(F.desc("abs_r"), "feature_a", "feature_b").limit(top)

@@ -36,3 +36,36 @@ def reference_scores(test: DataFrame) -> DataFrame:
     """customer_id, churn_prediction, churn_probability (4 dp)."""
     p = score_expr()
     return test.select("customer_id", (p >= 0.5).cast("int").alias("churn_prediction"), p.alias("churn_probability"))
+
+
+def _sig4(z: F.Column) -> F.Column:
+    return F.bround(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 4)
+
+
+def rule_scorers(df: DataFrame) -> DataFrame:
+    """Three deterministic scorers (p_a, p_b, p_c) on the given customers;
+    used where a value-checkable stand-in for fitted models is needed."""
+    c = F.col
+    za = F.lit(SCORE_A) * (F.lit(30) - c("tenure_months")) + F.lit(SCORE_B) * c("late_payments_last_12m") - F.lit(SCORE_C)
+    zb = F.lit(0.3) * c("support_tickets_last_90d") + F.coalesce(c("days_since_last_purchase"), F.lit(400)) / F.lit(300.0) \
+        - F.lit(1.5)
+    zc = za + F.lit(0.3) * c("support_tickets_last_90d")
+    return df.select("customer_id", c("churned").alias("label"),
+                     _sig4(za).alias("p_a"), _sig4(zb).alias("p_b"), _sig4(zc).alias("p_c"))
+
+
+def scorer_long(df: DataFrame) -> DataFrame:
+    """(model, customer_id, label, score, prediction) for the three scorers."""
+    s = rule_scorers(df)
+    long = s.select("customer_id", "label", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("model"), F.col(p).alias("score")) for m, p in
+        (("rule_a", "p_a"), ("rule_b", "p_b"), ("rule_c", "p_c"))])).alias("m"))
+    return long.select("m.model", "customer_id", "label", "m.score",
+                       (F.col("m.score") >= 0.5).cast("int").alias("prediction"))
+
+
+def encoded(spark: SparkSession, sf_dir: str):
+    """(train encoded, test encoded, feature list) as the reference's ML-ready tables."""
+    from ..operators.features import encode_split
+    tr, te = features(spark, sf_dir)
+    return encode_split(tr, te)

@@ -38,3 +38,623 @@ def ag24_contract_stats(spark, sf):
 def fe21_feature_table(spark, sf):
     tr, te = base.features(spark, sf)
     return tr.unionByName(te)
+
+
+# ------------------------------------------------------------------ imports
+from ..functions import scalar as sc  # noqa: E402
+from ..functions.binning import cut, qcut, quantile_cut  # noqa: E402
+from ..operators import correlation as cor  # noqa: E402
+from ..operators import features as fe  # noqa: E402
+from ..operators import folds as fo  # noqa: E402
+from ..operators import importance as imp  # noqa: E402
+from ..operators import metrics as me  # noqa: E402
+from ..operators import profile as pr  # noqa: E402
+from ..operators import projections as pj  # noqa: E402
+from ..operators import ranking as rk  # noqa: E402
+from ..operators import serving as sv  # noqa: E402
+from ..operators import setops as so  # noqa: E402
+from ..sources import customers as cu  # noqa: E402
+from ..sources.tables import read_table, table_path  # noqa: E402
+
+RAW_CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+STRING_COLS = [f.name for f in cu.CUSTOMER_SCHEMA.fields if f.dataType.simpleString() == "string"]
+RAW_CATEGORICAL = ["gender", "city_tier", "subscription_type", "contract_type", "marketing_channel", "clv_segment"]
+SEARCH_Q, SEARCH_STATUS = "10", "Monitoring"
+
+
+def _scores(spark, sf):
+    _, te = base.train_test(spark, sf)
+    return base.reference_scores(te)
+
+
+def _directory(spark, sf):
+    _, te = base.train_test(spark, sf)
+    return sv.customer_directory(base.reference_scores(te), te)
+
+
+def _importance(spark, sf):
+    tr, _, feats = base.encoded(spark, sf)
+    si = imp.statistical_importance(tr, feats)
+    names = si.select("feature")
+    return imp.combined_importance(names, si.select("feature", "imp_a"), si.select("feature", "imp_b"))
+
+
+def _ranked_models(spark, sf):
+    tr, _ = base.train_test(spark, sf)
+    m = me.evaluate(base.scorer_long(tr), "label", "prediction", "score", ["model"])
+    return me.rank_models(m)
+
+
+# --------------------------------------------------------------- 2.1 / 2.2
+@query("io1_read_table")
+def io1_read_table(spark, sf):
+    return read_table(spark, table_path(sf, "customer"), "parquet", RAW_CUSTOMER_SCHEMA)
+
+
+@query("pf1_select")
+def pf1_select(spark, sf):
+    return pj.select_columns(base.customers(spark, sf), ["customer_id", "tenure_months", "contract_type", "churned"])
+
+
+@query("pf2_drop_leakage")
+def pf2_drop_leakage(spark, sf):
+    return pj.drop_columns(base.customers(spark, sf), cu.LEAKAGE_COLS)
+
+
+@query("pf3_select_by_dtype")
+def pf3_select_by_dtype(spark, sf):
+    c = base.customers(spark, sf)
+    return c.select(*pr.columns_of_type(c, ["string"]))
+
+
+@query("pf4_exclude_projection")
+def pf4_exclude_projection(spark, sf):
+    tr, _ = base.train_test(spark, sf)
+    return pj.exclude_columns(tr, [cu.ID_COL, cu.TARGET_COL, *cu.LEAKAGE_COLS, *cu.AUX_COLS])
+
+
+@query("pf5_rename")
+def pf5_rename(spark, sf):
+    return pj.rename_columns(base.customers(spark, sf), {"customer_id": "id", "churned": "label"})
+
+
+@query("pf6_filter_counts")
+def pf6_filter_counts(spark, sf):
+    c = F.col
+    return pj.count_where(base.customers(spark, sf), {
+        "nps_negative": c("nps_score") < 0,
+        "tenure_le_6": c("tenure_months") <= 6,
+        "tenure_12_24": (c("tenure_months") >= 12) & (c("tenure_months") < 24),
+        "rate_out_of_range": (c("email_open_rate") < 0) | (c("email_open_rate") > 1),
+    })
+
+
+@query("pf7_or_and_filter")
+def pf7_or_and_filter(spark, sf):
+    c = F.col
+    cust = base.customers(spark, sf)
+    return cust.filter(((c("late_payments_last_12m") >= 2) | (c("support_tickets_last_90d") >= 3))
+                       & (c("contract_type") == "Monthly")).select("customer_id")
+
+
+@query("pf8_membership")
+def pf8_membership(spark, sf):
+    cust = base.customers(spark, sf)
+    return cust.filter(F.col("contract_type").isin("Monthly", "Quarterly")).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@query("pf9_search")
+def pf9_search(spark, sf):
+    return sv.search_customers(_directory(spark, sf), "MONITOR", "All")
+
+
+@query("pf10_add_missing_columns")
+def pf10_add_missing_columns(spark, sf):
+    _, te, _ = base.encoded(spark, sf)
+    return te
+
+
+# --------------------------------------------------------------- 2.3 joins
+@query("j1_predictions_join")
+def j1_predictions_join(spark, sf):
+    _, te = base.train_test(spark, sf)
+    s = base.reference_scores(te)
+    return s.join(te.select("customer_id", "tenure_months", "estimated_clv_usd"), "customer_id", "inner")
+
+
+@query("j2_importance_join")
+def j2_importance_join(spark, sf):
+    return _importance(spark, sf).select("feature", "imp_a", "imp_b")
+
+
+@query("j3_unseen_categories")
+def j3_unseen_categories(spark, sf):
+    tr, te = base.features(spark, sf)
+    return so.unseen_categories(tr, te, fe.CATEGORICAL_FEATURES)
+
+
+# ------------------------------------------------------- 2.4 aggregations
+@query("ag1_shape")
+def ag1_shape(spark, sf):
+    return pr.shape(base.train_test(spark, sf)[0])
+
+
+@query("ag2_column_profile")
+def ag2_column_profile(spark, sf):
+    return pr.column_profile(base.train_test(spark, sf)[0])
+
+
+@query("ag3_target_distribution")
+def ag3_target_distribution(spark, sf):
+    return pr.target_distribution(base.train_test(spark, sf)[0])
+
+
+@query("ag4_imbalance_ratio")
+def ag4_imbalance_ratio(spark, sf):
+    return pr.imbalance_ratio(base.train_test(spark, sf)[0])
+
+
+@query("ag5_missing_values")
+def ag5_missing_values(spark, sf):
+    return pr.missing_values(base.customers(spark, sf))
+
+
+@query("ag6_duplicate_rows")
+def ag6_duplicate_rows(spark, sf):
+    return pr.duplicate_rows(base.customers(spark, sf))
+
+
+@query("ag7_duplicate_ids")
+def ag7_duplicate_ids(spark, sf):
+    return pr.duplicate_ids(base.customers(spark, sf))
+
+
+@query("ag8_negative_values")
+def ag8_negative_values(spark, sf):
+    return pr.negative_values(base.train_test(spark, sf)[0], fe.NON_NEGATIVE)
+
+
+@query("ag9_range_check")
+def ag9_range_check(spark, sf):
+    b = {"nps_score": (-100, 100), **{r: (0, 1) for r in fe.RATE_COLS}}
+    return pr.range_check(base.train_test(spark, sf)[0], b)
+
+
+@query("ag10_int_ranges")
+def ag10_int_ranges(spark, sf):
+    return pr.int_ranges(base.train_test(spark, sf)[0])
+
+
+@query("ag11_iqr_outliers")
+def ag11_iqr_outliers(spark, sf):
+    tr = base.train_test(spark, sf)[0]
+    cols = [c for c in pr.columns_of_type(tr, ["numeric"]) if c != cu.TARGET_COL]
+    return pr.iqr_outliers(tr, cols)
+
+
+@query("ag12_leakage_by_category")
+def ag12_leakage_by_category(spark, sf):
+    return pr.leakage_by_category(base.train_test(spark, sf)[0], "recommended_action")
+
+
+@query("ag12_leakage_scan")
+def ag12_leakage_scan(spark, sf):
+    tr = base.train_test(spark, sf)[0]
+    cols = [c for c in pr.columns_of_type(tr, ["string"]) if c not in (cu.ID_COL, "split")]
+    return pr.leakage_scan(tr, cols)
+
+
+@query("ag13_risk_segments")
+def ag13_risk_segments(spark, sf):
+    return seg.risk_segments(_scores(spark, sf))
+
+
+@query("ag13_risk_segments_fallback")
+def ag13_risk_segments_fallback(spark, sf):
+    return seg.risk_segments(_scores(spark, sf).drop("churn_probability"))
+
+
+@query("ag14_target_correlation")
+def ag14_target_correlation(spark, sf):
+    return cor.target_correlation(base.train_test(spark, sf)[0], "estimated_clv_usd")
+
+
+@query("ag15_correlation_with_target")
+def ag15_correlation_with_target(spark, sf):
+    tr, _ = base.features(spark, sf)
+    cols = [c for c in pr.columns_of_type(tr, ["numeric"]) if c != cu.TARGET_COL]
+    return cor.correlation_with_target(tr, cols)
+
+
+@query("ag16_correlated_pairs")
+def ag16_correlated_pairs(spark, sf):
+    tr, _, feats = base.encoded(spark, sf)
+    return cor.correlated_pairs(tr, feats)
+
+
+@query("ag17_churn_by_category")
+def ag17_churn_by_category(spark, sf):
+    tr, _ = base.features(spark, sf)
+    return seg.churn_by_category(tr, ["recency_bucket", "age_group", "tenure_category", "nps_category", "high_risk"])
+
+
+@query("ag18_feature_summary")
+def ag18_feature_summary(spark, sf):
+    tr, _ = base.features(spark, sf)
+    return pr.feature_summary(tr, fe.NEW_FEATURES)
+
+
+@query("ag19_data_dictionary")
+def ag19_data_dictionary(spark, sf):
+    tr, _, feats = base.encoded(spark, sf)
+    return pr.data_dictionary(tr, feats)
+
+
+@query("ag20_kpis")
+def ag20_kpis(spark, sf):
+    tr, te = base.train_test(spark, sf)
+    return seg.kpis(tr, te, base.reference_scores(te))
+
+
+@query("ag21_tenure_impact")
+def ag21_tenure_impact(spark, sf):
+    return seg.tenure_impact(base.train_test(spark, sf)[0])
+
+
+@query("ag22_engagement_impact")
+def ag22_engagement_impact(spark, sf):
+    return seg.engagement_impact(base.features(spark, sf)[0])
+
+
+@query("ag23_clv_segments")
+def ag23_clv_segments(spark, sf):
+    return seg.clv_segments(base.train_test(spark, sf)[0])
+
+
+@query("ag25_nps_stats")
+def ag25_nps_stats(spark, sf):
+    return seg.nps_stats(base.features(spark, sf)[0])
+
+
+@query("ag26_payment_stats")
+def ag26_payment_stats(spark, sf):
+    return seg.payment_stats(base.train_test(spark, sf)[0])
+
+
+@query("ag27_class_distribution")
+def ag27_class_distribution(spark, sf):
+    return pr.class_distribution(base.train_test(spark, sf)[0])
+
+
+@query("ag28_class_weights")
+def ag28_class_weights(spark, sf):
+    return seg.class_weights(base.train_test(spark, sf)[0])
+
+
+@query("ag29_prediction_totals")
+def ag29_prediction_totals(spark, sf):
+    return seg.prediction_totals(_scores(spark, sf))
+
+
+@query("ag30_distinct_categories")
+def ag30_distinct_categories(spark, sf):
+    return pr.distinct_categories(base.train_test(spark, sf)[0], "marketing_channel")
+
+
+# ----------------------------------------------------- 2.5 / 2.6 windows, sorts
+@query("w1_average_rank")
+def w1_average_rank(spark, sf):
+    return _importance(spark, sf).select("feature", "imp_a", "rank_a", "imp_b", "rank_b")
+
+
+@query("w2_top_features")
+def w2_top_features(spark, sf):
+    si = _importance(spark, sf)
+    return rk.top_n(si.select("feature", "imp_a"), [F.col("imp_a").desc(), F.col("feature").asc()], 10)
+
+
+@query("s1_sort_desc")
+def s1_sort_desc(spark, sf):
+    return rk.sort_desc(_scores(spark, sf), "churn_probability", "customer_id")
+
+
+@query("s2_sort_abs")
+def s2_sort_abs(spark, sf):
+    tr, _ = base.features(spark, sf)
+    cols = [c for c in pr.columns_of_type(tr, ["numeric"]) if c != cu.TARGET_COL]
+    return cor.correlation_with_target(tr, cols, top=len(cols))
+
+
+@query("s3_custom_order")
+def s3_custom_order(spark, sf):
+    return rk.sort_custom(seg.clv_segments(base.train_test(spark, sf)[0]), "segment", seg.CLV_ORDER)
+
+
+@query("s4_topk")
+def s4_topk(spark, sf):
+    c = base.customers(spark, sf)
+    return rk.top_n(c.select("customer_id", "estimated_clv_usd"),
+                    [F.col("estimated_clv_usd").desc(), F.col("customer_id").asc()], 20)
+
+
+@query("s5_argmax")
+def s5_argmax(spark, sf):
+    return rk.arg_max(_ranked_models(spark, sf), "model", "f1")
+
+
+@query("s6_keyset_page")
+def s6_keyset_page(spark, sf):
+    d = _directory(spark, sf)
+    first = rk.keyset_page(d, "churn_probability", "id", None, sv.PAGE_SIZE).collect()  # 15 rows: bounded
+    if not first:
+        return rk.keyset_page(d, "churn_probability", "id", None, sv.PAGE_SIZE)
+    last = first[-1]
+    return rk.keyset_page(d, "churn_probability", "id", (last["churn_probability"], last["id"]), sv.PAGE_SIZE)
+
+
+# --------------------------------------------------------------- 2.7 set ops
+@query("so1_id_overlap")
+def so1_id_overlap(spark, sf):
+    tr, te = base.train_test(spark, sf)
+    return so.id_overlap(tr, te)
+
+
+@query("so2_unseen_categories")
+def so2_unseen_categories(spark, sf):
+    tr, te = base.train_test(spark, sf)
+    return so.unseen_categories(tr, te, RAW_CATEGORICAL)
+
+
+@query("so3_schema_alignment")
+def so3_schema_alignment(spark, sf):
+    tr, te = base.features(spark, sf)
+    levels = fe.category_levels(tr, fe.CATEGORICAL_FEATURES)
+    te_levels = fe.category_levels(te, fe.CATEGORICAL_FEATURES)
+    base_cols = [cu.ID_COL, *fe.NUMERICAL_FEATURES]
+    tr_cols = fe.encoded_feature_names(fe.one_hot(tr.select(*base_cols, *fe.CATEGORICAL_FEATURES), levels).columns)
+    te_cols = fe.encoded_feature_names(fe.one_hot(te.select(*base_cols, *fe.CATEGORICAL_FEATURES), te_levels).columns)
+    return so.schema_alignment(tr_cols, te_cols, spark)
+
+
+@query("so4_population_total")
+def so4_population_total(spark, sf):
+    tr, te = base.train_test(spark, sf)
+    return so.population_total(tr, te)
+
+
+# ------------------------------------------------------- 2.8 scalar functions
+def _scalar_table(spark, sf):
+    """One row per test customer with every scalar helper applied."""
+    _, te = base.train_test(spark, sf)
+    s = base.reference_scores(te).select("customer_id", "churn_probability")
+    x = te.join(s, "customer_id")
+    c = F.col
+    return x.select(
+        "customer_id",
+        sc.strip_ws(F.concat(F.lit(" \t"), c("gender"), F.lit("\n "))).alias("sc1_gender"),
+        F.lower(c("customer_id")).contains("10").alias("sc2_contains"),
+        F.replace(c("marketing_channel"), F.lit(" "), F.lit("_")).alias("sc3_replaced"),
+        sc.clip(c("nps_score"), 0, 50).alias("sc4_nps_clipped"),
+        sc.safe_div(c("support_tickets_last_90d"), c("late_payments_last_12m")).alias("sc5_ratio"),
+        sc.flag(c("days_since_last_purchase") >= 60).alias("sc6_flag"),
+        F.bround(sc.logit(c("churn_probability")), 6).alias("sc7_logit"),
+        sc.round_half_even(c("estimated_clv_usd"), 0).alias("sc8_clv_even"),
+        sc.round_half_up(c("churn_probability") * 100.0, 0).alias("sc9_pct_up"),
+        (sc.trunc_int(c("estimated_clv_usd")) % 14).alias("sc10_mod"),
+        sc.banding(c("nps_score"), [(50, "high"), (0, "mid")], "low").alias("sc11_band"),
+        sc.case_map(c("contract_type"), {"Monthly": 1, "Quarterly": 3, "Annual": 12}).alias("sc12_months"),
+        F.coalesce(c("days_since_last_purchase"), F.lit(-1)).alias("sc13_days"),
+        F.greatest(F.abs(c("nps_score")), c("tenure_months")).alias("sc14_max_abs"),
+        F.format_string("%s-%d", c("contract_type"), c("tenure_months")).alias("sc15_label"),
+    )
+
+
+for _k in ["sc1_gender", "sc2_contains", "sc3_replaced", "sc4_nps_clipped", "sc5_ratio", "sc6_flag", "sc7_logit",
+           "sc8_clv_even", "sc9_pct_up", "sc10_mod", "sc11_band", "sc12_months", "sc13_days", "sc14_max_abs",
+           "sc15_label"]:
+    QUERIES[_k] = (
+        lambda spark, sf, _c=_k: _scalar_table(spark, sf).select("customer_id", _c))
+
+
+# ----------------------------------------------------------- 2.9 features
+@query("fe1_cut")
+def fe1_cut(spark, sf):
+    c = base.customers(spark, sf)
+    return c.select("customer_id", cut("days_since_last_purchase", fe.RECENCY_EDGES, fe.RECENCY_LABELS).alias("bucket"),
+                    cut("days_since_last_purchase", fe.RECENCY_EDGES, fe.RECENCY_LABELS, parity_nan=True)
+                    .alias("bucket_parity"))
+
+
+@query("fe2_quantile_cut")
+def fe2_quantile_cut(spark, sf):
+    tr = base.train_test(spark, sf)[0].select("customer_id", "nps_score")
+    return quantile_cut(tr, "nps_score", fe.NPS_PROBS, fe.NPS_LABELS, "nps_category")
+
+
+@query("fe3_qcut")
+def fe3_qcut(spark, sf):
+    tr = base.train_test(spark, sf)[0].select("customer_id", "tenure_months")
+    return qcut(tr, "tenure_months", 4, ["q1", "q2", "q3", "q4"], "tenure_quartile")
+
+
+@query("fe7_payment_reliability_train_stats")
+def fe7_payment_reliability_train_stats(spark, sf):
+    tr, te = base.features(spark, sf, stats_from="train")
+    return te.select("customer_id", "payment_reliability", "nps_category")
+
+
+@query("fe17_one_hot")
+def fe17_one_hot(spark, sf):
+    tr, _, _ = base.encoded(spark, sf)
+    return tr
+
+
+@query("fe18_align_to_train")
+def fe18_align_to_train(spark, sf):
+    _, te, _ = base.encoded(spark, sf)
+    return te
+
+
+@query("fe20_standardize")
+def fe20_standardize(spark, sf):
+    tr, te, _ = base.encoded(spark, sf)
+    cols = ["tenure_months", "avg_monthly_spend_usd", "nps_score", "engagement_score"]
+    out = fe.standardize(tr, te, cols, keep=["customer_id"])
+    return out.select("customer_id", *[F.bround(F.col(c), 6).alias(c) for c in cols])
+
+
+@query("fe21_features_train_stats")
+def fe21_features_train_stats(spark, sf):
+    tr, te = base.features(spark, sf, stats_from="train")
+    return tr.unionByName(te)
+
+
+# ------------------------------------------- 2.10 deterministic model operators
+@query("ml2_stratified_folds")
+def ml2_stratified_folds(spark, sf):
+    tr = base.train_test(spark, sf)[0].select("customer_id", "churned")
+    return fo.stratified_folds(tr, 5)
+
+
+@query("ml2_stratified_folds_exact")
+def ml2_stratified_folds_exact(spark, sf):
+    tr = base.train_test(spark, sf)[0].select("customer_id", "churned")
+    return fo.stratified_folds(tr, 5, exact=True)
+
+
+@query("ml12_holdout_split")
+def ml12_holdout_split(spark, sf):
+    tr = base.train_test(spark, sf)[0].select("customer_id", "churned")
+    return fo.holdout_split(tr, 0.2)
+
+
+@query("ml12_holdout_split_exact")
+def ml12_holdout_split_exact(spark, sf):
+    tr = base.train_test(spark, sf)[0].select("customer_id", "churned")
+    return fo.holdout_split(tr, 0.2, exact=True)
+
+
+def _test_scored(spark, sf):
+    _, te = base.train_test(spark, sf)
+    s = base.reference_scores(te)
+    return s.join(te.select("customer_id", F.col("churned").alias("label")), "customer_id")
+
+
+@query("ml13_classification_report")
+def ml13_classification_report(spark, sf):
+    return me.classification_report(_test_scored(spark, sf), "label", "churn_prediction")
+
+
+@query("ml13_confusion_matrix")
+def ml13_confusion_matrix(spark, sf):
+    return me.confusion_matrix(_test_scored(spark, sf), "label", "churn_prediction")
+
+
+@query("ml14_roc_auc")
+def ml14_roc_auc(spark, sf):
+    return me.roc_auc(_test_scored(spark, sf), "label", "churn_probability")
+
+
+@query("ml14_roc_auc_by_fold")
+def ml14_roc_auc_by_fold(spark, sf):
+    tr = base.train_test(spark, sf)[0]
+    s = fo.stratified_folds(base.rule_scorers(tr), 5)
+    return me.roc_auc(s, "label", "p_c", ["fold"])
+
+
+@query("ml8_soft_vote")
+def ml8_soft_vote(spark, sf):
+    _, te = base.train_test(spark, sf)
+    v = me.soft_vote(base.rule_scorers(te), ["p_a", "p_b", "p_c"])
+    return v.select("customer_id", F.bround("vote_probability", 6).alias("vote_probability"), "vote_prediction")
+
+
+@query("ml10_rank_models")
+def ml10_rank_models(spark, sf):
+    return _ranked_models(spark, sf)
+
+
+@query("ml16_combined_importance")
+def ml16_combined_importance(spark, sf):
+    return _importance(spark, sf)
+
+
+@query("ml18_rule_score")
+def ml18_rule_score(spark, sf):
+    _, te = base.train_test(spark, sf)
+    return te.select("customer_id", pj.is_member("recommended_action", cu.CHURN_ACTIONS).alias("churn_prediction"))
+
+
+@query("ml18_rule_score_summary")
+def ml18_rule_score_summary(spark, sf):
+    return seg.prediction_totals(ml18_rule_score(spark, sf))
+
+
+@query("ml20_model_performance")
+def ml20_model_performance(spark, sf):
+    return me.model_performance(_ranked_models(spark, sf))
+
+
+# ------------------------------------------------------------ 2.11 serving
+@query("sv1_soften")
+def sv1_soften(spark, sf):
+    s = _scores(spark, sf)
+    return s.select("customer_id", F.bround(sc.soften("churn_probability"), 6).alias("soft_score"))
+
+
+@query("sv2_customer_directory")
+def sv2_customer_directory(spark, sf):
+    return _directory(spark, sf)
+
+
+@query("sv3_search_customers")
+def sv3_search_customers(spark, sf):
+    return sv.search_customers(_directory(spark, sf), SEARCH_Q, SEARCH_STATUS)
+
+
+@query("sv4_page_customers")
+def sv4_page_customers(spark, sf):
+    return sv.page_customers(_directory(spark, sf))
+
+
+@query("sv5_risk_band")
+def sv5_risk_band(spark, sf):
+    d = _directory(spark, sf)
+    return d.select("id", "riskScore", sv.risk_bar_colour(F.col("riskScore")).alias("colour"))
+
+
+@query("sv6_churn_drivers")
+def sv6_churn_drivers(spark, sf):
+    return imp.churn_drivers(_importance(spark, sf))
+
+
+@query("sv7_driver_percent")
+def sv7_driver_percent(spark, sf):
+    return imp.driver_percent(imp.churn_drivers(_importance(spark, sf)))
+
+
+@query("sv8_retention_levers")
+def sv8_retention_levers(spark, sf):
+    tr, _ = base.train_test(spark, sf)
+    trf, _ = base.features(spark, sf)
+    return sv.retention_levers(tr, trf)
+
+
+@query("sv9_campaign_sizing")
+def sv9_campaign_sizing(spark, sf):
+    tr, te = base.train_test(spark, sf)
+    trf, _ = base.features(spark, sf)
+    return sv.campaign_sizing(tr, te, trf, base.reference_scores(te))
+
+
+@query("sv10_insight_gaps")
+def sv10_insight_gaps(spark, sf):
+    tr, _ = base.train_test(spark, sf)
+    trf, _ = base.features(spark, sf)
+    return sv.insight_gaps(tr, trf)
+
+
+@query("ag22_engagement_impact_merge")
+def ag22_engagement_impact_merge(spark, sf):
+    return seg.engagement_impact(base.features(spark, sf)[0], on_duplicate="merge")

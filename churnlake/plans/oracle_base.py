@@ -144,3 +144,25 @@ SCORE_SQL = ("round_even(1.0E0 / (1.0E0 + exp(-(0.04E0 * (30 - tenure_months) +
 def scores_cte() -> str:
     return (f"scores AS (SELECT customer_id, CAST({SCORE_SQL} >= 0.5 AS INT) AS churn_prediction, "
             f"{SCORE_SQL} AS churn_probability FROM test)")
+
+
+def sig4_sql(z: str) -> str:
+    return f"round_even(1.0E0 / (1.0E0 + exp(-({z}))), 4)"
+
+
+ZA = "0.04E0 * (30 - tenure_months) + 0.5E0 * late_payments_last_12m - 1.0E0"
+ZB = "0.3E0 * support_tickets_last_90d + coalesce(days_since_last_purchase, 400) / 300.0E0 - 1.5E0"
+ZC = f"{ZA} + 0.3E0 * support_tickets_last_90d"
+
+
+def scorers_cte(src: str, name: str = "scorers") -> str:
+    return (f"{name} AS (SELECT customer_id, churned AS label, {sig4_sql(ZA)} AS p_a, {sig4_sql(ZB)} AS p_b, "
+            f"{sig4_sql(ZC)} AS p_c FROM {src})")
+
+
+def scorer_long_cte(src: str, name: str = "sl") -> str:
+    return (scorers_cte(src, "_sc") + f""",
+{name} AS (
+  SELECT 'rule_a' AS model, customer_id, label, p_a AS score, CAST(p_a >= 0.5 AS INT) AS prediction FROM _sc
+  UNION ALL SELECT 'rule_b', customer_id, label, p_b, CAST(p_b >= 0.5 AS INT) FROM _sc
+  UNION ALL SELECT 'rule_c', customer_id, label, p_c, CAST(p_c >= 0.5 AS INT) FROM _sc)""")
