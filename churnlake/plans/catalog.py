@@ -658,3 +658,238 @@ def sv10_insight_gaps(spark, sf):
 @query("ag22_engagement_impact_merge")
 def ag22_engagement_impact_merge(spark, sf):
     return seg.engagement_impact(base.features(spark, sf)[0], on_duplicate="merge")
+
+
+# ------------------------------------------------------- 2.10 fitted models (R)
+from ..operators import models as mo  # noqa: E402
+from ..operators import resample as rs  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import sinks  # noqa: E402
+from ..sources.tables import read_document, source_or_fallback  # noqa: E402
+
+
+def _mm(spark, sf):
+    """Model matrices of train and test. Fits pass over their input many
+    times, so both are cut from the customer-table lineage with a reliable
+    checkpoint in the shared checkpoint folder (survives executor loss)."""
+    ensure_checkpoint_dir(spark)
+    tr, te, feats = base.encoded(spark, sf)
+    mm = mo.model_matrix(tr, feats).checkpoint(eager=True)
+    mt = mo.model_matrix(te, feats, stats_from=tr).checkpoint(eager=True)
+    return mm, mt, feats
+
+
+def _scratch(spark, name: str) -> str:
+    """Fresh folder under the shared checkpoint directory (never a
+    machine-local temp folder)."""
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlake-io/{name}-{uuid.uuid4().hex}"
+
+
+@query("ml1_importance_scan")
+def ml1_importance_scan(spark, sf):
+    mm, _, feats = _mm(spark, sf)
+    return mo.importance_scan(mm, feats)
+
+
+@query("ml3_compare_models")
+def ml3_compare_models(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.compare_models(mm)
+
+
+@query("ml4_class_weighting")
+def ml4_class_weighting(spark, sf):
+    tr, _ = base.train_test(spark, sf)
+    return seg.with_class_weight(tr.select("customer_id", "churned"))
+
+
+@query("ml5_random_search")
+def ml5_random_search(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.random_search(mm, "gbt", n_trials=10, k=5)
+
+
+@query("ml6_smote")
+def ml6_smote(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    mm, _, _ = _mm(spark, sf)
+    syn = rs.smote(mm.select("row_id", "label", "features"))
+    return syn.select("label", "is_synthetic", vector_to_array("features").alias("features"))
+
+
+@query("so5_union_synthetic")
+def so5_union_synthetic(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    both = rs.oversample(mm.select("row_id", "label", "features"))
+    return both.groupBy(F.col("label").cast("int").alias("label"), "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ml7_resampled_cv")
+def ml7_resampled_cv(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    cols = mm.columns
+
+    def resample(d):
+        o = rs.oversample(d)
+        return o.select(*[F.coalesce(F.col(c), F.lit(1.0)).alias(c) if c in ("weight", "pos_weight") else F.col(c)
+                          for c in cols])
+    return mo.compare_models(mm, ["gbt_a"], resample=resample, suffix=" + SMOTE")
+
+
+def _stack_base():
+    ls = mo.learners()
+    return {"rf": ls["Random Forest"], "gbt_a": ls["gbt_a"], "gbt_b": ls["gbt_b"]}
+
+
+@query("ml9_stacking")
+def ml9_stacking(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.holdout_evaluate(mm, lambda tr: mo.stacking_fit(tr, _stack_base(), k=5))
+
+
+@query("j4_stacking_alignment")
+def j4_stacking_alignment(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    oof = None
+    for name, fac in _stack_base().items():
+        p = mo.cross_val_predict(fac, mm, 5).select("row_id", "customer_id", "fold", F.col("score").alias(f"p_{name}"))
+        oof = p if oof is None else oof.join(p.drop("customer_id", "fold"), "row_id")
+    return oof
+
+
+def _champion(spark, sf):
+    mm, mt, feats = _mm(spark, sf)
+    ls = mo.learners()
+    cmp_ = mo.compare_models(mm, ["Logistic Regression", "gbt_a"], k=3)
+    ranked = me.rank_models(cmp_.drop("seconds"))
+    name = ranked.filter("is_champion").head()["model"]
+    model = ls[name.replace(" + SMOTE", "")]().fit(mm)
+    return ranked, model, mm, mt, feats
+
+
+@query("ml11_champion_refit")
+def ml11_champion_refit(spark, sf):
+    ranked, model, _, mt, _ = _champion(spark, sf)
+    return mo.predictions_table(mo.score_frame(model, mt))
+
+
+@query("ml15_model_importances")
+def ml15_model_importances(spark, sf):
+    mm, _, feats = _mm(spark, sf)
+    ls = mo.learners()
+    a = mo.model_importances(ls["gbt_a"]().fit(mm), feats).withColumnRenamed("importance", "imp_a")
+    b = mo.model_importances(ls["gbt_b"]().fit(mm), feats).withColumnRenamed("importance", "imp_b")
+    return imp.combined_importance(a.select("feature"), a, b)
+
+
+@query("ml17_score")
+def ml17_score(spark, sf):
+    mm, mt, _ = _mm(spark, sf)
+    model = mo.learners()["Logistic Regression"]().fit(mm)
+    return mo.predictions_table(mo.score_frame(model, mt))
+
+
+@query("ml19_model_summary")
+def ml19_model_summary(spark, sf):
+    ranked, model, mm, mt, _ = _champion(spark, sf)
+    ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(
+        mo.learners()["Logistic Regression"]().fit(tr)))
+    preds = mo.predictions_table(mo.score_frame(model, mt))
+    top = imp.churn_drivers(_importance(spark, sf)).select("feature")
+    doc = mo.model_summary(ranked, ho, preds, top)
+    return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))
+
+
+# ------------------------------------------------------------ documents, sinks
+@query("fe19_assemble")
+def fe19_assemble(spark, sf):
+    from pyspark.ml.functions import vector_to_array
+    mm, _, _ = _mm(spark, sf)
+    return mm.select("customer_id", "label", vector_to_array("features").alias("features"))
+
+
+def _metadata_doc(spark, sf):
+    tr, te, feats = base.encoded(spark, sf)
+    shp = tr.agg(F.count(F.lit(1)).alias("n")).crossJoin(te.agg(F.count(F.lit(1)).alias("m")))
+    cd = pr.class_distribution(tr)
+    arr = lambda xs: F.array(*map(F.lit, xs))
+    return shp.crossJoin(cd).select(
+        F.current_timestamp().alias("created_at"), F.lit("1.0").alias("pipeline_version"),
+        F.array(F.col("n"), F.lit(len(tr.columns)).cast("long")).alias("train_shape"),
+        F.array(F.col("m"), F.lit(len(te.columns)).cast("long")).alias("test_shape"),
+        F.lit(cu.TARGET_COL).alias("target_column"), F.lit(cu.ID_COL).alias("id_column"),
+        arr(cu.LEAKAGE_COLS).alias("leakage_columns_removed"),
+        arr(fe.CATEGORICAL_FEATURES).alias("original_categorical_features"),
+        arr(fe.NUMERICAL_FEATURES).alias("original_numerical_features"),
+        arr(fe.NEW_FEATURES).alias("engineered_features"),
+        F.lit(len(feats)).alias("total_encoded_features"),
+        F.struct("not_churned", "churned", "churn_rate").alias("class_distribution"))
+
+
+@query("fe22_metadata_document")
+def fe22_metadata_document(spark, sf):
+    d = _metadata_doc(spark, sf)
+    return d.select(F.to_json(F.struct(*d.columns)).alias("json"))
+
+
+@query("io2_read_document")
+def io2_read_document(spark, sf):
+    path = _scratch(spark, "metadata")
+    sinks.write_document(_metadata_doc(spark, sf), path)
+    return read_document(spark, path)
+
+
+@query("io3_write_csv")
+def io3_write_csv(spark, sf):
+    path = _scratch(spark, "csv")
+    tr, _ = base.train_test(spark, sf)
+    sinks.write_csv(tr, path)
+    return read_table(spark, path, "csv", cu.CUSTOMER_SCHEMA)
+
+
+def _dashboard(spark, sf):
+    tr, te = base.train_test(spark, sf)
+    trf, _ = base.features(spark, sf)
+    scores = base.reference_scores(te)
+    return sv.dashboard_document({
+        "kpis": seg.kpis(tr, te, scores), "churnDrivers": imp.churn_drivers(_importance(spark, sf)),
+        "riskSegments": seg.risk_segments(scores), "tenureImpact": seg.tenure_impact(tr),
+        "engagementImpact": seg.engagement_impact(trf, on_duplicate="merge"), "clvSegments": seg.clv_segments(tr),
+        "contractStats": seg.contract_stats(tr), "npsStats": seg.nps_stats(trf), "paymentStats": seg.payment_stats(tr),
+        "modelPerformance": me.model_performance(_ranked_models(spark, sf)),
+        "retentionLevers": sv.retention_levers(tr, trf), "campaigns": sv.campaign_sizing(tr, te, trf, scores),
+        "insights": sv.insight_gaps(tr, trf),
+        "customerDirectorySize": sv.customer_directory(scores, te).agg(F.count(F.lit(1)).alias("rows")),
+    })
+
+
+@query("sv11_dashboard_document")
+def sv11_dashboard_document(spark, sf):
+    return _dashboard(spark, sf)
+
+
+@query("sc16_document_build")
+def sc16_document_build(spark, sf):
+    tr, _ = base.train_test(spark, sf)
+    return seg.contract_stats(tr).agg(F.to_json(F.collect_list(F.struct("contract", "churnRate", "count")))
+                                      .alias("json"))
+
+
+@query("io4_write_document")
+def io4_write_document(spark, sf):
+    path = _scratch(spark, "dashboard")
+    sinks.write_document(_dashboard(spark, sf), path)
+    return spark.read.text(path).withColumnRenamed("value", "json")
+
+
+@query("sc17_current_timestamp")
+def sc17_current_timestamp(spark, sf):
+    return base.customers(spark, sf).agg(F.count(F.lit(1)).alias("rows")).withColumn("created_at", F.current_timestamp())
+
+
+@query("io5_source_or_fallback")
+def io5_source_or_fallback(spark, sf):
+    primary = _scratch(spark, "predictions-not-written")
+    return source_or_fallback(spark, primary, lambda: seg.risk_segments(spark.read.parquet(primary)),
+                              lambda: seg.risk_segments(_scores(spark, sf)))

@@ -526,3 +526,13 @@ SELECT 'targeted-retention' AS campaign, CAST(highRiskCount AS BIGINT) AS segmen
   'usd_at_risk' AS unit FROM x
 UNION ALL SELECT 'nps-detractor-outreach', CAST(detractor_count AS BIGINT), round(detractor_count * avgClv * 0.12E0, 0), 'usd_recovered' FROM x
 UNION ALL SELECT 'monthly-to-annual', CAST(monthly_count AS BIGINT), round(monthly_rate - annual_rate, 1), 'churn_points' FROM x""")
+
+oracle("io5_source_or_fallback", ORACLES["ag13_risk_segments"])
+oracle("ml4_class_weighting", f"""WITH {W}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE churned = 0) AS n0,
+  count(*) FILTER (WHERE churned = 1) AS n1 FROM train)
+SELECT customer_id, churned, CASE WHEN churned = 1 THEN round_even(n * 1.0E0 / nullif(n1 * 2, 0), 6)
+  ELSE round_even(n * 1.0E0 / nullif(n0 * 2, 0), 6) END AS weight FROM train CROSS JOIN c""")
+oracle("so5_union_synthetic", f"""WITH {W}, c AS (SELECT count(*) FILTER (WHERE churned = 0) AS n0,
+  count(*) FILTER (WHERE churned = 1) AS n1 FROM train)
+SELECT 0 AS label, false AS is_synthetic, n0 AS n FROM c UNION ALL SELECT 1, false, n1 FROM c
+UNION ALL SELECT CASE WHEN n1 < n0 THEN 1 ELSE 0 END, true, abs(n0 - n1) FROM c WHERE n0 <> n1""")
