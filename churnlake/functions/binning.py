@@ -107,6 +107,8 @@ def qcut(df: DataFrame, c: str, q: int, labels: Sequence[str], out: str,
         # bin i is [e0, e1] for i == 0, else (e_i, e_i+1]; with merged edges
         # only the first size(e) - 1 labels are reachable
         cond = (F.lit(i + 1) < F.size(e)) & (x <= F.element_at(e, i + 2))
+        if i == 0:  # a single distinct edge (constant column, merge mode): one bin
+            cond = cond | (F.size(e) == 1)
         expr = expr.when(cond, F.lit(label))
     expr = expr.otherwise(F.lit(None).cast("string"))
     if on_duplicate == "raise":

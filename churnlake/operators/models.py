@@ -181,7 +181,7 @@ def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int =
     folded = stratified_folds(mm, k, key=ID_COL, label="label", exact=True).select(
         "label", "weight", "pos_weight", "features", "fold").cache()
     ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold",
+    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
                         parallelism=parallelism, seed=seed)
     fitted = cv.fit(folded)
     rows = [(i, json.dumps(t, sort_keys=True), float(f)) for i, (t, f) in enumerate(zip(trials, fitted.avgMetrics))]
