@@ -116,19 +116,20 @@ def category_levels(df: DataFrame, cols: Sequence[str], max_categories: int = MA
     """Distinct non-NULL values per column, sorted (bounded metadata).
 
     One distributed pass: the columns are unpivoted to (column, value) and
-    deduplicated with map-side partial aggregation; only the (bounded)
-    distinct pairs reach the driver, and a cardinality guard runs first.
+    deduplicated with map-side partial aggregation; at most
+    ``len(cols) * max_categories + 1`` distinct pairs are brought to the
+    driver, and a column over the limit raises instead of encoding.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c_).alias("column"), F.col(c_).cast("string").alias("value")) for c_ in cols])).alias("kv")
     ).select("kv.column", "kv.value").filter(F.col("value").isNotNull()).distinct()
-    counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-    too_many = {k: v for k, v in counts.items() if v > max_categories}
-    if too_many:
-        raise ValueError(f"too many categories to one-hot encode: {too_many}")
+    rows = long.limit(len(cols) * max_categories + 1).collect()
     levels: dict[str, list[str]] = {c_: [] for c_ in cols}
-    for r in long.collect():
+    for r in rows:
         levels[r["column"]].append(r["value"])
+    too_many = {k: len(v) for k, v in levels.items() if len(v) > max_categories}
+    if too_many or len(rows) > len(cols) * max_categories:
+        raise ValueError(f"too many categories to one-hot encode: {too_many or 'over the total limit'}")
     return {k: sorted(v) for k, v in levels.items()}
 
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..sources.customers import TARGET_COL
 from .correlation import pearson
-from .profile import unpivot_row
 from .ranking import average_rank
 
 IMP_DP = 6
@@ -26,24 +25,29 @@ def statistical_importance(enc: DataFrame, features: Sequence[str], target: str
     """feature, imp_a, imp_b; each column sums to 1 over the features.
 
     imp_a = |Pearson r(x, y)|; imp_b = |mean(x | y=1) - mean(x | y=0)| /
-    (max x - min x). Undefined values (constant column) count as 0. One scan
-    of the encoded table; the normalisation runs on the per-feature table.
+    (max x - min x). Undefined values (constant column) count as 0.
+
+    One scan in long form: rows are unpivoted to (feature, x, y) inside the
+    scan stage and aggregated per feature with map-side partial aggregation,
+    so the shuffle carries (partitions x features) rows and the generated
+    code stays small however many features there are. The normalisation
+    runs on the per-feature table (one row per feature: bounded).
     """
-    y = F.col(target)
-    aggs = []
-    for i, f in enumerate(features):
-        x = F.col(f).cast("double")
-        aggs += [pearson(x, y).alias(f"_r{i}"), F.avg(F.when(y == 1, x)).alias(f"_m1{i}"),
-                 F.avg(F.when(y == 0, x)).alias(f"_m0{i}"), F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    row = enc.agg(*aggs)
-    long = unpivot_row(row, {f: {
-        "a": F.coalesce(F.abs(F.col(f"_r{i}")), F.lit(0.0)),
-        "b": F.coalesce(F.try_divide(F.abs(F.col(f"_m1{i}") - F.col(f"_m0{i}")), F.col(f"_hi{i}") - F.col(f"_lo{i}")),
-                        F.lit(0.0))} for i, f in enumerate(features)}, "feature")
+    y = F.col(target).cast("double")
+    long = enc.select(y.alias("_y"), F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x")) for f in features])).alias("_kv")
+    ).select("_kv.feature", "_kv._x", "_y")
+    x, yy = F.col("_x"), F.col("_y")
+    per = long.groupBy("feature").agg(
+        pearson(x, yy).alias("_r"), F.avg(F.when(yy == 1, x)).alias("_m1"), F.avg(F.when(yy == 0, x)).alias("_m0"),
+        F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    per = per.select("feature", F.coalesce(F.abs(F.col("_r")), F.lit(0.0)).alias("a"),
+                     F.coalesce(F.try_divide(F.abs(F.col("_m1") - F.col("_m0")), F.col("_hi") - F.col("_lo")),
+                                F.lit(0.0)).alias("b"))
     tot = Window.partitionBy()  # one row per feature: bounded
-    return long.select("feature",
-                       F.bround(F.try_divide(F.col("a"), F.sum("a").over(tot)), IMP_DP).alias("imp_a"),
-                       F.bround(F.try_divide(F.col("b"), F.sum("b").over(tot)), IMP_DP).alias("imp_b"))
+    return per.select("feature",
+                      F.bround(F.try_divide(F.col("a"), F.sum("a").over(tot)), IMP_DP).alias("imp_a"),
+                      F.bround(F.try_divide(F.col("b"), F.sum("b").over(tot)), IMP_DP).alias("imp_b"))
 
 
 def combined_importance(features: DataFrame, imp_a: DataFrame, imp_b: DataFrame) -> DataFrame:

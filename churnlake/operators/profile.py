@@ -234,14 +234,21 @@ def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def data_dictionary(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """AG19: feature, dtype, min, max, mean, std (sample, ddof=1)."""
+    """AG19: feature, dtype, min, max, mean, std (sample, ddof=1).
+
+    Long form: (feature, value) pairs are aggregated per feature (partial
+    aggregation; the shuffle holds partitions x features rows), which keeps
+    the plan small for wide encoded tables."""
     types = {f.name: dtype_name(f.dataType) for f in df.schema.fields}
-    row = df.agg(*[e for i, f in enumerate(features) for e in (
-        F.min(F.col(f)).cast("double").alias(f"_a{i}"), F.max(F.col(f)).cast("double").alias(f"_b{i}"),
-        F.avg(F.col(f).cast("double")).alias(f"_m{i}"), F.stddev_samp(F.col(f).cast("double")).alias(f"_s{i}"))])
-    return unpivot_row(row, {f: {"dtype": F.lit(types[f]), "min": F.col(f"_a{i}"), "max": F.col(f"_b{i}"),
-                                 "mean": _r(F.col(f"_m{i}")), "std": _r(F.col(f"_s{i}"))}
-                             for i, f in enumerate(features)}, "feature")
+    dtypes = F.create_map(*[F.lit(x) for f in features for x in (f, types[f])])
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("_x")) for f in features])).alias("_kv")
+    ).select("_kv.feature", "_kv._x")
+    x = F.col("_x")
+    g = long.groupBy("feature").agg(F.min(x).alias("min"), F.max(x).alias("max"), F.avg(x).alias("_m"),
+                                    F.stddev_samp(x).alias("_s"))
+    return g.select("feature", dtypes[F.col("feature")].alias("dtype"), "min", "max", _r(F.col("_m")).alias("mean"),
+                    _r(F.col("_s")).alias("std"))
 
 
 def distinct_categories(df: DataFrame, col: str) -> DataFrame:
