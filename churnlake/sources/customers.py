@@ -3,21 +3,23 @@ events and customer.
 
 Plan shape (what Catalyst gets):
 
-* ``cutoff`` is a one-row aggregate over ``orders.o_orderdate``; it is joined
-  as a one-row side (bounded by construction), never collected.
-* lineitem is joined to part (for the brand) and then to the observed orders
-  on the order key. The per-order rollup that follows groups by
-  ``(o_orderkey, o_custkey, ...)`` and so reuses the join's hash partitioning
-  on the order key: no extra shuffle, and a hot customer is spread over all
-  of its orders.
-* The two distinct counts of the definition (brands, late orders) are not
-  written as ``countDistinct`` (which would make Spark triple every row with
-  an Expand): late orders become "orders whose latest shipment is > 60 days
-  after the order", counted per order; brands are deduplicated per
-  (customer, brand) with map-side partial aggregation before the shuffle.
-* All per-customer inputs are aggregated with partial (map-side) aggregation
-  and then joined on the customer key; AQE picks broadcast vs sort-merge from
-  runtime sizes and splits skewed partitions.
+* ``cutoff`` (last order date minus 365 days) is one scalar from a
+  one-column aggregate, resolved before planning so that
+  ``o_orderdate <= cutoff`` is a literal predicate: it reaches the parquet
+  scan as a pushed filter (row-group skipping on date-clustered orders) and
+  no nested-loop join with a one-row table is needed.
+* lineitem is joined to part (brand) and to the observed orders on the order
+  key, once. One aggregate per customer then computes the line-level
+  figures, including the two filtered distinct counts (brands, late orders):
+  Spark expands each line once per distinct group and partial aggregation
+  deduplicates (customer, brand) / (customer, order) pairs map-side, so the
+  shuffle carries about one row per order plus one per bought brand. The
+  first distinct level is keyed by (customer, value), so one customer with a
+  third of all orders is still spread over many tasks.
+* Every per-customer input is aggregated with partial (map-side)
+  aggregation and joined on the customer key; AQE picks broadcast vs
+  sort-merge from runtime sizes (the autoBroadcastJoinThreshold is the size
+  check) and splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -92,13 +94,17 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events", ["user_id", "event_type"])
     customer = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
 
-    # One row: the observation cutoff and the start of the last observed year.
-    c0 = orders.agg(F.max("o_orderdate").alias("_maxd")).select(
-        (F.col("_maxd") - F.expr(f"INTERVAL {OBSERVATION_DAYS} DAYS")).alias("cutoff"))
-    c0 = c0.withColumn("recent_from", F.col("cutoff") - F.expr(f"INTERVAL {OBSERVATION_DAYS} DAYS"))
-
-    o = orders.crossJoin(F.broadcast(c0))  # c0 is one row by construction
-    observed = F.col("o_orderdate") <= F.col("cutoff")
+    # The observation cutoff and the start of the last observed year (one
+    # scalar; NULL only for an empty orders table).
+    max_date = orders.agg(F.max("o_orderdate")).head()[0]
+    if max_date is None:
+        cutoff_lit = recent_lit = F.lit(None).cast("timestamp_ntz")
+    else:
+        import datetime as _dt
+        cutoff = max_date - _dt.timedelta(days=OBSERVATION_DAYS)
+        cutoff_lit, recent_lit = F.lit(cutoff), F.lit(cutoff - _dt.timedelta(days=OBSERVATION_DAYS))
+    o = orders
+    observed = F.col("o_orderdate") <= cutoff_lit
 
     # Per customer: first/last observed order, observed spend in cents, later orders.
     ord_ = o.groupBy("o_custkey").agg(
@@ -111,28 +117,25 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # Observed orders with the "last year" flag.
     obs_orders = (o.filter(observed)
-                  .select("o_orderkey", "o_custkey", "o_orderdate",
-                          (F.col("o_orderdate") > F.col("recent_from")).alias("recent")))
+                  .select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderdate") > recent_lit).alias("recent")))
 
     lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey, "inner").drop("l_partkey", "p_partkey")
     lo = lines.join(obs_orders, lines.l_orderkey == obs_orders.o_orderkey, "inner")
 
-    # Per-order rollup (co-partitioned with the join on the order key).
-    per_order = lo.groupBy("o_orderkey", "o_custkey", "o_orderdate", "recent").agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.sum(F.when(F.col("l_discount") >= DISCOUNT_FLAG, 1).otherwise(0)).alias("n_disc"),
-        F.max(F.datediff(F.col("l_shipdate"), F.col("o_orderdate"))).alias("max_ship_days"),
-        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_ret"),
-    )
-    li = per_order.groupBy("o_custkey").agg(
-        (F.sum("n_disc").cast("double") / F.sum("n_lines")).alias("disc_rate"),
-        F.sum(F.when(F.col("recent") & (F.col("max_ship_days") > LATE_SHIP_DAYS), 1).otherwise(0)).alias("late12"),
-        F.sum(F.when(F.col("recent"), F.col("n_ret")).otherwise(0)).alias("ret12"),
+    # One aggregate per customer over the joined lines. The two filtered
+    # distinct counts make Spark expand each line into one row per distinct
+    # group; partial aggregation right after the expand deduplicates
+    # (customer, brand) and (customer, order) pairs map-side, so the shuffle
+    # carries about one row per order plus one per bought brand, and
+    # lineitem is scanned and joined once.
+    recent = F.col("recent")
+    li = lo.groupBy("o_custkey").agg(
+        F.count_distinct(F.when(recent, F.col("p_brand"))).alias("brands"),
+        F.avg(F.when(F.col("l_discount") >= DISCOUNT_FLAG, 1.0).otherwise(0.0)).alias("disc_rate"),
+        F.count_distinct(F.when(recent & (F.datediff(F.col("l_shipdate"), F.col("o_orderdate")) > LATE_SHIP_DAYS),
+                                F.col("o_orderkey"))).alias("late12"),
+        F.sum(F.when((F.col("l_returnflag") == "R") & recent, 1).otherwise(0)).alias("ret12"),
     )
-    # Distinct brands bought in the last observed year.
-    brands = (lo.filter(F.col("recent") & F.col("p_brand").isNotNull())
-              .select("o_custkey", "p_brand").distinct()
-              .groupBy("o_custkey").agg(F.count(F.lit(1)).alias("brands")))
 
     def n_type(t: str) -> Column:
         return F.sum(F.when(F.col("event_type") == t, 1).otherwise(0))
@@ -145,9 +148,8 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = (customer
          .join(ord_, ck == ord_.o_custkey, "left").drop("o_custkey")
          .join(li, ck == li.o_custkey, "left").drop("o_custkey")
-         .join(brands, ck == brands.o_custkey, "left").drop("o_custkey")
          .join(ev, F.expr("c_custkey div 10") == ev.user_id, "left").drop("user_id")
-         .crossJoin(F.broadcast(c0)))
+         .withColumn("cutoff", cutoff_lit))
 
     seg_map = F.create_map(*[x for kv in SUBSCRIPTION_BY_SEGMENT.items() for x in map(F.lit, kv)])
     raw_months = _int(F.greatest(F.lit(1), F.floor(F.datediff(F.col("cutoff"), F.col("first_o")) / 30.0)))
