@@ -57,12 +57,11 @@ def quantile_stats(df: DataFrame, c: str, probs: Sequence[float], name: str = "q
     """One-row DataFrame with the exact linear-interpolated quantiles of ``c``
     (pandas ``quantile``, DuckDB ``quantile_cont``) in an array column.
 
-    Spark's ``percentile`` keeps a value->count map, merged map-side: memory
-    grows with the number of *distinct* values, which is small for the
-    integer-valued columns these cuts are applied to.
-    """
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    return df.agg(F.percentile(F.col(c), arr).alias(name))
+    Computed by distributed selection (``quantiles.exact_quantiles``): the
+    driver sees per-bucket counts and a bounded number of values, never the
+    whole value distribution, and no task merges every distinct value."""
+    from .quantiles import quantile_row
+    return quantile_row(df, c, probs, name)
 
 
 def quantile_cut(df: DataFrame, c: str, probs: Sequence[float], labels: Sequence[str], out: str,

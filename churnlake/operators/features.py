@@ -56,11 +56,11 @@ _STATS = ["_max_late", "_nps_q"]
 
 
 def feature_stats(df: DataFrame) -> DataFrame:
-    """One row: the table statistics used by FE7 and FE12."""
-    return df.agg(
-        F.max("late_payments_last_12m").alias("_max_late"),
-        F.percentile(F.col("nps_score"), F.array(*[F.lit(p) for p in NPS_PROBS])).alias("_nps_q"),
-    )
+    """One row: the table statistics used by FE7 and FE12 (max late
+    payments; exact NPS terciles by distributed selection)."""
+    from ..functions.quantiles import quantile_row
+    mx = df.agg(F.max("late_payments_last_12m").alias("_max_late"))
+    return mx.crossJoin(quantile_row(df, "nps_score", NPS_PROBS, "_nps_q"))
 
 
 def engineer_features(df: DataFrame, stats: DataFrame | None = None, parity_nan: bool = False) -> DataFrame:

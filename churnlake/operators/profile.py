@@ -174,24 +174,27 @@ def int_ranges(df: DataFrame, exclude: Sequence[str] = (TARGET_COL,)) -> DataFra
 def iqr_outliers(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
     """AG11: column, count, pct, lower, upper for columns with outliers.
 
-    Quartiles are exact linear-interpolated (``percentile``, equal to pandas
-    ``quantile``); bounds are strict. The quartile row is computed once
-    (one aggregate) and cross-joined to the rows for the counting pass."""
-    q = df.agg(F.count(F.lit(1)).alias("_n"),
-               *[F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{i}") for i, c in enumerate(cols)])
-    bounds = q.select("_n", *[x for i in range(len(cols)) for x in (
-        (F.col(f"_q{i}")[0] - F.lit(k) * (F.col(f"_q{i}")[1] - F.col(f"_q{i}")[0])).alias(f"_lo{i}"),
-        (F.col(f"_q{i}")[1] + F.lit(k) * (F.col(f"_q{i}")[1] - F.col(f"_q{i}")[0])).alias(f"_hi{i}"))])
-    joined = df.select(*cols).crossJoin(F.broadcast(bounds))  # one row by construction
-    row = joined.agg(F.first("_n").alias("_n"),
-                     *[F.first(f"_lo{i}").alias(f"_lo{i}") for i in range(len(cols))],
-                     *[F.first(f"_hi{i}").alias(f"_hi{i}") for i in range(len(cols))],
-                     *[F.count_if((F.col(c) < F.col(f"_lo{i}")) | (F.col(c) > F.col(f"_hi{i}"))).alias(f"_c{i}")
-                       for i, c in enumerate(cols)])
+    Quartiles are exact linear-interpolated (equal to pandas ``quantile``),
+    found for all columns together by distributed selection (bounded driver
+    traffic, no task holding every distinct value); the bounds then enter the
+    counting pass as literals, one aggregate for all columns. Bounds are
+    strict."""
+    from ..functions.quantiles import exact_quantiles
+    q = exact_quantiles(df, cols, [0.25, 0.75])
+    bounds = {}
+    for c in cols:
+        q1, q3 = q[c]
+        if q1 is None:
+            continue
+        bounds[c] = (q1 - k * (q3 - q1), q3 + k * (q3 - q1))
+    items = list(bounds.items())
+    row = df.agg(F.count(F.lit(1)).alias("_n"),
+                 *[F.count_if((F.col(c) < F.lit(lo)) | (F.col(c) > F.lit(hi))).alias(f"_c{i}")
+                   for i, (c, (lo, hi)) in enumerate(items)])
     out = unpivot_row(row, {c: {"count": F.col(f"_c{i}"),
                                 "pct": _r(F.try_divide(F.col(f"_c{i}") * 100.0, F.col("_n"))),
-                                "lower": _r(F.col(f"_lo{i}")), "upper": _r(F.col(f"_hi{i}"))}
-                            for i, c in enumerate(cols)})
+                                "lower": _r(F.lit(lo)), "upper": _r(F.lit(hi))}
+                            for i, (c, (lo, hi)) in enumerate(items)})
     return out.filter(F.col("count") > 0)
 
 
