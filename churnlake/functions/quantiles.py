@@ -68,11 +68,22 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             small = {k: v for k, v in open_.items() if v["nd"] <= max_collect or v["lo"] == v["hi"]}
             big = {k: v for k, v in open_.items() if k not in small}
             if small:
+                # one job for every small target: the union of their ranges
+                cond = None
+                for (c, r), st in small.items():
+                    hi_ok = (F.col("x") <= st["hi"]) if st["hi_incl"] else (F.col("x") < st["hi"])
+                    one = (F.col("c") == c) & (F.col("x") >= st["lo"]) & hi_ok
+                    cond = one if cond is None else cond | one
+                per_col: dict[str, list] = {}
+                for row in d.filter(cond).collect():
+                    per_col.setdefault(row["c"], []).append((row["x"], row["n"]))
+                for v in per_col.values():
+                    v.sort()
                 for (c, r), st in small.items():
-                    rng = (F.col("x") >= st["lo"]) & ((F.col("x") <= st["hi"]) if st["hi_incl"] else (F.col("x") < st["hi"]))
-                    vals = sorted((row["x"], row["n"]) for row in d.filter((F.col("c") == c) & rng).collect())
                     acc = st["below"]
-                    for x, n in vals:
+                    for x, n in per_col.get(c, []):
+                        if x < st["lo"] or x > st["hi"] or (x == st["hi"] and not st["hi_incl"]):
+                            continue
                         if r < acc + n:
                             found[(c, r)] = x
                             break
