@@ -20,9 +20,9 @@ import json
 import time
 from collections.abc import Callable, Sequence
 
-from pyspark.ml import Estimator, Pipeline
+from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +67,17 @@ def model_matrix(enc: DataFrame, features: Sequence[str], stats_from: DataFrame
                     "features")
 
 
-def learners(rf_trees: int = RF_TREES, gbt_rounds: int = GBT_ROUNDS) -> dict[str, Callable[[], Estimator]]:
+LR_REG = 1e-3
+
+
+def learners(rf_trees: int = RF_TREES, gbt_rounds: int = GBT_ROUNDS,
+             lr_reg: float = LR_REG) -> dict[str, Callable[[], Estimator]]:
     """Name -> estimator factory (features in 'features', label in 'label')."""
     def lr():
-        return Pipeline(stages=[
-            StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True),
-            LogisticRegression(featuresCol="_scaled", weightCol="weight", maxIter=100, regParam=0.0)])
+        # LogisticRegression standardises features internally (standardization=True),
+        # which is the reference's "scaled features" without an extra scaler pass;
+        # L2 penalty like the reference's default (C = 1): regParam ~ 1 / n
+        return LogisticRegression(weightCol="weight", maxIter=100, regParam=lr_reg, standardization=True)
     return {
         "Logistic Regression": lr,
         "Random Forest": lambda: RandomForestClassifier(numTrees=rf_trees, weightCol="weight", seed=SEED),
@@ -91,17 +96,25 @@ def score_frame(model, df: DataFrame) -> DataFrame:
 
 
 def cross_val_predict(factory: Callable[[], Estimator], mm: DataFrame, k: int = 5,
-                      resample: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+                      resample: Callable[[DataFrame], DataFrame] | None = None,
+                      parallelism: int | None = None) -> DataFrame:
     """Out-of-fold predictions (fold, customer_id, label, prediction, score).
-    ``resample`` is applied to the training folds only (ML7)."""
+    ``resample`` is applied to the training folds only (ML7). The k fold
+    models are fitted concurrently (``parallelism`` driver threads submitting
+    Spark jobs), as CrossValidator does with its parallelism."""
+    from concurrent.futures import ThreadPoolExecutor
     folded = stratified_folds(mm, k, key=ID_COL, label="label", exact=True).cache()
-    parts = []
-    for i in range(k):
+    folded.count()  # materialise once, before the concurrent fits read it
+
+    def fit_fold(i: int) -> DataFrame:
         tr = folded.filter(F.col("fold") != i).drop("fold")
         if resample is not None:
             tr = resample(tr)
         model = factory().fit(tr)
-        parts.append(score_frame(model, folded.filter(F.col("fold") == i)).withColumn("fold", F.lit(i)))
+        return score_frame(model, folded.filter(F.col("fold") == i)).withColumn("fold", F.lit(i))
+
+    with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
+        parts = list(pool.map(fit_fold, range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
