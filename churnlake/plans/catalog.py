@@ -893,3 +893,26 @@ def io5_source_or_fallback(spark, sf):
     primary = _scratch(spark, "predictions-not-written")
     return source_or_fallback(spark, primary, lambda: seg.risk_segments(spark.read.parquet(primary)),
                               lambda: seg.risk_segments(_scores(spark, sf)))
+
+
+# FE4-FE16 one by one (each: id + the feature, train and test with their own
+# statistics, as the reference computes them).
+FEATURE_IDS = {
+    "fe4_engagement_score": "engagement_score", "fe5_spend_per_tenure": "spend_per_tenure",
+    "fe6_support_intensity": "support_intensity", "fe7_payment_reliability": "payment_reliability",
+    "fe8_clv_spend_ratio": "clv_spend_ratio", "fe9_recency_bucket": "recency_bucket", "fe10_age_group": "age_group",
+    "fe11_tenure_category": "tenure_category", "fe12_nps_category": "nps_category", "fe13_risk_score": "risk_score",
+    "fe14_high_risk": "high_risk", "fe15_digital_preference": "digital_preference",
+    "fe16_discount_dependency": "discount_dependency",
+}
+
+
+def _one_feature(col: str) -> Query:
+    def q_(spark, sf):
+        tr, te = base.features(spark, sf)
+        return tr.select("customer_id", "split", col).unionByName(te.select("customer_id", "split", col))
+    return q_
+
+
+for _k, _c in FEATURE_IDS.items():
+    QUERIES[_k] = _one_feature(_c)

@@ -536,3 +536,9 @@ oracle("so5_union_synthetic", f"""WITH {W}, c AS (SELECT count(*) FILTER (WHERE
   count(*) FILTER (WHERE churned = 1) AS n1 FROM train)
 SELECT 0 AS label, false AS is_synthetic, n0 AS n FROM c UNION ALL SELECT 1, false, n1 FROM c
 UNION ALL SELECT CASE WHEN n1 < n0 THEN 1 ELSE 0 END, true, abs(n0 - n1) FROM c WHERE n0 <> n1""")
+
+from .catalog import FEATURE_IDS  # noqa: E402
+
+for _k, _c in FEATURE_IDS.items():
+    oracle(_k, f"WITH {WF} SELECT customer_id, split, {_c} FROM train_feat UNION ALL "
+               f"SELECT customer_id, split, {_c} FROM test_feat")
