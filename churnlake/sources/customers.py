@@ -102,7 +102,9 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     else:
         import datetime as _dt
         cutoff = max_date - _dt.timedelta(days=OBSERVATION_DAYS)
-        cutoff_lit, recent_lit = F.lit(cutoff), F.lit(cutoff - _dt.timedelta(days=OBSERVATION_DAYS))
+        # timestamp_ntz literals from ISO text: independent of any time zone
+        cutoff_lit = F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz")
+        recent_lit = F.lit((cutoff - _dt.timedelta(days=OBSERVATION_DAYS)).isoformat(sep=" ")).cast("timestamp_ntz")
     o = orders
     observed = F.col("o_orderdate") <= cutoff_lit
 
