@@ -283,3 +283,27 @@ def model_summary(ranked: DataFrame, holdout: DataFrame, predictions: DataFrame,
                          .alias("test_predictions"))
     tf = top_features.agg(F.collect_list("feature").alias("top_features"))
     return ch.crossJoin(ho).crossJoin(allm).crossJoin(tp).crossJoin(tf).withColumn("created_at", F.current_timestamp())
+
+
+def oversample_matrix(d: DataFrame) -> DataFrame:
+    """SMOTE rows added to a model matrix; synthetic rows get weight 1 (ML7)."""
+    from .resample import oversample
+    cols = d.columns
+    o = oversample(d)
+    return o.select(*[F.coalesce(F.col(c), F.lit(1.0)).alias(c) if c in ("weight", "pos_weight") else F.col(c)
+                      for c in cols])
+
+
+def soft_vote_cv(mm: DataFrame, members: dict[str, Callable[[], Estimator]], k: int = 5,
+                 threshold: float = 0.5) -> DataFrame:
+    """ML8 on fitted models: 5-fold CV of the soft-voting ensemble. Folds are
+    a deterministic function of the id, so the ensemble's fold-i model is
+    exactly its members' fold-i models: the out-of-fold member scores are
+    joined on the row id (never by position) and averaged."""
+    oof = None
+    for name, fac in members.items():
+        p = cross_val_predict(fac, mm, k).select("row_id", "fold", "label", F.col("score").alias(f"_s_{name}"))
+        oof = p if oof is None else oof.join(p.drop("label"), ["row_id", "fold"])
+    avg = sum((F.col(f"_s_{n}") for n in list(members)[1:]), F.col(f"_s_{list(members)[0]}")) / float(len(members))
+    voted = oof.select("fold", "label", avg.alias("score"), (avg >= threshold).cast("int").alias("prediction"))
+    return cv_metrics(voted)

@@ -728,13 +728,13 @@ def so5_union_synthetic(spark, sf):
 @query("ml7_resampled_cv")
 def ml7_resampled_cv(spark, sf):
     mm, _, _ = _mm(spark, sf)
-    cols = mm.columns
+    return mo.compare_models(mm, ["gbt_a"], resample=mo.oversample_matrix, suffix=" + SMOTE")
 
-    def resample(d):
-        o = rs.oversample(d)
-        return o.select(*[F.coalesce(F.col(c), F.lit(1.0)).alias(c) if c in ("weight", "pos_weight") else F.col(c)
-                          for c in cols])
-    return mo.compare_models(mm, ["gbt_a"], resample=resample, suffix=" + SMOTE")
+
+@query("ml8_soft_vote_models")
+def ml8_soft_vote_models(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.soft_vote_cv(mm, _stack_base())
 
 
 def _stack_base():
@@ -759,19 +759,26 @@ def j4_stacking_alignment(spark, sf):
 
 
 def _champion(spark, sf):
+    """Rank candidates by CV F1 (ML10 over ML3/ML7 results), refit the
+    champion on all train rows, resampling first when its name says so (ML11)."""
     mm, mt, feats = _mm(spark, sf)
     ls = mo.learners()
-    cmp_ = mo.compare_models(mm, ["Logistic Regression", "gbt_a"], k=3)
+    cmp_ = mo.compare_models(mm, ["Logistic Regression", "gbt_a"], k=3).unionByName(
+        mo.compare_models(mm, ["gbt_a"], k=3, resample=mo.oversample_matrix, suffix=" + SMOTE"))
     ranked = me.rank_models(cmp_.drop("seconds"))
     name = ranked.filter("is_champion").head()["model"]
-    model = ls[name.replace(" + SMOTE", "")]().fit(mm)
-    return ranked, model, mm, mt, feats
+    use_smote = name.endswith(" + SMOTE")
+    factory = ls[name.replace(" + SMOTE", "")]
+
+    def fit(d):
+        return factory().fit(mo.oversample_matrix(d) if use_smote else d)
+    return ranked, fit, mm, mt, feats
 
 
 @query("ml11_champion_refit")
 def ml11_champion_refit(spark, sf):
-    ranked, model, _, mt, _ = _champion(spark, sf)
-    return mo.predictions_table(mo.score_frame(model, mt))
+    ranked, fit, mm, mt, _ = _champion(spark, sf)
+    return mo.predictions_table(mo.score_frame(fit(mm), mt))
 
 
 @query("ml15_model_importances")
@@ -792,10 +799,9 @@ def ml17_score(spark, sf):
 
 @query("ml19_model_summary")
 def ml19_model_summary(spark, sf):
-    ranked, model, mm, mt, _ = _champion(spark, sf)
-    ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(
-        mo.learners()["Logistic Regression"]().fit(tr)))
-    preds = mo.predictions_table(mo.score_frame(model, mt))
+    ranked, fit, mm, mt, _ = _champion(spark, sf)
+    ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(fit(tr)))
+    preds = mo.predictions_table(mo.score_frame(fit(mm), mt))
     top = imp.churn_drivers(_importance(spark, sf)).select("feature")
     doc = mo.model_summary(ranked, ho, preds, top)
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))
