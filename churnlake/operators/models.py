@@ -95,16 +95,21 @@ def score_frame(model, df: DataFrame) -> DataFrame:
                     vector_to_array(F.col("probability"))[1].alias("score"))
 
 
-def cross_val_predict(factory: Callable[[], Estimator], mm: DataFrame, k: int = 5,
-                      resample: Callable[[DataFrame], DataFrame] | None = None,
-                      parallelism: int | None = None) -> DataFrame:
-    """Out-of-fold predictions (fold, customer_id, label, prediction, score).
-    ``resample`` is applied to the training folds only (ML7). The k fold
-    models are fitted concurrently (``parallelism`` driver threads submitting
-    Spark jobs), as CrossValidator does with its parallelism."""
+def fold_matrix(mm: DataFrame, k: int = 5) -> DataFrame:
+    """The model matrix with exact stratified fold ids, cached and
+    materialised once so every learner and fold reads the same assignment."""
+    # keep the partitioning of the model matrix (sized by its data) rather
+    # than the shuffle-partition count the rank window leaves behind: every
+    # optimiser iteration is one job over these partitions
+    n = max(1, mm.rdd.getNumPartitions())
+    folded = stratified_folds(mm, k, key=ID_COL, label="label", exact=True).coalesce(n).cache()
+    folded.count()
+    return folded
+
+
+def _oof(factory: Callable[[], Estimator], folded: DataFrame, k: int,
+         resample: Callable[[DataFrame], DataFrame] | None, parallelism: int | None) -> DataFrame:
     from concurrent.futures import ThreadPoolExecutor
-    folded = stratified_folds(mm, k, key=ID_COL, label="label", exact=True).cache()
-    folded.count()  # materialise once, before the concurrent fits read it
 
     def fit_fold(i: int) -> DataFrame:
         tr = folded.filter(F.col("fold") != i).drop("fold")
@@ -121,26 +126,50 @@ def cross_val_predict(factory: Callable[[], Estimator], mm: DataFrame, k: int =
     return out
 
 
-def cv_metrics(oof: DataFrame) -> DataFrame:
-    """Per-fold metrics averaged over folds: accuracy, f1, precision, recall, roc_auc."""
-    per_fold = me.evaluate(oof, "label", "prediction", "score", ["fold"])
-    return per_fold.agg(*[F.bround(F.avg(c), 6).alias(c) for c in ("accuracy", "f1", "precision", "recall", "roc_auc")])
+def cross_val_predict(factory: Callable[[], Estimator], mm: DataFrame, k: int = 5,
+                      resample: Callable[[DataFrame], DataFrame] | None = None,
+                      parallelism: int | None = None) -> DataFrame:
+    """Out-of-fold predictions (fold, customer_id, label, prediction, score).
+    ``resample`` is applied to the training folds only (ML7). The k fold
+    models are fitted concurrently (``parallelism`` driver threads submitting
+    Spark jobs), as CrossValidator does with its parallelism."""
+    return _oof(factory, fold_matrix(mm, k), k, resample, parallelism)
+
+
+METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
+
+
+def cv_metrics(oof: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """Per-fold metrics averaged over folds (per group): accuracy, f1,
+    precision, recall, roc_auc."""
+    g = list(group)
+    per_fold = me.evaluate(oof, "label", "prediction", "score", [*g, "fold"])
+    return per_fold.groupBy(*g).agg(*[F.bround(F.avg(c), 6).alias(c) for c in METRICS])
 
 
 def compare_models(mm: DataFrame, names: Sequence[str] | None = None, k: int = 5,
                    resample: Callable[[DataFrame], DataFrame] | None = None, suffix: str = "") -> DataFrame:
-    """ML3: model, accuracy, f1, precision, recall, roc_auc, seconds."""
+    """ML3: model, accuracy, f1, precision, recall, roc_auc, seconds.
+
+    Folds are assigned once; each learner's k fold fits run concurrently and
+    its out-of-fold predictions are materialised (``seconds`` is that wall
+    time); the metrics of all learners come from one grouped evaluation."""
     ls = learners()
-    rows = []
-    mm = mm.cache()
+    folded = fold_matrix(mm, k)
+    secs, oofs = [], []
     for name in (names or list(ls)):
         t0 = time.time()
-        m = cv_metrics(cross_val_predict(ls[name], mm, k, resample)).head().asDict()
-        rows.append((name + suffix, m["accuracy"], m["f1"], m["precision"], m["recall"], m["roc_auc"],
-                     round(time.time() - t0, 3)))
+        oof = _oof(ls[name], folded, k, resample, None).withColumn("model", F.lit(name + suffix)).cache()
+        oof.count()
+        secs.append((name + suffix, round(time.time() - t0, 3)))
+        oofs.append(oof)
+    allo = oofs[0]
+    for o in oofs[1:]:
+        allo = allo.unionByName(o)
+    m = cv_metrics(allo, ["model"])
     spark = mm.sparkSession
-    return spark.createDataFrame(rows, "model string, accuracy double, f1 double, precision double, recall double, "
-                                       "roc_auc double, seconds double")
+    t = spark.createDataFrame(secs, "model string, seconds double")
+    return m.join(F.broadcast(t), "model").select("model", *METRICS, "seconds")
 
 
 # Search spaces (re-aimed from the reference's: rounds/depth/rate/subsample/
@@ -179,7 +208,7 @@ def sample_params(space: dict, n_trials: int, seed: int = SEED) -> list[dict]:
 
 
 def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int = 5, seed: int = SEED,
-                  parallelism: int = 2) -> DataFrame:
+                  parallelism: int = 4) -> DataFrame:
     """ML5: trial, params (JSON), f1 (mean over folds, positive class);
     CrossValidator with the stratified fold column and all trials as the
     param grid (``n_trials`` is honoured, R8)."""
@@ -191,14 +220,12 @@ def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int =
         est, space = RandomForestClassifier(weightCol="weight", seed=seed), RF_SPACE
     trials = sample_params(space, n_trials, seed)
     grid = [{est.getParam(n): v for n, v in t.items()} for t in trials]
-    folded = stratified_folds(mm, k, key=ID_COL, label="label", exact=True).select(
-        "label", "weight", "pos_weight", "features", "fold").cache()
+    folded = fold_matrix(mm, k).select("label", "weight", "pos_weight", "features", "fold")
     ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
                         parallelism=parallelism, seed=seed)
     fitted = cv.fit(folded)
     rows = [(i, json.dumps(t, sort_keys=True), float(f)) for i, (t, f) in enumerate(zip(trials, fitted.avgMetrics))]
-    folded.unpersist()
     return mm.sparkSession.createDataFrame(rows, "trial int, params string, f1 double")
 
 
@@ -238,7 +265,8 @@ def stacking_fit(mm: DataFrame, base: dict[str, Callable[[], Estimator]], k: int
 def holdout_evaluate(mm: DataFrame, fit_score: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
                      test_size: float = 0.2) -> DataFrame:
     """ML12 + ML13/14: fit on the stratified 80 %, evaluate on the 20 %."""
-    split = holdout_split(mm, test_size, key=ID_COL, label="label", exact=True).cache()
+    n = max(1, mm.rdd.getNumPartitions())
+    split = holdout_split(mm, test_size, key=ID_COL, label="label", exact=True).coalesce(n).cache()
     scorer = fit_score(split.filter(~F.col("is_holdout")).drop("is_holdout"))
     scored = scorer(split.filter(F.col("is_holdout")).drop("is_holdout"))
     return me.evaluate(scored, "label", "prediction", "score")
