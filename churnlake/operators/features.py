@@ -52,9 +52,6 @@ NON_NEGATIVE = [
 ]
 RATE_COLS = ["discount_usage_rate", "email_open_rate"]
 
-_STATS = ["_max_late", "_nps_q"]
-
-
 def feature_stats(df: DataFrame) -> DataFrame:
     """One row: the table statistics used by FE7 and FE12 (max late
     payments; exact NPS terciles by distributed selection)."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType, NumericType, StringType
 
@@ -86,16 +86,10 @@ def column_profile(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> Da
 def target_distribution(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
     """AG3: value, count, pct."""
     counts = df.groupBy(F.col(target).alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(_all())
+    total = F.sum("count").over(Window.partitionBy())  # over the (tiny) grouped result
     return counts.select("value", "count", _r(F.col("count") * 100.0 / total).alias("pct"))
 
 
-def _all():
-    from pyspark.sql import Window
-    # window over the (tiny, bounded) grouped result: one partition is fine
-    return Window.partitionBy()
-
-
 def class_counts(df: DataFrame, target: str = TARGET_COL) -> DataFrame:
     """One row: n, n0, n1 (count_if per class in one pass)."""
     t = F.col(target)

@@ -63,10 +63,6 @@ def risk_bar_colour(score: Column) -> Column:
     return banding(score, BAR_CUTS, BAR_DEFAULT)
 
 
-def _lookup(df: DataFrame, key_col: str, label: str, value_col: str, alias: str) -> Column:
-    return F.first(F.when(F.col(key_col) == label, F.col(value_col)), ignorenulls=True).alias(alias)
-
-
 def lever_inputs(train: DataFrame, train_feat: DataFrame) -> DataFrame:
     """Long table (table, label, churnRate, count) of the segment tables the
     levers compare (AG21, AG23-AG26), looked up by label, not position."""

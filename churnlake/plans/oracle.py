@@ -11,7 +11,7 @@ from ..operators.features import (AGE_LABELS, CATEGORICAL_FEATURES, NEW_FEATURES
                                   NUMERICAL_FEATURES, RATE_COLS, RECENCY_EDGES, RECENCY_LABELS, TENURE_LABELS)
 from ..operators.segments import PAYMENT_EDGES, PAYMENT_LABELS, TENURE_IMPACT_EDGES, TENURE_IMPACT_LABELS
 from ..sources.customers import CHANNELS, CHURN_ACTIONS, CUSTOMER_SCHEMA
-from .oracle_base import base_ctes, cut_sql, features_sql, scorer_long_cte, scorers_cte, scores_cte, with_features
+from .oracle_base import base_ctes, cut_sql, scorer_long_cte, scorers_cte, scores_cte, with_features
 
 ORACLES: dict[str, str] = {}
 
@@ -29,10 +29,6 @@ def rate(col: str = "churned") -> str:
     return f"round_even(avg(CAST({col} AS DOUBLE)) * 100.0E0, 1)"
 
 
-def r6(x: str) -> str:
-    return f"round_even({x}, 6)"
-
-
 CUST_TYPES = {f.name: f.dataType.simpleString() for f in CUSTOMER_SCHEMA.fields}
 STRING_COLS = [c for c, t in CUST_TYPES.items() if t == "string"]
 NUMERIC_COLS = [c for c, t in CUST_TYPES.items() if t in ("int", "double", "bigint")]
