@@ -160,7 +160,12 @@ def dashboard_document(parts: dict[str, DataFrame]) -> DataFrame:
     spark = next(iter(parts.values())).sparkSession
     doc = spark.range(1).select(F.lit(1).alias("_k"))
     for name, df in parts.items():
-        agg = df.agg(F.collect_list(F.struct(*[F.col(c) for c in df.columns])).alias(name))
+        # keep each table's row order: an order key taken after its sort
+        # (monotone across range-sorted partitions), sorted on, then dropped
+        rec = F.struct(*[F.col(c) for c in df.columns])
+        ordered = df.select(F.monotonically_increasing_id().alias("_o"), rec.alias("_r"))
+        agg = ordered.agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_r"))), lambda x: x["_r"])
+                          .alias(name))
         doc = doc.crossJoin(agg)
     body = [c for c in doc.columns if c != "_k"]
     return doc.select(F.to_json(F.struct(*body)).alias("json"))
