@@ -148,8 +148,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--trials", type=int, default=10)
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("churnlake-stages").getOrCreate()
-    from .session import ensure_checkpoint_dir
+    from .session import ensure_checkpoint_dir, input_bytes, tune_for_scale
     ensure_checkpoint_dir(spark)
+    if args.data:
+        from .sources.tables import table_path
+        tune_for_scale(spark, input_bytes(spark, [table_path(args.data, t) for t in
+                                                 ("orders", "lineitem", "part", "events", "customer")]))
     if args.stage in ("clean", "all"):
         clean(spark, args.data, args.out)
     if args.stage in ("train", "all"):

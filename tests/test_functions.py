@@ -74,3 +74,22 @@ def test_soften_and_banding(spark):
         assert abs(a - b) < 1e-9
     s = spark.createDataFrame([(70.0,), (70.1,), (35.0,), (35.5,)], "x double")
     assert [x[0] for x in s.select(banding("x", [(70, "A"), (35, "M")], "H")).collect()] == ["M", "A", "H", "M"]
+
+
+def test_tune_for_scale_sizes_partitions(spark):
+    from churnlake.session import input_bytes, tune_for_scale
+    n = input_bytes(spark, ["/root/testdata/sf0.1/lineitem.parquet", "/root/testdata/sf0.1/missing.parquet"])
+    assert n > 1_000_000
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        done = tune_for_scale(spark, 100 * (1 << 40))  # 100 TB
+        assert done["spark.sql.shuffle.partitions"] == "200000"          # 409,601 wanted, capped
+        assert tune_for_scale(spark, 10 * (1 << 30)) == {}                # now an explicit choice: kept
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == str(256 << 20)
+        spark.conf.set("spark.sql.shuffle.partitions", "77")   # explicit user choice is kept
+        assert "spark.sql.shuffle.partitions" not in tune_for_scale(spark, 1 << 40)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
