@@ -77,7 +77,7 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                  s.cast("long").alias("support")) for k, p, r, f, s in rows])).alias("m")).select("m.*")
 
 
-AUC_BUCKET_BITS = 20
+AUC_BUCKETS = 4096
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "score", group: Sequence[str] = ()) -> DataFrame:
@@ -85,18 +85,30 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", group: Se
 
     AUC = sum_s pos_s * (neg_below_s + neg_s / 2) / (P * N) over the distinct
     scores s. The distinct scores are first reduced with partial
-    aggregation; "negatives below s" is a prefix sum, computed in two levels
-    so no single task has to see every distinct score: scores are bucketed by
-    their leading bits (2^20 buckets over [0, 1]), bucket totals get a prefix
-    sum over the (bounded) bucket table, and each bucket is then scanned in
-    its own window partition.
+    aggregation (a score shared by a third of all rows is one row here).
+    "Negatives below s" is a prefix sum computed in two levels, so no task
+    sees every distinct score:
+
+    * distinct scores go to equal-count buckets, whose split points come
+      from an approximate quantile sketch of the distinct scores (bounded:
+      ``AUC_BUCKETS`` values reach the driver) and are applied JVM-side
+      (``Bucketizer``, a binary search per row). The buckets only partition
+      the work, so the result stays exact, and equal counts mean no hot
+      bucket even when the scores crowd into a tiny interval;
+    * bucket totals get a prefix sum over the (bounded) bucket table;
+    * each bucket is scanned in its own window partition.
     """
+    from pyspark.ml.feature import Bucketizer
     g = list(group)
     s = F.col(score).cast("double")
     d = df.groupBy(*g, s.alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_pos"),
                                           F.count_if(F.col(label) == 0).alias("_neg"))
-    nb = 1 << AUC_BUCKET_BITS
-    d = d.withColumn("_b", F.least(F.greatest(F.floor(F.col("_s") * nb), F.lit(-1)), F.lit(nb)).cast("long"))
+    probs = [i / AUC_BUCKETS for i in range(1, AUC_BUCKETS)]
+    row = d.agg(F.percentile_approx("_s", probs, 10 * AUC_BUCKETS).alias("q")).head()
+    cuts = sorted({float(x) for x in (row["q"] or []) if x is not None}) or [0.5]  # Bucketizer needs >= 3 splits
+    splits = [float("-inf")] + cuts + [float("inf")]
+    d = Bucketizer(splits=splits, inputCol="_s", outputCol="_bd", handleInvalid="keep").transform(d) \
+        .withColumn("_b", F.col("_bd").cast("long")).drop("_bd")
     per_b = d.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     per_b = per_b.withColumn("_before", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))

@@ -71,3 +71,11 @@ def test_soft_vote_within_members(spark):
     for r in me.soft_vote(df, ["a", "b", "c"]).collect():
         assert min(r["a"], r["b"], r["c"]) <= r["vote_probability"] <= max(r["a"], r["b"], r["c"])
     assert [r["vote_prediction"] for r in me.soft_vote(df, ["a", "b", "c"]).collect()] == [1, 1]
+
+
+def test_roc_auc_crowded_scores_and_empty(spark):
+    rows = [(i % 3 == 0 and 1 or 0, 0.5 + i * 1e-12) for i in range(3000)] + [(1, 0.9), (0, 0.1)]
+    df = spark.createDataFrame(rows, "label int, score double")
+    assert abs(me.roc_auc(df, "label", "score").head()["roc_auc"] - round(_brute_auc(rows), 6)) < 1e-9
+    empty = spark.createDataFrame([], "label int, score double")
+    assert me.roc_auc(empty, "label", "score").head()["roc_auc"] is None
