@@ -36,24 +36,41 @@ MAX_COLLECT = 50_000
 BUCKETS = 4096
 
 
-def _distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+SEP = "\x1f"
+
+
+def _distinct_counts(df: DataFrame, cols: Sequence[str], by: str | None = None) -> DataFrame:
+    def key(c: str):
+        return F.lit(c) if by is None else F.concat(F.lit(c + SEP), F.col(by).cast("string"))
     long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_kv")
+        F.struct(key(c).alias("c"), F.col(c).cast("double").alias("x")) for c in cols])).alias("_kv")
     ).select("_kv.c", "_kv.x").filter(F.col("x").isNotNull() & ~F.isnan(F.col("x")))
     return long.groupBy("c", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
+def exact_quantiles_by(df: DataFrame, col: str, probs: Sequence[float], by: str,
+                       **kw) -> dict[str, list[float | None]]:
+    """{group value: [quantile at each prob]} of ``col`` per value of ``by``,
+    all groups in the same selection rounds (one pass per round)."""
+    res = exact_quantiles(df, [col], probs, by=by, **kw)
+    return {k.split(SEP, 1)[1]: v for k, v in res.items() if SEP in k}
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_collect: int = MAX_COLLECT, buckets: int = BUCKETS) -> dict[str, list[float | None]]:
-    """{column: [quantile at each prob]} (None for a column without values)."""
-    d = _distinct_counts(df, cols).persist(StorageLevel.MEMORY_AND_DISK)
+                    max_collect: int = MAX_COLLECT, buckets: int = BUCKETS,
+                    by: str | None = None) -> dict[str, list[float | None]]:
+    """{column: [quantile at each prob]} (None for a column without values).
+    With ``by``, keys are ``column + SEP + group value`` (see
+    :func:`exact_quantiles_by`)."""
+    d = _distinct_counts(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         stats = {r["c"]: r for r in d.groupBy("c").agg(
             F.sum("n").alias("N"), F.min("x").alias("lo"), F.max("x").alias("hi"),
             F.count(F.lit(1)).alias("nd")).collect()}
         # targets: (column, 0-based rank) -> value; each has a search state
         need: dict[tuple[str, int], dict] = {}
-        for c in cols:
+        col_keys = list(cols) if by is None else sorted(stats)
+        for c in col_keys:
             if c not in stats:
                 continue
             s = stats[c]
@@ -116,7 +133,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                             break
                         acc += row["cnt"]
         out: dict[str, list[float | None]] = {}
-        for c in cols:
+        for c in col_keys:
             if c not in stats:
                 out[c] = [None] * len(probs)
                 continue

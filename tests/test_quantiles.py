@@ -23,3 +23,14 @@ def test_exact_quantiles_empty_and_constant(spark):
     df = spark.createDataFrame([(None, 3.0), (None, 3.0)], "a double, b double")
     got = exact_quantiles(df, ["a", "b"], [0.25, 0.5])
     assert got["a"] == [None, None] and got["b"] == [3.0, 3.0]
+
+
+def test_exact_quantiles_by_group(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"x": rng.integers(-100, 100, size=2000).astype(float),
+                        "g": np.where(rng.random(2000) < 0.3, "a", "b")})
+    from churnlake.functions.quantiles import exact_quantiles_by
+    got = exact_quantiles_by(spark.createDataFrame(pdf), "x", [0.33, 0.66], "g", max_collect=10, buckets=4)
+    for g in ("a", "b"):
+        want = [float(pdf[pdf.g == g].x.quantile(p)) for p in (0.33, 0.66)]
+        assert np.allclose(got[g], want, atol=1e-12)
