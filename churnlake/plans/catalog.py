@@ -9,6 +9,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as sc
+from ..functions.binning import cut, qcut, quantile_cut
+from ..operators import correlation as cor
+from ..operators import features as fe
+from ..operators import folds as fo
+from ..operators import importance as imp
+from ..operators import metrics as me
+from ..operators import models as mo
+from ..operators import profile as pr
+from ..operators import projections as pj
+from ..operators import ranking as rk
+from ..operators import resample as rs
+from ..operators import serving as sv
+from ..operators import setops as so
+from ..session import ensure_checkpoint_dir
+from ..sources import customers as cu
+from ..sources import sinks
+from ..sources.tables import read_document, source_or_fallback
+from ..sources.tables import read_table, table_path
 from ..operators import segments as seg
 from . import base
 
@@ -40,22 +59,6 @@ def fe21_feature_table(spark, sf):
     return tr.unionByName(te)
 
 
-# ------------------------------------------------------------------ imports
-from ..functions import scalar as sc  # noqa: E402
-from ..functions.binning import cut, qcut, quantile_cut  # noqa: E402
-from ..operators import correlation as cor  # noqa: E402
-from ..operators import features as fe  # noqa: E402
-from ..operators import folds as fo  # noqa: E402
-from ..operators import importance as imp  # noqa: E402
-from ..operators import metrics as me  # noqa: E402
-from ..operators import profile as pr  # noqa: E402
-from ..operators import projections as pj  # noqa: E402
-from ..operators import ranking as rk  # noqa: E402
-from ..operators import serving as sv  # noqa: E402
-from ..operators import setops as so  # noqa: E402
-from ..sources import customers as cu  # noqa: E402
-from ..sources.tables import read_table, table_path  # noqa: E402
-
 RAW_CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 STRING_COLS = [f.name for f in cu.CUSTOMER_SCHEMA.fields if f.dataType.simpleString() == "string"]
 RAW_CATEGORICAL = ["gender", "city_tier", "subscription_type", "contract_type", "marketing_channel", "clv_segment"]
@@ -661,11 +664,6 @@ def ag22_engagement_impact_merge(spark, sf):
 
 
 # ------------------------------------------------------- 2.10 fitted models (R)
-from ..operators import models as mo  # noqa: E402
-from ..operators import resample as rs  # noqa: E402
-from ..session import ensure_checkpoint_dir  # noqa: E402
-from ..sources import sinks  # noqa: E402
-from ..sources.tables import read_document, source_or_fallback  # noqa: E402
 
 
 def _mm(spark, sf):

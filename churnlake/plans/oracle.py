@@ -11,6 +11,7 @@ from ..operators.features import (AGE_LABELS, CATEGORICAL_FEATURES, NEW_FEATURES
                                   NUMERICAL_FEATURES, RATE_COLS, RECENCY_EDGES, RECENCY_LABELS, TENURE_LABELS)
 from ..operators.segments import PAYMENT_EDGES, PAYMENT_LABELS, TENURE_IMPACT_EDGES, TENURE_IMPACT_LABELS
 from ..sources.customers import CHANNELS, CHURN_ACTIONS, CUSTOMER_SCHEMA
+from .catalog import FEATURE_IDS
 from .oracle_base import base_ctes, cut_sql, scorer_long_cte, scorers_cte, scores_cte, with_features
 
 ORACLES: dict[str, str] = {}
@@ -533,7 +534,6 @@ oracle("so5_union_synthetic", f"""WITH {W}, c AS (SELECT count(*) FILTER (WHERE
 SELECT 0 AS label, false AS is_synthetic, n0 AS n FROM c UNION ALL SELECT 1, false, n1 FROM c
 UNION ALL SELECT CASE WHEN n1 < n0 THEN 1 ELSE 0 END, true, abs(n0 - n1) FROM c WHERE n0 <> n1""")
 
-from .catalog import FEATURE_IDS  # noqa: E402
 
 for _k, _c in FEATURE_IDS.items():
     oracle(_k, f"WITH {WF} SELECT customer_id, split, {_c} FROM train_feat UNION ALL "
