@@ -208,7 +208,7 @@ def sample_params(space: dict, n_trials: int, seed: int = SEED) -> list[dict]:
 
 
 def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int = 5, seed: int = SEED,
-                  parallelism: int = 4) -> DataFrame:
+                  parallelism: int | None = None) -> DataFrame:
     """ML5: trial, params (JSON), f1 (mean over folds, positive class);
     CrossValidator with the stratified fold column and all trials as the
     param grid (``n_trials`` is honoured, R8)."""
@@ -222,8 +222,9 @@ def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int =
     grid = [{est.getParam(n): v for n, v in t.items()} for t in trials]
     folded = fold_matrix(mm, k).select("label", "weight", "pos_weight", "features", "fold")
     ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
+    # trials are independent: evaluate up to 8 parameter maps concurrently
     cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
-                        parallelism=parallelism, seed=seed)
+                        parallelism=parallelism or min(n_trials, 8), seed=seed)
     fitted = cv.fit(folded)
     rows = [(i, json.dumps(t, sort_keys=True), float(f)) for i, (t, f) in enumerate(zip(trials, fitted.avgMetrics))]
     return mm.sparkSession.createDataFrame(rows, "trial int, params string, f1 double")
