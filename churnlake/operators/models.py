@@ -263,14 +263,22 @@ def stacking_fit(mm: DataFrame, base: dict[str, Callable[[], Estimator]], k: int
     return score
 
 
-def holdout_evaluate(mm: DataFrame, fit_score: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
-                     test_size: float = 0.2) -> DataFrame:
-    """ML12 + ML13/14: fit on the stratified 80 %, evaluate on the 20 %."""
+def split_holdout(mm: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """ML12 up front (R11): (tuning rows, holdout rows), exact stratified by
+    hash rank. The holdout never enters comparison, search or ranking."""
     n = max(1, mm.rdd.getNumPartitions())
     split = holdout_split(mm, test_size, key=ID_COL, label="label", exact=True).coalesce(n).cache()
-    scorer = fit_score(split.filter(~F.col("is_holdout")).drop("is_holdout"))
-    scored = scorer(split.filter(F.col("is_holdout")).drop("is_holdout"))
-    return me.evaluate(scored, "label", "prediction", "score")
+    split.count()
+    return split.filter(~F.col("is_holdout")).drop("is_holdout"), split.filter(F.col("is_holdout")).drop("is_holdout")
+
+
+def holdout_evaluate(mm: DataFrame, fit_score: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+                     test_size: float = 0.2, split: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """ML12 + ML13/14: fit on the stratified 80 %, evaluate on the 20 %
+    (pass ``split`` to reuse the up-front split the tuning used)."""
+    tune, hold = split if split is not None else split_holdout(mm, test_size)
+    scorer = fit_score(tune)
+    return me.evaluate(scorer(hold), "label", "prediction", "score")
 
 
 def model_importances(model, features: Sequence[str]) -> DataFrame:

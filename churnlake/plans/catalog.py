@@ -757,12 +757,14 @@ def j4_stacking_alignment(spark, sf):
 
 
 def _champion(spark, sf):
-    """Rank candidates by CV F1 (ML10 over ML3/ML7 results), refit the
-    champion on all train rows, resampling first when its name says so (ML11)."""
+    """Split off the holdout first (R11); rank candidates by CV F1 on the
+    tuning rows only (ML10 over ML3/ML7 results); the champion's fit function
+    resamples first when its name says so (ML11)."""
     mm, mt, feats = _mm(spark, sf)
+    tune, hold = mo.split_holdout(mm)
     ls = mo.learners()
-    cmp_ = mo.compare_models(mm, ["Logistic Regression", "gbt_a"], k=3).unionByName(
-        mo.compare_models(mm, ["gbt_a"], k=3, resample=mo.oversample_matrix, suffix=" + SMOTE"))
+    cmp_ = mo.compare_models(tune, ["Logistic Regression", "gbt_a"], k=3).unionByName(
+        mo.compare_models(tune, ["gbt_a"], k=3, resample=mo.oversample_matrix, suffix=" + SMOTE"))
     ranked = me.rank_models(cmp_.drop("seconds"))
     name = ranked.filter("is_champion").head()["model"]
     use_smote = name.endswith(" + SMOTE")
@@ -770,12 +772,12 @@ def _champion(spark, sf):
 
     def fit(d):
         return factory().fit(mo.oversample_matrix(d) if use_smote else d)
-    return ranked, fit, mm, mt, feats
+    return ranked, fit, mm, mt, feats, (tune, hold)
 
 
 @query("ml11_champion_refit")
 def ml11_champion_refit(spark, sf):
-    ranked, fit, mm, mt, _ = _champion(spark, sf)
+    ranked, fit, mm, mt, _, _ = _champion(spark, sf)
     return mo.predictions_table(mo.score_frame(fit(mm), mt))
 
 
@@ -797,8 +799,8 @@ def ml17_score(spark, sf):
 
 @query("ml19_model_summary")
 def ml19_model_summary(spark, sf):
-    ranked, fit, mm, mt, _ = _champion(spark, sf)
-    ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(fit(tr)))
+    ranked, fit, mm, mt, _, split = _champion(spark, sf)
+    ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(fit(tr)), split=split)
     preds = mo.predictions_table(mo.score_frame(fit(mm), mt))
     top = imp.churn_drivers(_importance(spark, sf)).select("feature")
     doc = mo.model_summary(ranked, ho, preds, top)

@@ -81,21 +81,25 @@ def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_tr
     sinks.write_table(mm, _p(out, "model_matrix_train"))
     mm = spark.read.parquet(_p(out, "model_matrix_train"))
     mt = mo.model_matrix(te_e, feats, stats_from=tr_e)
+    # R11: the holdout is split off first and never enters comparison,
+    # search or ranking; the champion is refitted on all rows afterwards
+    tune, hold = mo.split_holdout(mm)
     names = learners or list(mo.learners())
-    results = mo.compare_models(mm, names, k=k)
+    results = mo.compare_models(tune, names, k=k)
     if n_trials:
-        search = mo.random_search(mm, "gbt", n_trials=n_trials, k=k)
+        search = mo.random_search(tune, "gbt", n_trials=n_trials, k=k)
         sinks.write_csv(search, _p(out, "tuning_trials"))
         best = json.loads(search.orderBy(F.desc("f1"), "trial").head()["params"])
         tuned = mo.tuned_factory("gbt", best)
-        m = mo.cv_metrics(mo.cross_val_predict(tuned, mm, k)).head()
+        m = mo.cv_metrics(mo.cross_val_predict(tuned, tune, k)).head()
         results = results.unionByName(spark.createDataFrame(
             [("gbt (tuned)", m["accuracy"], m["f1"], m["precision"], m["recall"], m["roc_auc"], None)], results.schema))
     ranked = me.rank_models(results.drop("seconds"))
     sinks.write_csv(ranked, _p(out, "model_results"))
     champ = ranked.filter("is_champion").head()["model"]
     factory = (tuned if champ == "gbt (tuned)" else mo.learners()[champ])
-    holdout = mo.holdout_evaluate(mm, lambda d: (lambda m_: (lambda x: mo.score_frame(m_, x)))(factory().fit(d)))
+    holdout = mo.holdout_evaluate(mm, lambda d: (lambda m_: (lambda x: mo.score_frame(m_, x)))(factory().fit(d)),
+                                  split=(tune, hold))
     model = factory().fit(mm)
     preds = mo.predictions_table(mo.score_frame(model, mt))
     sinks.write_table(preds, _p(out, "test_predictions"))
