@@ -27,3 +27,15 @@ def test_soft_vote_cv_between_members(spark):
     members = {"lr": ls["Logistic Regression"], "rf": ls["Random Forest"]}
     vote = mo.soft_vote_cv(mm, members, k=3).head()
     assert 0.85 < vote["roc_auc"] <= 1.0
+
+
+def test_holdout_split_up_front_is_disjoint_and_stratified(spark):
+    mm, _, _ = cat._mm(spark, SF)
+    tune, hold = mo.split_holdout(mm, 0.2)
+    t_ids = {r[0] for r in tune.select("row_id").collect()}
+    h_ids = {r[0] for r in hold.select("row_id").collect()}
+    assert not (t_ids & h_ids) and len(t_ids) + len(h_ids) == mm.count()
+    per = {r["label"]: r["count"] for r in hold.groupBy("label").count().collect()}
+    tot = {r["label"]: r["count"] for r in mm.groupBy("label").count().collect()}
+    for c in tot:
+        assert per[c] == round(0.2 * tot[c])

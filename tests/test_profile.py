@@ -64,3 +64,10 @@ def test_pairwise_complete_correlation(spark):
 def test_empty_table_shape(spark):
     df = spark.createDataFrame([], "a int, b string")
     assert tuple(pr.shape(df).head()) == (0, 2)
+
+
+def test_leakage_scan_flags_the_action_column_on_real_data(spark):
+    import __spark_entry__ as E
+    got = {r["column"]: r["leaks"] for r in E.queries()["ag12_leakage_scan"](spark, "/root/testdata/sf0.001").collect()}
+    assert got["recommended_action"] is True
+    assert not any(v for k, v in got.items() if k != "recommended_action")
