@@ -64,6 +64,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     :func:`exact_quantiles_by`)."""
     d = _distinct_counts(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        # small domains: one bounded collect answers everything directly
+        first = d.limit(max_collect + 1).collect()
+        if len(first) <= max_collect:
+            return _from_rows(first, cols, probs, by)
         stats = {r["c"]: r for r in d.groupBy("c").agg(
             F.sum("n").alias("N"), F.min("x").alias("lo"), F.max("x").alias("hi"),
             F.count(F.lit(1)).alias("nd")).collect()}
@@ -151,6 +155,34 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         d.unpersist()
 
 
+def _interp(vals: list[tuple[float, int]], probs: Sequence[float]) -> list[float]:
+    """Linear-interpolated quantiles from sorted (value, count) pairs."""
+    n = sum(c for _, c in vals)
+
+    def at(r: int) -> float:
+        acc = 0
+        for x, c in vals:
+            if r < acc + c:
+                return x
+            acc += c
+        return vals[-1][0]
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        r0 = int(math.floor(h))
+        v0, v1 = at(r0), at(min(r0 + 1, n - 1))
+        out.append(v0 + (v1 - v0) * (h - r0))
+    return out
+
+
+def _from_rows(rows, cols: Sequence[str], probs: Sequence[float], by: str | None) -> dict[str, list[float | None]]:
+    groups: dict[str, list[tuple[float, int]]] = {}
+    for r in rows:
+        groups.setdefault(r["c"], []).append((r["x"], r["n"]))
+    keys = list(cols) if by is None else sorted(groups)
+    return {k: (_interp(sorted(groups[k]), probs) if k in groups else [None] * len(probs)) for k in keys}
+
+
 def quantile_row(df: DataFrame, col: str, probs: Sequence[float], name: str = "q", **kw) -> DataFrame:
     """One-row DataFrame holding the exact quantiles of ``col`` as an array
     column (the shape the binning operators cross-join)."""
