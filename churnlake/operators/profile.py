@@ -56,9 +56,18 @@ def shape(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
 
 
+def _as_key(df: DataFrame, c: str) -> Column:
+    """Value as a comparable string: for floating columns NaN counts as
+    missing (pandas ``nunique``) and -0.0 equals 0.0."""
+    if isinstance(df.schema[c].dataType, (DoubleType, FloatType)):
+        x = F.col(c)
+        return F.when(F.isnan(x), F.lit(None)).otherwise(x + F.lit(0.0)).cast("string")
+    return F.col(c).cast("string")
+
+
 def _long_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
+        F.struct(F.lit(c).alias("column"), _as_key(df, c).alias("value")) for c in cols
     ])).alias("kv")).select("kv.column", "kv.value")
 
 

@@ -71,3 +71,8 @@ def test_leakage_scan_flags_the_action_column_on_real_data(spark):
     got = {r["column"]: r["leaks"] for r in E.queries()["ag12_leakage_scan"](spark, "/root/testdata/sf0.001").collect()}
     assert got["recommended_action"] is True
     assert not any(v for k, v in got.items() if k != "recommended_action")
+
+
+def test_column_profile_nan_and_negative_zero(spark):
+    df = spark.createDataFrame([(0.0,), (-0.0,), (float("nan"),), (1.5,), (None,)], "v double")
+    assert {r["column"]: r["n_unique"] for r in pr.column_profile(df).collect()} == {"v": 2}
