@@ -22,17 +22,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, hash128, small
+from .common import components, cut, hash128, memo, small
 
 THRESHOLD = 0.95
-LISTS, BUCKET, BLOCK, LEAST_CODE, SEED = 24, 128, 2048, 24, 31
+LISTS, BUCKET, BLOCK, LEAST_CODE, SEED = 32, 128, 2048, 24, 31
 
 
 def code_size(n: int) -> int:
@@ -40,7 +39,7 @@ def code_size(n: int) -> int:
     return max(LEAST_CODE, math.ceil(math.sqrt(n * LISTS / BUCKET)))
 
 
-@lru_cache(maxsize=64)
+@memo
 def code(dim: int, size: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Codewords of both blocks (one block of a single coordinate shares its sign) and the cap height."""
     rng = np.random.default_rng([SEED, dim, size])

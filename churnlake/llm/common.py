@@ -146,6 +146,21 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def memo(fn):
+    """``fn`` with its results kept; unlike functools' caches it can be shipped to workers by value."""
+    known: dict = {}
+
+    def get(*args):
+        if args not in known:
+            if len(known) > 10_000:
+                known.clear()
+            known[args] = fn(*args)
+        return known[args]
+
+    get.__doc__ = fn.__doc__
+    return get
+
+
 # graph ----------------------------------------------------------------------
 
 

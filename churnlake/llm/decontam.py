@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, hash128, small
 
-#: Words of a window, and of a hashed k-gram.
+#: Words of a window, and of a hashed k-gram (5 to 8 words are hashed, and 4 to 8 hashes compared, by overlapping fours).
 SPAN, K = 13, 7
 # The words of the contract, before and after lower-casing A-Z.
 TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -56,17 +56,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _grams(hashes: Column, k: int) -> Column:
-    """Hash of each k consecutive word hashes; none if there are fewer than k."""
-    n = F.size(hashes) - (k - 1)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(hashes, i, k)))).otherwise(F.array().cast("array<bigint>"))
+def _shift(a: Column, k: int) -> Column:
+    """``a`` without its first k elements. slice() walks the whole array: it is used once per array, never per element."""
+    return F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
 
 
-def _kept(grams: Column, span: int) -> Column:
-    """Minimum of every ``span`` consecutive hashes, each once."""
-    n = F.size(grams) - (span - 1)
-    mins = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_min(F.slice(grams, i, span)))
-    return F.when(n > 0, F.array_distinct(mins)).otherwise(F.array().cast("array<bigint>"))
+def _grams(hashes: Column) -> Column:
+    """Hash of each K consecutive word hashes, from hashes of 2 and of 4; the last K - 1 elements reach over the end."""
+    pair = lambda x, y: F.xxhash64(x, y)
+    two = lambda body: let(F.zip_with(hashes, _shift(hashes, 1), pair), body)
+    return two(lambda p: let(F.zip_with(p, _shift(p, 2), pair), lambda q: F.zip_with(q, _shift(q, K - 4), pair)))
+
+
+def _kept(grams: Column) -> Column:
+    """Minimum of every SPAN - K + 1 consecutive hashes, each once; none if the text has fewer than SPAN words."""
+    least = lambda x, y: F.least(x, y)
+    two = lambda body: let(F.zip_with(grams, _shift(grams, 1), least), body)
+    mins = two(lambda p: let(F.zip_with(p, _shift(p, 2), least), lambda q: F.zip_with(q, _shift(q, SPAN - K + 1 - 4), least)))
+    return let(mins, lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.size(m) - (SPAN - 1), F.lit(0)))))
 
 
 def _key() -> list[Column]:
@@ -79,23 +86,27 @@ def _hashes(w: Column) -> Column:
 
 def fingerprints(df: DataFrame) -> DataFrame:
     """(k1, k2, f): the winnowed hashes of each text of SPAN words or more."""
-    kept = let(_hashes(words(F.col("text"))), lambda h: let(_grams(h, K), lambda g: _kept(g, SPAN - K + 1)))
+    kept = let(_hashes(words(F.col("text"))), lambda h: let(_grams(h), _kept))
     return df.where("text is not null").select(*_key(), F.explode(kept).alias("f"))
 
 
+def _words_at(w: Column, at: Column, size: Column | int) -> Column:
+    return F.array_join(F.transform(F.sequence(at, at + size - 1), lambda j: F.get(w, j - 1)), " ")
+
+
 def _windows(w: Column, starts: Column, size: Column | int) -> Column:
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.concat_ws(" ", F.slice(w, i, size)).alias("window")))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), _words_at(w, i, size).alias("window")))
 
 
 def _near(w: Column, fs: Column) -> Column:
     """The windows around the k-grams whose hash is in ``fs``: those that start up to SPAN - K words before a hit."""
 
     def around(g: Column) -> Column:
-        hits = F.filter(F.sequence(F.lit(1), F.size(g)), lambda i: F.array_contains(fs, F.element_at(g, i)))
+        hits = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w) - (K - 1), F.lit(1))), lambda i: F.array_contains(fs, F.get(g, i - 1)))
         spread = F.transform(hits, lambda i: F.sequence(F.greatest(i - (SPAN - K), F.lit(1)), F.least(i, F.size(w) - (SPAN - 1))))
         return F.array_distinct(F.flatten(spread))
 
-    return let(_grams(_hashes(w), K), lambda g: let(around(g), lambda at: _windows(w, at, SPAN)))
+    return let(_hashes(w), lambda h: let(_grams(h), lambda g: let(around(g), lambda at: _windows(w, at, SPAN))))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:

@@ -31,14 +31,13 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, Words, as_signed, components, cut, hash128, mix64, pieces, small
+from .common import Prefix, Words, as_signed, components, cut, hash128, memo, mix64, pieces, small
 
 SHINGLE, RATIO, WIDTH, BINS, SEEDS = 5, 1.3, 2.6, 32, 24
 _U = np.uint64
@@ -59,7 +58,7 @@ def sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return h[new], np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(n)))])
 
 
-@lru_cache(maxsize=None)
+@memo
 def schemes(largest: int = 1 << 34) -> dict[str, np.ndarray]:
     """Per band: ``edge`` (smallest size), ``units`` (H + 1), ``segments``, ``spare`` and ``double`` (two units each)."""
     edge = [1]
