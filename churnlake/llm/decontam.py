@@ -98,6 +98,10 @@ def _windows(w: Column, starts: Column, size: Column | int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), _words_at(w, i, size).alias("window")))
 
 
+def _all_windows(n: int) -> Callable[[Column], Column]:
+    return lambda w: F.when(F.size(w) >= n, _windows(w, F.sequence(F.lit(1), F.size(w) - (n - 1)), n))
+
+
 def _near(w: Column, fs: Column) -> Column:
     """The windows around the k-grams whose hash is in ``fs``: those that start up to SPAN - K words before a hit."""
 
@@ -132,7 +136,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataF
         near = texts.select("k1", "k2", F.explode(let(words(F.col("text")), lambda w: _near(w, F.col("fs")))).alias("x"))
         found = near.select("k1", "k2", "x.at", F.lit(SPAN).alias("size"), "x.window")
     for n in (n for n in sizes if n < SPAN):
-        every = let(words(F.col("text")), lambda w, n=n: F.when(F.size(w) >= n, _windows(w, F.sequence(F.lit(1), F.size(w) - (n - 1)), n)))
+        every = let(words(F.col("text")), _all_windows(n))
         one = docs.where("text is not null").select(*_key(), F.explode(every).alias("x")).select("k1", "k2", "x.at", F.lit(n).alias("size"), "x.window")
         found = one if found is None else found.unionByName(one)
     if found is None:

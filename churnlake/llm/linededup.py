@@ -40,8 +40,8 @@ def _tokens(masked: Column) -> Column:
     return F.filter(F.split(masked, BLANK), lambda t: t != "")
 
 
-def _leaf(tokens: Column) -> list[Column]:
-    return [F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf")]
+def _leaf(masked: Column) -> Column:
+    return let(_tokens(masked), lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH)))
 
 
 def _texts() -> list[Column]:
@@ -58,7 +58,7 @@ def _line_rows(docs: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(l1, l2, template, n_docs, keep_t1, keep_t2): the masked lines (hashed) of recurring templates."""
     slim = _line_rows(docs).select("doc_id", "t1", "t2", *[c.alias(f"l{i}") for i, c in enumerate(hash128(F.col("masked")), 1)],
-                                   let(_tokens(F.col("masked")), lambda t: F.xxhash64(F.size(t), F.slice(t, 1, DEPTH))).alias("leaf"))
+                                   _leaf(F.col("masked")).alias("leaf"))
     # One row per line and text: copies of a text count once, the first document of each is kept.
     slim = cut(slim.groupBy("leaf", "l1", "l2", "t1", "t2").agg(F.min("doc_id").alias("doc_id")))
     lines = cut(slim.groupBy("leaf", "l1", "l2").agg(F.count(F.lit(1)).alias("n")))
