@@ -3,24 +3,23 @@
 ``percentile`` (exact) merges a value->count map of every distinct value in
 one final task: fine for small integer domains, not for billions of distinct
 doubles. Here the exact linear-interpolated quantile (pandas ``quantile``,
-DuckDB ``quantile_cont``) is found by narrowing:
+DuckDB ``quantile_cont``) is found by narrowing, the same way at every size:
 
 1. the column(s) are unpivoted to (column, value) and reduced to distinct
    (column, value, count) rows with map-side partial aggregation (a value
    held by a third of all rows is one row after this step);
-2. per column: total count, min, max, number of distinct values (one small
-   aggregate, one row per column);
-3. every wanted rank is searched independently: while its candidate value
-   range holds more than ``max_collect`` distinct values, one aggregate
-   counts rows per ``width_bucket`` of the range (``buckets`` rows per
-   target reach the driver) and the range shrinks to the bucket holding the
-   rank; then the (bounded) distinct values of the range are collected and
-   the rank is read off exactly.
-
-All targets of all columns advance together, one Spark job per round; a
-round divides the range by ``buckets``, so few rounds are ever needed. The
-driver only ever sees per-bucket counts and at most ``max_collect`` values
-per target.
+2. per column, one aggregate: rows at -infinity, at +infinity and between,
+   least and greatest finite value. Ranks that fall on an infinity are done;
+3. every other wanted rank has a value range. One job per round serves all
+   open ranks of all columns: the ranges are a small table joined to the
+   distinct values, each range is counted in ``buckets`` equal parts, a
+   running count per range picks the part that holds the rank, and its least
+   and greatest value are the next range. A range of one value is the answer.
+
+The least value of a range falls in its first part and the greatest in its
+last, so every round drops distinct values from every open range: the loop
+ends, and stops with an error should a range ever fail to shrink. The driver
+sees one row per open rank and round.
 """
 
 from __future__ import annotations
@@ -29,10 +28,9 @@ import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_COLLECT = 50_000
 BUCKETS = 4096
 
 
@@ -51,136 +49,82 @@ def _distinct_counts(df: DataFrame, cols: Sequence[str], by: str | None = None)
 def exact_quantiles_by(df: DataFrame, col: str, probs: Sequence[float], by: str,
                        **kw) -> dict[str, list[float | None]]:
     """{group value: [quantile at each prob]} of ``col`` per value of ``by``,
-    all groups in the same selection rounds (one pass per round)."""
+    all groups in the same selection rounds (one pass per round). Meant for
+    a few groups: the result is a driver-side dictionary."""
     res = exact_quantiles(df, [col], probs, by=by, **kw)
     return {k.split(SEP, 1)[1]: v for k, v in res.items() if SEP in k}
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    max_collect: int = MAX_COLLECT, buckets: int = BUCKETS,
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], buckets: int = BUCKETS,
                     by: str | None = None) -> dict[str, list[float | None]]:
     """{column: [quantile at each prob]} (None for a column without values).
     With ``by``, keys are ``column + SEP + group value`` (see
     :func:`exact_quantiles_by`)."""
     d = _distinct_counts(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        # small domains: one bounded collect answers everything directly
-        first = d.limit(max_collect + 1).collect()
-        if len(first) <= max_collect:
-            return _from_rows(first, cols, probs, by)
+        finite = F.abs(F.col("x")) != math.inf
         stats = {r["c"]: r for r in d.groupBy("c").agg(
-            F.sum("n").alias("N"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-            F.count(F.lit(1)).alias("nd")).collect()}
-        # targets: (column, 0-based rank) -> value; each has a search state
-        need: dict[tuple[str, int], dict] = {}
-        col_keys = list(cols) if by is None else sorted(stats)
-        for c in col_keys:
-            if c not in stats:
-                continue
-            s = stats[c]
-            for p in probs:
-                h = (s["N"] - 1) * p
-                for r in {int(math.floor(h)), min(int(math.floor(h)) + 1, s["N"] - 1)}:
-                    need.setdefault((c, r), {"lo": s["lo"], "hi": s["hi"], "below": 0, "nd": s["nd"],
-                                             "hi_incl": True})
-        found: dict[tuple[str, int], float] = {}
-        while len(found) < len(need):
-            open_ = {k: v for k, v in need.items() if k not in found}
-            small = {k: v for k, v in open_.items() if v["nd"] <= max_collect or v["lo"] == v["hi"]}
-            big = {k: v for k, v in open_.items() if k not in small}
-            if small:
-                # one job for every small target: the union of their ranges
-                cond = None
-                for (c, r), st in small.items():
-                    hi_ok = (F.col("x") <= st["hi"]) if st["hi_incl"] else (F.col("x") < st["hi"])
-                    one = (F.col("c") == c) & (F.col("x") >= st["lo"]) & hi_ok
-                    cond = one if cond is None else cond | one
-                per_col: dict[str, list] = {}
-                for row in d.filter(cond).collect():
-                    per_col.setdefault(row["c"], []).append((row["x"], row["n"]))
-                for v in per_col.values():
-                    v.sort()
-                for (c, r), st in small.items():
-                    acc = st["below"]
-                    for x, n in per_col.get(c, []):
-                        if x < st["lo"] or x > st["hi"] or (x == st["hi"] and not st["hi_incl"]):
-                            continue
-                        if r < acc + n:
-                            found[(c, r)] = x
-                            break
-                        acc += n
-            if big:
-                keys = list(big)
-                parts = None
-                for i, (c, r) in enumerate(keys):
-                    st = big[(c, r)]
-                    rng = (F.col("x") >= st["lo"]) & ((F.col("x") <= st["hi"]) if st["hi_incl"] else (F.col("x") < st["hi"]))
-                    # width_bucket: [lo, hi) split into `buckets`; hi itself lands in bucket buckets + 1
-                    part = (d.filter((F.col("c") == c) & rng)
-                            .groupBy(F.width_bucket(F.col("x"), F.lit(st["lo"]), F.lit(st["hi"]), F.lit(buckets))
-                                     .alias("b"))
-                            .agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("nd"), F.min("x").alias("mn"),
-                                 F.max("x").alias("mx"))
-                            .withColumn("t", F.lit(i)))
-                    parts = part if parts is None else parts.unionByName(part)
-                rows = parts.collect()
-                by_t: dict[int, list] = {}
-                for row in rows:
-                    by_t.setdefault(row["t"], []).append(row)
-                for i, key in enumerate(keys):
-                    st = big[key]
-                    acc = st["below"]
-                    for row in sorted(by_t.get(i, []), key=lambda x: x["b"]):
-                        if key[1] < acc + row["cnt"]:
-                            need[key] = {"lo": row["mn"], "hi": row["mx"], "below": acc, "nd": row["nd"],
-                                         "hi_incl": True}
-                            break
-                        acc += row["cnt"]
-        out: dict[str, list[float | None]] = {}
-        for c in col_keys:
-            if c not in stats:
-                out[c] = [None] * len(probs)
-                continue
-            n = stats[c]["N"]
-            vals = []
-            for p in probs:
-                h = (n - 1) * p
-                r0 = int(math.floor(h))
-                r1 = min(r0 + 1, n - 1)
-                v0, v1 = found[(c, r0)], found[(c, r1)]
-                vals.append(v0 + (v1 - v0) * (h - r0))
-            out[c] = vals
-        return out
+            F.sum("n").alias("N"), F.sum(F.when(F.col("x") == -math.inf, F.col("n")).otherwise(0)).alias("under"),
+            F.sum(F.when(finite, F.col("n")).otherwise(0)).alias("n"),
+            F.min(F.when(finite, F.col("x"))).alias("lo"), F.max(F.when(finite, F.col("x"))).alias("hi")).collect()}
+        keys = list(cols) if by is None else sorted(stats)
+        found = _select(d.filter(finite), _ranks(stats, probs), stats, buckets)
     finally:
         d.unpersist()
-
-
-def _interp(vals: list[tuple[float, int]], probs: Sequence[float]) -> list[float]:
-    """Linear-interpolated quantiles from sorted (value, count) pairs."""
-    n = sum(c for _, c in vals)
-
-    def at(r: int) -> float:
-        acc = 0
-        for x, c in vals:
-            if r < acc + c:
-                return x
-            acc += c
-        return vals[-1][0]
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        r0 = int(math.floor(h))
-        v0, v1 = at(r0), at(min(r0 + 1, n - 1))
-        out.append(v0 + (v1 - v0) * (h - r0))
-    return out
-
-
-def _from_rows(rows, cols: Sequence[str], probs: Sequence[float], by: str | None) -> dict[str, list[float | None]]:
-    groups: dict[str, list[tuple[float, int]]] = {}
-    for r in rows:
-        groups.setdefault(r["c"], []).append((r["x"], r["n"]))
-    keys = list(cols) if by is None else sorted(groups)
-    return {k: (_interp(sorted(groups[k]), probs) if k in groups else [None] * len(probs)) for k in keys}
+    return {c: [_interpolated(c, stats[c]["N"], p, found) if c in stats else None for p in probs] for c in keys}
+
+
+def _around(n: int, p: float) -> tuple[int, int, float]:
+    """The two 0-based ranks next to a quantile of n rows, and the share of the second."""
+    h = (n - 1) * p
+    return int(math.floor(h)), min(int(math.floor(h)) + 1, n - 1), h - math.floor(h)
+
+
+def _ranks(stats: dict, probs: Sequence[float]) -> list[tuple[str, int]]:
+    return sorted({(c, r) for c, s in stats.items() for p in probs for r in _around(s["N"], p)[:2]})
+
+
+def _interpolated(c: str, n: int, p: float, found: dict[tuple[str, int], float]) -> float:
+    r0, r1, share = _around(n, p)
+    v0, v1 = found[c, r0], found[c, r1]
+    return v0 if share == 0 or v0 == v1 else v0 + (v1 - v0) * share
+
+
+def _select(d: DataFrame, ranks: list[tuple[str, int]], stats: dict, buckets: int) -> dict[tuple[str, int], float]:
+    """The value at each (column, rank); ``d`` holds the finite distinct values."""
+    found: dict[tuple[str, int], float] = {}
+    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # least, greatest, rank among the values between
+    for c, r in ranks:
+        s = stats[c]
+        if r < s["under"]:
+            found[c, r] = -math.inf
+        elif r >= s["under"] + s["n"]:
+            found[c, r] = math.inf
+        else:
+            open_[c, r] = (s["lo"], s["hi"], r - s["under"])
+    while open_:
+        for key in [k for k, (lo, hi, _) in open_.items() if lo == hi]:
+            found[key] = open_.pop(key)[0]
+        if not open_:
+            break
+        rows = [(c, r, lo, hi, k) for (c, r), (lo, hi, k) in open_.items()]
+        ranges = F.broadcast(d.sparkSession.createDataFrame(rows, "c string, r long, lo double, hi double, k long"))
+        inside = d.join(ranges, "c").filter((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        # halves keep a width finite that would overflow; tiny ones would vanish in halves
+        part = F.when(F.col("hi") - F.col("lo") == math.inf,
+                      (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+                      ).otherwise((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))) * buckets
+        parts = inside.groupBy("c", "r", "k", F.least(F.floor(part), F.lit(buckets - 1)).alias("part")).agg(
+            F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("c", "r").orderBy("part"))
+        held = parts.withColumn("upto", upto).filter((F.col("upto") > F.col("k")) & (F.col("upto") - F.col("n") <= F.col("k")))
+        for row in held.collect():
+            key = (row["c"], row["r"])
+            lo, hi, k = open_[key]
+            if (row["lo"], row["hi"]) == (lo, hi):
+                raise RuntimeError(f"quantile selection: the range {lo}..{hi} of {key} does not shrink")
+            open_[key] = (row["lo"], row["hi"], k - (row["upto"] - row["n"]))
+    return found
 
 
 def quantile_row(df: DataFrame, col: str, probs: Sequence[float], name: str = "q", **kw) -> DataFrame:
