@@ -187,14 +187,14 @@ def encode_split(train_feat: DataFrame, test_feat: DataFrame,
 def standardize(train: DataFrame, apply_to: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """FE20: (x - mean) / population std with train statistics; a constant
     column (std 0) maps to 0, as scikit-learn's scaler does."""
-    st = train.agg(*[F.avg(c_).alias(f"_m{i}") for i, c_ in enumerate(cols)],
-                   *[F.stddev_pop(c_).alias(f"_s{i}") for i, c_ in enumerate(cols)])
+    st = train.agg(*[F.avg(f"`{c_}`").alias(f"_m{i}") for i, c_ in enumerate(cols)],
+                   *[F.stddev_pop(f"`{c_}`").alias(f"_s{i}") for i, c_ in enumerate(cols)])
     x = apply_to.crossJoin(F.broadcast(st))
     scaled = []
     for i, c_ in enumerate(cols):
         s = F.col(f"_s{i}")
         denom = F.when((s == 0) | s.isNull(), F.lit(1.0)).otherwise(s)
-        scaled.append(((F.col(c_) - F.col(f"_m{i}")) / denom).alias(c_))
+        scaled.append(((F.col(f"`{c_}`") - F.col(f"_m{i}")) / denom).alias(c_))
     return x.select(*[F.col(k) for k in keep], *scaled)
 
 

@@ -257,6 +257,10 @@ def data_dictionary(df: DataFrame, features: Sequence[str]) -> DataFrame:
                     _r(F.col("_s")).alias("std"))
 
 
-def distinct_categories(df: DataFrame, col: str) -> DataFrame:
-    """AG30: sorted distinct non-NULL values of one column."""
-    return df.select(F.col(col).alias("value")).filter(F.col("value").isNotNull()).distinct().orderBy("value")
+def distinct_categories(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """AG30: sorted distinct non-NULL values of each column, as (column,
+    value): one pass, deduplicated with map-side partial aggregation."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_kv"))
+    out = long.select("_kv.column", "_kv.value").filter(F.col("value").isNotNull()).distinct()
+    return out.orderBy("column", "value")

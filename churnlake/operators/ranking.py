@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def average_rank(df: DataFrame, value: str, out: str, ascending: bool = False) -> DataFrame:
     """W1: pandas ``rank(method='average')``: ties share the mean of their
@@ -33,23 +35,44 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int, rank_col: str = "rank"
     return top.withColumn(rank_col, F.row_number().over(Window.orderBy(*order)))
 
 
-def sort_desc(df: DataFrame, col: str, tie_breaker: str | None = None) -> DataFrame:
+def _sorted(df: DataFrame, keys: Sequence[Column], position: str | None) -> DataFrame:
+    """``df`` in order; with ``position`` a column of 1-based places.
+
+    The places come without a one-partition window: the range-partitioned
+    sort is cut into the checkpoint folder, the sizes of its partitions (one
+    number per partition reaches the driver) give each partition's offset."""
+    out = df.orderBy(*keys)
+    if position is None:
+        return out
+    ensure_checkpoint_dir(df.sparkSession)
+    out = out.checkpoint(eager=True)
+    part = F.spark_partition_id()
+    sizes = {r["p"]: r["n"] for r in out.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, before = [F.lit(-1), F.lit(0).cast("long")], 0
+    for p in sorted(sizes):
+        offsets += [F.lit(p), F.lit(before).cast("long")]
+        before += sizes[p]
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return out.withColumn(position, F.create_map(*offsets)[part] + inside + 1)
+
+
+def sort_desc(df: DataFrame, col: str, tie_breaker: str | None = None, position: str | None = None) -> DataFrame:
     """S1: descending sort with a deterministic tie-breaker (global range-
     partitioned sort)."""
     keys = [F.col(col).desc()] + ([F.col(tie_breaker).asc()] if tie_breaker else [])
-    return df.orderBy(*keys)
+    return _sorted(df, keys, position)
 
 
-def sort_abs(df: DataFrame, col: str, tie_breaker: str | None = None) -> DataFrame:
+def sort_abs(df: DataFrame, col: str, tie_breaker: str | None = None, position: str | None = None) -> DataFrame:
     """S2: sort by |col| descending."""
     keys = [F.abs(F.col(col)).desc()] + ([F.col(tie_breaker).asc()] if tie_breaker else [])
-    return df.orderBy(*keys)
+    return _sorted(df, keys, position)
 
 
-def sort_custom(df: DataFrame, col: str, order: Sequence[str]) -> DataFrame:
+def sort_custom(df: DataFrame, col: str, order: Sequence[str], position: str | None = None) -> DataFrame:
     """S3: sort by a custom label order (unknown labels last)."""
     pos = F.array_position(F.array(*map(F.lit, order)), F.col(col))
-    return df.orderBy(F.when(pos == 0, F.lit(len(order) + 1)).otherwise(pos), F.col(col))
+    return _sorted(df, [F.when(pos == 0, F.lit(len(order) + 1)).otherwise(pos), F.col(col)], position)
 
 
 def arg_max(df: DataFrame, key: str, metric: str) -> DataFrame:

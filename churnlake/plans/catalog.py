@@ -342,7 +342,7 @@ def ag29_prediction_totals(spark, sf):
 
 @query("ag30_distinct_categories")
 def ag30_distinct_categories(spark, sf):
-    return pr.distinct_categories(base.train_test(spark, sf)[0], "marketing_channel")
+    return pr.distinct_categories(base.train_test(spark, sf)[0], RAW_CATEGORICAL)
 
 
 # ----------------------------------------------------- 2.5 / 2.6 windows, sorts
@@ -359,19 +359,20 @@ def w2_top_features(spark, sf):
 
 @query("s1_sort_desc")
 def s1_sort_desc(spark, sf):
-    return rk.sort_desc(_scores(spark, sf), "churn_probability", "customer_id")
+    return rk.sort_desc(_scores(spark, sf), "churn_probability", "customer_id", position="position")
 
 
 @query("s2_sort_abs")
 def s2_sort_abs(spark, sf):
     tr, _ = base.features(spark, sf)
     cols = [c for c in pr.columns_of_type(tr, ["numeric"]) if c != cu.TARGET_COL]
-    return cor.correlation_with_target(tr, cols, top=len(cols))
+    r = cor.correlation_with_target(tr, cols, top=len(cols))
+    return rk.sort_abs(r, "r", "feature", position="position")
 
 
 @query("s3_custom_order")
 def s3_custom_order(spark, sf):
-    return rk.sort_custom(seg.clv_segments(base.train_test(spark, sf)[0]), "segment", seg.CLV_ORDER)
+    return rk.sort_custom(seg.clv_segments(base.train_test(spark, sf)[0]), "segment", seg.CLV_ORDER, position="position")
 
 
 @query("s4_topk")
@@ -427,37 +428,51 @@ def so4_population_total(spark, sf):
 
 
 # ------------------------------------------------------- 2.8 scalar functions
-def _scalar_table(spark, sf):
-    """One row per test customer with every scalar helper applied."""
-    _, te = base.train_test(spark, sf)
-    s = base.reference_scores(te).select("customer_id", "churn_probability")
-    x = te.join(s, "customer_id")
+def _customer_scalars(spark, sf):
+    """One row per customer, train and test, with the helpers of the cleaning
+    and feature stages."""
     c = F.col
-    return x.select(
+    return base.customers(spark, sf).select(
         "customer_id",
         sc.strip_ws(F.concat(F.lit(" \t"), c("gender"), F.lit("\n "))).alias("sc1_gender"),
-        F.lower(c("customer_id")).contains("10").alias("sc2_contains"),
         F.replace(c("marketing_channel"), F.lit(" "), F.lit("_")).alias("sc3_replaced"),
         sc.clip(c("nps_score"), 0, 50).alias("sc4_nps_clipped"),
         sc.safe_div(c("support_tickets_last_90d"), c("late_payments_last_12m")).alias("sc5_ratio"),
         sc.flag(c("days_since_last_purchase") >= 60).alias("sc6_flag"),
-        F.bround(sc.logit(c("churn_probability")), 6).alias("sc7_logit"),
         sc.round_half_even(c("estimated_clv_usd"), 0).alias("sc8_clv_even"),
+        sc.case_map(c("contract_type"), {"Monthly": 1, "Quarterly": 3, "Annual": 12}).alias("sc12_months"),
+        F.greatest(F.abs(c("nps_score")), c("tenure_months")).alias("sc14_max_abs"),
+    )
+
+
+def _directory_scalars(spark, sf):
+    """One row per scored (test) customer with the helpers of the customer
+    directory."""
+    _, te = base.train_test(spark, sf)
+    s = base.reference_scores(te).select("customer_id", "churn_probability")
+    x = te.join(s, "customer_id")
+    c = F.col
+    return x.select(
+        "customer_id",
+        F.lower(c("customer_id")).contains("10").alias("sc2_contains"),
+        F.bround(sc.logit(c("churn_probability")), 6).alias("sc7_logit"),
         sc.round_half_up(c("churn_probability") * 100.0, 0).alias("sc9_pct_up"),
+        sc.fixed(sc.round_half_up(c("churn_probability") * 100.0, 1), 1).alias("sc9_pct_fixed"),
         (sc.trunc_int(c("estimated_clv_usd")) % 14).alias("sc10_mod"),
         sc.banding(c("nps_score"), [(50, "high"), (0, "mid")], "low").alias("sc11_band"),
-        sc.case_map(c("contract_type"), {"Monthly": 1, "Quarterly": 3, "Annual": 12}).alias("sc12_months"),
         F.coalesce(c("days_since_last_purchase"), F.lit(-1)).alias("sc13_days"),
-        F.greatest(F.abs(c("nps_score")), c("tenure_months")).alias("sc14_max_abs"),
         F.format_string("%s-%d", c("contract_type"), c("tenure_months")).alias("sc15_label"),
     )
 
 
-for _k in ["sc1_gender", "sc2_contains", "sc3_replaced", "sc4_nps_clipped", "sc5_ratio", "sc6_flag", "sc7_logit",
-           "sc8_clv_even", "sc9_pct_up", "sc10_mod", "sc11_band", "sc12_months", "sc13_days", "sc14_max_abs",
-           "sc15_label"]:
-    QUERIES[_k] = (
-        lambda spark, sf, _c=_k: _scalar_table(spark, sf).select("customer_id", _c))
+for _table, _keys in (
+        (_customer_scalars, ["sc1_gender", "sc3_replaced", "sc4_nps_clipped", "sc5_ratio", "sc6_flag", "sc8_clv_even",
+                             "sc12_months", "sc14_max_abs"]),
+        (_directory_scalars, ["sc2_contains", "sc7_logit", "sc9_pct_up", "sc9_pct_fixed", "sc10_mod", "sc11_band",
+                              "sc13_days", "sc15_label"])):
+    for _k in _keys:
+        QUERIES[_k] = (
+            lambda spark, sf, _t=_table, _c=_k: _t(spark, sf).select("customer_id", _c))
 
 
 # ----------------------------------------------------------- 2.9 features
@@ -501,10 +516,9 @@ def fe18_align_to_train(spark, sf):
 
 @query("fe20_standardize")
 def fe20_standardize(spark, sf):
-    tr, te, _ = base.encoded(spark, sf)
-    cols = ["tenure_months", "avg_monthly_spend_usd", "nps_score", "engagement_score"]
-    out = fe.standardize(tr, te, cols, keep=["customer_id"])
-    return out.select("customer_id", *[F.bround(F.col(c), 6).alias(c) for c in cols])
+    tr, te, feats = base.encoded(spark, sf)
+    out = fe.standardize(tr, te, feats, keep=["customer_id"])
+    return out.select("customer_id", *[F.bround(F.col(f"`{c}`"), 6).alias(c) for c in feats])
 
 
 @query("fe21_features_train_stats")
@@ -896,9 +910,15 @@ def sc17_current_timestamp(spark, sf):
 
 @query("io5_source_or_fallback")
 def io5_source_or_fallback(spark, sf):
-    primary = _scratch(spark, "predictions-not-written")
-    return source_or_fallback(spark, primary, lambda: seg.risk_segments(spark.read.parquet(primary)),
-                              lambda: seg.risk_segments(_scores(spark, sf)))
+    """Both branches: from a written scores table, and from the scores where none was written."""
+    written, missing = _scratch(spark, "predictions"), _scratch(spark, "predictions-not-written")
+    _scores(spark, sf).write.parquet(written)
+
+    def one(path: str, branch: str):
+        out = source_or_fallback(spark, path, lambda: seg.risk_segments(spark.read.parquet(path)).withColumn("source", F.lit("table")),
+                                 lambda: seg.risk_segments(_scores(spark, sf)).withColumn("source", F.lit("fallback")))
+        return out.withColumn("asked", F.lit(branch))
+    return one(written, "written").unionByName(one(missing, "missing"))
 
 
 # FE4-FE16 one by one (each: id + the feature, train and test with their own

@@ -293,7 +293,7 @@ ORDER BY abs(r) DESC, feature LIMIT {limit}"""
 
 
 oracle("ag15_correlation_with_target", _corr_target(15))
-oracle("s2_sort_abs", _corr_target(len(_FNUMS)))
+oracle("s2_sort_abs", f"SELECT *, row_number() OVER (ORDER BY abs(r) DESC, feature) AS position FROM ({_corr_target(len(_FNUMS))})")
 _PAIRS = [(a, b) for i, a in enumerate(ENC_FEATURES) for b in ENC_FEATURES[i + 1:]]
 oracle("ag16_correlated_pairs", f"""WITH {WF}, {enc_cte()},
 prow AS (SELECT {', '.join(f'corr({q(a)}, {q(b)}) AS p{k}' for k, (a, b) in enumerate(_PAIRS))} FROM enc_train),
@@ -354,8 +354,9 @@ SELECT round_even(n0 * 1.0E0 / nullif(n1, 0), 6) AS pos_weight, round_even(n * 1
 oracle("ag29_prediction_totals", f"""WITH {W}, {scores_cte()} SELECT count(*) AS total,
   CAST(sum(churn_prediction) AS BIGINT) AS predicted_churned,
   round_even(avg(CAST(churn_prediction AS DOUBLE)), 6) AS predicted_churn_rate FROM scores""")
-oracle("ag30_distinct_categories", f"WITH {W} SELECT DISTINCT marketing_channel AS value FROM train "
-       "WHERE marketing_channel IS NOT NULL ORDER BY value")
+_RAW_CATEGORICAL = ["gender", "city_tier", "subscription_type", "contract_type", "marketing_channel", "clv_segment"]
+oracle("ag30_distinct_categories", f"WITH {W} " + " UNION ALL ".join(
+    f"SELECT DISTINCT '{c}' AS column, {c} AS value FROM train WHERE {c} IS NOT NULL" for c in _RAW_CATEGORICAL))
 
 # ------------------------------------------------------ 2.5 / 2.6 windows, sorts
 _IMP = f"WITH {WF}, {enc_cte()}, {importance_cte()}"
@@ -371,8 +372,11 @@ _DRIVERS = f"""drivers AS (SELECT row_number() OVER (ORDER BY avg_rank, feature)
 oracle("sv6_churn_drivers", f"{_IMP}, {_DRIVERS} SELECT * FROM drivers")
 oracle("sv7_driver_percent", f"""{_IMP}, {_DRIVERS} SELECT position, replace(feature, '_', ' ') AS name,
   CAST(round(importance * 100.0E0, 0) AS BIGINT) AS importance FROM drivers ORDER BY position LIMIT 8""")
-oracle("s1_sort_desc", f"WITH {W}, {scores_cte()} SELECT * FROM scores ORDER BY churn_probability DESC, customer_id")
-oracle("s3_custom_order", f"WITH {W} " + _grouped("train", "clv_segment", "segment", False))
+oracle("s1_sort_desc", f"""WITH {W}, {scores_cte()} SELECT *,
+  row_number() OVER (ORDER BY churn_probability DESC, customer_id) AS position FROM scores""")
+oracle("s3_custom_order", f"""WITH {W}, g AS ({_grouped("train", "clv_segment", "segment", False)})
+SELECT *, row_number() OVER (ORDER BY CASE segment WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 WHEN 'High' THEN 3
+  WHEN 'Platinum' THEN 4 ELSE 9 END, segment) AS position FROM g""")
 oracle("s4_topk", f"""WITH {W} SELECT customer_id, estimated_clv_usd,
   row_number() OVER (ORDER BY estimated_clv_usd DESC, customer_id) AS rank FROM customers
   ORDER BY estimated_clv_usd DESC, customer_id LIMIT 20""")
@@ -404,6 +408,7 @@ _SC = {
     "sc7_logit": "round_even(ln(churn_probability / (1.0E0 - churn_probability)), 6)",
     "sc8_clv_even": "round_even(estimated_clv_usd, 0)",
     "sc9_pct_up": "round(churn_probability * 100.0E0, 0)",
+    "sc9_pct_fixed": "printf('%.1f', round(churn_probability * 100.0E0, 1))",
     "sc10_mod": "CAST(trunc(estimated_clv_usd) AS INT) % 14",
     "sc11_band": "CASE WHEN nps_score > 50 THEN 'high' WHEN nps_score > 0 THEN 'mid' ELSE 'low' END",
     "sc12_months": "CASE contract_type WHEN 'Monthly' THEN 1 WHEN 'Quarterly' THEN 3 WHEN 'Annual' THEN 12 END",
@@ -411,8 +416,10 @@ _SC = {
     "sc14_max_abs": "greatest(abs(nps_score), tenure_months)",
     "sc15_label": "printf('%s-%d', contract_type, tenure_months)",
 }
+_OF_CUSTOMERS = {"sc1_gender", "sc3_replaced", "sc4_nps_clipped", "sc5_ratio", "sc6_flag", "sc8_clv_even", "sc12_months", "sc14_max_abs"}
 for _k, _e in _SC.items():
-    oracle(_k, f"""WITH {W}, {scores_cte()} SELECT customer_id, {_e} AS {_k}
+    oracle(_k, f"WITH {W} SELECT customer_id, {_e} AS {_k} FROM customers" if _k in _OF_CUSTOMERS else
+           f"""WITH {W}, {scores_cte()} SELECT customer_id, {_e} AS {_k}
   FROM test t JOIN scores s USING (customer_id)""")
 
 # ------------------------------------------------------------ 2.9 features
@@ -430,10 +437,10 @@ SELECT customer_id, tenure_months, CASE WHEN tenure_months <= q[2] THEN 'q1' WHE
   WHEN tenure_months <= q[4] THEN 'q3' WHEN tenure_months <= q[5] THEN 'q4' END AS tenure_quartile FROM train CROSS JOIN e""")
 oracle("fe17_one_hot", f"WITH {WF}, {enc_cte()} SELECT * FROM enc_train")
 oracle("fe18_align_to_train", f"WITH {WF}, {enc_cte()} SELECT * FROM enc_test")
-_STD = ["tenure_months", "avg_monthly_spend_usd", "nps_score", "engagement_score"]
+_STD = list(ENC_FEATURES)
 oracle("fe20_standardize", f"""WITH {WF}, {enc_cte()},
-st AS (SELECT {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS s{i}' for i, c in enumerate(_STD))} FROM enc_train)
-SELECT customer_id, {', '.join(f'round_even(({c} - m{i}) / CASE WHEN s{i} = 0 OR s{i} IS NULL THEN 1.0E0 ELSE s{i} END, 6) AS {c}'
+st AS (SELECT {', '.join(f'avg({q(c)}) AS m{i}, stddev_pop({q(c)}) AS s{i}' for i, c in enumerate(_STD))} FROM enc_train)
+SELECT customer_id, {', '.join(f'round_even(({q(c)} - m{i}) / CASE WHEN s{i} = 0 OR s{i} IS NULL THEN 1.0E0 ELSE s{i} END, 6) AS {q(c)}'
                                for i, c in enumerate(_STD))} FROM enc_test CROSS JOIN st""")
 
 # ---------------------------------------------------- 2.10 deterministic model ops
@@ -524,7 +531,8 @@ SELECT 'targeted-retention' AS campaign, CAST(highRiskCount AS BIGINT) AS segmen
 UNION ALL SELECT 'nps-detractor-outreach', CAST(detractor_count AS BIGINT), round(detractor_count * avgClv * 0.12E0, 0), 'usd_recovered' FROM x
 UNION ALL SELECT 'monthly-to-annual', CAST(monthly_count AS BIGINT), round(monthly_rate - annual_rate, 1), 'churn_points' FROM x""")
 
-oracle("io5_source_or_fallback", ORACLES["ag13_risk_segments"])
+oracle("io5_source_or_fallback", f"""SELECT *, 'table' AS source, 'written' AS asked FROM ({ORACLES["ag13_risk_segments"]})
+UNION ALL SELECT *, 'fallback', 'missing' FROM ({ORACLES["ag13_risk_segments"]})""")
 oracle("ml4_class_weighting", f"""WITH {W}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE churned = 0) AS n0,
   count(*) FILTER (WHERE churned = 1) AS n1 FROM train)
 SELECT customer_id, churned, CASE WHEN churned = 1 THEN round_even(n * 1.0E0 / nullif(n1 * 2, 0), 6)
