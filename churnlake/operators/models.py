@@ -24,7 +24,7 @@ from pyspark.ml import Estimator
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.customers import ID_COL, TARGET_COL
@@ -238,15 +238,15 @@ def tuned_factory(kind: str, params: dict) -> Callable[[], Estimator]:
 
 def stacking_fit(mm: DataFrame, base: dict[str, Callable[[], Estimator]], k: int = 5):
     """ML9: out-of-fold class-1 probabilities of the base learners, joined
-    on the row id (J4: an explicit equi-join, never row position), feed a
+    on the customer id (J4: an explicit equi-join, never row position), feed a
     class-balanced logistic regression; base learners are then refitted on
     all rows. Returns a scoring function DataFrame -> scored DataFrame."""
     oof = None
     for name, fac in base.items():
-        p = cross_val_predict(fac, mm, k).select("row_id", F.col("score").alias(f"_p_{name}"))
-        oof = p if oof is None else oof.join(p, "row_id")
+        p = cross_val_predict(fac, mm, k).select(ID_COL, F.col("score").alias(f"_p_{name}"))
+        oof = p if oof is None else oof.join(p, ID_COL)
     names = list(base)
-    meta_in = mm.select("row_id", ID_COL, "label", "weight").join(oof, "row_id")
+    meta_in = mm.select("row_id", ID_COL, "label", "weight").join(oof, ID_COL)
     meta_in = VectorAssembler(inputCols=[f"_p_{n}" for n in names], outputCol="features").transform(meta_in)
     meta = LogisticRegression(weightCol="weight", maxIter=100).fit(meta_in)
     fitted = {n: base[n]().fit(mm) for n in names}
@@ -285,7 +285,7 @@ def model_importances(model, features: Sequence[str]) -> DataFrame:
     """ML15: feature, importance (share-normalised: sums to 1)."""
     vals = model.featureImportances.toArray()
     tot = float(vals.sum()) or 1.0
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    spark = SparkSession.getActiveSession()
     return spark.createDataFrame([(f, float(v) / tot) for f, v in zip(features, vals)], "feature string, importance double")
 
 
@@ -326,7 +326,7 @@ def oversample_matrix(d: DataFrame) -> DataFrame:
     """SMOTE rows added to a model matrix; synthetic rows get weight 1 (ML7)."""
     from .resample import oversample
     cols = d.columns
-    o = oversample(d)
+    o = oversample(d, id_col=ID_COL)
     return o.select(*[F.coalesce(F.col(c), F.lit(1.0)).alias(c) if c in ("weight", "pos_weight") else F.col(c)
                       for c in cols])
 
@@ -336,11 +336,11 @@ def soft_vote_cv(mm: DataFrame, members: dict[str, Callable[[], Estimator]], k:
     """ML8 on fitted models: 5-fold CV of the soft-voting ensemble. Folds are
     a deterministic function of the id, so the ensemble's fold-i model is
     exactly its members' fold-i models: the out-of-fold member scores are
-    joined on the row id (never by position) and averaged."""
+    joined on the customer id (never by position) and averaged."""
     oof = None
     for name, fac in members.items():
-        p = cross_val_predict(fac, mm, k).select("row_id", "fold", "label", F.col("score").alias(f"_s_{name}"))
-        oof = p if oof is None else oof.join(p.drop("label"), ["row_id", "fold"])
+        p = cross_val_predict(fac, mm, k).select(ID_COL, "fold", "label", F.col("score").alias(f"_s_{name}"))
+        oof = p if oof is None else oof.join(p.drop("label"), [ID_COL, "fold"])
     avg = sum((F.col(f"_s_{n}") for n in list(members)[1:]), F.col(f"_s_{list(members)[0]}")) / float(len(members))
     voted = oof.select("fold", "label", avg.alias("score"), (avg >= threshold).cast("int").alias("prediction"))
     return cv_metrics(voted)

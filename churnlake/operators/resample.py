@@ -1,19 +1,18 @@
 """SMOTE oversampling (ML6) and the in-fold resampling helper (ML7).
 
-Neighbour search is exact k-nearest-neighbours among minority rows, run as a
-blocked distributed computation rather than an all-pairs join:
+Neighbour search is exact k-nearest-neighbours among minority rows, by
+pivots and distance bounds instead of an all-pairs join:
 
-* minority rows get a block id from a hash (2^b blocks, sized so a block
-  fits in one task);
-* every (query block, reference block) pair is one cogroup task: the two
-  blocks are turned into numpy arrays and each query row keeps only its k
-  nearest rows of that reference block;
-* the per-block candidates (k per block, so bounded by blocks x k per row)
-  are reduced to the k nearest overall with a window per query row.
+* at most ``MAX_PIVOTS`` rows, drawn by hash, are pivots; every row belongs
+  to the cell of its nearest pivot, a cell over ``block_rows`` rows is dealt
+  into several blocks by hash (so equal rows cannot crowd one task);
+* the k nearest inside a row's own block bound its search radius;
+* by the triangle inequality only cells whose pivot is nearer than the
+  radius plus the cell's extent can hold a closer row: the row is sent to
+  those blocks only, and the k best of all blocks are kept.
 
-SMOTE is quadratic in the minority count by definition; this spreads the
-m^2 distance evaluations evenly over (m / block)^2 tasks, each with bounded
-memory, with exact results and no cap on candidates.
+No candidate is dropped by count, the result equals brute force. Rows are
+copied only to the blocks that the bounds cannot rule out.
 
 Synthesis is deterministic and distributed: each minority row (ranked
 inside the class by hash, see folds.class_rank) creates either
@@ -28,15 +27,35 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, StructField, StructType
 
+from ..session import ensure_checkpoint_dir
 from .folds import class_rank
 
-DEFAULT_BLOCK_ROWS = 4096
+DEFAULT_BLOCK_ROWS = 2048
+MAX_PIVOTS = 4096
 
 
-def _block_count(m: int, block_rows: int) -> int:
-    return max(1, 1 << max(0, math.ceil(math.log2(max(1, math.ceil(m / block_rows))))))
+def _nearest(qid, qa, rid, ra, k: int):
+    """(row of q, row of r, distance) of the k rows of r nearest to each row
+    of q, itself excluded; r sorted by id, so ties go to the smaller id."""
+    import numpy as np
+    rows_q, rows_r, dist = [], [], []
+    norm = (ra * ra).sum(1)
+    for lo in range(0, len(qa), 512):
+        part = qa[lo:lo + 512]
+        d2 = np.maximum((part * part).sum(1)[:, None] + norm[None, :] - 2.0 * part @ ra.T, 0.0)
+        d2[qid[lo:lo + 512][:, None] == rid[None, :]] = np.inf
+        near = np.argsort(d2, axis=1, kind="stable")[:, :k]
+        i = np.repeat(np.arange(len(part)), near.shape[1])
+        j = near.ravel()
+        keep = np.isfinite(d2[i, j])
+        i, j = i[keep], j[keep]
+        rows_q.append(i + lo)
+        rows_r.append(j)
+        dist.append(np.sqrt(((part[i] - ra[j]) ** 2).sum(1)))
+    cat = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+    return cat(rows_q, int), cat(rows_r, int), cat(dist, float)
 
 
 def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows: int = DEFAULT_BLOCK_ROWS,
@@ -46,39 +65,84 @@ def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows:
     import numpy as np
     import pandas as pd
 
-    m = n_rows if n_rows is not None else df.count()
-    nb = _block_count(m, block_rows)
-    x = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).alias("_v"))
-    x = x.withColumn("_blk", (F.abs(F.xxhash64("_id")) % nb).cast("int"))
-    blocks = F.sequence(F.lit(0), F.lit(nb - 1))
-    q = x.select(F.col("_id").alias("_qid"), F.col("_v").alias("_qv"), F.col("_blk").alias("_qb"),
-                 F.explode(blocks).alias("_rb"))
-    r = x.select(F.col("_id").alias("_rid"), F.col("_v").alias("_rv"), F.explode(blocks).alias("_qb2"),
-                 F.col("_blk").alias("_rb2"))
-    out_schema = StructType([StructField("id", LongType()), StructField("nb_id", LongType()),
-                             StructField("dist", DoubleType())])
-
-    def block_knn(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or rdf.empty:
+    ensure_checkpoint_dir(df.sparkSession)
+    id_type = df.schema[id_col].dataType
+    if not isinstance(id_type, IntegralType):
+        # numbers in id order stand for the ids: ties still go to the smaller id, and no two rows share a number
+        named = df.select(F.col(id_col).alias("_name"), F.col(vec_col).alias("_vec")).orderBy("_name").checkpoint(eager=True)
+        named = named.withColumn("_n", F.monotonically_increasing_id()).checkpoint(eager=True)
+        near = knn_within(named, "_n", "_vec", k, block_rows, n_rows)
+        name = lambda c: named.select(F.col("_n").alias(c), F.col("_name").alias(f"{c}_name"))
+        near = near.join(name("id"), "id").join(name("nb_id"), "nb_id")
+        return near.select(F.col("id_name").alias("id"), F.col("nb_id_name").alias("nb_id"), "dist", "nb_rank")
+    x = df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
+    m = n_rows if n_rows is not None else x.count()
+    n_pivots = max(1, min(MAX_PIVOTS, math.ceil(4 * m / block_rows)))
+    picked = x.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()  # at most MAX_PIVOTS rows
+    pivots = np.array([r["v"] for r in picked], float).reshape(len(picked), -1)
+    row = [StructField("id", id_type), StructField("v", ArrayType(DoubleType())), StructField("cell", IntegerType())]
+
+    def to_pivots(v) -> np.ndarray:
+        a = np.stack(v.to_numpy()).astype(float)
+        d2 = (a * a).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * a @ pivots.T
+        return np.sqrt(np.maximum(d2, 0.0))
+
+    def assign(frames):
+        for f in frames:
+            if len(f):
+                d = to_pivots(f["v"])
+                f["cell"] = d.argmin(1).astype("int32")
+                f["away"] = d.min(1)
+                yield f[["id", "v", "cell", "away"]]
+
+    rows = x.mapInPandas(assign, StructType([*row, StructField("away", DoubleType())])).checkpoint(eager=True)
+    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("extent")).collect()  # one per pivot
+    extent = np.full(len(pivots), -np.inf)
+    blocks = np.ones(len(pivots), int)
+    for c in cells:
+        extent[c["cell"]], blocks[c["cell"]] = c["extent"], math.ceil(c["n"] / block_rows)
+    parts = F.element_at(F.array(*[F.lit(int(b)) for b in blocks]), F.col("cell") + 1) if len(blocks) <= 512 else \
+        F.create_map(*[F.lit(int(v)) for i, b in enumerate(blocks) for v in (i, b)])[F.col("cell")]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    found = StructType([StructField("id", id_type), StructField("nb_id", id_type), StructField("dist", DoubleType())])
+
+    def search(q: pd.DataFrame, r: pd.DataFrame, radius=None) -> pd.DataFrame:
+        if q.empty or r.empty:
             return pd.DataFrame({"id": [], "nb_id": [], "dist": []})
-        qa = np.stack(qdf["_qv"].to_numpy()).astype(float)
-        ra = np.stack(rdf["_rv"].to_numpy()).astype(float)
-        qid = qdf["_qid"].to_numpy()
-        rid = rdf["_rid"].to_numpy()
-        d2 = (qa * qa).sum(1)[:, None] + (ra * ra).sum(1)[None, :] - 2.0 * qa @ ra.T
-        d2 = np.maximum(d2, 0.0)
-        d2[qid[:, None] == rid[None, :]] = np.inf  # self is not a neighbour
-        kk = min(k, ra.shape[0])
-        idx = np.argpartition(d2, kk - 1, axis=1)[:, :kk] if kk < ra.shape[0] else np.tile(np.arange(ra.shape[0]), (qa.shape[0], 1))
-        rows_q = np.repeat(qid, idx.shape[1])
-        rows_r = rid[idx.ravel()]
-        dist = np.sqrt(d2[np.arange(qa.shape[0])[:, None], idx].ravel())
-        keep = np.isfinite(dist)
-        return pd.DataFrame({"id": rows_q[keep], "nb_id": rows_r[keep], "dist": dist[keep]})
-
-    cand = q.groupBy("_qb", "_rb").cogroup(r.groupBy("_qb2", "_rb2")).applyInPandas(block_knn, out_schema)
+        r = r.sort_values("id", ignore_index=True)
+        qid, rid = q["id"].to_numpy(), r["id"].to_numpy()
+        i, j, d = _nearest(qid, np.stack(q["v"].to_numpy()).astype(float), rid, np.stack(r["v"].to_numpy()).astype(float), k)
+        if radius is not None:
+            keep = d <= q["radius"].to_numpy()[i]
+            i, j, d = i[keep], j[keep], d[keep]
+        return pd.DataFrame({"id": qid[i], "nb_id": rid[j], "dist": d})
+
+    own = rows.groupBy("cell", "part").applyInPandas(lambda g: search(g, g), found).checkpoint(eager=True)
+    bound = own.groupBy("id").agg(F.count(F.lit(1)).alias("got"), F.max("dist").alias("kth"))
+    bound = bound.select("id", F.when(F.col("got") >= k, F.col("kth")).otherwise(F.lit(float("inf"))).alias("radius"))
+    asked = rows.join(bound, "id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf"))))
+
+    def send(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            reach = f["radius"].to_numpy() * (1 + 1e-9) + 1e-9
+            open_ = to_pivots(f["v"]) - extent[None, :] * (1 + 1e-9) <= reach[:, None]
+            i, c = np.nonzero(open_)
+            n = blocks[c]
+            i, c = np.repeat(i, n), np.repeat(c, n)
+            part = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            keep = (c != f["cell"].to_numpy()[i]) | (part != f["part"].to_numpy()[i])  # the own block is done
+            i, c, part = i[keep], c[keep], part[keep]
+            yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cell": c.astype("int32"),
+                                "part": part.astype("int32"), "radius": reach[i]})
+
+    queries = asked.select("id", "v", "cell", "part", "radius").mapInPandas(
+        send, StructType([*row, StructField("part", IntegerType()), StructField("radius", DoubleType())]))
+    more = queries.groupBy("cell", "part").cogroup(rows.select("id", "v", "cell", "part").groupBy("cell", "part")) \
+        .applyInPandas(lambda q, r: search(q, r, "radius"), found)
     w = Window.partitionBy("id").orderBy("dist", "nb_id")
-    return cand.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
+    return own.unionByName(more).withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
 
 
 def _u01(*cols) -> F.Column:
@@ -94,7 +158,7 @@ def smote(df: DataFrame, features_col: str = "features", label_col: str = "label
     minority rows. Returns only the synthetic rows (id NULL, is_synthetic
     true); union them with the input (SO5) to train.
 
-    ``df`` needs a long ``id_col``, a vector ``features_col`` and a 0/1
+    ``df`` needs a unique ``id_col``, a vector ``features_col`` and a 0/1
     ``label_col``. Class counts are one small aggregate (collected: two
     numbers)."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -109,7 +173,7 @@ def smote(df: DataFrame, features_col: str = "features", label_col: str = "label
     if need <= 0 or m < 2:
         return df.limit(0).withColumn("is_synthetic", F.lit(True))
     mino = df.filter(F.col(label_col) == minority).select(
-        F.col(id_col).cast("long").alias("_id"), vector_to_array(F.col(features_col)).alias("_a"))
+        F.col(id_col).alias("_id"), vector_to_array(F.col(features_col)).alias("_a"))
     nn = knn_within(mino, "_id", "_a", k, block_rows, n_rows=m)
     ranked = class_rank(mino.withColumn("_c", F.lit(0)), key="_id", label="_c", seed=seed, out="_r").drop("_c")
     per, extra = need // m, need % m

@@ -726,14 +726,14 @@ def ml5_random_search(spark, sf):
 def ml6_smote(spark, sf):
     from pyspark.ml.functions import vector_to_array
     mm, _, _ = _mm(spark, sf)
-    syn = rs.smote(mm.select("row_id", "label", "features"))
+    syn = rs.smote(mm.select("customer_id", "label", "features"), id_col="customer_id")
     return syn.select("label", "is_synthetic", vector_to_array("features").alias("features"))
 
 
 @query("so5_union_synthetic")
 def so5_union_synthetic(spark, sf):
     mm, _, _ = _mm(spark, sf)
-    both = rs.oversample(mm.select("row_id", "label", "features"))
+    both = rs.oversample(mm.select("customer_id", "label", "features"), id_col="customer_id")
     return both.groupBy(F.col("label").cast("int").alias("label"), "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -766,7 +766,7 @@ def j4_stacking_alignment(spark, sf):
     oof = None
     for name, fac in _stack_base().items():
         p = mo.cross_val_predict(fac, mm, 5).select("row_id", "customer_id", "fold", F.col("score").alias(f"p_{name}"))
-        oof = p if oof is None else oof.join(p.drop("customer_id", "fold"), "row_id")
+        oof = p if oof is None else oof.join(p.drop("row_id", "fold"), "customer_id")
     return oof
 
 

@@ -37,7 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names a shared folder there; we only set our own when it is
-    unset (local tests), and then under a fresh directory in /tmp.
+    unset on a local master (tests), and then under a fresh directory in
+    /tmp. On any other master a machine-local folder would lose data with
+    its machine, so an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -45,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if sc.master.partition("[")[0] != "local":
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {sc.master}")
         import tempfile
         conf_dir = tempfile.mkdtemp(prefix="churnlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", conf_dir)

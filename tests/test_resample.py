@@ -58,3 +58,17 @@ def test_smote_is_deterministic(spark):
     a = sorted(tuple(r["a"]) for r in smote(df).select(vector_to_array("features").alias("a")).collect())
     b = sorted(tuple(r["a"]) for r in smote(df.repartition(5)).select(vector_to_array("features").alias("a")).collect())
     assert a == b
+
+
+def test_knn_cells_prune_and_stay_exact(spark):
+    """Clustered points with many equal rows: several pivots and blocks, equal to brute force."""
+    rng = np.random.default_rng(11)
+    pts = np.concatenate([rng.normal(size=(40, 3)) * 0.1 + c for c in rng.normal(size=(12, 3)) * 20] + [np.zeros((60, 3))])
+    df = spark.createDataFrame([(f"id{i:04d}", p.tolist()) for i, p in enumerate(pts)], "id string, v array<double>")
+    got = {}
+    for r in knn_within(df, "id", "v", k=4, block_rows=32).collect():
+        got.setdefault(int(r["id"][2:]), []).append(r["dist"])
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).sum(1))
+        d[i] = np.inf
+        assert np.allclose(sorted(got[i]), np.sort(d)[:4], atol=1e-9)
