@@ -6,6 +6,7 @@ above 0x7F are word bytes, so byte and code point views give the same words.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder: lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows written as a Parquet table in the shared checkpoint folder: lost executors cost no recomputation, the
+    table is compressed, and later plans know its size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already cut, narrow), marked for broadcast if a count of its rows proves it small; a join that is not
-    broadcast falls to Spark's shuffled joins with skew splitting."""
-    return F.broadcast(df) if df.count() <= rows else df
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS, cells: str | None = None) -> bool:
+    """Does ``df`` (already cut, narrow) have at most ``rows`` rows, or elements of its array column ``cells``?"""
+    return (df.agg(F.sum(F.size(cells) + 1)).first()[0] or 0 if cells else df.count()) <= rows
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, cells: str | None = None) -> DataFrame:
+    """``df``, marked for broadcast if a count proves it small. A join that is not broadcast falls to Spark's shuffled joins
+    with skew splitting."""
+    return F.broadcast(df) if fits(df, rows, cells) else df
 
 
 def n_words(text: Column) -> Column:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash128
+from .common import cut, fits, hash128, small
 from .decontam import let
 
 DEPTH, SHARE, MIN_DOCS = 3, 0.5, 10
@@ -65,9 +65,11 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     leaves = cut(lines.groupBy("leaf").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_lines")).where(F.col("n") >= min_docs))
     live = lines.join(leaves.select("leaf", "n_lines"), "leaf")
     # The tokens of the lines of leaves with several lines, read again from the texts.
-    wanted = live.where("n_lines > 1").select("l1", "l2", "leaf", "n_lines")
+    wanted = cut(live.where("n_lines > 1").select("l1", "l2", "leaf", "n_lines"))
     texts = _line_rows(docs).select(*[c.alias(f"l{i}") for i, c in enumerate(hash128(F.col("masked")), 1)], "masked")
-    words = texts.join(wanted, ["l1", "l2"]).groupBy("l1", "l2", "leaf", "n_lines").agg(F.first("masked").alias("masked"))
+    if not fits(wanted):  # beyond a broadcast: a line in many texts is reduced to one row before it is joined
+        texts = texts.groupBy("l1", "l2").agg(F.first("masked").alias("masked"))
+    words = texts.join(small(wanted), ["l1", "l2"]).groupBy("l1", "l2", "leaf", "n_lines").agg(F.first("masked").alias("masked"))
     words = cut(words.select("l1", "l2", "leaf", "n_lines", F.posexplode(_tokens(F.col("masked"))).alias("pos", "token")))
     common = words.groupBy("leaf", "pos", "token").agg(F.count(F.lit(1)).alias("n"), F.first("n_lines").alias("n_lines"))
     common = common.where(F.col("n") >= F.col("n_lines") * SHARE)
@@ -89,9 +91,10 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     docs = docs.drop(*ADDED)
     marks = recurring(docs, min_docs)
     rows = _line_rows(docs).select("t1", "t2", *[c.alias(f"l{i}") for i, c in enumerate(hash128(F.col("masked")), 1)])
-    gone = rows.join(marks, ["l1", "l2"]).where("t1 <> keep_t1 or t2 <> keep_t2").groupBy("t1", "t2").agg(F.collect_set("l1").alias("gone"))
+    gone = rows.join(small(marks), ["l1", "l2"]).where("t1 <> keep_t1 or t2 <> keep_t2").groupBy("t1", "t2").agg(F.collect_set("l1").alias("gone"))
     gone = cut(gone)
     keyed = docs.withColumns(dict(zip(("_t1", "_t2"), hash128(F.col("text")), strict=True)))
+    gone = small(gone, 1_000_000, "gone")
     out = keyed.join(gone.withColumnsRenamed({"t1": "_t1", "t2": "_t2"}), ["_t1", "_t2"], "left").drop("_t1", "_t2")
     lines = F.split("text", "\n")
     one = lambda line: hash128(_mask(line))[0]
