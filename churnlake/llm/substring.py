@@ -230,7 +230,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     marks = cut(rows.repartition("key").sortWithinPartitions("key", "ext").mapInArrow(_meet, MARKS).select("rid", "lo", "hi", "kind"))
     sure = marks.where(F.col("kind") == REPEATED).select("rid", "lo", "hi")
     doubt = cut(marks.where(F.col("kind") == CHECK).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")))
-    found = cut(texts.join(small(doubt, 50_000), "rid").select("rid", "text", "spans").mapInArrow(_check_rows, CHECKS))
+    found = cut(texts.join(doubt, "rid").select("rid", "text", "spans").mapInArrow(_check_rows, CHECKS))
     twice = cut(found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2"))
     return sure.unionByName(found.join(small(twice), ["w1", "w2"], "left_semi").select("rid", F.col("at").alias("lo"), F.col("at").alias("hi")))
 
