@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import capfilter, chat, decontam, jaccard, langid, linededup, mixing, secrets, substring, wrapper
 from .common import table
+from .oracle import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,7 +22,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "text", "n_chars", "n_lines", "n_dropped", "dropped_lines")
+    return out.select("doc_id", "text", "n_chars", "n_lines", "n_dropped")
 
 
 @query

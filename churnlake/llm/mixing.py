@@ -58,7 +58,9 @@ def allocate(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE,
     docs = docs.drop(*ADDED)
     per = cut(targets(docs, cycle=cycle, most=most)).select(F.col("source").alias("_source"), "source_size", "target", "rate")
     out = docs.withColumn("size", n_words(F.col("text"))).join(small(per), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11) / float(1 << 53)
+    # 32 bits of md5, so that SQL engines draw alike
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     whole = F.floor("rate")
     out = out.withColumn("copies", (whole + F.when(draw < F.col("rate") - whole, 1).otherwise(0)).cast("long"))
     return out.withColumn("taken", F.col("size") * F.col("copies"))
