@@ -120,30 +120,46 @@ def fit_transform_split(train: DataFrame, test: DataFrame, stats_from: str = "se
 
 # ---------------------------------------------------------------- encoding
 
-MAX_CATEGORIES = 1000  # guard for collecting distinct categories to the driver
+MAX_CATEGORIES = 1000  # a column with more levels becomes one sparse vector instead of a column per level
 
 
 def category_levels(df: DataFrame, cols: Sequence[str], max_categories: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Distinct non-NULL values per column, sorted (bounded metadata).
+    """Distinct non-NULL values, sorted, of each column with at most
+    ``max_categories`` of them; wider columns are left out (see
+    :func:`one_hot_wide`).
 
     One distributed pass: the columns are unpivoted to (column, value) and
-    deduplicated with map-side partial aggregation; at most
-    ``len(cols) * max_categories + 1`` distinct pairs are brought to the
-    driver, and a column over the limit raises instead of encoding.
+    deduplicated with map-side partial aggregation; only the levels of
+    narrow columns reach the driver.
     """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c_).alias("column"), F.col(c_).cast("string").alias("value")) for c_ in cols])).alias("kv")
-    ).select("kv.column", "kv.value").filter(F.col("value").isNotNull()).distinct()
-    rows = long.limit(len(cols) * max_categories + 1).collect()
-    levels: dict[str, list[str]] = {c_: [] for c_ in cols}
+    ).select("kv.column", "kv.value").filter(F.col("value").isNotNull()).distinct().persist()
+    try:
+        wide = [r["column"] for r in long.groupBy("column").count().filter(F.col("count") > max_categories).collect()]
+        rows = long.filter(~F.col("column").isin(wide)).collect() if wide else long.collect()
+    finally:
+        long.unpersist()
+    levels: dict[str, list[str]] = {c_: [] for c_ in cols if c_ not in wide}
     for r in rows:
         levels[r["column"]].append(r["value"])
-    too_many = {k: len(v) for k, v in levels.items() if len(v) > max_categories}
-    if too_many or len(rows) > len(cols) * max_categories:
-        raise ValueError(f"too many categories to one-hot encode: {too_many or 'over the total limit'}")
     return {k: sorted(v) for k, v in levels.items()}
 
 
+def one_hot_wide(train: DataFrame, frames: Sequence[DataFrame], cols: Sequence[str]) -> list[DataFrame]:
+    """FE17 for columns with any number of levels: each becomes a sparse
+    0/1 vector ``<col>_onehot`` over the train levels; NULL or an unseen value
+    gives all zeros. The levels stay in the fitted indexer."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    if not cols:
+        return list(frames)
+    index = [f"_{c}_index" for c in cols]
+    indexer = StringIndexer(inputCols=list(cols), outputCols=index, handleInvalid="keep").fit(train)
+    # the extra index of unseen values is the last one, which is dropped
+    encoder = OneHotEncoder(inputCols=index, outputCols=[f"{c}_onehot" for c in cols], dropLast=True).fit(indexer.transform(train))
+    return [encoder.transform(indexer.transform(f)).drop(*index, *cols) for f in frames]
+
+
 def one_hot(df: DataFrame, levels: dict[str, list[str]], drop_source: bool = True) -> DataFrame:
     """FE17: one 0/1 int column ``<col>_<value>`` per level (none dropped);
     NULL or an unseen value gives all zeros. Levels come from the train table
@@ -178,8 +194,9 @@ def encode_split(train_feat: DataFrame, test_feat: DataFrame,
     """FE17 + FE18 for a train/test pair: (train encoded, test encoded, features)."""
     levels = category_levels(train_feat, categorical)
     base = [ID_COL, *categorical, *numerical]
-    tr = one_hot(train_feat.select(*base, TARGET_COL), levels)
-    te = one_hot(test_feat.select(*base), levels)
+    wide = [c_ for c_ in categorical if c_ not in levels]
+    tr, te = one_hot_wide(train_feat, [train_feat.select(*base, TARGET_COL), test_feat.select(*base)], wide)
+    tr, te = one_hot(tr, levels), one_hot(te, levels)
     features = encoded_feature_names(tr.columns)
     return align_to_train(tr, features, True), align_to_train(te, features, False), features
 

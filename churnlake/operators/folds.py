@@ -31,10 +31,13 @@ def id_hash32(key: str = ID_COL, seed: int = 42) -> Column:
 
 
 def class_rank(df: DataFrame, key: str = ID_COL, label: str = TARGET_COL, seed: int = 42,
-               out: str = "_class_rank") -> DataFrame:
-    """0-based rank of each row inside its class, ordered by (hash, id)."""
+               out: str = "_class_rank", bits: int = RANK_BUCKET_BITS) -> DataFrame:
+    """0-based rank of each row inside its class, ordered by (hash, id).
+
+    ``bits``: a class is ranked in 2^bits buckets; raise it with the rows (a
+    bucket holds rows / 2^bits; the bucket table stays small up to 2^20)."""
     h = id_hash32(key, seed)
-    x = df.withColumn("_h", h).withColumn("_bk", F.shiftright(F.col("_h"), 32 - RANK_BUCKET_BITS))
+    x = df.withColumn("_h", h).withColumn("_bk", F.shiftright(F.col("_h"), 32 - bits))
     sizes = x.groupBy(label, "_bk").agg(F.count(F.lit(1)).alias("_sz"))
     wo = Window.partitionBy(label).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_sz").over(wo), F.lit(0))).drop("_sz")

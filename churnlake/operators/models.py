@@ -27,6 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from ..sources.customers import ID_COL, TARGET_COL
 from . import metrics as me
 from .folds import holdout_split, stratified_folds
@@ -96,15 +97,15 @@ def score_frame(model, df: DataFrame) -> DataFrame:
 
 
 def fold_matrix(mm: DataFrame, k: int = 5) -> DataFrame:
-    """The model matrix with exact stratified fold ids, cached and
-    materialised once so every learner and fold reads the same assignment."""
+    """The model matrix with exact stratified fold ids, written once to the
+    checkpoint folder so every learner and fold reads the same assignment
+    and nothing stays cached."""
     # keep the partitioning of the model matrix (sized by its data) rather
     # than the shuffle-partition count the rank window leaves behind: every
     # optimiser iteration is one job over these partitions
     n = max(1, mm.rdd.getNumPartitions())
-    folded = stratified_folds(mm, k, key=ID_COL, label="label", exact=True).coalesce(n).cache()
-    folded.count()
-    return folded
+    ensure_checkpoint_dir(mm.sparkSession)
+    return stratified_folds(mm, k, key=ID_COL, label="label", exact=True).coalesce(n).checkpoint(eager=True)
 
 
 def _oof(factory: Callable[[], Estimator], folded: DataFrame, k: int,
@@ -113,9 +114,14 @@ def _oof(factory: Callable[[], Estimator], folded: DataFrame, k: int,
 
     def fit_fold(i: int) -> DataFrame:
         tr = folded.filter(F.col("fold") != i).drop("fold")
-        if resample is not None:
-            tr = resample(tr)
-        model = factory().fit(tr)
+        if resample is None:
+            model = factory().fit(tr)
+        else:  # a fit passes over its rows many times: the neighbour search runs once
+            tr = resample(tr).persist()
+            try:
+                model = factory().fit(tr)
+            finally:
+                tr.unpersist()
         return score_frame(model, folded.filter(F.col("fold") == i)).withColumn("fold", F.lit(i))
 
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
@@ -159,8 +165,7 @@ def compare_models(mm: DataFrame, names: Sequence[str] | None = None, k: int = 5
     secs, oofs = [], []
     for name in (names or list(ls)):
         t0 = time.time()
-        oof = _oof(ls[name], folded, k, resample, None).withColumn("model", F.lit(name + suffix)).cache()
-        oof.count()
+        oof = _oof(ls[name], folded, k, resample, None).withColumn("model", F.lit(name + suffix)).checkpoint(eager=True)
         secs.append((name + suffix, round(time.time() - t0, 3)))
         oofs.append(oof)
     allo = oofs[0]
@@ -267,8 +272,8 @@ def split_holdout(mm: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, Dat
     """ML12 up front (R11): (tuning rows, holdout rows), exact stratified by
     hash rank. The holdout never enters comparison, search or ranking."""
     n = max(1, mm.rdd.getNumPartitions())
-    split = holdout_split(mm, test_size, key=ID_COL, label="label", exact=True).coalesce(n).cache()
-    split.count()
+    ensure_checkpoint_dir(mm.sparkSession)
+    split = holdout_split(mm, test_size, key=ID_COL, label="label", exact=True).coalesce(n).checkpoint(eager=True)
     return split.filter(~F.col("is_holdout")).drop("is_holdout"), split.filter(F.col("is_holdout")).drop("is_holdout")
 
 

@@ -3,18 +3,49 @@ the given tables so their work grows with them)."""
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.features import fit_transform_split
+from ..session import ensure_checkpoint_dir
 from ..sources.customers import build_customers, split_frames
 
 # Deterministic stand-in scores (FIXTURES F3), same expression in DuckDB.
 SCORE_A, SCORE_B, SCORE_C = 0.04, 0.5, 1.0
 
 
+# Customer tables that the query being built has written, by input folder; None: the plan stays one lazy piece.
+_WRITTEN: ContextVar[dict[str, DataFrame] | None] = ContextVar("written", default=None)
+
+
+@contextlib.contextmanager
+def customers_once() -> Iterator[None]:
+    """Inside, the customer table is computed once per input folder, as a
+    Parquet table in the shared checkpoint folder; all that a query derives
+    from it reads that table. For queries whose statistics, splits and
+    branches would each run the line-item join again."""
+    token = _WRITTEN.set(dict(_WRITTEN.get() or {}))
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_customers(spark, sf_dir)
+    written = _WRITTEN.get()
+    if written is None:
+        return build_customers(spark, sf_dir)
+    if sf_dir not in written:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/customers-{uuid.uuid4().hex}"
+        built = build_customers(spark, sf_dir)
+        built.write.parquet(path)
+        written[sf_dir] = spark.read.schema(built.schema).parquet(path)
+    return written[sf_dir]
 
 
 def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

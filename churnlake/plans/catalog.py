@@ -35,9 +35,13 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str):
+def query(name: str, once: bool = False):
+    """Register a query; ``once`` writes the customer table for its many uses."""
     def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            with base.customers_once():
+                return fn(spark, sf)
+        QUERIES[name] = run if once else fn
         return fn
     return deco
 
@@ -53,7 +57,7 @@ def ag24_contract_stats(spark, sf):
     return seg.contract_stats(tr)
 
 
-@query("fe21_feature_table")
+@query("fe21_feature_table", once=True)
 def fe21_feature_table(spark, sf):
     tr, te = base.features(spark, sf)
     return tr.unionByName(te)
@@ -166,7 +170,7 @@ def j1_predictions_join(spark, sf):
     return s.join(te.select("customer_id", "tenure_months", "estimated_clv_usd"), "customer_id", "inner")
 
 
-@query("j2_importance_join")
+@query("j2_importance_join", once=True)
 def j2_importance_join(spark, sf):
     return _importance(spark, sf).select("feature", "imp_a", "imp_b")
 
@@ -270,7 +274,7 @@ def ag15_correlation_with_target(spark, sf):
     return cor.correlation_with_target(tr, cols)
 
 
-@query("ag16_correlated_pairs")
+@query("ag16_correlated_pairs", once=True)
 def ag16_correlated_pairs(spark, sf):
     tr, _, feats = base.encoded(spark, sf)
     return cor.correlated_pairs(tr, feats)
@@ -288,13 +292,13 @@ def ag18_feature_summary(spark, sf):
     return pr.feature_summary(tr, fe.NEW_FEATURES)
 
 
-@query("ag19_data_dictionary")
+@query("ag19_data_dictionary", once=True)
 def ag19_data_dictionary(spark, sf):
     tr, _, feats = base.encoded(spark, sf)
     return pr.data_dictionary(tr, feats)
 
 
-@query("ag20_kpis")
+@query("ag20_kpis", once=True)
 def ag20_kpis(spark, sf):
     tr, te = base.train_test(spark, sf)
     return seg.kpis(tr, te, base.reference_scores(te))
@@ -305,7 +309,7 @@ def ag21_tenure_impact(spark, sf):
     return seg.tenure_impact(base.train_test(spark, sf)[0])
 
 
-@query("ag22_engagement_impact")
+@query("ag22_engagement_impact", once=True)
 def ag22_engagement_impact(spark, sf):
     return seg.engagement_impact(base.features(spark, sf)[0])
 
@@ -346,12 +350,12 @@ def ag30_distinct_categories(spark, sf):
 
 
 # ----------------------------------------------------- 2.5 / 2.6 windows, sorts
-@query("w1_average_rank")
+@query("w1_average_rank", once=True)
 def w1_average_rank(spark, sf):
     return _importance(spark, sf).select("feature", "imp_a", "rank_a", "imp_b", "rank_b")
 
 
-@query("w2_top_features")
+@query("w2_top_features", once=True)
 def w2_top_features(spark, sf):
     si = _importance(spark, sf)
     return rk.top_n(si.select("feature", "imp_a"), [F.col("imp_a").desc(), F.col("feature").asc()], 10)
@@ -382,12 +386,12 @@ def s4_topk(spark, sf):
                     [F.col("estimated_clv_usd").desc(), F.col("customer_id").asc()], 20)
 
 
-@query("s5_argmax")
+@query("s5_argmax", once=True)
 def s5_argmax(spark, sf):
     return rk.arg_max(_ranked_models(spark, sf), "model", "f1")
 
 
-@query("s6_keyset_page")
+@query("s6_keyset_page", once=True)
 def s6_keyset_page(spark, sf):
     d = _directory(spark, sf)
     first = rk.keyset_page(d, "churn_probability", "id", None, sv.PAGE_SIZE).collect()  # 15 rows: bounded
@@ -410,7 +414,7 @@ def so2_unseen_categories(spark, sf):
     return so.unseen_categories(tr, te, RAW_CATEGORICAL)
 
 
-@query("so3_schema_alignment")
+@query("so3_schema_alignment", once=True)
 def so3_schema_alignment(spark, sf):
     tr, te = base.features(spark, sf)
     levels = fe.category_levels(tr, fe.CATEGORICAL_FEATURES)
@@ -502,26 +506,26 @@ def fe7_payment_reliability_train_stats(spark, sf):
     return te.select("customer_id", "payment_reliability", "nps_category")
 
 
-@query("fe17_one_hot")
+@query("fe17_one_hot", once=True)
 def fe17_one_hot(spark, sf):
     tr, _, _ = base.encoded(spark, sf)
     return tr
 
 
-@query("fe18_align_to_train")
+@query("fe18_align_to_train", once=True)
 def fe18_align_to_train(spark, sf):
     _, te, _ = base.encoded(spark, sf)
     return te
 
 
-@query("fe20_standardize")
+@query("fe20_standardize", once=True)
 def fe20_standardize(spark, sf):
     tr, te, feats = base.encoded(spark, sf)
     out = fe.standardize(tr, te, feats, keep=["customer_id"])
     return out.select("customer_id", *[F.bround(F.col(f"`{c}`"), 6).alias(c) for c in feats])
 
 
-@query("fe21_features_train_stats")
+@query("fe21_features_train_stats", once=True)
 def fe21_features_train_stats(spark, sf):
     tr, te = base.features(spark, sf, stats_from="train")
     return tr.unionByName(te)
@@ -568,12 +572,12 @@ def ml13_confusion_matrix(spark, sf):
     return me.confusion_matrix(_test_scored(spark, sf), "label", "churn_prediction")
 
 
-@query("ml14_roc_auc")
+@query("ml14_roc_auc", once=True)
 def ml14_roc_auc(spark, sf):
     return me.roc_auc(_test_scored(spark, sf), "label", "churn_probability")
 
 
-@query("ml14_roc_auc_by_fold")
+@query("ml14_roc_auc_by_fold", once=True)
 def ml14_roc_auc_by_fold(spark, sf):
     tr = base.train_test(spark, sf)[0]
     s = fo.stratified_folds(base.rule_scorers(tr), 5)
@@ -587,12 +591,12 @@ def ml8_soft_vote(spark, sf):
     return v.select("customer_id", F.bround("vote_probability", 6).alias("vote_probability"), "vote_prediction")
 
 
-@query("ml10_rank_models")
+@query("ml10_rank_models", once=True)
 def ml10_rank_models(spark, sf):
     return _ranked_models(spark, sf)
 
 
-@query("ml16_combined_importance")
+@query("ml16_combined_importance", once=True)
 def ml16_combined_importance(spark, sf):
     return _importance(spark, sf)
 
@@ -608,7 +612,7 @@ def ml18_rule_score_summary(spark, sf):
     return seg.prediction_totals(ml18_rule_score(spark, sf))
 
 
-@query("ml20_model_performance")
+@query("ml20_model_performance", once=True)
 def ml20_model_performance(spark, sf):
     return me.model_performance(_ranked_models(spark, sf))
 
@@ -641,38 +645,38 @@ def sv5_risk_band(spark, sf):
     return d.select("id", "riskScore", sv.risk_bar_colour(F.col("riskScore")).alias("colour"))
 
 
-@query("sv6_churn_drivers")
+@query("sv6_churn_drivers", once=True)
 def sv6_churn_drivers(spark, sf):
     return imp.churn_drivers(_importance(spark, sf))
 
 
-@query("sv7_driver_percent")
+@query("sv7_driver_percent", once=True)
 def sv7_driver_percent(spark, sf):
     return imp.driver_percent(imp.churn_drivers(_importance(spark, sf)))
 
 
-@query("sv8_retention_levers")
+@query("sv8_retention_levers", once=True)
 def sv8_retention_levers(spark, sf):
     tr, _ = base.train_test(spark, sf)
     trf, _ = base.features(spark, sf)
     return sv.retention_levers(tr, trf)
 
 
-@query("sv9_campaign_sizing")
+@query("sv9_campaign_sizing", once=True)
 def sv9_campaign_sizing(spark, sf):
     tr, te = base.train_test(spark, sf)
     trf, _ = base.features(spark, sf)
     return sv.campaign_sizing(tr, te, trf, base.reference_scores(te))
 
 
-@query("sv10_insight_gaps")
+@query("sv10_insight_gaps", once=True)
 def sv10_insight_gaps(spark, sf):
     tr, _ = base.train_test(spark, sf)
     trf, _ = base.features(spark, sf)
     return sv.insight_gaps(tr, trf)
 
 
-@query("ag22_engagement_impact_merge")
+@query("ag22_engagement_impact_merge", once=True)
 def ag22_engagement_impact_merge(spark, sf):
     return seg.engagement_impact(base.features(spark, sf)[0], on_duplicate="merge")
 
@@ -698,13 +702,13 @@ def _scratch(spark, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/churnlake-io/{name}-{uuid.uuid4().hex}"
 
 
-@query("ml1_importance_scan")
+@query("ml1_importance_scan", once=True)
 def ml1_importance_scan(spark, sf):
     mm, _, feats = _mm(spark, sf)
     return mo.importance_scan(mm, feats)
 
 
-@query("ml3_compare_models")
+@query("ml3_compare_models", once=True)
 def ml3_compare_models(spark, sf):
     mm, _, _ = _mm(spark, sf)
     return mo.compare_models(mm)
@@ -716,13 +720,13 @@ def ml4_class_weighting(spark, sf):
     return seg.with_class_weight(tr.select("customer_id", "churned"))
 
 
-@query("ml5_random_search")
+@query("ml5_random_search", once=True)
 def ml5_random_search(spark, sf):
     mm, _, _ = _mm(spark, sf)
     return mo.random_search(mm, "gbt", n_trials=10, k=5)
 
 
-@query("ml6_smote")
+@query("ml6_smote", once=True)
 def ml6_smote(spark, sf):
     from pyspark.ml.functions import vector_to_array
     mm, _, _ = _mm(spark, sf)
@@ -730,20 +734,20 @@ def ml6_smote(spark, sf):
     return syn.select("label", "is_synthetic", vector_to_array("features").alias("features"))
 
 
-@query("so5_union_synthetic")
+@query("so5_union_synthetic", once=True)
 def so5_union_synthetic(spark, sf):
     mm, _, _ = _mm(spark, sf)
     both = rs.oversample(mm.select("customer_id", "label", "features"), id_col="customer_id")
     return both.groupBy(F.col("label").cast("int").alias("label"), "is_synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ml7_resampled_cv")
+@query("ml7_resampled_cv", once=True)
 def ml7_resampled_cv(spark, sf):
     mm, _, _ = _mm(spark, sf)
     return mo.compare_models(mm, ["gbt_a"], resample=mo.oversample_matrix, suffix=" + SMOTE")
 
 
-@query("ml8_soft_vote_models")
+@query("ml8_soft_vote_models", once=True)
 def ml8_soft_vote_models(spark, sf):
     mm, _, _ = _mm(spark, sf)
     return mo.soft_vote_cv(mm, _stack_base())
@@ -754,13 +758,13 @@ def _stack_base():
     return {"rf": ls["Random Forest"], "gbt_a": ls["gbt_a"], "gbt_b": ls["gbt_b"]}
 
 
-@query("ml9_stacking")
+@query("ml9_stacking", once=True)
 def ml9_stacking(spark, sf):
     mm, _, _ = _mm(spark, sf)
     return mo.holdout_evaluate(mm, lambda tr: mo.stacking_fit(tr, _stack_base(), k=5))
 
 
-@query("j4_stacking_alignment")
+@query("j4_stacking_alignment", once=True)
 def j4_stacking_alignment(spark, sf):
     mm, _, _ = _mm(spark, sf)
     oof = None
@@ -789,13 +793,13 @@ def _champion(spark, sf):
     return ranked, fit, mm, mt, feats, (tune, hold)
 
 
-@query("ml11_champion_refit")
+@query("ml11_champion_refit", once=True)
 def ml11_champion_refit(spark, sf):
     ranked, fit, mm, mt, _, _ = _champion(spark, sf)
     return mo.predictions_table(mo.score_frame(fit(mm), mt))
 
 
-@query("ml15_model_importances")
+@query("ml15_model_importances", once=True)
 def ml15_model_importances(spark, sf):
     mm, _, feats = _mm(spark, sf)
     ls = mo.learners()
@@ -804,14 +808,14 @@ def ml15_model_importances(spark, sf):
     return imp.combined_importance(a.select("feature"), a, b)
 
 
-@query("ml17_score")
+@query("ml17_score", once=True)
 def ml17_score(spark, sf):
     mm, mt, _ = _mm(spark, sf)
     model = mo.learners()["Logistic Regression"]().fit(mm)
     return mo.predictions_table(mo.score_frame(model, mt))
 
 
-@query("ml19_model_summary")
+@query("ml19_model_summary", once=True)
 def ml19_model_summary(spark, sf):
     ranked, fit, mm, mt, _, split = _champion(spark, sf)
     ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(fit(tr)), split=split)
@@ -822,7 +826,7 @@ def ml19_model_summary(spark, sf):
 
 
 # ------------------------------------------------------------ documents, sinks
-@query("fe19_assemble")
+@query("fe19_assemble", once=True)
 def fe19_assemble(spark, sf):
     from pyspark.ml.functions import vector_to_array
     mm, _, _ = _mm(spark, sf)
@@ -847,13 +851,13 @@ def _metadata_doc(spark, sf):
         F.struct("not_churned", "churned", "churn_rate").alias("class_distribution"))
 
 
-@query("fe22_metadata_document")
+@query("fe22_metadata_document", once=True)
 def fe22_metadata_document(spark, sf):
     d = _metadata_doc(spark, sf)
     return d.select(F.to_json(F.struct(*d.columns)).alias("json"))
 
 
-@query("io2_read_document")
+@query("io2_read_document", once=True)
 def io2_read_document(spark, sf):
     path = _scratch(spark, "metadata")
     sinks.write_document(_metadata_doc(spark, sf), path)
@@ -884,7 +888,7 @@ def _dashboard(spark, sf):
     })
 
 
-@query("sv11_dashboard_document")
+@query("sv11_dashboard_document", once=True)
 def sv11_dashboard_document(spark, sf):
     return _dashboard(spark, sf)
 
@@ -896,7 +900,7 @@ def sc16_document_build(spark, sf):
                                       .alias("json"))
 
 
-@query("io4_write_document")
+@query("io4_write_document", once=True)
 def io4_write_document(spark, sf):
     path = _scratch(spark, "dashboard")
     sinks.write_document(_dashboard(spark, sf), path)
@@ -908,7 +912,7 @@ def sc17_current_timestamp(spark, sf):
     return base.customers(spark, sf).agg(F.count(F.lit(1)).alias("rows")).withColumn("created_at", F.current_timestamp())
 
 
-@query("io5_source_or_fallback")
+@query("io5_source_or_fallback", once=True)
 def io5_source_or_fallback(spark, sf):
     """Both branches: from a written scores table, and from the scores where none was written."""
     written, missing = _scratch(spark, "predictions"), _scratch(spark, "predictions-not-written")

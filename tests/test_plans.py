@@ -32,3 +32,32 @@ def test_no_python_udf_in_s_plans(spark, name):
     plan = _plan(E.queries()[name](spark, SF))
     for marker in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
         assert marker not in plan, (name, marker)
+
+
+@pytest.mark.parametrize("name", ["fe21_feature_table", "ag16_correlated_pairs", "ag19_data_dictionary", "ag20_kpis", "ml10_rank_models", "ml14_roc_auc",
+                                  "ml16_combined_importance", "sv8_retention_levers", "sv9_campaign_sizing", "sv10_insight_gaps", "sv11_dashboard_document", "io4_write_document"])
+def test_customer_table_is_built_once(spark, name, monkeypatch):
+    """The line-item join runs once per query, jobs at build included: the table is written, the rest reads it."""
+    from churnlake.plans import base
+    builds = []
+    real = base.build_customers
+    monkeypatch.setattr(base, "build_customers", lambda *a: builds.append(a) or real(*a))
+    df = E.queries()[name](spark, SF)
+    df.collect()
+    assert len(builds) == 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan
+
+
+def test_wide_category_becomes_a_sparse_vector(spark):
+    from pyspark.ml.functions import vector_to_array
+    from churnlake.operators import features as fe
+    tr = spark.range(2500).selectExpr("id", "concat('v', id % 1200) wide", "concat('n', id % 3) narrow")
+    te = spark.createDataFrame([(1, "v7", "n1"), (2, "new", None), (3, None, "n0")], "id long, wide string, narrow string")
+    levels = fe.category_levels(tr, ["wide", "narrow"])
+    assert levels == {"narrow": ["n0", "n1", "n2"]}
+    a, b = fe.one_hot_wide(tr, [tr, te], ["wide"])
+    assert a.columns == ["id", "narrow", "wide_onehot"]
+    sums = [sum(r[0]) for r in b.orderBy("id").select(vector_to_array("wide_onehot")).collect()]
+    assert sums == [1.0, 0.0, 0.0]
+    assert {sum(r[0]) for r in a.limit(50).select(vector_to_array("wide_onehot")).collect()} == {1.0}
