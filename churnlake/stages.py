@@ -1,7 +1,8 @@
 """The three stages a user of the reference runs, as Spark jobs.
 
-``clean``   customer table -> cleaned train/test tables, ML-ready (encoded)
-            tables, feature metadata document, data dictionary;
+``clean``   customer table -> quality report tables, cleaned train/test
+            tables, ML-ready (encoded) tables, feature metadata document,
+            data dictionary;
 ``train``   ML-ready tables -> model comparison, tuned search, champion refit,
             holdout metrics, test predictions, feature importance, model
             summary document;
@@ -24,9 +25,10 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.scalar import clip, strip_ws
 from .operators import features as fe
 from .operators import importance as imp
 from .operators import metrics as me
@@ -34,18 +36,53 @@ from .operators import models as mo
 from .operators import profile as pr
 from .operators import segments as seg
 from .operators import serving as sv
+from .operators.projections import is_member
 from .sources import sinks
-from .sources.customers import ID_COL, LEAKAGE_COLS, TARGET_COL, build_customers, split_frames
+from .sources.customers import CHURN_ACTIONS, ID_COL, LEAKAGE_COLS, TARGET_COL, build_customers, split_frames
 
 
 def _p(out: str, name: str) -> str:
     return f"{out.rstrip('/')}/{name}"
 
 
+NPS_RANGE = (-100, 100)
+
+
+def tidy(df: DataFrame) -> DataFrame:
+    """Strings stripped, NaN to NULL, the NPS clamped to its range."""
+    def one(f):
+        c = F.col(f.name)
+        if f.dataType.simpleString() == "string":
+            c = strip_ws(c)
+        elif f.dataType.simpleString() in ("double", "float"):
+            c = F.when(~F.isnan(c), c)
+        return (clip(c, *NPS_RANGE) if f.name == "nps_score" else c).cast(f.dataType).alias(f.name)
+    return df.select(*[one(f) for f in df.schema.fields])
+
+
+def quality_report(train: DataFrame, out: str) -> None:
+    """AG1-AG12 on the train table, one CSV table each, under ``out``/quality."""
+    numbers = [c for c in pr.columns_of_type(train, ["numeric"]) if c != TARGET_COL]
+    texts = [c for c in pr.columns_of_type(train, ["string"]) if c not in (ID_COL, "split")]
+    tables = {
+        "shape": pr.shape(train), "column_profile": pr.column_profile(train),
+        "target_distribution": pr.target_distribution(train), "imbalance_ratio": pr.imbalance_ratio(train),
+        "missing_values": pr.missing_values(train), "duplicate_rows": pr.duplicate_rows(train),
+        "duplicate_ids": pr.duplicate_ids(train), "negative_values": pr.negative_values(train, fe.NON_NEGATIVE),
+        "range_check": pr.range_check(train, {"nps_score": NPS_RANGE, "email_open_rate": (0, 1), "discount_usage_rate": (0, 1)}),
+        "int_ranges": pr.int_ranges(train), "iqr_outliers": pr.iqr_outliers(train, numbers),
+        "leakage_scan": pr.leakage_scan(train, texts),
+    }
+    for name, t in tables.items():
+        sinks.write_csv(t, _p(out, f"quality/{name}"))
+
+
 def clean(spark: SparkSession, data_dir: str, out: str, stats_from: str = "self") -> dict:
-    """Stage 1: cleaned + engineered tables, encoded tables, metadata."""
-    cust = build_customers(spark, data_dir)
-    train, test = split_frames(cust)
+    """Stage 1: quality report, cleaned + engineered tables, encoded tables, metadata."""
+    sinks.write_table(build_customers(spark, data_dir), _p(out, "customers_raw"))
+    raw = spark.read.parquet(_p(out, "customers_raw"))
+    quality_report(split_frames(raw)[0], out)
+    train, test = split_frames(tidy(raw))
     tr_f, te_f = fe.fit_transform_split(train, test, stats_from=stats_from)
     sinks.write_table(tr_f.drop(*LEAKAGE_COLS), _p(out, "train_cleaned"))
     sinks.write_table(te_f.drop(*LEAKAGE_COLS, TARGET_COL), _p(out, "test_cleaned"))
@@ -144,9 +181,19 @@ def extract(spark: SparkSession, out: str) -> None:
     sinks.write_document(doc, _p(out, "dashboard"))
 
 
+def submit(spark: SparkSession, out: str) -> dict:
+    """Rule-scored submission (ML18): a customer whose recommended action is
+    one of the churn actions is predicted to churn."""
+    test = split_frames(tidy(spark.read.parquet(_p(out, "customers_raw"))))[1]
+    rows = test.select(ID_COL, is_member("recommended_action", CHURN_ACTIONS).alias("churn_prediction"))
+    sinks.write_csv(rows, _p(out, "submission"))
+    totals = rows.agg(F.count(F.lit(1)).alias("total"), F.sum("churn_prediction").cast("long").alias("predicted_churned")).head()
+    return totals.asDict()
+
+
 def main(argv: list[str] | None = None) -> None:
     ap = argparse.ArgumentParser(prog="churnlake.stages")
-    ap.add_argument("stage", choices=["clean", "train", "extract", "all"])
+    ap.add_argument("stage", choices=["clean", "train", "extract", "submit", "all"])
     ap.add_argument("--data", help="folder with the input parquet tables (clean)")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--trials", type=int, default=10)
@@ -164,6 +211,8 @@ def main(argv: list[str] | None = None) -> None:
         train(spark, args.out, n_trials=args.trials)
     if args.stage in ("extract", "all"):
         extract(spark, args.out)
+    if args.stage in ("submit", "all"):
+        submit(spark, args.out)
 
 
 if __name__ == "__main__":

@@ -20,3 +20,14 @@ def test_three_stages_end_to_end(spark):
     assert d.count() == spark.read.parquet(f"{out}/test_cleaned").count()
     md = json.loads(spark.read.text(f"{out}/feature_metadata").head()[0])
     assert md["class_distribution"]["churned"] + md["class_distribution"]["not_churned"] == meta["train_shape"][0]
+    totals = stages.submit(spark, out)
+    assert totals["total"] == d.count() == spark.read.option("header", True).csv(f"{out}/submission").count()
+    assert 0 < totals["predicted_churned"] < totals["total"]
+    shape = spark.read.option("header", True).csv(f"{out}/quality/shape").head()
+    assert int(shape["rows"]) == meta["train_shape"][0]
+    assert spark.read.option("header", True).csv(f"{out}/quality/iqr_outliers").count() > 5
+
+
+def test_tidy_strips_clamps_and_nulls(spark):
+    df = spark.createDataFrame([(" a\t", 150, float("nan"), 1), (None, -300, 2.5, None)], "t string, nps_score int, x double, n int")
+    assert [tuple(r) for r in stages.tidy(df).collect()] == [("a", 100, None, 1), (None, -100, 2.5, None)]
