@@ -7,12 +7,12 @@ tables, with the customer table of FIXTURES.md F1 as a CTE. Long column lists
 
 from __future__ import annotations
 
-from ..operators.features import (AGE_LABELS, CATEGORICAL_FEATURES, NEW_FEATURES, NON_NEGATIVE, NPS_LABELS,
-                                  NUMERICAL_FEATURES, RATE_COLS, RECENCY_EDGES, RECENCY_LABELS, TENURE_LABELS)
-from ..operators.segments import PAYMENT_EDGES, PAYMENT_LABELS, TENURE_IMPACT_EDGES, TENURE_IMPACT_LABELS
-from ..sources.customers import CHANNELS, CHURN_ACTIONS, CUSTOMER_SCHEMA
+from ..sources.customers import CUSTOMER_SCHEMA
 from .catalog import FEATURE_IDS
 from .oracle_base import base_ctes, cut_sql, scorer_long_cte, scorers_cte, scores_cte, with_features
+from .oracle_values import (AGE_LABELS, CATEGORICAL_FEATURES, CHANNELS, CHURN_ACTIONS, NEW_FEATURES, NON_NEGATIVE, NPS_LABELS,
+                            NUMERICAL_FEATURES, PAYMENT_EDGES, PAYMENT_LABELS, RATE_COLS, RECENCY_EDGES, RECENCY_LABELS,
+                            TENURE_IMPACT_EDGES, TENURE_IMPACT_LABELS, TENURE_LABELS)
 
 ORACLES: dict[str, str] = {}
 

@@ -101,7 +101,7 @@ def cut_sql(x: str, edges, labels, right: bool = True) -> str:
 
 def features_sql(src: str, stats_src: str | None = None) -> str:
     """FE4-FE16 over table ``src`` with statistics of ``stats_src`` (default: itself)."""
-    from ..operators.features import (AGE_EDGES, AGE_LABELS, NPS_LABELS, RECENCY_EDGES, RECENCY_LABELS,
+    from .oracle_values import (AGE_EDGES, AGE_LABELS, NPS_LABELS, RECENCY_EDGES, RECENCY_LABELS,
                                       TENURE_EDGES, TENURE_LABELS)
     st = stats_sql(stats_src or src)
     t1 = "CASE WHEN s.tenure_months IS NULL THEN NULL ELSE greatest(s.tenure_months, 1) END"
