@@ -219,10 +219,7 @@ def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int =
     param grid (``n_trials`` is honoured, R8)."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
     from pyspark.ml.tuning import CrossValidator
-    if kind == "gbt":
-        est, space = GBTClassifier(weightCol="pos_weight", seed=seed), GBT_SPACE
-    else:
-        est, space = RandomForestClassifier(weightCol="weight", seed=seed), RF_SPACE
+    est, space = tuned_factory(kind, {})(), (RF_SPACE if kind == "rf" else GBT_SPACE)
     trials = sample_params(space, n_trials, seed)
     grid = [{est.getParam(n): v for n, v in t.items()} for t in trials]
     folded = fold_matrix(mm, k).select("label", "weight", "pos_weight", "features", "fold")
@@ -236,9 +233,10 @@ def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int =
 
 
 def tuned_factory(kind: str, params: dict) -> Callable[[], Estimator]:
-    if kind == "gbt":
-        return lambda: GBTClassifier(weightCol="pos_weight", seed=SEED, **params)
-    return lambda: RandomForestClassifier(weightCol="weight", seed=SEED, **params)
+    """``gbt`` or ``gbt_a`` (positive class weighted), ``gbt_b`` (balanced weights), ``rf``."""
+    if kind == "rf":
+        return lambda: RandomForestClassifier(weightCol="weight", seed=SEED, **params)
+    return lambda: GBTClassifier(weightCol="weight" if kind == "gbt_b" else "pos_weight", seed=SEED, **params)
 
 
 def stacking_fit(mm: DataFrame, base: dict[str, Callable[[], Estimator]], k: int = 5):
@@ -349,3 +347,77 @@ def soft_vote_cv(mm: DataFrame, members: dict[str, Callable[[], Estimator]], k:
     avg = sum((F.col(f"_s_{n}") for n in list(members)[1:]), F.col(f"_s_{list(members)[0]}")) / float(len(members))
     voted = oof.select("fold", "label", avg.alias("score"), (avg >= threshold).cast("int").alias("prediction"))
     return cv_metrics(voted)
+
+
+# ------------------------------------------------------------------ the race
+
+VOTE, STACK = "Ensemble (Soft Vote)", "Stacking"
+SMOTE = " + SMOTE"
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def _vote_of(parts: dict[str, DataFrame], keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """Mean of the members' scores, joined on the customer id."""
+    out = None
+    for i, p in enumerate(parts.values()):
+        p = p.select(*keys, F.col("score").alias(f"_s{i}"))
+        out = p if out is None else out.join(p.select(ID_COL, f"_s{i}"), ID_COL)
+    mean = sum((F.col(f"_s{i}") for i in range(1, len(parts))), F.col("_s0")) / float(len(parts))
+    return out.select(*keys, mean.alias("score")).withColumn("prediction", (F.col("score") >= threshold).cast("int"))
+
+
+def contenders(members: dict[str, Callable[[], Estimator]], k: int = 5) -> dict[str, Callable[[DataFrame], Scorer]]:
+    """Name -> fit function (train rows -> scorer) of every contender: each
+    member and its SMOTE variant, the soft votes of both, stacking."""
+    def single(fac, resampled):
+        def fit(d: DataFrame) -> Scorer:
+            if not resampled:
+                model = fac().fit(d)
+            else:
+                both = oversample_matrix(d).persist()
+                try:
+                    model = fac().fit(both)
+                finally:
+                    both.unpersist()
+            return lambda x: score_frame(model, x)
+        return fit
+
+    def vote(resampled):
+        def fit(d: DataFrame) -> Scorer:
+            scorers = {n: single(f, resampled)(d) for n, f in members.items()}
+            return lambda x: _vote_of({n: s(x) for n, s in scorers.items()}, [ID_COL, "label"])
+        return fit
+
+    out = {n: single(f, False) for n, f in members.items()}
+    out |= {n + SMOTE: single(f, True) for n, f in members.items()}
+    return out | {VOTE: vote(False), "Ensemble" + SMOTE: vote(True), STACK: lambda d: stacking_fit(d, members, k)}
+
+
+def race(mm: DataFrame, members: dict[str, Callable[[], Estimator]], k: int = 5) -> DataFrame:
+    """ML3 + ML7-ML10: model and cross-validated metrics of every contender.
+
+    All contenders share one fold assignment. The votes average the members'
+    out-of-fold scores (the vote's fold-i model is its members' fold-i
+    models). Stacking is cross-validated honestly: in each outer fold the
+    base learners, their inner out-of-fold scores and the meta learner see
+    the other folds only."""
+    folded = fold_matrix(mm, k)
+    keys = [ID_COL, "label", "fold"]
+    oof: dict[str, DataFrame] = {}
+    for suffix, resample in (("", None), (SMOTE, oversample_matrix)):
+        parts = {n + suffix: _oof(f, folded, k, resample, None).select(*keys, "score", "prediction").checkpoint(eager=True)
+                 for n, f in members.items()}
+        oof |= parts
+        oof["Ensemble" + SMOTE if suffix else VOTE] = _vote_of(parts, keys)
+    stacked = None
+    for i in range(k):
+        score = stacking_fit(folded.filter(F.col("fold") != i).drop("fold"), members, k)
+        part = score(folded.filter(F.col("fold") == i).drop("fold")).withColumn("fold", F.lit(i)).select(*keys, "score", "prediction")
+        part = part.checkpoint(eager=True)
+        stacked = part if stacked is None else stacked.unionByName(part)
+    oof[STACK] = stacked
+    every = None
+    for name, p in oof.items():
+        p = p.select(*keys, "score", "prediction").withColumn("model", F.lit(name))
+        every = p if every is None else every.unionByName(p)
+    return cv_metrics(every, ["model"]).select("model", *METRICS)

@@ -775,28 +775,26 @@ def j4_stacking_alignment(spark, sf):
 
 
 def _champion(spark, sf):
-    """Split off the holdout first (R11); rank candidates by CV F1 on the
-    tuning rows only (ML10 over ML3/ML7 results); the champion's fit function
-    resamples first when its name says so (ML11)."""
+    """Split off the holdout first (R11); rank all contenders of the race
+    (members, SMOTE variants, soft votes, stacking) by CV F1 on the tuning
+    rows only (ML10); the champion of any kind is refitted (ML11)."""
     mm, mt, feats = _mm(spark, sf)
     tune, hold = mo.split_holdout(mm)
-    ls = mo.learners()
-    cmp_ = mo.compare_models(tune, ["Logistic Regression", "gbt_a"], k=3).unionByName(
-        mo.compare_models(tune, ["gbt_a"], k=3, resample=mo.oversample_matrix, suffix=" + SMOTE"))
-    ranked = me.rank_models(cmp_.drop("seconds"))
+    ranked = me.rank_models(mo.race(tune, _stack_base())).checkpoint(eager=True)  # nine rows
     name = ranked.filter("is_champion").head()["model"]
-    use_smote = name.endswith(" + SMOTE")
-    factory = ls[name.replace(" + SMOTE", "")]
+    return ranked, mo.contenders(_stack_base())[name], mm, mt, feats, (tune, hold)
+
 
-    def fit(d):
-        return factory().fit(mo.oversample_matrix(d) if use_smote else d)
-    return ranked, fit, mm, mt, feats, (tune, hold)
+@query("ml10_race", once=True)
+def ml10_race(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return me.rank_models(mo.race(mm, _stack_base()))
 
 
 @query("ml11_champion_refit", once=True)
 def ml11_champion_refit(spark, sf):
-    ranked, fit, mm, mt, _, _ = _champion(spark, sf)
-    return mo.predictions_table(mo.score_frame(fit(mm), mt))
+    _, fit, mm, mt, _, _ = _champion(spark, sf)
+    return mo.predictions_table(fit(mm)(mt))
 
 
 @query("ml15_model_importances", once=True)
@@ -818,8 +816,8 @@ def ml17_score(spark, sf):
 @query("ml19_model_summary", once=True)
 def ml19_model_summary(spark, sf):
     ranked, fit, mm, mt, _, split = _champion(spark, sf)
-    ho = mo.holdout_evaluate(mm, lambda tr: (lambda m: (lambda d: mo.score_frame(m, d)))(fit(tr)), split=split)
-    preds = mo.predictions_table(mo.score_frame(fit(mm), mt))
+    ho = mo.holdout_evaluate(mm, fit, split=split)
+    preds = mo.predictions_table(fit(mm)(mt))
     top = imp.churn_drivers(_importance(spark, sf)).select("feature")
     doc = mo.model_summary(ranked, ho, preds, top)
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))

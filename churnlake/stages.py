@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import argparse
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from .operators import profile as pr
 from .operators import segments as seg
 from .operators import serving as sv
 from .operators.projections import is_member
+from .session import ensure_checkpoint_dir, input_bytes, tune_for_scale
 from .sources import sinks
 from .sources.customers import CHURN_ACTIONS, ID_COL, LEAKAGE_COLS, TARGET_COL, build_customers, split_frames
 
@@ -109,8 +111,12 @@ def clean(spark: SparkSession, data_dir: str, out: str, stats_from: str = "self"
     return meta
 
 
-def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_trials: int = 10, k: int = 5) -> dict:
-    """Stage 2: compare, tune, rank, refit the champion, score test."""
+def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_trials: int = 10, k: int = 5,
+          kinds: Sequence[str] = ("gbt_a", "gbt_b", "rf")) -> dict:
+    """Stage 2: compare the untuned learners; tune one learner of each of
+    ``kinds``; race the tuned ones, their SMOTE variants, both soft votes
+    and stacking; rank, refit the champion of whatever kind, score test."""
+    ensure_checkpoint_dir(spark)
     tr_e = spark.read.parquet(_p(out, "train_ml_ready"))
     te_e = spark.read.parquet(_p(out, "test_ml_ready"))
     feats = fe.encoded_feature_names(tr_e.columns)
@@ -122,28 +128,31 @@ def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_tr
     # search or ranking; the champion is refitted on all rows afterwards
     tune, hold = mo.split_holdout(mm)
     names = learners or list(mo.learners())
-    results = mo.compare_models(tune, names, k=k)
+    results = mo.compare_models(tune, names, k=k).drop("seconds")
+    fits = {n: (lambda d, f=f: (lambda m_: (lambda x: mo.score_frame(m_, x)))(f().fit(d))) for n, f in mo.learners().items()}
+    tuned: dict = {}
     if n_trials:
-        search = mo.random_search(tune, "gbt", n_trials=n_trials, k=k)
-        sinks.write_csv(search, _p(out, "tuning_trials"))
-        best = json.loads(search.orderBy(F.desc("f1"), "trial").head()["params"])
-        tuned = mo.tuned_factory("gbt", best)
-        m = mo.cv_metrics(mo.cross_val_predict(tuned, tune, k)).head()
-        results = results.unionByName(spark.createDataFrame(
-            [("gbt (tuned)", m["accuracy"], m["f1"], m["precision"], m["recall"], m["roc_auc"], None)], results.schema))
-    ranked = me.rank_models(results.drop("seconds"))
+        trials = None
+        for kind in kinds:
+            search = mo.random_search(tune, kind, n_trials=n_trials, k=k).withColumn("learner", F.lit(kind))
+            best = json.loads(search.orderBy(F.desc("f1"), "trial").head()["params"])
+            tuned[f"{kind} (tuned)"] = mo.tuned_factory(kind, best)
+            trials = search if trials is None else trials.unionByName(search)
+        sinks.write_csv(trials, _p(out, "tuning_trials"))
+        results = results.unionByName(mo.race(tune, tuned, k))
+        fits |= mo.contenders(tuned, k)
+    ranked = me.rank_models(results).checkpoint(eager=True)  # one row per contender
     sinks.write_csv(ranked, _p(out, "model_results"))
     champ = ranked.filter("is_champion").head()["model"]
-    factory = (tuned if champ == "gbt (tuned)" else mo.learners()[champ])
-    holdout = mo.holdout_evaluate(mm, lambda d: (lambda m_: (lambda x: mo.score_frame(m_, x)))(factory().fit(d)),
-                                  split=(tune, hold))
-    model = factory().fit(mm)
-    preds = mo.predictions_table(mo.score_frame(model, mt))
+    holdout = mo.holdout_evaluate(mm, fits[champ], split=(tune, hold))
+    preds = mo.predictions_table(fits[champ](mm)(mt))
     sinks.write_table(preds, _p(out, "test_predictions"))
     preds = spark.read.parquet(_p(out, "test_predictions"))
+    # the importances of the tuned models, where there are any
     ls = mo.learners()
-    a = mo.model_importances(ls["gbt_a"]().fit(mm), feats).withColumnRenamed("importance", "imp_a")
-    b = mo.model_importances(ls["gbt_b"]().fit(mm), feats).withColumnRenamed("importance", "imp_b")
+    of = lambda kind: mo.model_importances(tuned.get(f"{kind} (tuned)", ls[kind])().fit(mm), feats)
+    a = of("gbt_a").withColumnRenamed("importance", "imp_a")
+    b = of("gbt_b").withColumnRenamed("importance", "imp_b")
     comb = imp.combined_importance(a.select("feature"), a, b)
     sinks.write_csv(comb, _p(out, "feature_importance"))
     top = imp.churn_drivers(spark.read.option("header", True).schema(comb.schema).csv(_p(out, "feature_importance")))
@@ -199,7 +208,6 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--trials", type=int, default=10)
     args = ap.parse_args(argv)
     spark = SparkSession.builder.appName("churnlake-stages").getOrCreate()
-    from .session import ensure_checkpoint_dir, input_bytes, tune_for_scale
     ensure_checkpoint_dir(spark)
     if args.data:
         from .sources.tables import table_path

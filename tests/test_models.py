@@ -39,3 +39,21 @@ def test_holdout_split_up_front_is_disjoint_and_stratified(spark):
     tot = {r["label"]: r["count"] for r in mm.groupBy("label").count().collect()}
     for c in tot:
         assert per[c] == round(0.2 * tot[c])
+
+
+def test_every_kind_of_champion_scores_every_row(spark):
+    """Members, SMOTE variants, votes and stacking each refit and score; the vote lies between its members."""
+    mm, mt, _ = cat._mm(spark, "/root/testdata/sf0.001")
+    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    members = {"lr": lambda: LogisticRegression(weightCol="weight", regParam=0.01, maxIter=20),
+               "rf": lambda: RandomForestClassifier(weightCol="weight", numTrees=5, seed=1)}
+    fits = mo.contenders(members, k=2)
+    assert set(fits) == {"lr", "rf", "lr + SMOTE", "rf + SMOTE", mo.VOTE, "Ensemble + SMOTE", mo.STACK}
+    scores = {}
+    for name, fit in fits.items():
+        rows = fit(mm)(mt).collect()
+        assert len(rows) == mt.count() and all(0 <= r["score"] <= 1 for r in rows)
+        scores[name] = {r["customer_id"]: r["score"] for r in rows}
+    for c, v in scores[mo.VOTE].items():
+        lo, hi = sorted((scores["lr"][c], scores["rf"][c]))
+        assert lo - 1e-12 <= v <= hi + 1e-12

@@ -8,8 +8,11 @@ def test_three_stages_end_to_end(spark):
     out = tempfile.mkdtemp(prefix="churnlake-stages-")
     meta = stages.clean(spark, "/root/testdata/sf0.001", out)
     assert meta["total_encoded_features"] == 61 and meta["train_shape"][1] == 63
-    res = stages.train(spark, out, learners=["Logistic Regression", "Random Forest"], n_trials=2, k=3)
-    assert res["champion"] in ("Logistic Regression", "Random Forest", "gbt (tuned)")
+    res = stages.train(spark, out, learners=["Logistic Regression", "Random Forest"], n_trials=2, k=2, kinds=["gbt_a", "rf"])
+    names = {r["model"] for r in spark.read.option("header", True).csv(f"{out}/model_results").collect()}
+    assert names == {"Logistic Regression", "Random Forest", "gbt_a (tuned)", "rf (tuned)", "gbt_a (tuned) + SMOTE",
+                     "rf (tuned) + SMOTE", "Ensemble (Soft Vote)", "Ensemble + SMOTE", "Stacking"}
+    assert res["champion"] in names
     stages.extract(spark, out)
     doc = json.loads(spark.read.text(f"{out}/dashboard").head()[0])
     assert doc["kpis"][0]["totalCustomers"] == 150
