@@ -13,17 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlake.llm import decontam, jaccard, langid, linededup, mixing
+from churnlake.llm.common import cut, small
 from churnlake.session import ensure_checkpoint_dir
 
 #: Documents whose language is less certain than this go, as do those without a letter.
 LEAST_SCORE = 0.4
 
 
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (doc_id, each once); null is an id like any other."""
+    ids = small(cut(ids.withColumnRenamed("doc_id", "_id")))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language of the labelled ones. Rows that share a doc_id stay or go by their best score; a null doc_id goes by itself."""
-    said = langid.label(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    keep = said.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    """Documents in a language of the labelled ones; rows that share a doc_id stay if one of them would."""
+    said = langid.label(docs).withColumn("ok", (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return _without(docs, said.groupBy("doc_id").agg(F.max("ok").alias("ok")).where("not ok").select("doc_id"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +39,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each class of near duplicates; rows that repeat it once."""
-    keep = jaccard.classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_id"), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One document, the one with the smallest doc_id, of each class of near duplicates; rows that repeat its doc_id go."""
+    kept = _without(docs, jaccard.classes(docs).where("doc_id <> component_id").select("doc_id").distinct())
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
