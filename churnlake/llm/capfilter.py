@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, hash128, memo, small
+from .common import components, cut, grouped, hash128, memo, small
 
 THRESHOLD = 0.95
 LISTS, BUCKET, BLOCK, LEAST_CODE, SEED = 32, 128, 2048, 24, 31
@@ -136,23 +136,6 @@ def _link_group(f: int, inner: bool, block: np.ndarray, low: int, node: np.ndarr
     return node[rows], counted[rows], node[parent[rows]]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole (f, lo, hi) groups of a sorted stream."""
-    held: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        held = pa.concat_tables([held, t]) if held is not None else t
-        keys = [held[c].to_numpy() for c in ("f", "lo", "hi")]
-        change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1
-        start = 0
-        for end in change:
-            yield held.slice(start, end - start)
-            start = end
-        held = held.slice(start)
-    if held is not None and held.num_rows:
-        yield held
-
-
 FOUND = "node long, links long, root long"
 
 
@@ -172,7 +155,7 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), part["node"].take(at), part["w"].take(at), part["x"].take(at), lists.take(at)], ["f", "node", "w", "x", "fs"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches):
+        for group in grouped(batches, ("f", "lo", "hi")):
             if group.num_rows < 2:
                 continue
             f, lo, hi = (group[c][0].as_py() for c in ("f", "lo", "hi"))

@@ -154,6 +154,28 @@ def as_signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The groups of rows with equal keys in a stream sorted by them, one at a time."""
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        of = [batch[c].to_numpy(zero_copy_only=False) for c in keys]
+        ends = [*(np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in of])) + 1).tolist(), batch.num_rows]
+        if parts and any(parts[-1][c][-1].as_py() != batch[c][0].as_py() for c in keys):
+            yield pa.Table.from_batches(parts)
+            parts = []
+        start = 0
+        for end in ends:
+            parts.append(batch.slice(start, end - start))
+            start = end
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(parts)
+                parts = []
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
 def memo(fn):
     """``fn`` with its results kept; unlike functools' caches it can be shipped to workers by value."""
     known: dict = {}

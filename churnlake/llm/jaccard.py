@@ -18,10 +18,11 @@ An empty subset is never a signature: a set with more of them than spare segment
 if only empty segments agree.
 
 Classes. Rows are dealt by signature and compared with their neighbours in a sorted stream; only shared signatures go on, and
-each piece of text sends one row of a signature. Pairs are verified exactly, in an order that avoids pairs within a class:
-each text with the smallest of its most frequent signature group, then the other smallest ones that are still in another
-class, at last every pair of a group in different classes. Before that a bound prunes: sets hashed into ``BINS`` counters differ by at
-least the counters' differences. Copies of a text are one node.
+each piece of text sends one row of a signature. A signature's hub is its smallest text. Each text is first verified with the hub
+it shares most signatures with (a bound prunes: sets hashed into ``BINS`` counters differ by at least the counters' differences).
+Texts that share a signature share its hub: the groups of hubs that still span several classes are then compared whole, in blocks
+of ``BLOCK`` texts, as exact matrix products of their sets; no pair is emitted, only a forest of the links. Copies of a text are one
+node.
 
 Defined results: null or wordless text has an empty set and links with nothing; rows without doc_id are left out; texts that
 share a doc_id are one node with the larger n_shingles; repeated rows are copies; empty tables give empty results; extra columns are
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Prefix, Words, as_signed, components, cut, hash128, memo, mix64, pieces, small
+from .common import Prefix, Words, as_signed, components, cut, grouped, hash128, memo, mix64, pieces, small
 
-SHINGLE, RATIO, WIDTH, BINS, SEEDS = 5, 1.3, 2.6, 32, 24
+SHINGLE, RATIO, WIDTH, BINS, SEEDS, BLOCK = 5, 1.3, 2.6, 32, 24, 512
 _U = np.uint64
 
 
@@ -233,40 +234,84 @@ def _possible(a: str, b: str):
     return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
+def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns hub, lo, hi, rid, comp, block, text, sorted by the first three: exact intersections of all sets of a block, or of two,
+    as a matrix product over the shingles they share; the links between different classes leave as a forest (a, b)."""
+    for group in grouped(batches, ("hub", "lo", "hi")):
+        if group.num_rows < 2:
+            continue
+        order = np.argsort(group["rid"].to_numpy(), kind="stable")
+        group = group.take(order).combine_chunks()
+        rid, comp, block = (group[c].to_numpy() for c in ("rid", "comp", "block"))
+        inner, low = group["lo"][0].as_py() == group["hi"][0].as_py(), group["lo"][0].as_py()
+        hs, sizes = [], []
+        for c in group["text"].chunks:
+            for _, _, data, offsets in pieces(c):
+                h, first = sets(data, offsets)
+                hs.append(h)
+                sizes.append(np.diff(first))
+        h, n = np.concatenate(hs), np.concatenate(sizes)
+        who = np.repeat(np.arange(len(n)), n)
+        _, name, df = np.unique(h, return_inverse=True, return_counts=True)
+        shared = df[name] > 1
+        _, name = np.unique(name[shared], return_inverse=True)
+        who = who[shared]
+        by_name = np.argsort(name, kind="stable")
+        name, who = name[by_name], who[by_name]
+        left = np.arange(len(n)) if inner else np.flatnonzero(block == low)
+        right = np.arange(len(n)) if inner else np.flatnonzero(block != low)
+        both = np.zeros((len(left), len(right)), np.float32)
+        place = np.zeros(len(n), np.int64)
+        for lo in range(0, int(name.max(initial=-1)) + 1, 4096):
+            a, b = np.searchsorted(name, (lo, lo + 4096))
+            m = np.zeros((len(n), 4096), np.float32)
+            m[who[a:b], name[a:b] - lo] = 1
+            both += m[left] @ m[right].T
+        i, j = np.nonzero((9 * both >= 4 * (n[left][:, None] + n[right][None, :])) & (both > 0) & (comp[left][:, None] != comp[right][None, :]))
+        if not len(i):
+            continue
+        i, j = left[i], right[j]
+        classes_, label = np.unique(comp, return_inverse=True)
+        parent = np.arange(len(classes_))
+        while True:
+            old = parent.copy()
+            np.minimum.at(parent, label[i], parent[label[j]])
+            np.minimum.at(parent, label[j], parent[label[i]])
+            parent = parent[parent]
+            if (parent == old).all():
+                break
+        moved = np.flatnonzero(parent != np.arange(len(parent)))
+        yield pa.RecordBatch.from_arrays([pa.array(classes_[moved]), pa.array(classes_[parent[moved]])], ["a", "b"])
+
+
 def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rid, n_shingles) of every text and (id, comp) of the texts that link. ``texts``: rid, text."""
     rows = texts.select("rid", "text").mapInArrow(_map_rows, ROWS)
     rows = cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(_reduce_rows, ROWS))
     info = rows.where(F.col("key") == SIZE).groupBy("rid").agg(F.max_by(F.struct(F.col("x").alias("n"), "bins"), "x").alias("i")).select("rid", "i.n", "i.bins")
     member = rows.where(F.col("key") == MEMBER).selectExpr("x sig", "rid").distinct()
-    hub = member.groupBy("sig").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    member = cut(member.join(hub, "sig").join(info, "rid").select("sig", "rid", "hub", "n", "bins"))
-    spokes = member.where("rid <> hub").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"), F.first("bins").alias("bins"))
-    spokes = spokes.alias("p").join(info.alias("q"), F.col("p.hub") == F.col("q.rid")).where(_possible("p", "q")).select("p.rid", "p.hub", "p.shared")
-    spokes = cut(spokes)
-    best = cut(spokes.groupBy("rid").agg(F.max_by("hub", F.struct("shared", F.negative("hub"))).alias("hub")).select(F.col("rid").alias("a"), F.col("hub").alias("b")))
+    hub = member.groupBy("sig").agg(F.min("rid").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").select("sig", "hub")
+    spokes = cut(member.join(hub, "sig").where("rid <> hub").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("shared")))
+    # First each text with the hub of most shared signatures.
+    near = spokes.join(info, "rid").alias("p").join(info.alias("q"), F.col("p.hub") == F.col("q.rid")).where(_possible("p", "q")).select("p.rid", "p.hub", "p.shared")
+    best = cut(near.groupBy("rid").agg(F.max_by("hub", F.struct("shared", F.negative("hub"))).alias("hub")).selectExpr("rid a", "hub b"))
     edges = cut(verify(best, texts))
     comp = components(edges)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        of = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-        out = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-    rest = cut(apart(spokes.selectExpr("rid a", "hub b").join(best, ["a", "b"], "left_anti")))
-    if not rest.isEmpty():
-        edges = cut(edges.union(verify(rest, texts)))
-        comp = components(edges)
-    label = member.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    mixed = label.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig")
-    left = cut(label.join(mixed, "sig").select("sig", "rid", "hub", "comp", "n", "bins"))
-    if not left.isEmpty():
-        p, q = left.alias("p"), left.alias("q")
-        on = (F.col("p.sig") == F.col("q.sig")) & (F.col("p.rid") < F.col("q.rid")) & (F.col("p.comp") != F.col("q.comp")) & (F.col("p.rid") != F.col("p.hub")) & _possible("p", "q")
-        pairs = cut(p.join(q, on).select(F.col("p.rid").alias("a"), F.col("q.rid").alias("b")).distinct())
-        if not pairs.isEmpty():
-            edges = cut(edges.union(verify(pairs, texts)))
-            comp = components(edges)
+    # Texts that share a signature share its hub: groups of a hub that span several classes are compared whole.
+    group = spokes.select("hub", "rid").union(spokes.selectExpr("hub", "hub rid").distinct())
+    group = group.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    mixed = group.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 <> c1")
+    mixed = cut(mixed.select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    if not mixed.isEmpty():
+        left = cut(group.join(small(mixed), "hub").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")))
+        wanted = cut(left.select("rid").distinct())
+        some = cut(texts.join(small(wanted), "rid").select("rid", "text"))
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+        left = left.join(some, "rid").select("hub", F.explode(cells).alias("c"), "rid", "comp", "block", "text").select("hub", "c.lo", "c.hi", "rid", "comp", "block", "text")
+        more = left.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi").mapInArrow(_link_groups, "a long, b long")
+        more = cut(more)
+        if not more.isEmpty():
+            comp = components(cut(edges.union(more)))
     return info.select("rid", F.col("n").alias("n_shingles")), comp
 
 
