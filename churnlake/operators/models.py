@@ -35,11 +35,15 @@ from .segments import class_weights
 
 SEED = 42
 
-# Model-size settings of the learners (re-aimed for Spark ML; documented in
-# the README): forests / boosting rounds are kept small enough for the
-# per-fold fits to stay interactive on local test scales.
-RF_TREES = 60
+# Sizes of the learners. A forest grows its trees side by side and has the
+# reference's size everywhere. Boosting rounds run one after the other, a few
+# Spark jobs each: the stages (``stages.train``) use the reference's rounds,
+# the registered queries GBT_ROUNDS, so that they stay interactive.
+RF_TREES = 300
+SCAN_TREES = 200
 GBT_ROUNDS = 30
+# Rounds of the reference's three boosters
+REFERENCE_ROUNDS = {"Gradient Boosting": 200, "gbt_a": 300, "gbt_b": 300}
 
 
 def model_matrix(enc: DataFrame, features: Sequence[str], stats_from: DataFrame | None = None,
@@ -71,9 +75,12 @@ def model_matrix(enc: DataFrame, features: Sequence[str], stats_from: DataFrame
 LR_REG = 1e-3
 
 
-def learners(rf_trees: int = RF_TREES, gbt_rounds: int = GBT_ROUNDS,
+def learners(rf_trees: int = RF_TREES, gbt_rounds: int | dict[str, int] = GBT_ROUNDS,
              lr_reg: float = LR_REG) -> dict[str, Callable[[], Estimator]]:
-    """Name -> estimator factory (features in 'features', label in 'label')."""
+    """Name -> estimator factory (features in 'features', label in 'label').
+    ``gbt_rounds``: one number, or the rounds by name (REFERENCE_ROUNDS)."""
+    rounds = gbt_rounds if isinstance(gbt_rounds, dict) else dict.fromkeys(REFERENCE_ROUNDS, gbt_rounds)
+
     def lr():
         # LogisticRegression standardises features internally (standardization=True),
         # which is the reference's "scaled features" without an extra scaler pass;
@@ -82,9 +89,9 @@ def learners(rf_trees: int = RF_TREES, gbt_rounds: int = GBT_ROUNDS,
     return {
         "Logistic Regression": lr,
         "Random Forest": lambda: RandomForestClassifier(numTrees=rf_trees, weightCol="weight", seed=SEED),
-        "Gradient Boosting": lambda: GBTClassifier(maxIter=gbt_rounds, maxDepth=3, seed=SEED),
-        "gbt_a": lambda: GBTClassifier(maxIter=gbt_rounds, maxDepth=3, stepSize=0.1, weightCol="pos_weight", seed=SEED),
-        "gbt_b": lambda: GBTClassifier(maxIter=gbt_rounds, maxDepth=5, stepSize=0.1, weightCol="weight",
+        "Gradient Boosting": lambda: GBTClassifier(maxIter=rounds["Gradient Boosting"], maxDepth=3, seed=SEED),
+        "gbt_a": lambda: GBTClassifier(maxIter=rounds["gbt_a"], maxDepth=3, stepSize=0.1, weightCol="pos_weight", seed=SEED),
+        "gbt_b": lambda: GBTClassifier(maxIter=rounds["gbt_b"], maxDepth=5, stepSize=0.1, weightCol="weight",
                                        subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED),
     }
 
@@ -154,13 +161,14 @@ def cv_metrics(oof: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def compare_models(mm: DataFrame, names: Sequence[str] | None = None, k: int = 5,
-                   resample: Callable[[DataFrame], DataFrame] | None = None, suffix: str = "") -> DataFrame:
+                   resample: Callable[[DataFrame], DataFrame] | None = None, suffix: str = "",
+                   ls: dict[str, Callable[[], Estimator]] | None = None) -> DataFrame:
     """ML3: model, accuracy, f1, precision, recall, roc_auc, seconds.
 
     Folds are assigned once; each learner's k fold fits run concurrently and
     its out-of-fold predictions are materialised (``seconds`` is that wall
     time); the metrics of all learners come from one grouped evaluation."""
-    ls = learners()
+    ls = ls or learners()
     folded = fold_matrix(mm, k)
     secs, oofs = [], []
     for name in (names or list(ls)):
@@ -292,7 +300,7 @@ def model_importances(model, features: Sequence[str]) -> DataFrame:
     return spark.createDataFrame([(f, float(v) / tot) for f, v in zip(features, vals)], "feature string, importance double")
 
 
-def importance_scan(mm: DataFrame, features: Sequence[str], trees: int = RF_TREES, near_zero: float = 0.005) -> DataFrame:
+def importance_scan(mm: DataFrame, features: Sequence[str], trees: int = SCAN_TREES, near_zero: float = 0.005) -> DataFrame:
     """ML1: quick forest importances, ranked, with the near-zero flag."""
     from pyspark.sql import Window
     rf = RandomForestClassifier(numTrees=trees, seed=SEED).fit(mm)

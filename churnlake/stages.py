@@ -112,10 +112,13 @@ def clean(spark: SparkSession, data_dir: str, out: str, stats_from: str = "self"
 
 
 def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_trials: int = 10, k: int = 5,
-          kinds: Sequence[str] = ("gbt_a", "gbt_b", "rf")) -> dict:
+          kinds: Sequence[str] = ("gbt_a", "gbt_b", "rf"), gbt_rounds: int | dict[str, int] | None = None) -> dict:
     """Stage 2: compare the untuned learners; tune one learner of each of
     ``kinds``; race the tuned ones, their SMOTE variants, both soft votes
-    and stacking; rank, refit the champion of whatever kind, score test."""
+    and stacking; rank, refit the champion of whatever kind, score test.
+    ``gbt_rounds``: rounds of the untuned boosters, by default the
+    reference's (200, 300, 300)."""
+    ls = mo.learners(gbt_rounds=gbt_rounds or mo.REFERENCE_ROUNDS)
     ensure_checkpoint_dir(spark)
     tr_e = spark.read.parquet(_p(out, "train_ml_ready"))
     te_e = spark.read.parquet(_p(out, "test_ml_ready"))
@@ -127,9 +130,9 @@ def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_tr
     # R11: the holdout is split off first and never enters comparison,
     # search or ranking; the champion is refitted on all rows afterwards
     tune, hold = mo.split_holdout(mm)
-    names = learners or list(mo.learners())
-    results = mo.compare_models(tune, names, k=k).drop("seconds")
-    fits = {n: (lambda d, f=f: (lambda m_: (lambda x: mo.score_frame(m_, x)))(f().fit(d))) for n, f in mo.learners().items()}
+    names = learners or list(ls)
+    results = mo.compare_models(tune, names, k=k, ls=ls).drop("seconds")
+    fits = {n: (lambda d, f=f: (lambda m_: (lambda x: mo.score_frame(m_, x)))(f().fit(d))) for n, f in ls.items()}
     tuned: dict = {}
     if n_trials:
         trials = None
@@ -149,7 +152,6 @@ def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_tr
     sinks.write_table(preds, _p(out, "test_predictions"))
     preds = spark.read.parquet(_p(out, "test_predictions"))
     # the importances of the tuned models, where there are any
-    ls = mo.learners()
     of = lambda kind: mo.model_importances(tuned.get(f"{kind} (tuned)", ls[kind])().fit(mm), feats)
     a = of("gbt_a").withColumnRenamed("importance", "imp_a")
     b = of("gbt_b").withColumnRenamed("importance", "imp_b")
