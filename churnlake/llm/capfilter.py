@@ -1,14 +1,16 @@
 """Operator 8: embedding near-dedup with spherical-cap filters.
 
-Filter directions are a structured random product code: the coordinates are cut into two blocks, each with its own random
-unit codewords, and every pair of codewords is a direction. A vector is list-decoded to all directions whose inner product
-with it reaches the cap height: with the codewords of both blocks sorted by score, the partners of a codeword are a prefix.
-Vectors that share a direction are compared exactly, in double precision.
-
-The code grows with the number of vectors n so that a direction holds about ``BUCKET`` of them, and the cap height follows from
-``LISTS``, the directions a vector is expected to get; both are rules, nothing is capped. Two vectors at the threshold share
-several directions on average, so that few pairs are missed (recall is measured in the README); farther pairs are seldom
-compared. A direction with more than ``BLOCK`` vectors is compared block by block, each pair of blocks being a task's group.
+Vectors are turned by a fixed random rotation, so that no pair of them is special, however the components are distributed.
+Filter directions are a structured random product code: the turned coordinates are cut into two blocks, each with its own random
+unit codewords, and every pair of codewords is a direction. A vector is list-decoded to its ``take`` best directions, always as
+many: with the codewords of both blocks sorted by score, the k best pairs lie under a hyperbola. Vectors that share a
+direction are compared exactly, in double precision.
+
+The code grows with the number of vectors n of a length. ``take`` is found from ``MISS``, the rate at which pairs just at the threshold
+may share no direction: the rule is tried on ``PROBES`` random pairs with the code in use, which stand for any pair because of
+the rotation; it is never under ``LISTS`` and grows with n. Nothing is capped. A length that the code cannot part (two or
+three components), or with at most ``BUCKET`` vectors, has one direction, all its pairs are compared. A direction with more than ``BLOCK``
+vectors is compared block by block, each pair of blocks being a task's group.
 
 No pair leaves a group: a pair is counted at its smallest common direction, as a sum per vector, and a group sends a
 spanning forest of its links. Equal vectors are one node with a weight.
@@ -32,6 +34,7 @@ from .common import components, cut, grouped, hash128, memo, small
 
 THRESHOLD = 0.95
 LISTS, BUCKET, BLOCK, LEAST_CODE, SEED = 32, 128, 2048, 24, 31
+MISS, PROBES = 1e-4, 20_000
 
 
 def code_size(n: int) -> int:
@@ -39,48 +42,69 @@ def code_size(n: int) -> int:
     return max(LEAST_CODE, math.ceil(math.sqrt(n * LISTS / BUCKET)))
 
 
+def _unit(rng: np.random.Generator, n: int, dim: int) -> np.ndarray:
+    x = rng.normal(size=(n, max(dim, 1)))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 @memo
-def code(dim: int, size: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Codewords of both blocks (one block of a single coordinate shares its sign) and the cap height."""
+def code(dim: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codewords of both blocks as columns, turned back by the rotation (one block of a single coordinate shares its sign)."""
     rng = np.random.default_rng([SEED, dim, size])
+    turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
+    cut_at = dim - dim // 2
+    a, b = _unit(rng, size, cut_at), _unit(rng, size, dim // 2)
+    return turn[:, :cut_at] @ a.T, turn[:, cut_at:] @ b.T if dim > 1 else np.zeros((dim, size))
+
+
+def decode(x: np.ndarray, size: int, take: int) -> np.ndarray:
+    """The ``take`` best directions of each unit vector, best first."""
+    a, b = code(x.shape[1], size)
+    left, right = x @ a, x @ b
+    m = min(take, size)
+    by_left, by_right = (np.argsort(-s, axis=1, kind="stable")[:, :m] for s in (left, right))
+    left, right = np.take_along_axis(left, by_left, 1), np.take_along_axis(right, by_right, 1)
+    # The pair of ranks (i, j) has (i + 1) (j + 1) - 1 pairs that score at least as much.
+    i, j = np.nonzero(np.outer(np.arange(1, m + 1), np.arange(1, m + 1)) <= take)
+    best = np.argsort(-(left[:, i] + right[:, j]), axis=1, kind="stable")[:, :take]
+    return np.take_along_axis(by_left, i[best], 1) * size + np.take_along_axis(by_right, j[best], 1)
+
+
+def needed(dim: int, size: int, threshold: float, most: int) -> int | None:
+    """Directions a vector needs so that pairs at the threshold share none at a rate of ``MISS``; None if over ``most``."""
+    rng = np.random.default_rng([SEED, dim, size, 1])
+    need = []
+    for _ in range(0, PROBES, 250):
+        u, w = _unit(rng, 250, dim), rng.normal(size=(250, dim))
+        w -= (w * u).sum(1, keepdims=True) * u
+        w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-300)
+        v = threshold * u + math.sqrt(max(0.0, 1 - threshold**2)) * w
+        for p, q in zip(decode(u, size, most), decode(v, size, most), strict=True):
+            _, i, j = np.intersect1d(p, q, assume_unique=True, return_indices=True)
+            need.append(np.maximum(i, j).min() + 1 if len(i) else most + 1)
+    take = int(np.quantile(need, 1 - MISS, method="higher"))
+    return take if take <= most else None
 
-    def unit(n: int, d: int) -> np.ndarray:
-        x = rng.normal(size=(n, max(d, 1)))
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    a, b = unit(size, dim - dim // 2), unit(size, dim // 2)
-    if dim < 2:
-        b[:] = 0
-    probe = unit(2000, dim)
-    scores = (probe[:, :dim - dim // 2] @ a.T)[:, :, None] + ((probe[:, dim - dim // 2:] @ b.T) if dim > 1 else np.zeros((2000, size)))[:, None, ::max(1, size // 24)]
-    return a, b, float(np.quantile(scores, 1 - min(0.5, LISTS / size**2)))
-
-
-def decode(x: np.ndarray, size: int) -> list[np.ndarray]:
-    """Directions of each unit vector, ascending; at least its best one."""
-    dim = x.shape[1]
-    a, b, height = code(dim, size)
-    left, right = x[:, :dim - dim // 2] @ a.T, (x[:, dim - dim // 2:] @ b.T) if dim > 1 else np.zeros((len(x), size))
-    order = np.argsort(-right, axis=1)
-    out = []
-    for i in range(len(x)):
-        down = right[i, order[i]]
-        take = np.searchsorted(-down, left[i] - height, "right")  # down >= height - left
-        rows = np.flatnonzero(take)
-        if not len(rows):
-            out.append(np.array([left[i].argmax() * size + order[i, 0]]))
-            continue
-        n = take[rows]
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append(np.sort(np.repeat(rows, n) * size + order[i, nth]))
-    return out
+
+@memo
+def plan(dim: int, n: int, threshold: float) -> tuple[int, int]:
+    """(codewords of each block, directions of a vector) for n vectors of one length."""
+    size, most = code_size(n), 2 * LISTS
+    if n <= BUCKET or dim < 2:
+        return 1, 1
+    while most <= size**2 // 4:
+        take = needed(dim, size, threshold, most)
+        if take:
+            return size, max(LISTS, take)
+        most *= 2
+    return 1, 1
 
 
 def _units(lists: pa.ListArray) -> list[np.ndarray]:
     return [v / np.linalg.norm(v) for v in (np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) for x in lists)]
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def _decoded(batches: Iterator[pa.RecordBatch], plans: dict[int, tuple[int, int]]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -89,8 +113,8 @@ def _decoded(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.
             found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(units)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                for i, f in zip(at, decode(np.stack([units[k] for k in at]), size), strict=True):
-                    found[i] = f + (int(dim) << 40)
+                for i, f in zip(at, decode(np.stack([units[k] for k in at]), *plans[int(dim)]), strict=True):
+                    found[i] = np.sort(f) + (int(dim) << 40)
             yield part, found
 
 
@@ -141,15 +165,16 @@ FOUND = "node long, links long, root long"
 
 def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, links, root): summed per node, the links of all groups; rows of a group's forest. ``nodes``: node, w, x."""
-    size = code_size(nodes.count())
+    lengths = nodes.groupBy(F.size("x").alias("dim")).count().collect()  # one row per length
+    plans = {r["dim"]: plan(r["dim"], r["count"], threshold) for r in lengths}
     kind = nodes.schema["x"].dataType.simpleString()
 
     def directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _decoded(batches, size):
+        for _, found in _decoded(batches, plans):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64))], ["f"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, found in _decoded(batches, size):
+        for part, found in _decoded(batches, plans):
             at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             lists = pa.array([f.tolist() for f in found], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), part["node"].take(at), part["w"].take(at), part["x"].take(at), lists.take(at)], ["f", "node", "w", "x", "fs"])

@@ -44,3 +44,19 @@ def test_links_and_classes(spark, monkeypatch):
 
 def test_empty(spark):
     assert capfilter.near_duplicates(spark.createDataFrame([], SCHEMA).withColumn("links", F.lit(1))).count() == 0
+
+
+def test_anisotropic_pairs_at_the_threshold(spark):
+    """Pairs just over the threshold are found, also where half of the components is zero or the components decay."""
+    rng = np.random.default_rng(8)
+    for scale in (np.repeat([1.0, 0.0], 32), 0.85 ** np.arange(64)):
+        u = rng.normal(size=(3000, 64)) * scale
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w = rng.normal(size=(300, 64)) * scale
+        w -= (w * u[:300]).sum(1, keepdims=True) * u[:300]
+        w /= np.linalg.norm(w, axis=1, keepdims=True)
+        x = np.concatenate([u, 0.952 * u[:300] + np.sqrt(1 - 0.952**2) * w]).astype(np.float32)
+        n, comp = truth(x.astype(np.float64), list(range(len(x))))
+        got = {r.vec_id: r for r in capfilter.near_duplicates(rows(spark, x)).collect()}
+        assert all(got[i].n_links <= n[i] for i in n) and sum(got[i].n_links for i in n) >= 0.995 * sum(n.values())
+        assert np.mean([got[i].component_id == comp[i] for i in n]) >= 0.995
