@@ -235,3 +235,12 @@ def test_tree_matching_finds_the_largest_match():
 @pytest.mark.parametrize("run", [lambda d: substring.dedup(d), lambda d: jaccard.classes(d), lambda d: linededup.dedup(d), lambda d: mixing.mix(d), lambda d: secrets.scan(d), lambda d: langid.label(d), lambda d: decontam.decontaminate(d, d.select(F.col("doc_id").alias("item_id"), "text"))])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_wrapper_reads_whole_attributes():
+    odd = ['style="overflow:hidden"', 'title="a hidden gem"', 'data-id="comment"', "data-role='comment'", 'data-hidden', 'title="x id=comment class=ad"', 'onclick="a(\'hidden\')"', "alt = 'id=\"ad\"'", 'aria-hidden="false"', 'href=/a/hidden/class=ad', 'data-x="1"hidden-x']
+    for attrs in odd:
+        assert wrapper.main_text(f"<div {attrs}><p>kept</p></div>") == "kept", attrs
+        assert wrapper.main_text(f"<article {attrs}><p {attrs}>kept</p></article>") == "kept", attrs
+    for attrs in ["hidden", 'HIDDEN=""', 'style="x"hidden', "id=comment", "class = 'a comment'", 'aria-hidden=true', 'title="q" role="search"']:
+        assert wrapper.main_text(f"<div {attrs}><p>gone</p></div><p>kept</p>") == "kept", attrs
