@@ -244,3 +244,13 @@ def test_wrapper_reads_whole_attributes():
         assert wrapper.main_text(f"<article {attrs}><p {attrs}>kept</p></article>") == "kept", attrs
     for attrs in ["hidden", 'HIDDEN=""', 'style="x"hidden', "id=comment", "class = 'a comment'", 'aria-hidden=true', 'title="q" role="search"']:
         assert wrapper.main_text(f"<div {attrs}><p>gone</p></div><p>kept</p>") == "kept", attrs
+
+
+def test_wrapper_keeps_copied_articles(spark):
+    """Copies of one article are one page; a text is template in its own slot only."""
+    page = '<div class="brand">Brand</div><div class="box"><h1>{0}</h1><p>{1}</p></div><div class="end">Same end</div>'
+    rows = [(i, "https://c.org/x", page.format("Copied", "Copied text")) for i in range(8)]
+    rows += [(10 + i, "https://c.org/x", page.format(f"Title {i}", "Same end" if i == 4 else f"Text {i}")) for i in range(5)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == "Copied Copied text" for i in range(8))
+    assert [got[10 + i] for i in range(5)] == [f"Title {i} " + ("Same end" if i == 4 else f"Text {i}") for i in range(5)]
