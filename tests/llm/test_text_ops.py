@@ -254,3 +254,18 @@ def test_wrapper_keeps_copied_articles(spark):
     got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == "Copied Copied text" for i in range(8))
     assert [got[10 + i] for i in range(5)] == [f"Title {i} " + ("Same end" if i == 4 else f"Text {i}") for i in range(5)]
+
+
+def test_wrapper_cues_inside_articles():
+    kept = ['<div class="article-header"><h1>kept</h1></div>', '<div class="section-header">kept</div>', '<section id="discussion"><p>kept</p></section>', '<h2 id="image-search">kept</h2>', '<h3 id="data-sharing">kept</h3>',
+            '<div class="comment-text">kept</div>', '<p id="related">kept</p>', '<p class="comment-text">kept</p>', '<p>k<span class="search">ep</span>t</p>', '<div class="discussion">kept</div>', '<header class="header">kept</header>']
+    gone = ['<div class="post-comments">gone</div>', '<div class="comment-list">gone</div>', '<section class="related">gone</section>', '<div id="comments">gone</div>', '<ul class="social"><li>gone</ul>', '<div class="ad-box">gone</div>', '<div hidden>gone</div>', '<h2 hidden>gone</h2>']
+    for part in kept:
+        text = wrapper.main_text(f"<article>{part}<p>body</p></article>")
+        assert text.replace(" ", "") == "keptbody", part
+    for part in gone:
+        assert wrapper.main_text(f"<article>{part}<p>body</p></article>") == wrapper.main_text(f"{part}<p>body</p>") == "body", part
+    for part in kept[:5]:
+        assert wrapper.main_text(f"<div>{part}<p>body</p></div>") == "kept body", part
+    for part in ['<div class="header">gone</div>', '<div id="site-header">gone</div>', '<div class="discussion">gone</div>', '<p class="copyright">gone</p>', '<div class="comment-text">gone</div>']:
+        assert wrapper.main_text(f"{part}<p>body</p>") == "body", part
