@@ -9,7 +9,10 @@ pivots and distance bounds instead of an all-pairs join:
 * the k nearest inside a row's own block bound its search radius;
 * by the triangle inequality only cells whose pivot is nearer than the
   radius plus the cell's extent can hold a closer row: the row is sent to
-  those blocks only, and the k best of all blocks are kept.
+  those blocks only, and the k best of all blocks are kept;
+* the rows sent to a block are counted first and dealt by hash into query
+  blocks of about ``block_rows``; each meets its own copy of the reference
+  block, so both sides of a comparison stay bounded when nothing is pruned.
 
 No candidate is dropped by count, the result equals brute force. Rows are
 copied only to the blocks that the bounds cannot rule out.
@@ -34,6 +37,7 @@ from .folds import class_rank
 
 DEFAULT_BLOCK_ROWS = 2048
 MAX_PIVOTS = 4096
+BROADCAST_BLOCKS = 500_000
 
 
 def _nearest(qid, qa, rid, ra, k: int):
@@ -137,9 +141,22 @@ def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows:
             yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cell": c.astype("int32"),
                                 "part": part.astype("int32"), "radius": reach[i]})
 
-    queries = asked.select("id", "v", "cell", "part", "radius").mapInPandas(
+    def count_sent(frames):
+        for f in send(frames):
+            yield f.groupby(["cell", "part"]).size().astype("int64").reset_index(name="n")
+
+    asked = asked.select("id", "v", "cell", "part", "radius").checkpoint(eager=True)
+    sent = asked.mapInPandas(count_sent, "cell int, part int, n long").groupBy("cell", "part") \
+        .agg(F.ceil(F.sum("n") / block_rows).cast("int").alias("q_blocks")).checkpoint(eager=True)  # one row per block
+    sent = F.broadcast(sent) if sent.count() <= BROADCAST_BLOCKS else sent
+    queries = asked.mapInPandas(
         send, StructType([*row, StructField("part", IntegerType()), StructField("radius", DoubleType())]))
-    more = queries.groupBy("cell", "part").cogroup(rows.select("id", "v", "cell", "part").groupBy("cell", "part")) \
+    queries = queries.join(sent, ["cell", "part"]) \
+        .withColumn("q", F.pmod(F.xxhash64(F.lit("query"), "id"), F.col("q_blocks")).cast("int")).drop("q_blocks")
+    blocks_of = rows.select("id", "v", "cell", "part").join(sent, ["cell", "part"]) \
+        .withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1))).drop("q_blocks")
+    key = ["cell", "part", "q"]
+    more = queries.groupBy(*key).cogroup(blocks_of.groupBy(*key)) \
         .applyInPandas(lambda q, r: search(q, r, "radius"), found)
     w = Window.partitionBy("id").orderBy("dist", "nb_id")
     return own.unionByName(more).withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)

@@ -72,3 +72,26 @@ def test_knn_cells_prune_and_stay_exact(spark):
         d = np.sqrt(((pts - p) ** 2).sum(1))
         d[i] = np.inf
         assert np.allclose(sorted(got[i]), np.sort(d)[:4], atol=1e-9)
+
+
+def test_knn_groups_stay_bounded_where_nothing_is_pruned(spark, monkeypatch):
+    """Points of one-hot kind lie equally far apart: every row is sent to every block, no group may hold them all."""
+    from churnlake.operators import resample
+
+    rng = np.random.default_rng(4)
+    pts = np.eye(40)[rng.integers(0, 40, (700, 3))].reshape(700, 120) + 1e-6 * rng.normal(size=(700, 120))
+
+    def guarded(qid, qa, rid, ra, k):
+        from churnlake.operators.resample import _nearest
+        assert len(qa) <= 2 * 64 and len(ra) <= 2 * 64, (len(qa), len(ra))
+        return _nearest(qid, qa, rid, ra, k)
+
+    monkeypatch.setattr(resample, "_nearest", guarded)
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(pts)], "id long, v array<double>")
+    got = {}
+    for r in knn_within(df, "id", "v", k=3, block_rows=64).collect():
+        got.setdefault(r["id"], []).append(r["dist"])
+    for i, p in enumerate(pts):
+        d = np.sqrt(((pts - p) ** 2).sum(1))
+        d[i] = np.inf
+        assert np.allclose(sorted(got[i]), np.sort(d)[:3], atol=1e-9)
