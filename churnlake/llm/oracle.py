@@ -99,3 +99,52 @@ edge AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND len(a
 node AS (SELECT vec_id AS id FROM embeddings),
 {REACH}, degree AS (SELECT a AS id, count(*) AS n FROM edge GROUP BY a)
 SELECT node.id AS vec_id, coalesce(n, 0) AS n_links, comp AS component_id, node.id = comp AS kept FROM node JOIN reach USING (id) LEFT JOIN degree USING (id)"""
+
+#: Unsigned crc32 (reflected, 0xEDB88320) of an ASCII string expression: one list element a bit, the byte on its first.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(8 * len({0})), lambda k: CASE WHEN k % 8 = 0 THEN ascii(substr({0}, (k // 8 + 1)::BIGINT, 1)) ELSE 0 END::UBIGINT)),
+  lambda c, x: xor(xor(c, x) >> 1, 3988292384::UBIGINT * (xor(c, x) & 1))), 4294967295::UBIGINT)"""
+
+
+def _framed(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(f"({_framed(c)})" for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN ({CRC32.format("doc_id::VARCHAR")}) % 7 = 0 THEN {_leaf("(n_chars::HUGEINT + 1)")} END AS changed FROM documents),
+base AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, count(*) OVER (PARTITION BY lang) AS n FROM d),
+tree AS (SELECT lang, 0 AS l, r AS i, leaf AS h, n FROM base
+  UNION ALL SELECT lang, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, l, i // 2, n),
+subroot AS (SELECT lang, h, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS r, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (SELECT 0 AS l, r AS i, h, n FROM subroot
+  UNION ALL SELECT l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM top WHERE n > 1 GROUP BY l, i // 2, n),
+low AS (SELECT b.id, t.l, CASE WHEN t.i % 2 = 0 THEN coalesce(s.h, '') ELSE '' END AS post, CASE WHEN t.i % 2 = 1 THEN s.h ELSE '' END AS pre
+  FROM base b JOIN tree t ON t.lang IS NOT DISTINCT FROM b.lang AND t.i = b.r >> t.l AND t.n > 1 LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM b.lang AND s.l = t.l AND s.i = xor(t.i, 1)),
+high AS (SELECT b.id, 1000 + t.l AS l, CASE WHEN t.i % 2 = 0 THEN coalesce(s.h, '') ELSE '' END AS post, CASE WHEN t.i % 2 = 1 THEN s.h ELSE '' END AS pre
+  FROM base b JOIN subroot u ON u.lang IS NOT DISTINCT FROM b.lang JOIN top t ON t.i = u.r >> t.l AND t.n > 1 LEFT JOIN top s ON s.l = t.l AND s.i = xor(t.i, 1)),
+step AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY l) AS k FROM (SELECT * FROM low UNION ALL SELECT * FROM high)),
+fold AS (SELECT id, 1 AS k, coalesce(changed, leaf) AS h FROM base UNION ALL SELECT f.id, f.k + 1, sha256(s.pre || f.h || s.post) FROM fold f JOIN step s ON s.id = f.id AND s.k = f.k),
+done AS (SELECT id, arg_max(h, k) AS h FROM fold GROUP BY id),
+proof AS (SELECT id, sha256(string_agg(pre || post, '' ORDER BY k)) AS p FROM step GROUP BY id)
+SELECT b.doc_id, b.leaf, u.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(p, sha256('')) AS proof_sha256, done.h AS folded_root,
+  done.h = (SELECT h FROM top WHERE n = 1) AS verified FROM base b JOIN subroot u ON u.lang IS NOT DISTINCT FROM b.lang JOIN done USING (id) LEFT JOIN proof USING (id)"""
+
+ORACLES["op13_periodic_runs"] = f"""
+WITH h AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), {WORDS}) AS w0, ({CRC32.format("doc_id::VARCHAR")})::BIGINT AS h FROM documents),
+cut AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w0) > 0 THEN (h // 10) % len(w0) END AS a FROM h),
+d AS (SELECT id, doc_id, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(len(w0)), lambda i: w0[(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w0) - a) // (3 + g % 8)) END + 1)::BIGINT]) END AS w FROM cut),
+gram AS (SELECT id, i, hash(w[i + 1:i + 5]) AS f FROM (SELECT id, w, unnest(range(len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+pair AS (SELECT x.id, x.i, y.i - x.i AS p FROM gram x JOIN gram y ON x.id = y.id AND x.f = y.f AND x.i < y.i),
+island AS (SELECT id, p, i, i - row_number() OVER (PARTITION BY id, p ORDER BY i) AS k FROM pair),
+stretch AS (SELECT id, p, min(i) AS s, count(*) + 4 + p AS n FROM island GROUP BY id, p, k HAVING count(*) + 4 + p >= greatest(6, 4 * p)),
+run AS (SELECT * FROM stretch r ANTI JOIN stretch q ON q.id = r.id AND q.p < r.p AND q.s <= r.s AND q.s + q.n >= r.s + r.n),
+best AS (SELECT id, s, n, p FROM run QUALIFY row_number() OVER (PARTITION BY id ORDER BY n::DOUBLE / p DESC, s, p) = 1),
+listed AS (SELECT id, count(*) AS n_runs, string_agg(s || ',' || n || ',' || p || chr(10), '' ORDER BY s, p) AS said FROM run GROUP BY id),
+gone AS (SELECT DISTINCT id, unnest(range(s + p, s + n)) AS i FROM run),
+kept AS (SELECT id, string_agg(x, ' ' ORDER BY i) AS text FROM (SELECT id, unnest(range(len(w))) AS i, unnest(w) AS x FROM d) ANTI JOIN gone USING (id, i) GROUP BY id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, n AS length, p AS period, 1000 * n // p AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (id) LEFT JOIN best USING (id) LEFT JOIN kept USING (id)"""
