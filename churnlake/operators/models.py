@@ -1,27 +1,29 @@
-"""Model operators on Spark ML (ML1, ML3-ML5, ML7, ML9, ML11, ML15, ML17, ML19).
-
-Roles of the reference's learners (the boosting libraries are not
-available): logistic regression on standardised features, random forest,
-gradient-boosted trees, and two further GBT settings ``gbt_a`` (shallow,
-more rounds, positive-class weight like XGBoost's scale_pos_weight) and
-``gbt_b`` (deeper, like LightGBM's leaf-wise trees). Class imbalance is
-handled with ``weightCol`` (AG28).
-
-Evaluation is always "fit on folds != i, score fold i" with folds from the
-hash-stratified splitter (ML2, exact mode), so every metric is computed by
-the DataFrame metric operators over the union of the fold predictions.
-Loops on the driver run over folds, models and trials only (bounded); every
-fit and every metric is a distributed Spark job.
+"""Model operators (ML1, ML3-ML5, ML7-ML11, ML15, ML17, ML19).
+
+Roles of the reference's learners (the boosting libraries are not available): logistic regression on standardised
+features (Spark ML), random forest, gradient-boosted trees, and two further boosters: ``gbt_a`` (shallow, positive
+class weighted) and ``gbt_b`` (deeper, capped leaves, row and column samples). The tree learners are settings
+(``boosting.Params``); all fits of a call grow in lockstep (``boosting.Lockstep``). Any Spark ML estimator can be a
+member, too. Class imbalance is handled by weights (AG28).
+
+Evaluation is always "fit without fold i, score fold i" with folds from the hash-stratified splitter (ML2, exact mode), so
+every metric is computed by the DataFrame metric operators over the union of the fold predictions. ``FitStore`` keeps the
+scores by (member, left-out folds): cross-validation, votes and nested stacking read them, and no fit is made twice. Loops on
+the driver run over folds, members and trials only (bounded).
 """
 
 from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import fields, replace
+from itertools import combinations
 
 from pyspark.ml import Estimator
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -30,25 +32,22 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 from ..sources.customers import ID_COL, TARGET_COL
 from . import metrics as me
+from .boosting import Fit, Lockstep, Params, TreeModel, edges_of
 from .folds import holdout_split, stratified_folds
 from .segments import class_weights
 
 SEED = 42
+# Sizes of the reference's learners (trees, rounds)
+RF_TREES, SCAN_TREES = 300, 200
+ROUNDS = {"Gradient Boosting": 200, "gbt_a": 300, "gbt_b": 300}
 
-# Sizes of the learners. A forest grows its trees side by side and has the
-# reference's size everywhere. Boosting rounds run one after the other, a few
-# Spark jobs each: the stages (``stages.train``) use the reference's rounds,
-# the registered queries GBT_ROUNDS, so that they stay interactive.
-RF_TREES = 300
-SCAN_TREES = 200
-GBT_ROUNDS = 30
-# Rounds of the reference's three boosters
-REFERENCE_ROUNDS = {"Gradient Boosting": 200, "gbt_a": 300, "gbt_b": 300}
+Member = Params | Callable[[], Estimator]
+Scorer = Callable[[DataFrame], DataFrame]
 
 
 def model_matrix(enc: DataFrame, features: Sequence[str], stats_from: DataFrame | None = None,
                  label: str = TARGET_COL) -> DataFrame:
-    """(row_id, customer_id, label, weight, pos_weight, features): NULL
+    """(customer_id, label, weight, pos_weight, features): NULL
     features are imputed with the train median (Imputer, distributed
     approximate quantiles), then assembled into one vector (FE19)."""
     fit_on = stats_from if stats_from is not None else enc
@@ -63,10 +62,10 @@ def model_matrix(enc: DataFrame, features: Sequence[str], stats_from: DataFrame
     imputer = Imputer(inputCols=imp_cols, outputCols=imp_cols, strategy="median").fit(prep(fit_on))
     x = imputer.transform(prep(enc))
     x = VectorAssembler(inputCols=imp_cols, outputCol="features", handleInvalid="keep").transform(x)
-    x = x.select(F.xxhash64(F.col(ID_COL)).alias("row_id"), F.col(ID_COL), "label", "features")
+    x = x.select(F.col(ID_COL), "label", "features")
     w = class_weights(fit_on.select(F.col(label)), label)
     x = x.crossJoin(F.broadcast(w))  # one row by construction
-    return x.select("row_id", ID_COL, "label",
+    return x.select(ID_COL, "label",
                     F.when(F.col("label") == 1, F.col("weight_1")).otherwise(F.col("weight_0")).alias("weight"),
                     F.when(F.col("label") == 1, F.col("pos_weight")).otherwise(F.lit(1.0)).alias("pos_weight"),
                     "features")
@@ -75,11 +74,9 @@ def model_matrix(enc: DataFrame, features: Sequence[str], stats_from: DataFrame
 LR_REG = 1e-3
 
 
-def learners(rf_trees: int = RF_TREES, gbt_rounds: int | dict[str, int] = GBT_ROUNDS,
-             lr_reg: float = LR_REG) -> dict[str, Callable[[], Estimator]]:
-    """Name -> estimator factory (features in 'features', label in 'label').
-    ``gbt_rounds``: one number, or the rounds by name (REFERENCE_ROUNDS)."""
-    rounds = gbt_rounds if isinstance(gbt_rounds, dict) else dict.fromkeys(REFERENCE_ROUNDS, gbt_rounds)
+def learners(rf_trees: int = RF_TREES, rounds: dict[str, int] | None = None, lr_reg: float = LR_REG) -> dict[str, Member]:
+    """Name -> member (features in 'features', label in 'label')."""
+    n = ROUNDS | (rounds or {})
 
     def lr():
         # LogisticRegression standardises features internally (standardization=True),
@@ -88,18 +85,19 @@ def learners(rf_trees: int = RF_TREES, gbt_rounds: int | dict[str, int] = GBT_RO
         return LogisticRegression(weightCol="weight", maxIter=100, regParam=lr_reg, standardization=True)
     return {
         "Logistic Regression": lr,
-        "Random Forest": lambda: RandomForestClassifier(numTrees=rf_trees, weightCol="weight", seed=SEED),
-        "Gradient Boosting": lambda: GBTClassifier(maxIter=rounds["Gradient Boosting"], maxDepth=3, seed=SEED),
-        "gbt_a": lambda: GBTClassifier(maxIter=rounds["gbt_a"], maxDepth=3, stepSize=0.1, weightCol="pos_weight", seed=SEED),
-        "gbt_b": lambda: GBTClassifier(maxIter=rounds["gbt_b"], maxDepth=5, stepSize=0.1, weightCol="weight",
-                                       subsamplingRate=0.8, featureSubsetStrategy="0.8", seed=SEED),
+        "Random Forest": Params(rf_trees, depth=5, l2=0.0, cols="sqrt", weight="weight", forest=True),
+        "Gradient Boosting": Params(n["Gradient Boosting"], depth=3, l2=0.0),
+        "gbt_a": Params(n["gbt_a"], depth=3, weight="pos_weight"),
+        "gbt_b": Params(n["gbt_b"], depth=5, leaves=31, rows=0.8, cols=0.8, weight="weight"),
     }
 
 
 def score_frame(model, df: DataFrame) -> DataFrame:
     """ML17 core: customer_id, label, prediction (int), score (P(class 1))."""
+    if isinstance(model, TreeModel):
+        return model.score(df)
     p = model.transform(df)
-    return p.select(ID_COL, "row_id", "label", F.col("prediction").cast("int").alias("prediction"),
+    return p.select(ID_COL, "label", F.col("prediction").cast("int").alias("prediction"),
                     vector_to_array(F.col("probability"))[1].alias("score"))
 
 
@@ -115,38 +113,155 @@ def fold_matrix(mm: DataFrame, k: int = 5) -> DataFrame:
     return stratified_folds(mm, k, key=ID_COL, label="label", exact=True).coalesce(n).checkpoint(eager=True)
 
 
-def _oof(factory: Callable[[], Estimator], folded: DataFrame, k: int,
-         resample: Callable[[DataFrame], DataFrame] | None, parallelism: int | None) -> DataFrame:
-    from concurrent.futures import ThreadPoolExecutor
-
-    def fit_fold(i: int) -> DataFrame:
-        tr = folded.filter(F.col("fold") != i).drop("fold")
-        if resample is None:
-            model = factory().fit(tr)
-        else:  # a fit passes over its rows many times: the neighbour search runs once
-            tr = resample(tr).persist()
-            try:
-                model = factory().fit(tr)
-            finally:
-                tr.unpersist()
-        return score_frame(model, folded.filter(F.col("fold") == i)).withColumn("fold", F.lit(i))
-
-    with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
-        parts = list(pool.map(fit_fold, range(k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def cross_val_predict(factory: Callable[[], Estimator], mm: DataFrame, k: int = 5,
-                      resample: Callable[[DataFrame], DataFrame] | None = None,
-                      parallelism: int | None = None) -> DataFrame:
-    """Out-of-fold predictions (fold, customer_id, label, prediction, score).
-    ``resample`` is applied to the training folds only (ML7). The k fold
-    models are fitted concurrently (``parallelism`` driver threads submitting
-    Spark jobs), as CrossValidator does with its parallelism."""
-    return _oof(factory, fold_matrix(mm, k), k, resample, parallelism)
+# ------------------------------------------------------------------ the store of fits
+
+Key = tuple[str, tuple[int, ...], bool]
+
+
+def _text(left: Iterable[int]) -> str:
+    return ",".join(map(str, sorted(left)))
+
+
+class FitStore:
+    """Fits of ``members`` on ``rows`` (model matrix with ``fold``) by (member, left-out folds, SMOTE or not), each made once.
+
+    A fit is trained on the rows whose fold is not left out and scores those that are. The scores are tables in ``folder``
+    (by default one in the shared checkpoint folder): a driver restarted with the same folder makes the missing fits only, and the
+    trees of fits under way go on from the last saved round. ``n_fits`` counts the fits made by this object."""
+
+    def __init__(self, rows: DataFrame, members: dict[str, Member], folder: str | None = None):
+        self.rows, self.members, self.spark = rows, members, rows.sparkSession
+        self.folder = folder or f"{ensure_checkpoint_dir(self.spark)}/fits-{uuid.uuid4().hex}"
+        self.models: dict[Key, object] = {}
+        self.n_fits, self.staged = 0, []
+        self._tables: list[DataFrame] = []
+        self._done: set[Key] = set()
+        self._edges = None
+
+    # The store of trained rows --------------------------------------------------
+    def _exists(self, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def _table(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if not self._exists(name):
+            make().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def _train_rows(self, left: tuple[int, ...]) -> DataFrame:
+        return self.rows.where(~F.col("fold").isin(*left)) if left else self.rows
+
+    def _synthetic(self, left: tuple[int, ...], made: int) -> DataFrame:
+        """SMOTE rows for the training rows of one left-out set; they get weight 1 (ML7)."""
+        from .resample import smote
+
+        def make() -> DataFrame:
+            new = smote(self._train_rows(left).drop("fold"), id_col=ID_COL).drop("is_synthetic")
+            ones = {c: F.lit(1.0) for c in ("weight", "pos_weight")}
+            return new.withColumns({**ones, "fold": F.lit(-1), "made": F.lit(made)})
+        return self._table(f"synthetic-{_text(left) or 'all'}", make)
+
+    # Fitting --------------------------------------------------------------------
+    def fit(self, wanted: Iterable[Key]) -> FitStore:
+        """Make the fits of ``wanted`` that are not in the store; trees in lockstep, estimators side by side."""
+        wanted = [k for k in dict.fromkeys((m, tuple(sorted(left)), smote) for m, left, smote in wanted) if k not in self._done]
+        if not wanted:
+            return self
+        sets = sorted({left for _, left, smote in wanted if smote})
+        made = {left: i for i, left in enumerate(sets)}
+        with ThreadPoolExecutor(4) as pool:
+            synthetic = dict(zip(sets, pool.map(lambda left: self._synthetic(left, made[left]), sets), strict=True))
+        trees = [k for k in wanted if isinstance(self.members[k[0]], Params)]
+        if trees:
+            self._fit_trees(trees, made, synthetic)
+        others = [k for k in wanted if k not in set(trees)]
+        with ThreadPoolExecutor(5) as pool:
+            self._tables += list(pool.map(lambda k: self._fit_estimator(k, synthetic), others))
+        self._done |= set(wanted)
+        return self
+
+    def _fit_trees(self, keys: list[Key], made: dict, synthetic: dict[tuple[int, ...], DataFrame]) -> None:
+        name = f"trees-{len(self._tables)}"
+        data = self.rows.withColumn("made", F.lit(-1))
+        for part in synthetic.values():
+            data = data.unionByName(part)
+        if self._edges is None:
+            self._edges = edges_of(self.rows)
+        grown = Lockstep(data, [Fit(m, self.members[m], left, smote) for m, left, smote in keys], self._edges, made, f"{self.folder}/{name}")
+        grown.run()
+        self.n_fits += len(keys)
+        self._tables.append(self._table(f"scores-{name}", grown.scores))
+        self.staged += grown.staged
+        for m, left, smote in keys:
+            self.models[m, left, smote] = grown.model(m, left, smote)
+        grown.release()
+
+    def _fit_estimator(self, key: Key, synthetic: dict[tuple[int, ...], DataFrame]) -> DataFrame:
+        member, left, smote = key
+        train = self._train_rows(left).select(ID_COL, "label", "weight", "pos_weight", "features")
+        if smote:
+            train = train.unionByName(synthetic[left].select(*train.columns))
+
+        def model():
+            if key not in self.models:
+                self.models[key] = self.members[member]().fit(train)
+                self.n_fits += 1
+            return self.models[key]
+
+        def scores() -> DataFrame:
+            rows = self.rows.where(F.col("fold").isin(*left)) if left else self.rows.limit(0)
+            scored = score_frame(model(), rows).join(rows.select(ID_COL, F.col("fold").cast("int").alias("fold")), ID_COL)
+            return scored.select(F.lit(member).alias("member"), F.lit(smote).alias("smote"), F.lit(_text(left)).alias("left_out"),
+                                 F.col(ID_COL).cast("string").alias(ID_COL), "fold", "label", "score")
+
+        out = self._table(f"scores-{member}-{smote}-{_text(left) or 'none'}".replace(" ", "_"), scores)
+        self.models.setdefault(key, None)
+        if self.models[key] is None:
+            del self.models[key]
+        return out
+
+    # Reading --------------------------------------------------------------------
+    def scores(self) -> DataFrame:
+        """(member, smote, left_out, customer_id, fold, label, score)."""
+        out = self._tables[0]
+        for t in self._tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def out_of_fold(self, k: int, beside: tuple[int, ...] = (), smote: bool = False) -> DataFrame:
+        """Each row of folds 0 to k - 1 scored by the fits that left out its fold and ``beside``."""
+        keys = [(i, _text({i, *beside})) for i in range(k)]
+        match = F.lit(False)
+        for i, left in keys:
+            match = match | ((F.col("fold") == i) & (F.col("left_out") == left))
+        return self.scores().where((F.col("smote") == smote) & match)
+
+    def scorer(self, member: str, left: tuple[int, ...] = (), smote: bool = False) -> Scorer:
+        """Scoring function of one fit."""
+        key = (member, tuple(sorted(left)), smote)
+        if key not in self.models:
+            self._done.discard(key)
+            self.fit([key])
+        if key not in self.models:  # its scores were in the store, the estimator is fitted again
+            synthetic = {key[1]: self._synthetic(key[1], 0)} if smote else {}
+            train = self._train_rows(key[1]).select(ID_COL, "label", "weight", "pos_weight", "features")
+            train = train.unionByName(synthetic[key[1]].select(*train.columns)) if smote else train
+            self.models[key] = self.members[member]().fit(train)
+        model = self.models[key]
+        return lambda df: score_frame(model, df)
+
+
+KEYS = [ID_COL, "fold", "label"]
+
+
+def _decided(df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    return df.withColumn("prediction", (F.col("score") >= threshold).cast("int"))
+
+
+def cross_val_predict(member: Member, folded: DataFrame, k: int = 5, smote: bool = False) -> DataFrame:
+    """Out-of-fold predictions (customer_id, fold, label, score, prediction) on rows with ``fold``."""
+    store = FitStore(folded, {"one": member}).fit([("one", (i,), smote) for i in range(k)])
+    return _decided(store.out_of_fold(k, smote=smote).select(*KEYS, "score"))
 
 
 METRICS = ("accuracy", "f1", "precision", "recall", "roc_auc")
@@ -160,42 +275,39 @@ def cv_metrics(oof: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return per_fold.groupBy(*g).agg(*[F.bround(F.avg(c), 6).alias(c) for c in METRICS])
 
 
-def compare_models(mm: DataFrame, names: Sequence[str] | None = None, k: int = 5,
-                   resample: Callable[[DataFrame], DataFrame] | None = None, suffix: str = "",
-                   ls: dict[str, Callable[[], Estimator]] | None = None) -> DataFrame:
+def compare_models(mm: DataFrame, names: Sequence[str] | None = None, k: int = 5, smote: bool = False, suffix: str = "",
+                   ls: dict[str, Member] | None = None) -> DataFrame:
     """ML3: model, accuracy, f1, precision, recall, roc_auc, seconds.
 
-    Folds are assigned once; each learner's k fold fits run concurrently and
-    its out-of-fold predictions are materialised (``seconds`` is that wall
-    time); the metrics of all learners come from one grouped evaluation."""
+    Folds are assigned once; a learner's k fold fits run together and its out-of-fold predictions are written (``seconds`` is that
+    wall time); the metrics of all learners come from one grouped evaluation."""
     ls = ls or learners()
     folded = fold_matrix(mm, k)
     secs, oofs = [], []
     for name in (names or list(ls)):
         t0 = time.time()
-        oof = _oof(ls[name], folded, k, resample, None).withColumn("model", F.lit(name + suffix)).checkpoint(eager=True)
+        oofs.append(cross_val_predict(ls[name], folded, k, smote).withColumn("model", F.lit(name + suffix)))
         secs.append((name + suffix, round(time.time() - t0, 3)))
-        oofs.append(oof)
     allo = oofs[0]
     for o in oofs[1:]:
         allo = allo.unionByName(o)
     m = cv_metrics(allo, ["model"])
-    spark = mm.sparkSession
-    t = spark.createDataFrame(secs, "model string, seconds double")
+    t = mm.sparkSession.createDataFrame(secs, "model string, seconds double")
     return m.join(F.broadcast(t), "model").select("model", *METRICS, "seconds")
 
 
-# Search spaces (re-aimed from the reference's: rounds/depth/rate/subsample/
-# column-sample/min-child/gamma -> Spark GBT parameters).
-GBT_SPACE = {
-    "maxIter": ("int", 10, 60), "maxDepth": ("int", 3, 8), "stepSize": ("logfloat", 0.01, 0.3),
-    "subsamplingRate": ("float", 0.6, 1.0), "featureSubsetStrategy": ("cat", ["0.6", "0.8", "1.0"]),
-    "minInstancesPerNode": ("int", 1, 10), "minInfoGain": ("float", 0.0, 0.05),
-}
-RF_SPACE = {
-    "numTrees": ("int", 20, 120), "maxDepth": ("int", 5, 15), "minInstancesPerNode": ("int", 1, 10),
-    "featureSubsetStrategy": ("cat", ["sqrt", "log2", "all"]),
+# The reference's search ranges (kind, low, high / choices)
+SPACES = {
+    "gbt_a": {
+        "rounds": ("int", 100, 800), "depth": ("int", 3, 10), "rate": ("logfloat", 0.01, 0.3), "rows": ("float", 0.6, 1.0), "cols": ("float", 0.6, 1.0),
+        "min_weight": ("int", 1, 10), "gain": ("float", 0, 5), "l1": ("logfloat", 1e-8, 10), "l2": ("logfloat", 1e-8, 10)},
+    "gbt_b": {
+        "rounds": ("int", 100, 800), "depth": ("int", 3, 12), "rate": ("logfloat", 0.01, 0.3), "leaves": ("int", 20, 150), "rows": ("float", 0.6, 1.0),
+        "cols": ("float", 0.6, 1.0), "min_rows": ("int", 5, 50), "l1": ("logfloat", 1e-8, 10), "l2": ("logfloat", 1e-8, 10)},
+    "rf": {
+        "rounds": ("int", 100, 800), "depth": ("int", 5, 30), "split_rows": ("int", 2, 20), "min_rows": ("int", 1, 10), "cols": ("cat", ["sqrt", "log2", "all"])},
 }
+TUNED_FROM = {"gbt_a": "gbt_a", "gbt_b": "gbt_b", "rf": "Random Forest"}
 
 
 def sample_params(space: dict, n_trials: int, seed: int = SEED) -> list[dict]:
@@ -220,58 +332,39 @@ def sample_params(space: dict, n_trials: int, seed: int = SEED) -> list[dict]:
     return out
 
 
-def random_search(mm: DataFrame, kind: str = "gbt", n_trials: int = 10, k: int = 5, seed: int = SEED,
-                  parallelism: int | None = None) -> DataFrame:
-    """ML5: trial, params (JSON), f1 (mean over folds, positive class);
-    CrossValidator with the stratified fold column and all trials as the
-    param grid (``n_trials`` is honoured, R8)."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator
-    est, space = tuned_factory(kind, {})(), (RF_SPACE if kind == "rf" else GBT_SPACE)
-    trials = sample_params(space, n_trials, seed)
-    grid = [{est.getParam(n): v for n, v in t.items()} for t in trials]
-    folded = fold_matrix(mm, k).select("label", "weight", "pos_weight", "features", "fold")
-    ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0)
-    # trials are independent: evaluate up to 8 parameter maps concurrently
-    cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=k,
-                        parallelism=parallelism or min(n_trials, 8), seed=seed)
-    fitted = cv.fit(folded)
-    rows = [(i, json.dumps(t, sort_keys=True), float(f)) for i, (t, f) in enumerate(zip(trials, fitted.avgMetrics))]
-    return mm.sparkSession.createDataFrame(rows, "trial int, params string, f1 double")
-
-
-def tuned_factory(kind: str, params: dict) -> Callable[[], Estimator]:
-    """``gbt`` or ``gbt_a`` (positive class weighted), ``gbt_b`` (balanced weights), ``rf``."""
-    if kind == "rf":
-        return lambda: RandomForestClassifier(weightCol="weight", seed=SEED, **params)
-    return lambda: GBTClassifier(weightCol="weight" if kind == "gbt_b" else "pos_weight", seed=SEED, **params)
-
-
-def stacking_fit(mm: DataFrame, base: dict[str, Callable[[], Estimator]], k: int = 5):
-    """ML9: out-of-fold class-1 probabilities of the base learners, joined
-    on the customer id (J4: an explicit equi-join, never row position), feed a
-    class-balanced logistic regression; base learners are then refitted on
-    all rows. Returns a scoring function DataFrame -> scored DataFrame."""
-    oof = None
-    for name, fac in base.items():
-        p = cross_val_predict(fac, mm, k).select(ID_COL, F.col("score").alias(f"_p_{name}"))
-        oof = p if oof is None else oof.join(p, ID_COL)
-    names = list(base)
-    meta_in = mm.select("row_id", ID_COL, "label", "weight").join(oof, ID_COL)
-    meta_in = VectorAssembler(inputCols=[f"_p_{n}" for n in names], outputCol="features").transform(meta_in)
-    meta = LogisticRegression(weightCol="weight", maxIter=100).fit(meta_in)
-    fitted = {n: base[n]().fit(mm) for n in names}
-
-    def score(df: DataFrame) -> DataFrame:
-        x = df
-        for n in names:
-            x = fitted[n].transform(x).select(*df.columns, *[c for c in x.columns if c.startswith("_p_")],
-                                              vector_to_array("probability")[1].alias(f"_p_{n}"))
-        x = VectorAssembler(inputCols=[f"_p_{n}" for n in names], outputCol="_meta").transform(x.drop("features"))
-        out = meta.setFeaturesCol("_meta").transform(x)
-        return out.select(ID_COL, "row_id", "label", F.col("prediction").cast("int").alias("prediction"),
-                          vector_to_array(F.col("probability"))[1].alias("score"))
-    return score
+def tuned(kind: str, params: dict | str) -> Params:
+    """Settings of ``kind`` with the searched ones (a dict, or its JSON) in their place."""
+    p = json.loads(params) if isinstance(params, str) else params
+    return replace(learners()[TUNED_FROM[kind]], **{f.name: p[f.name] for f in fields(Params) if f.name in p})
+
+
+def random_search(mm: DataFrame, kind: str = "gbt_a", n_trials: int = 10, k: int = 5, seed: int = SEED, space: dict | None = None,
+                  folder: str | None = None) -> DataFrame:
+    """ML5: learner, trial, params (JSON), f1 (mean over folds, positive class), and from the same fits staged_rounds and
+    staged_f1: the best of the smaller numbers of rounds, scored from the running sum of the trees (pooled over the folds).
+
+    All trials and folds grow in lockstep; ``n_trials`` is honoured (R8). ``folder`` keeps the scores of all trials."""
+    trials = sample_params(space or SPACES[kind], n_trials, seed)
+    members: dict[str, Member] = {f"{kind} {i}": tuned(kind, t) for i, t in enumerate(trials)}
+    store = FitStore(fold_matrix(mm, k), members, folder).fit([(m, (i,), False) for m in members for i in range(k)])
+    f1 = cv_metrics(_decided(store.out_of_fold(k)), ["member"]).select("member", "f1")
+    best: dict[str, tuple[float, int]] = {}
+    for member in members:
+        sums: dict[int, list[int]] = {}
+        for name, rounds, tp, fp, fn in store.staged:
+            if name == member:
+                sums.setdefault(rounds, []).append((tp, fp, fn))
+        for rounds, counts in sums.items():
+            tp, fp, fn = (sum(c) for c in zip(*counts, strict=True))
+            best[member] = max(best.get(member, (-1.0, 0)), (2 * tp / max(1, 2 * tp + fp + fn), -rounds))
+    rows = [(f"{kind} {i}", kind, i, json.dumps(t, sort_keys=True), -best[f"{kind} {i}"][1], round(best[f"{kind} {i}"][0], 6)) for i, t in enumerate(trials)]
+    said = mm.sparkSession.createDataFrame(rows, "member string, learner string, trial int, params string, staged_rounds int, staged_f1 double")
+    return f1.join(F.broadcast(said), "member").select("learner", "trial", "params", "f1", "staged_rounds", "staged_f1")
+
+
+def best_trial(trials: DataFrame, kind: str) -> Params:
+    """The member of the best trial of ``kind`` (a bounded table)."""
+    return tuned(kind, trials.where(F.col("learner") == kind).orderBy(F.desc("f1"), "trial").head()["params"])
 
 
 def split_holdout(mm: DataFrame, test_size: float = 0.2) -> tuple[DataFrame, DataFrame]:
@@ -292,8 +385,20 @@ def holdout_evaluate(mm: DataFrame, fit_score: Callable[[DataFrame], Callable[[D
     return me.evaluate(scorer(hold), "label", "prediction", "score")
 
 
-def model_importances(model, features: Sequence[str]) -> DataFrame:
-    """ML15: feature, importance (share-normalised: sums to 1)."""
+def split_importances(model: TreeModel, features: Sequence[str], spark: SparkSession, by: str = "splits") -> DataFrame:
+    """ML15: feature, splits, gain, importance of every feature from the table of the trees' nodes. ``by`` splits (how often a
+    feature splits) or gain (mean gain of its splits); the importances sum to 1."""
+    used = model.nodes(spark).where("feature is not null").groupBy("feature").agg(F.count(F.lit(1)).alias("splits"), F.sum("gain").alias("gain"))
+    names = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "i int, name string")
+    rows = names.join(used, names["i"] == used["feature"], "left").select(
+        F.col("name").alias("feature"), F.coalesce("splits", F.lit(0)).alias("splits"), F.coalesce("gain", F.lit(0.0)).alias("gain"))
+    value = F.col("splits").cast("double") if by == "splits" else F.col("gain") / F.greatest("splits", F.lit(1))
+    total = rows.agg(F.sum(value).alias("total"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select("feature", "splits", "gain", F.coalesce(F.try_divide(value, F.col("total")), F.lit(0.0)).alias("importance"))
+
+
+def forest_importances(model, features: Sequence[str]) -> DataFrame:
+    """feature, importance of a Spark ML tree model (share-normalised: sums to 1)."""
     vals = model.featureImportances.toArray()
     tot = float(vals.sum()) or 1.0
     spark = SparkSession.getActiveSession()
@@ -304,7 +409,7 @@ def importance_scan(mm: DataFrame, features: Sequence[str], trees: int = SCAN_TR
     """ML1: quick forest importances, ranked, with the near-zero flag."""
     from pyspark.sql import Window
     rf = RandomForestClassifier(numTrees=trees, seed=SEED).fit(mm)
-    imp = model_importances(rf, features)
+    imp = forest_importances(rf, features)
     w = Window.orderBy(F.col("importance").desc(), F.col("feature"))  # one row per feature: bounded
     return imp.select(F.row_number().over(w).alias("rank"), "feature", F.bround("importance", 6).alias("importance"),
                       (F.col("importance") < near_zero).alias("near_zero"))
@@ -333,99 +438,135 @@ def model_summary(ranked: DataFrame, holdout: DataFrame, predictions: DataFrame,
     return ch.crossJoin(ho).crossJoin(allm).crossJoin(tp).crossJoin(tf).withColumn("created_at", F.current_timestamp())
 
 
-def oversample_matrix(d: DataFrame) -> DataFrame:
-    """SMOTE rows added to a model matrix; synthetic rows get weight 1 (ML7)."""
-    from .resample import oversample
-    cols = d.columns
-    o = oversample(d, id_col=ID_COL)
-    return o.select(*[F.coalesce(F.col(c), F.lit(1.0)).alias(c) if c in ("weight", "pos_weight") else F.col(c)
-                      for c in cols])
-
-
-def soft_vote_cv(mm: DataFrame, members: dict[str, Callable[[], Estimator]], k: int = 5,
-                 threshold: float = 0.5) -> DataFrame:
-    """ML8 on fitted models: 5-fold CV of the soft-voting ensemble. Folds are
-    a deterministic function of the id, so the ensemble's fold-i model is
-    exactly its members' fold-i models: the out-of-fold member scores are
-    joined on the customer id (never by position) and averaged."""
-    oof = None
-    for name, fac in members.items():
-        p = cross_val_predict(fac, mm, k).select(ID_COL, "fold", "label", F.col("score").alias(f"_s_{name}"))
-        oof = p if oof is None else oof.join(p.drop("label"), [ID_COL, "fold"])
-    avg = sum((F.col(f"_s_{n}") for n in list(members)[1:]), F.col(f"_s_{list(members)[0]}")) / float(len(members))
-    voted = oof.select("fold", "label", avg.alias("score"), (avg >= threshold).cast("int").alias("prediction"))
-    return cv_metrics(voted)
-
-
-# ------------------------------------------------------------------ the race
-
-VOTE, STACK = "Ensemble (Soft Vote)", "Stacking"
-SMOTE = " + SMOTE"
-Scorer = Callable[[DataFrame], DataFrame]
-
-
-def _vote_of(parts: dict[str, DataFrame], keys: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """Mean of the members' scores, joined on the customer id."""
-    out = None
-    for i, p in enumerate(parts.values()):
-        p = p.select(*keys, F.col("score").alias(f"_s{i}"))
-        out = p if out is None else out.join(p.select(ID_COL, f"_s{i}"), ID_COL)
-    mean = sum((F.col(f"_s{i}") for i in range(1, len(parts))), F.col("_s0")) / float(len(parts))
-    return out.select(*keys, mean.alias("score")).withColumn("prediction", (F.col("score") >= threshold).cast("int"))
-
-
-def contenders(members: dict[str, Callable[[], Estimator]], k: int = 5) -> dict[str, Callable[[DataFrame], Scorer]]:
-    """Name -> fit function (train rows -> scorer) of every contender: each
-    member and its SMOTE variant, the soft votes of both, stacking."""
-    def single(fac, resampled):
-        def fit(d: DataFrame) -> Scorer:
-            if not resampled:
-                model = fac().fit(d)
-            else:
-                both = oversample_matrix(d).persist()
-                try:
-                    model = fac().fit(both)
-                finally:
-                    both.unpersist()
-            return lambda x: score_frame(model, x)
-        return fit
-
-    def vote(resampled):
-        def fit(d: DataFrame) -> Scorer:
-            scorers = {n: single(f, resampled)(d) for n, f in members.items()}
-            return lambda x: _vote_of({n: s(x) for n, s in scorers.items()}, [ID_COL, "label"])
-        return fit
-
-    out = {n: single(f, False) for n, f in members.items()}
-    out |= {n + SMOTE: single(f, True) for n, f in members.items()}
-    return out | {VOTE: vote(False), "Ensemble" + SMOTE: vote(True), STACK: lambda d: stacking_fit(d, members, k)}
-
-
-def race(mm: DataFrame, members: dict[str, Callable[[], Estimator]], k: int = 5) -> DataFrame:
-    """ML3 + ML7-ML10: model and cross-validated metrics of every contender.
-
-    All contenders share one fold assignment. The votes average the members'
-    out-of-fold scores (the vote's fold-i model is its members' fold-i
-    models). Stacking is cross-validated honestly: in each outer fold the
-    base learners, their inner out-of-fold scores and the meta learner see
-    the other folds only."""
-    folded = fold_matrix(mm, k)
-    keys = [ID_COL, "label", "fold"]
-    oof: dict[str, DataFrame] = {}
-    for suffix, resample in (("", None), (SMOTE, oversample_matrix)):
-        parts = {n + suffix: _oof(f, folded, k, resample, None).select(*keys, "score", "prediction").checkpoint(eager=True)
-                 for n, f in members.items()}
-        oof |= parts
-        oof["Ensemble" + SMOTE if suffix else VOTE] = _vote_of(parts, keys)
-    stacked = None
-    for i in range(k):
-        score = stacking_fit(folded.filter(F.col("fold") != i).drop("fold"), members, k)
-        part = score(folded.filter(F.col("fold") == i).drop("fold")).withColumn("fold", F.lit(i)).select(*keys, "score", "prediction")
-        part = part.checkpoint(eager=True)
-        stacked = part if stacked is None else stacked.unionByName(part)
-    oof[STACK] = stacked
-    every = None
-    for name, p in oof.items():
-        p = p.select(*keys, "score", "prediction").withColumn("model", F.lit(name))
-        every = p if every is None else every.unionByName(p)
-    return cv_metrics(every, ["model"]).select("model", *METRICS)
+# ------------------------------------------------------------------ votes, stacking, the race
+
+VOTE, STACK, SMOTE = "Ensemble (Soft Vote)", "Stacking", " + SMOTE"
+VOTE_SMOTE = "Ensemble" + SMOTE
+
+
+def _voted(scores: DataFrame) -> DataFrame:
+    """ML8: mean of the members' scores of each row, met on the customer id."""
+    return _decided(scores.groupBy(*KEYS).agg(F.avg("score").alias("score")))
+
+
+def _wide(scores: DataFrame, members: Sequence[str]) -> DataFrame:
+    """J4: one column of scores per member, met on the customer id (never by position), as a vector."""
+    wide = scores.groupBy(*KEYS).pivot("member", list(members)).agg(F.first("score"))
+    wide = wide.select(*KEYS, *[F.col(f"`{m}`").alias(f"_p{i}") for i, m in enumerate(members)])
+    return VectorAssembler(inputCols=[f"_p{i}" for i in range(len(members))], outputCol="features").transform(wide)
+
+
+def _meta(scores: DataFrame, store: FitStore, members: Sequence[str]):
+    """ML9: a class-balanced logistic regression over the members' out-of-fold scores."""
+    weight = store.rows.select(F.col(ID_COL).cast("string").alias(ID_COL), "weight")
+    return LogisticRegression(weightCol="weight", maxIter=100).fit(_wide(scores, members).join(weight, ID_COL))
+
+
+def stacking_alignment(mm: DataFrame, members: dict[str, Member], k: int = 5) -> DataFrame:
+    """J4: customer_id, fold and one out-of-fold score column per member."""
+    store = FitStore(fold_matrix(mm, k), members).fit([(m, (i,), False) for m in members for i in range(k)])
+    wide = store.out_of_fold(k).groupBy(ID_COL, "fold").pivot("member", list(members)).agg(F.first("score"))
+    return wide.select(ID_COL, "fold", *[F.col(f"`{m}`").alias(f"p_{m}") for m in members])
+
+
+def soft_vote_cv(mm: DataFrame, members: dict[str, Member], k: int = 5, smote: bool = False) -> DataFrame:
+    """ML8 on fitted models: cross-validated metrics of the vote. The vote's fold-i model is its members' fold-i models."""
+    store = FitStore(fold_matrix(mm, k), members).fit([(m, (i,), smote) for m in members for i in range(k)])
+    return cv_metrics(_voted(store.out_of_fold(k, smote=smote)))
+
+
+class Race:
+    """All contenders on one store of fits: members, their SMOTE variants, both soft votes, stacking.
+
+    Stacking is cross-validated honestly: in outer fold i the meta learner sees members fitted without i and j on fold j. The inner
+    folds of an outer fold are the other outer folds, so the fit without i and j serves both of them, and the fits without i that
+    cross-validate the members are the base models of stacking in fold i: with k folds and m members k + k (k - 1) / 2 fits a
+    member, and k more for its SMOTE variant. ``hold``: rows that no contender sees before the end (fold k)."""
+
+    def __init__(self, mm: DataFrame, members: dict[str, Member], k: int = 5, hold: DataFrame | None = None, folder: str | None = None):
+        if k < 3:
+            raise ValueError("nested stacking leaves out two folds at a time: k must be 3 or more")
+        self.members, self.k = list(members), k
+        rows = fold_matrix(mm, k)
+        if hold is not None:
+            rows = rows.unionByName(hold.withColumn("fold", F.lit(k).cast(rows.schema["fold"].dataType)))
+        self.hold = (k,) if hold is not None else ()
+        self.store = FitStore(rows, members, folder)
+
+    def wanted(self) -> list[Key]:
+        """The fits of the race."""
+        lefts = [(i,) for i in range(self.k)]
+        keys = [(m, left + self.hold, s) for m in self.members for left in lefts for s in (False, True)]
+        return keys + [(m, pair + self.hold, False) for m in self.members for pair in combinations(range(self.k), 2)]
+
+    def needs(self, name: str, left: tuple[int, ...] = ()) -> list[Key]:
+        """The fits of the contender ``name`` trained on all rows but those of the folds ``left``."""
+        members = self.members if name in (VOTE, VOTE_SMOTE, STACK) else [name.removesuffix(SMOTE)]
+        keys = [(m, left, name.endswith(SMOTE)) for m in members]
+        folds = {*range(self.k), *self.hold} - set(left)
+        return keys + [(m, tuple(sorted({i, *left})), False) for m in members for i in folds if name == STACK]
+
+    def _stacked(self, i: int) -> DataFrame:
+        rest = [j for j in range(self.k) if j != i]
+        match = F.lit(False)
+        for j in rest:
+            match = match | ((F.col("fold") == j) & (F.col("left_out") == _text({i, j, *self.hold})))
+        scores = self.store.scores().where(~F.col("smote"))
+        meta = _meta(scores.where(match), self.store, self.members)
+        outer = scores.where((F.col("fold") == i) & (F.col("left_out") == _text({i, *self.hold})))
+        out = meta.transform(_wide(outer, self.members))
+        return _decided(out.select(*KEYS, vector_to_array("probability")[1].alias("score")))
+
+    def run(self) -> DataFrame:
+        """ML3 + ML7-ML10: model and cross-validated metrics of every contender."""
+        self.store.fit(self.wanted())
+        plain, smoted = (self.store.out_of_fold(self.k, self.hold, s) for s in (False, True))
+        parts = [_decided(p).select(*KEYS, "score", "prediction", F.concat("member", F.lit(tail)).alias("model")) for p, tail in ((plain, ""), (smoted, SMOTE))]
+        parts += [_voted(p).withColumn("model", F.lit(name)) for p, name in ((plain, VOTE), (smoted, VOTE_SMOTE))]
+        with ThreadPoolExecutor(self.k) as pool:
+            parts += [p.withColumn("model", F.lit(STACK)) for p in pool.map(self._stacked, range(self.k))]
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return cv_metrics(every, ["model"]).select("model", *METRICS)
+
+    def scorer(self, name: str, left: tuple[int, ...] = ()) -> Scorer:
+        """ML11: the contender ``name`` trained on all rows but those of ``left`` (nothing, or the holdout): rows -> scored rows."""
+        self.store.fit(self.needs(name, left))
+        smote = name.endswith(SMOTE)
+        members = self.members if name in (VOTE, VOTE_SMOTE, STACK) else [name.removesuffix(SMOTE)]
+        one = {m: self.store.scorer(m, left, smote) for m in members}
+        if len(members) == 1 and name != STACK and name not in (VOTE, VOTE_SMOTE):
+            return one[members[0]]
+
+        def gathered(df: DataFrame) -> DataFrame:
+            parts = [s(df).select(F.col(ID_COL).cast("string").alias(ID_COL), F.lit(0).alias("fold"), "label", "score", F.lit(m).alias("member")) for m, s in one.items()]
+            out = parts[0]
+            for p in parts[1:]:
+                out = out.unionByName(p)
+            return out
+
+        if name != STACK:
+            return lambda df: _voted(gathered(df)).select(ID_COL, "label", "prediction", "score")
+        scores = self.store.scores().where(~F.col("smote"))
+        match = F.lit(False)
+        for i in {*range(self.k), *self.hold} - set(left):
+            match = match | ((F.col("fold") == i) & (F.col("left_out") == _text({i, *left})))
+        meta = _meta(scores.where(match), self.store, self.members)
+
+        def stacked(df: DataFrame) -> DataFrame:
+            out = meta.transform(_wide(gathered(df), self.members))
+            return _decided(out.select(ID_COL, "label", vector_to_array("probability")[1].alias("score")))
+        return stacked
+
+
+def race(mm: DataFrame, members: dict[str, Member], k: int = 5) -> DataFrame:
+    """ML3 + ML7-ML10: model and cross-validated metrics of every contender."""
+    return Race(mm, members, k).run()
+
+
+def stacking_fit(mm: DataFrame, members: dict[str, Member], k: int = 5) -> Scorer:
+    """ML9: stacking trained on ``mm``; rows -> scored rows."""
+    r = Race(mm, members, k)
+    r.store.fit([(m, (i,), False) for m in members for i in range(k)] + [(m, (), False) for m in members])
+    return r.scorer(STACK)

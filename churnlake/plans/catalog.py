@@ -723,7 +723,19 @@ def ml4_class_weighting(spark, sf):
 @query("ml5_random_search", once=True)
 def ml5_random_search(spark, sf):
     mm, _, _ = _mm(spark, sf)
-    return mo.random_search(mm, "gbt", n_trials=10, k=5)
+    return mo.random_search(mm, "gbt_a", n_trials=10, k=5)
+
+
+@query("ml5_random_search_gbt_b", once=True)
+def ml5_random_search_gbt_b(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.random_search(mm, "gbt_b", n_trials=10, k=5)
+
+
+@query("ml5_random_search_rf", once=True)
+def ml5_random_search_rf(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.random_search(mm, "rf", n_trials=10, k=5)
 
 
 @query("ml6_smote", once=True)
@@ -744,7 +756,13 @@ def so5_union_synthetic(spark, sf):
 @query("ml7_resampled_cv", once=True)
 def ml7_resampled_cv(spark, sf):
     mm, _, _ = _mm(spark, sf)
-    return mo.compare_models(mm, ["gbt_a"], resample=mo.oversample_matrix, suffix=" + SMOTE")
+    return mo.compare_models(mm, ["Random Forest", "gbt_a", "gbt_b"], smote=True, suffix=mo.SMOTE)
+
+
+@query("ml7_resampled_vote", once=True)
+def ml7_resampled_vote(spark, sf):
+    mm, _, _ = _mm(spark, sf)
+    return mo.soft_vote_cv(mm, _stack_base(), smote=True)
 
 
 @query("ml8_soft_vote_models", once=True)
@@ -767,22 +785,19 @@ def ml9_stacking(spark, sf):
 @query("j4_stacking_alignment", once=True)
 def j4_stacking_alignment(spark, sf):
     mm, _, _ = _mm(spark, sf)
-    oof = None
-    for name, fac in _stack_base().items():
-        p = mo.cross_val_predict(fac, mm, 5).select("row_id", "customer_id", "fold", F.col("score").alias(f"p_{name}"))
-        oof = p if oof is None else oof.join(p.drop("row_id", "fold"), "customer_id")
-    return oof
+    return mo.stacking_alignment(mm, _stack_base())
 
 
 def _champion(spark, sf):
     """Split off the holdout first (R11); rank all contenders of the race
     (members, SMOTE variants, soft votes, stacking) by CV F1 on the tuning
     rows only (ML10); the champion of any kind is refitted (ML11)."""
-    mm, mt, feats = _mm(spark, sf)
+    mm, mt, _ = _mm(spark, sf)
     tune, hold = mo.split_holdout(mm)
-    ranked = me.rank_models(mo.race(tune, _stack_base())).checkpoint(eager=True)  # nine rows
+    r = mo.Race(tune, _stack_base(), hold=hold)
+    ranked = me.rank_models(r.run()).checkpoint(eager=True)  # nine rows
     name = ranked.filter("is_champion").head()["model"]
-    return ranked, mo.contenders(_stack_base())[name], mm, mt, feats, (tune, hold)
+    return ranked, r, name, mt, hold
 
 
 @query("ml10_race", once=True)
@@ -793,16 +808,18 @@ def ml10_race(spark, sf):
 
 @query("ml11_champion_refit", once=True)
 def ml11_champion_refit(spark, sf):
-    _, fit, mm, mt, _, _ = _champion(spark, sf)
-    return mo.predictions_table(fit(mm)(mt))
+    _, r, name, mt, _ = _champion(spark, sf)
+    return mo.predictions_table(r.scorer(name)(mt))
 
 
 @query("ml15_model_importances", once=True)
 def ml15_model_importances(spark, sf):
+    """Of the tuned boosters, refitted on all rows: mean gain of gbt_a's splits, number of gbt_b's."""
     mm, _, feats = _mm(spark, sf)
-    ls = mo.learners()
-    a = mo.model_importances(ls["gbt_a"]().fit(mm), feats).withColumnRenamed("importance", "imp_a")
-    b = mo.model_importances(ls["gbt_b"]().fit(mm), feats).withColumnRenamed("importance", "imp_b")
+    best = {kind: mo.best_trial(mo.random_search(mm, kind, n_trials=10, k=5), kind) for kind in ("gbt_a", "gbt_b")}
+    store = mo.FitStore(mm.withColumn("fold", F.lit(0)), best).fit([(kind, (), False) for kind in best])
+    of = lambda kind, by, name: mo.split_importances(store.models[kind, (), False], feats, spark, by).select("feature", F.col("importance").alias(name))
+    a, b = of("gbt_a", "gain", "imp_a"), of("gbt_b", "splits", "imp_b")
     return imp.combined_importance(a.select("feature"), a, b)
 
 
@@ -815,9 +832,10 @@ def ml17_score(spark, sf):
 
 @query("ml19_model_summary", once=True)
 def ml19_model_summary(spark, sf):
-    ranked, fit, mm, mt, _, split = _champion(spark, sf)
-    ho = mo.holdout_evaluate(mm, fit, split=split)
-    preds = mo.predictions_table(fit(mm)(mt))
+    ranked, r, name, mt, hold = _champion(spark, sf)
+    r.store.fit(r.needs(name, r.hold) + r.needs(name))
+    ho = me.evaluate(r.scorer(name, r.hold)(hold), "label", "prediction", "score")
+    preds = mo.predictions_table(r.scorer(name)(mt))
     top = imp.churn_drivers(_importance(spark, sf)).select("feature")
     doc = mo.model_summary(ranked, ho, preds, top)
     return doc.select(F.to_json(F.struct(*doc.columns)).alias("json"))

@@ -112,13 +112,13 @@ def clean(spark: SparkSession, data_dir: str, out: str, stats_from: str = "self"
 
 
 def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_trials: int = 10, k: int = 5,
-          kinds: Sequence[str] = ("gbt_a", "gbt_b", "rf"), gbt_rounds: int | dict[str, int] | None = None) -> dict:
+          kinds: Sequence[str] = ("gbt_a", "gbt_b", "rf"), rounds: dict[str, int] | None = None, spaces: dict | None = None) -> dict:
     """Stage 2: compare the untuned learners; tune one learner of each of
     ``kinds``; race the tuned ones, their SMOTE variants, both soft votes
     and stacking; rank, refit the champion of whatever kind, score test.
-    ``gbt_rounds``: rounds of the untuned boosters, by default the
-    reference's (200, 300, 300)."""
-    ls = mo.learners(gbt_rounds=gbt_rounds or mo.REFERENCE_ROUNDS)
+    ``rounds`` and ``spaces`` replace the sizes of the untuned boosters and
+    the search ranges, by default the reference's."""
+    ls = mo.learners(rounds=rounds)
     ensure_checkpoint_dir(spark)
     tr_e = spark.read.parquet(_p(out, "train_ml_ready"))
     te_e = spark.read.parquet(_p(out, "test_ml_ready"))
@@ -132,29 +132,36 @@ def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_tr
     tune, hold = mo.split_holdout(mm)
     names = learners or list(ls)
     results = mo.compare_models(tune, names, k=k, ls=ls).drop("seconds")
-    fits = {n: (lambda d, f=f: (lambda m_: (lambda x: mo.score_frame(m_, x)))(f().fit(d))) for n, f in ls.items()}
+    contest = None
     tuned: dict = {}
     if n_trials:
-        trials = None
         for kind in kinds:
-            search = mo.random_search(tune, kind, n_trials=n_trials, k=k).withColumn("learner", F.lit(kind))
-            best = json.loads(search.orderBy(F.desc("f1"), "trial").head()["params"])
-            tuned[f"{kind} (tuned)"] = mo.tuned_factory(kind, best)
-            trials = search if trials is None else trials.unionByName(search)
-        sinks.write_csv(trials, _p(out, "tuning_trials"))
-        results = results.unionByName(mo.race(tune, tuned, k))
-        fits |= mo.contenders(tuned, k)
+            space = (spaces or mo.SPACES)[kind]
+            search = mo.random_search(tune, kind, n_trials=n_trials, k=k, space=space).checkpoint(eager=True)  # one row per trial
+            sinks.write_csv(search, _p(out, f"tuning_trials/{kind}"))
+            tuned[f"{kind} (tuned)"] = mo.best_trial(search, kind)
+        contest = mo.Race(tune, tuned, k, hold=hold, folder=_p(out, "fits"))
+        results = results.unionByName(contest.run())
     ranked = me.rank_models(results).checkpoint(eager=True)  # one row per contender
     sinks.write_csv(ranked, _p(out, "model_results"))
     champ = ranked.filter("is_champion").head()["model"]
-    holdout = mo.holdout_evaluate(mm, fits[champ], split=(tune, hold))
-    preds = mo.predictions_table(fits[champ](mm)(mt))
+    # untuned learners and tuned ones whose importances are asked for, fitted without the holdout (fold 0) and on all rows
+    marked = tune.withColumn("fold", F.lit(1)).unionByName(hold.withColumn("fold", F.lit(0)))
+    plain = mo.FitStore(marked, {**ls, **tuned})
+    scorer = (lambda left: plain.scorer(champ, (0,) if left else ())) if champ in ls else lambda left: contest.scorer(champ, contest.hold if left else ())
+    holdout = me.evaluate(scorer(True)(hold), "label", "prediction", "score")
+    preds = mo.predictions_table(scorer(False)(mt))
     sinks.write_table(preds, _p(out, "test_predictions"))
     preds = spark.read.parquet(_p(out, "test_predictions"))
-    # the importances of the tuned models, where there are any
-    of = lambda kind: mo.model_importances(tuned.get(f"{kind} (tuned)", ls[kind])().fit(mm), feats)
-    a = of("gbt_a").withColumnRenamed("importance", "imp_a")
-    b = of("gbt_b").withColumnRenamed("importance", "imp_b")
+
+    def of(kind: str, by: str, name: str) -> DataFrame:
+        """Importances of the tuned model, where there is one."""
+        member = f"{kind} (tuned)" if f"{kind} (tuned)" in tuned else kind
+        store = contest.store if contest and member in tuned else plain
+        model = store.fit([(member, (), False)]).models[member, (), False]
+        return mo.split_importances(model, feats, spark, by).select("feature", F.col("importance").alias(name))
+
+    a, b = of("gbt_a", "gain", "imp_a"), of("gbt_b", "splits", "imp_b")
     comb = imp.combined_importance(a.select("feature"), a, b)
     sinks.write_csv(comb, _p(out, "feature_importance"))
     top = imp.churn_drivers(spark.read.option("header", True).schema(comb.schema).csv(_p(out, "feature_importance")))

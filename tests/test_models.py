@@ -32,8 +32,8 @@ def test_soft_vote_cv_between_members(spark):
 def test_holdout_split_up_front_is_disjoint_and_stratified(spark):
     mm, _, _ = cat._mm(spark, SF)
     tune, hold = mo.split_holdout(mm, 0.2)
-    t_ids = {r[0] for r in tune.select("row_id").collect()}
-    h_ids = {r[0] for r in hold.select("row_id").collect()}
+    t_ids = {r[0] for r in tune.select("customer_id").collect()}
+    h_ids = {r[0] for r in hold.select("customer_id").collect()}
     assert not (t_ids & h_ids) and len(t_ids) + len(h_ids) == mm.count()
     per = {r["label"]: r["count"] for r in hold.groupBy("label").count().collect()}
     tot = {r["label"]: r["count"] for r in mm.groupBy("label").count().collect()}
@@ -44,14 +44,14 @@ def test_holdout_split_up_front_is_disjoint_and_stratified(spark):
 def test_every_kind_of_champion_scores_every_row(spark):
     """Members, SMOTE variants, votes and stacking each refit and score; the vote lies between its members."""
     mm, mt, _ = cat._mm(spark, "/root/testdata/sf0.001")
-    from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+    from pyspark.ml.classification import LogisticRegression
     members = {"lr": lambda: LogisticRegression(weightCol="weight", regParam=0.01, maxIter=20),
-               "rf": lambda: RandomForestClassifier(weightCol="weight", numTrees=5, seed=1)}
-    fits = mo.contenders(members, k=2)
-    assert set(fits) == {"lr", "rf", "lr + SMOTE", "rf + SMOTE", mo.VOTE, "Ensemble + SMOTE", mo.STACK}
+               "rf": mo.Params(5, depth=5, l2=0.0, cols="sqrt", weight="weight", forest=True)}
+    race = mo.Race(mm, members, k=3)
+    race.run()
     scores = {}
-    for name, fit in fits.items():
-        rows = fit(mm)(mt).collect()
+    for name in ("lr", "rf", "lr + SMOTE", "rf + SMOTE", mo.VOTE, mo.VOTE_SMOTE, mo.STACK):
+        rows = race.scorer(name)(mt).collect()
         assert len(rows) == mt.count() and all(0 <= r["score"] <= 1 for r in rows)
         scores[name] = {r["customer_id"]: r["score"] for r in rows}
     for c, v in scores[mo.VOTE].items():

@@ -2,13 +2,16 @@ import json
 import tempfile
 
 from churnlake import stages
+from churnlake.operators import models as mo
 
 
 def test_three_stages_end_to_end(spark):
     out = tempfile.mkdtemp(prefix="churnlake-stages-")
     meta = stages.clean(spark, "/root/testdata/sf0.001", out)
     assert meta["total_encoded_features"] == 61 and meta["train_shape"][1] == 63
-    res = stages.train(spark, out, learners=["Logistic Regression", "Random Forest"], n_trials=2, k=2, kinds=["gbt_a", "rf"], gbt_rounds=10)
+    res = stages.train(spark, out, learners=["Logistic Regression", "Random Forest"], n_trials=2, k=3, kinds=["gbt_a", "rf"],
+                       rounds={"Gradient Boosting": 10, "gbt_a": 10, "gbt_b": 10},
+                       spaces={k: {**v, "rounds": ("int", 5, 10)} for k, v in mo.SPACES.items()})
     names = {r["model"] for r in spark.read.option("header", True).csv(f"{out}/model_results").collect()}
     assert names == {"Logistic Regression", "Random Forest", "gbt_a (tuned)", "rf (tuned)", "gbt_a (tuned) + SMOTE",
                      "rf (tuned) + SMOTE", "Ensemble (Soft Vote)", "Ensemble + SMOTE", "Stacking"}
