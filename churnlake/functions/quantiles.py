@@ -8,8 +8,11 @@ DuckDB ``quantile_cont``) is found by narrowing, the same way at every size:
 1. the column(s) are unpivoted to (column, value) and reduced to distinct
    (column, value, count) rows with map-side partial aggregation (a value
    held by a third of all rows is one row after this step);
-2. per column, one aggregate: rows at -infinity, at +infinity and between,
-   least and greatest finite value. Ranks that fall on an infinity are done;
+2. one job brackets every rank of all columns: values fall into parts of equal
+   ratio (``PER_OCTAVE`` per power of two on either side of zero, infinities and
+   zero apart), a fixed grid that needs neither least nor greatest value. A running
+   count per column picks the parts that hold the wanted ranks. A part of one
+   value is the answer; so small domains are settled here;
 3. every other wanted rank has a value range. One job per round serves all
    open ranks of all columns: the ranges are a small table joined to the
    distinct values, each range is counted in ``buckets`` equal parts, a
@@ -19,7 +22,7 @@ DuckDB ``quantile_cont``) is found by narrowing, the same way at every size:
 The least value of a range falls in its first part and the greatest in its
 last, so every round drops distinct values from every open range: the loop
 ends, and stops with an error should a range ever fail to shrink. The driver
-sees one row per open rank and round.
+sees a few rows per rank and round.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+BUCKETS, PER_OCTAVE = 4096, 256
 
 
 SEP = "\x1f"
@@ -62,16 +65,44 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     :func:`exact_quantiles_by`)."""
     d = _distinct_counts(df, cols, by).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        finite = F.abs(F.col("x")) != math.inf
-        stats = {r["c"]: r for r in d.groupBy("c").agg(
-            F.sum("n").alias("N"), F.sum(F.when(F.col("x") == -math.inf, F.col("n")).otherwise(0)).alias("under"),
-            F.sum(F.when(finite, F.col("n")).otherwise(0)).alias("n"),
-            F.min(F.when(finite, F.col("x"))).alias("lo"), F.max(F.when(finite, F.col("x"))).alias("hi")).collect()}
-        keys = list(cols) if by is None else sorted(stats)
-        found = _select(d.filter(finite), _ranks(stats, probs), stats, buckets)
+        total, found, open_ = _bracketed(d, probs)
+        found |= _select(d, open_, buckets)
     finally:
         d.unpersist()
-    return {c: [_interpolated(c, stats[c]["N"], p, found) if c in stats else None for p in probs] for c in keys}
+    keys = list(cols) if by is None else sorted(total)
+    return {c: [_interpolated(c, total[c], p, found) if c in total else None for p in probs] for c in keys}
+
+
+def _part(x):
+    """Number of the part of equal ratio that holds ``x``; never falls as ``x`` grows."""
+    size = F.floor((F.log2(F.abs(x)) + 1100) * PER_OCTAVE)
+    size = F.when(x == 0, 0).when(F.abs(x) == math.inf, 1 << 40).otherwise(size)
+    return F.when(x < 0, -size).otherwise(size)
+
+
+def _bracketed(d: DataFrame, probs: Sequence[float]) -> tuple[dict, dict, dict]:
+    """(rows of each column, ranks found, open ranks with their least and greatest value and the rank between): one job."""
+    parts = d.groupBy("c", _part(F.col("x")).alias("part")).agg(F.sum("n").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    column = Window.partitionBy("c")
+    parts = parts.withColumn("upto", F.sum("n").over(column.orderBy("part"))).withColumn("all", F.sum("n").over(column))
+    wanted = F.lit(False)
+    for p in probs:
+        r = F.floor((F.col("all") - 1) * F.lit(float(p)))
+        for rank in (r, F.least(r + 1, F.col("all") - 1)):
+            wanted = wanted | ((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")))
+    held: dict[str, list] = {}
+    for row in parts.where(wanted).collect():
+        held.setdefault(row["c"], []).append(row)
+    total = {c: rows[0]["all"] for c, rows in held.items()}
+    found, open_ = {}, {}
+    for c, n in total.items():
+        for r in {r for p in probs for r in _around(n, p)[:2]}:
+            row = next(x for x in held[c] if x["upto"] - x["n"] <= r < x["upto"])
+            if row["lo"] == row["hi"]:
+                found[c, r] = row["lo"]
+            else:
+                open_[c, r] = (row["lo"], row["hi"], r - (row["upto"] - row["n"]))
+    return total, found, open_
 
 
 def _around(n: int, p: float) -> tuple[int, int, float]:
@@ -80,28 +111,15 @@ def _around(n: int, p: float) -> tuple[int, int, float]:
     return int(math.floor(h)), min(int(math.floor(h)) + 1, n - 1), h - math.floor(h)
 
 
-def _ranks(stats: dict, probs: Sequence[float]) -> list[tuple[str, int]]:
-    return sorted({(c, r) for c, s in stats.items() for p in probs for r in _around(s["N"], p)[:2]})
-
-
 def _interpolated(c: str, n: int, p: float, found: dict[tuple[str, int], float]) -> float:
     r0, r1, share = _around(n, p)
     v0, v1 = found[c, r0], found[c, r1]
     return v0 if share == 0 or v0 == v1 else v0 + (v1 - v0) * share
 
 
-def _select(d: DataFrame, ranks: list[tuple[str, int]], stats: dict, buckets: int) -> dict[tuple[str, int], float]:
-    """The value at each (column, rank); ``d`` holds the finite distinct values."""
+def _select(d: DataFrame, open_: dict[tuple[str, int], tuple[float, float, int]], buckets: int) -> dict[tuple[str, int], float]:
+    """The value at each open (column, rank): least, greatest and rank among the values between."""
     found: dict[tuple[str, int], float] = {}
-    open_: dict[tuple[str, int], tuple[float, float, int]] = {}  # least, greatest, rank among the values between
-    for c, r in ranks:
-        s = stats[c]
-        if r < s["under"]:
-            found[c, r] = -math.inf
-        elif r >= s["under"] + s["n"]:
-            found[c, r] = math.inf
-        else:
-            open_[c, r] = (s["lo"], s["hi"], r - s["under"])
     while open_:
         for key in [k for k, (lo, hi, _) in open_.items() if lo == hi]:
             found[key] = open_.pop(key)[0]

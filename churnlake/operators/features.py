@@ -52,12 +52,24 @@ NON_NEGATIVE = [
 ]
 RATE_COLS = ["discount_usage_rate", "email_open_rate"]
 
-def feature_stats(df: DataFrame) -> DataFrame:
+# The engineered features that need statistics of the whole table.
+NEEDS_MAX, NEEDS_TERCILES = "payment_reliability", "nps_category"
+
+
+def feature_stats(df: DataFrame, only: Sequence[str] | None = None) -> DataFrame:
     """One row: the table statistics used by FE7 and FE12 (max late
-    payments; exact NPS terciles by distributed selection)."""
+    payments; exact NPS terciles by distributed selection). ``only``: the
+    engineered features asked for; statistics that none of them uses are
+    not computed (NULL)."""
     from ..functions.quantiles import quantile_row
-    mx = df.agg(F.max("late_payments_last_12m").alias("_max_late"))
-    return mx.crossJoin(quantile_row(df, "nps_score", NPS_PROBS, "_nps_q"))
+    asked = lambda name: only is None or name in only
+    mx = df.agg(F.max("late_payments_last_12m").alias("_max_late")) if asked(NEEDS_MAX) else _no_stats(df, "_max_late bigint")
+    terciles = quantile_row(df, "nps_score", NPS_PROBS, "_nps_q") if asked(NEEDS_TERCILES) else _no_stats(df, "_nps_q array<double>")
+    return mx.crossJoin(terciles)
+
+
+def _no_stats(df: DataFrame, schema: str) -> DataFrame:
+    return df.sparkSession.createDataFrame([(None,)], schema)
 
 
 def engineer_features(df: DataFrame, stats: DataFrame | None = None, parity_nan: bool = False) -> DataFrame:
@@ -93,29 +105,38 @@ def engineer_features(df: DataFrame, stats: DataFrame | None = None, parity_nan:
 
 
 def fit_transform_split(train: DataFrame, test: DataFrame, stats_from: str = "self",
-                        parity_nan: bool = False) -> tuple[DataFrame, DataFrame]:
+                        parity_nan: bool = False, only: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """FE21: features for train and test. ``stats_from='self'`` refits the
     statistics on each table (reference parity); ``'train'`` applies the train
     statistics to test.
 
     With 'self', the NPS terciles of both tables come from one selection
-    over the two tables tagged by part (one pass instead of two)."""
+    over the two tables tagged by part (one pass instead of two). ``only``
+    lists the engineered features wanted: the others are left out, and no
+    statistics are computed for them."""
     from ..functions.quantiles import exact_quantiles_by
     if stats_from not in ("self", "train"):
         raise ValueError("stats_from must be 'self' or 'train'")
+    keep = None if only is None else [*train.columns, *only]
+
+    def finished(df: DataFrame, st: DataFrame) -> DataFrame:
+        out = engineer_features(df, st, parity_nan)
+        return out if keep is None else out.select(*[c for c in keep if c in out.columns])
+
     if stats_from == "train":
-        tr_stats = feature_stats(train)
-        return (engineer_features(train, tr_stats, parity_nan), engineer_features(test, tr_stats, parity_nan))
-    both = (train.select("nps_score", F.lit("train").alias("_part"))
-            .unionByName(test.select("nps_score", F.lit("test").alias("_part"))))
-    q = exact_quantiles_by(both, "nps_score", NPS_PROBS, "_part")
-    spark = train.sparkSession
+        tr_stats = feature_stats(train, only)
+        return finished(train, tr_stats), finished(test, tr_stats)
+    spark, q = train.sparkSession, {}
+    if only is None or NEEDS_TERCILES in only:
+        both = (train.select("nps_score", F.lit("train").alias("_part"))
+                .unionByName(test.select("nps_score", F.lit("test").alias("_part"))))
+        q = exact_quantiles_by(both, "nps_score", NPS_PROBS, "_part")
 
     def stats(df: DataFrame, part: str) -> DataFrame:
         qrow = spark.createDataFrame([(q.get(part, [None] * len(NPS_PROBS)),)], "_nps_q array<double>")
-        return df.agg(F.max("late_payments_last_12m").alias("_max_late")).crossJoin(qrow)
-    return (engineer_features(train, stats(train, "train"), parity_nan),
-            engineer_features(test, stats(test, "test"), parity_nan))
+        mx = df.agg(F.max("late_payments_last_12m").alias("_max_late")) if only is None or NEEDS_MAX in only else _no_stats(df, "_max_late bigint")
+        return mx.crossJoin(qrow)
+    return finished(train, stats(train, "train")), finished(test, stats(test, "test"))
 
 
 # ---------------------------------------------------------------- encoding

@@ -52,9 +52,9 @@ def train_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return split_frames(customers(spark, sf_dir))
 
 
-def features(spark: SparkSession, sf_dir: str, stats_from: str = "self") -> tuple[DataFrame, DataFrame]:
+def features(spark: SparkSession, sf_dir: str, stats_from: str = "self", only: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     tr, te = train_test(spark, sf_dir)
-    return fit_transform_split(tr, te, stats_from=stats_from)
+    return fit_transform_split(tr, te, stats_from=stats_from, only=only)
 
 
 def score_expr() -> F.Column:

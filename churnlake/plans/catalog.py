@@ -175,10 +175,11 @@ def j2_importance_join(spark, sf):
     return _importance(spark, sf).select("feature", "imp_a", "imp_b")
 
 
-@query("j3_unseen_categories")
+@query("j3_unseen_categories", once=True)
 def j3_unseen_categories(spark, sf):
+    # the days have many levels, some of them in test only
     tr, te = base.features(spark, sf)
-    return so.unseen_categories(tr, te, fe.CATEGORICAL_FEATURES)
+    return so.unseen_categories(tr, te, [*fe.CATEGORICAL_FEATURES, "days_since_last_purchase"])
 
 
 # ------------------------------------------------------- 2.4 aggregations
@@ -233,7 +234,7 @@ def ag10_int_ranges(spark, sf):
     return pr.int_ranges(base.train_test(spark, sf)[0])
 
 
-@query("ag11_iqr_outliers")
+@query("ag11_iqr_outliers", once=True)
 def ag11_iqr_outliers(spark, sf):
     tr = base.train_test(spark, sf)[0]
     cols = [c for c in pr.columns_of_type(tr, ["numeric"]) if c != cu.TARGET_COL]
@@ -267,7 +268,7 @@ def ag14_target_correlation(spark, sf):
     return cor.target_correlation(base.train_test(spark, sf)[0], "estimated_clv_usd")
 
 
-@query("ag15_correlation_with_target")
+@query("ag15_correlation_with_target", once=True)
 def ag15_correlation_with_target(spark, sf):
     tr, _ = base.features(spark, sf)
     cols = [c for c in pr.columns_of_type(tr, ["numeric"]) if c != cu.TARGET_COL]
@@ -280,13 +281,13 @@ def ag16_correlated_pairs(spark, sf):
     return cor.correlated_pairs(tr, feats)
 
 
-@query("ag17_churn_by_category")
+@query("ag17_churn_by_category", once=True)
 def ag17_churn_by_category(spark, sf):
     tr, _ = base.features(spark, sf)
     return seg.churn_by_category(tr, ["recency_bucket", "age_group", "tenure_category", "nps_category", "high_risk"])
 
 
-@query("ag18_feature_summary")
+@query("ag18_feature_summary", once=True)
 def ag18_feature_summary(spark, sf):
     tr, _ = base.features(spark, sf)
     return pr.feature_summary(tr, fe.NEW_FEATURES)
@@ -408,10 +409,10 @@ def so1_id_overlap(spark, sf):
     return so.id_overlap(tr, te)
 
 
-@query("so2_unseen_categories")
+@query("so2_unseen_categories", once=True)
 def so2_unseen_categories(spark, sf):
     tr, te = base.train_test(spark, sf)
-    return so.unseen_categories(tr, te, RAW_CATEGORICAL)
+    return so.unseen_categories(tr, te, [*RAW_CATEGORICAL, "days_since_last_purchase"])
 
 
 @query("so3_schema_alignment", once=True)
@@ -955,10 +956,13 @@ FEATURE_IDS = {
 
 def _one_feature(col: str) -> Query:
     def q_(spark, sf):
-        tr, te = base.features(spark, sf)
+        tr, te = base.features(spark, sf, only=[col])
         return tr.select("customer_id", "split", col).unionByName(te.select("customer_id", "split", col))
     return q_
 
 
+# Payments, returns and discounts come from line items: those features, whose two splits and statistics would each join them
+# again, write the customer table once.
+FROM_LINES = {"payment_reliability", "nps_category", "risk_score", "high_risk", "discount_dependency"}
 for _k, _c in FEATURE_IDS.items():
-    QUERIES[_k] = _one_feature(_c)
+    query(_k, once=_c in FROM_LINES)(_one_feature(_c))

@@ -203,8 +203,8 @@ def _long_distinct(src: str, cols: list[str]) -> str:
 
 
 oracle("j3_unseen_categories", f"""WITH {WF}
-SELECT * FROM ({_long_distinct('test_feat', CATEGORICAL_FEATURES)})
-EXCEPT SELECT * FROM ({_long_distinct('train_feat', CATEGORICAL_FEATURES)})""")
+SELECT * FROM ({_long_distinct('test_feat', [*CATEGORICAL_FEATURES, 'days_since_last_purchase'])})
+EXCEPT SELECT * FROM ({_long_distinct('train_feat', [*CATEGORICAL_FEATURES, 'days_since_last_purchase'])})""")
 
 # --------------------------------------------------------------- 2.4 aggregates
 oracle("ag1_shape", f"WITH {W} SELECT count(*) AS {q('rows')}, {len(CUST_TYPES)} AS columns FROM train")
@@ -387,8 +387,8 @@ oracle("s6_keyset_page", f"WITH {W}, {directory_cte()} SELECT * FROM dir ORDER B
 oracle("so1_id_overlap", f"""WITH {W} SELECT count(*) AS overlapping_ids FROM
   (SELECT customer_id FROM train INTERSECT SELECT customer_id FROM test)""")
 _RAWCAT = ["gender", "city_tier", "subscription_type", "contract_type", "marketing_channel", "clv_segment"]
-oracle("so2_unseen_categories", f"""WITH {W} SELECT * FROM ({_long_distinct('test', _RAWCAT)})
-EXCEPT SELECT * FROM ({_long_distinct('train', _RAWCAT)})""")
+oracle("so2_unseen_categories", f"""WITH {W} SELECT * FROM ({_long_distinct('test', [*_RAWCAT, 'days_since_last_purchase'])})
+EXCEPT SELECT * FROM ({_long_distinct('train', [*_RAWCAT, 'days_since_last_purchase'])})""")
 oracle("so3_schema_alignment", f"""WITH {WF}, tr AS ({_long_distinct('train_feat', CATEGORICAL_FEATURES)}),
 te AS ({_long_distinct('test_feat', CATEGORICAL_FEATURES)})
 SELECT {q('column')} || '_' || value AS {q('column')}, 'missing_in_test' AS status FROM (SELECT * FROM tr EXCEPT SELECT * FROM te)

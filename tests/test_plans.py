@@ -37,7 +37,9 @@ def test_no_python_udf_in_s_plans(spark, name):
 
 
 @pytest.mark.parametrize("name", ["fe21_feature_table", "ag16_correlated_pairs", "ag19_data_dictionary", "ag20_kpis", "ml10_rank_models", "ml14_roc_auc",
-                                  "ml16_combined_importance", "sv8_retention_levers", "sv9_campaign_sizing", "sv10_insight_gaps", "sv11_dashboard_document", "io4_write_document"])
+                                  "ml16_combined_importance", "sv8_retention_levers", "sv9_campaign_sizing", "sv10_insight_gaps", "sv11_dashboard_document", "io4_write_document",
+                                  "fe7_payment_reliability", "fe13_risk_score", "fe14_high_risk", "fe16_discount_dependency", "ag11_iqr_outliers",
+                                  "ag15_correlation_with_target", "ag17_churn_by_category", "ag18_feature_summary"])
 def test_customer_table_is_built_once(spark, name, monkeypatch):
     """The line-item join runs once per query, jobs at build included: the table is written, the rest reads it."""
     from churnlake.plans import base
@@ -51,6 +53,23 @@ def test_customer_table_is_built_once(spark, name, monkeypatch):
     assert "lineitem" not in plan and "l_orderkey" not in plan
 
 
+@pytest.mark.parametrize("name", ["fe4_engagement_score", "fe5_spend_per_tenure", "fe6_support_intensity", "fe8_clv_spend_ratio", "fe9_recency_bucket",
+                                  "fe10_age_group", "fe11_tenure_category", "fe15_digital_preference"])
+def test_features_without_statistics_are_lazy(spark, name):
+    """Building the query starts no job: statistics that the feature does not use are not computed."""
+    sc = spark.sparkContext
+    E.queries()["pf1_select"](spark, SF)  # the reader looks up schemas here
+    sc.setJobGroup(f"build-{name}", name)
+    try:
+        df = E.queries()[name](spark, SF)
+        started = len(sc.statusTracker().getJobIdsForGroup(f"build-{name}"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert started <= 10, started  # schema look-ups of the tables only
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_nps_q" not in plan or "array<double>" not in plan
+
+
 def test_wide_category_becomes_a_sparse_vector(spark):
     from pyspark.ml.functions import vector_to_array
     from churnlake.operators import features as fe
