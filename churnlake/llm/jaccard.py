@@ -21,12 +21,12 @@ Classes. Rows are dealt by signature and compared with their neighbours in a sor
 each piece of text sends one row of a signature. A signature's hub is its smallest text. Each text is first verified with the hub
 it shares most signatures with (a bound prunes: sets hashed into ``BINS`` counters differ by at least the counters' differences).
 Texts that share a signature share its hub: the groups of hubs that still span several classes are then compared whole, in blocks
-of ``BLOCK`` texts, as exact matrix products of their sets; no pair is emitted, only a forest of the links. Copies of a text are one
+of about ``BLOCK`` texts and ``BLOCK_SHINGLES`` shingles at most, as exact matrix products of their sets; no pair is emitted, only a forest of the links. Copies of a text are one
 node.
 
-Defined results: null or wordless text has an empty set and links with nothing; rows without doc_id are left out; texts that
-share a doc_id are one node with the larger n_shingles; repeated rows are copies; empty tables give empty results; extra columns are
-ignored.
+Defined results: every row has a result; null or wordless text has an empty set and links with nothing; rows without doc_id take part
+and get the smallest doc_id of their class, null if it has none; different texts that share a doc_id are judged apart;
+repeated rows are copies; empty tables and pieces of text without a word give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Prefix, Words, as_signed, components, cut, grouped, hash128, memo, mix64, pieces, small
 
-SHINGLE, RATIO, WIDTH, BINS, SEEDS, BLOCK = 5, 1.3, 2.6, 32, 24, 512
+SHINGLE, RATIO, WIDTH, BINS, SEEDS, BLOCK, BLOCK_SHINGLES = 5, 1.3, 2.6, 32, 24, 512, 1_000_000
 _U = np.uint64
 
 
@@ -164,8 +164,10 @@ def _map_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, who = name & low, rid[text]
             order = np.lexsort((who, key))
             key, who = key[order], who[order]
-            before = np.concatenate([[False], key[1:] == key[:-1]])
-            shared = before | np.concatenate([before[1:], [False]])
+            before = np.zeros(len(key), bool)  # no rows: none of the texts has a word
+            before[1:] = key[1:] == key[:-1]
+            shared = before.copy()
+            shared[:-1] |= before[1:]
             yield _as_batch(key[~before], who[~before], np.zeros(int((~before).sum()), np.int64), None)
             if shared.any():
                 key, who = key[shared], who[shared]
@@ -301,9 +303,12 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     group = spokes.select("hub", "rid").union(spokes.selectExpr("hub", "hub rid").distinct())
     group = group.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     mixed = group.groupBy("hub").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("k")).where("c0 <> c1")
-    mixed = cut(mixed.select("hub", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    mixed = cut(mixed.select("hub", "k"))
     if not mixed.isEmpty():
-        left = cut(group.join(small(mixed), "hub").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int")))
+        # blocks are bounded by texts and by shingles: long texts are dealt into more of them
+        left = cut(group.join(small(mixed), "hub").join(info.select("rid", "n"), "rid"))
+        sizes = left.groupBy("hub").agg(F.greatest(F.ceil(F.max("k") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        left = left.drop("k", "n").join(small(cut(sizes)), "hub").withColumn("block", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
         wanted = cut(left.select("rid").distinct())
         some = cut(texts.join(small(wanted), "rid").select("rid", "text"))
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
@@ -315,16 +320,68 @@ def links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return info.select("rid", F.col("n").alias("n_shingles")), comp
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs`` with a doc_id."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _known(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(rid, doc_id, t1, t2, text) of every row, and whether rows without an id of their own exist. ``rid`` is the doc_id; rows with
+    no doc_id, or with one that another text has too, are known by a hash of their text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns(dict(zip(("t1", "t2"), hash128(F.col("text")), strict=True)))
-    copies = cut(docs.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("one")).where("copies > 1"))
+    ids = docs.groupBy("doc_id").agg(F.min("t1").alias("a1"), F.max("t1").alias("b1"), F.min("t2").alias("a2"), F.max("t2").alias("b2"))
+    shared = cut(ids.where("doc_id is null or a1 <> b1 or a2 <> b2").select(F.col("doc_id").alias("shared")))
+    if shared.isEmpty():
+        return docs.withColumn("rid", F.col("doc_id")), False
+    marked = docs.join(small(shared), F.col("doc_id").eqNullSafe(F.col("shared")), "left")
+    own = (F.col("shared").isNull()) & F.col("doc_id").isNotNull()
+    return marked.withColumn("rid", F.when(own, F.col("doc_id")).otherwise(F.xxhash64(F.lit(9), "t1", "t2"))).drop("shared"), True
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, component_id, class) of every row: ``class`` names the class of near duplicates, component_id is its
+    smallest doc_id (null if none of its rows has one)."""
+    docs, odd = _known(docs)
+    copies = cut(docs.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("copies"), F.min("rid").alias("one")).where("copies > 1"))
     marked = docs.join(small(copies), ["t1", "t2"], "left")
-    texts = marked.where("copies is null or doc_id = one").select(F.col("doc_id").alias("rid"), "text")
+    texts = marked.where("copies is null or rid = one").select("rid", "text")
+    if odd:  # the rows of one text and one id are one text
+        texts = texts.dropDuplicates(["rid"])
     size, comp = links(texts)
-    per = cut(size.join(comp.withColumnRenamed("id", "rid"), "rid", "left"))
+    per = cut(size.join(comp.withColumnRenamed("id", "rid"), "rid", "left").withColumnRenamed("rid", "one_rid"))
     # Copies of a wordless text are not linked.
-    rows = marked.select("doc_id", F.coalesce("one", "doc_id").alias("rid")).join(per, "rid", "left")
+    rows = marked.select("doc_id", "t1", "t2", F.col("rid").alias("own"), F.coalesce("one", "rid").alias("one_rid")).join(per, "one_rid", "left")
     alone = F.col("n_shingles") == 0
-    return rows.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.coalesce("comp", "rid")).alias("component_id"))
+    rows = rows.select("doc_id", "t1", "t2", "n_shingles", F.when(alone, F.col("own")).otherwise(F.coalesce("comp", "one_rid")).alias("class"))
+    if not odd:
+        return rows.withColumn("component_id", F.col("class"))
+    rows = cut(rows)
+    least = cut(rows.groupBy("class").agg(F.min("doc_id").alias("component_id")))
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    return rows.join(small(least), "class").withColumn("component_id", own)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    return labelled(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each class: the one with the smallest doc_id (null last, then by text). Texts without words are no near
+    duplicates, but rows that repeat one of them under one doc_id are one row."""
+    rows = cut(labelled(docs))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2")
+    kept = rows.groupBy("class", F.when(F.col("n_shingles") == 0, F.col("doc_id")).alias("alone")).agg(F.min(first).alias("f"), F.count(F.lit(1)).alias("n"))
+    gone = cut(kept.where("n > 1"))
+    if gone.isEmpty():
+        return docs
+    names = {c: f"_{c}_{len(docs.columns)}" for c in ("doc_id", "t1", "t2")}
+    # rows that go: all of their class but the first one, of which one copy stays
+    drop = rows.join(small(gone.select(F.col("class").alias("k"), F.col("alone").alias("a"), "f")), (F.col("class") == F.col("k")) & F.when(F.col("n_shingles") == 0, F.col("doc_id")).eqNullSafe(F.col("a")))
+    again = (F.col("doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("t1") == F.col("f.t1")) & (F.col("t2") == F.col("f.t2"))
+    drop = cut(drop.groupBy("doc_id", "t1", "t2").agg(F.min(again).alias("first"), F.count(F.lit(1)).alias("times")).where("not first or times > 1").withColumnsRenamed(names))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns(dict(zip((names["t1"], names["t2"]), hash128(text), strict=True)))
+    left = F.col("doc_id").cast("long").eqNullSafe(F.col(f"x.{names['doc_id']}")) & (F.col(f"d.{names['t1']}") == F.col(f"x.{names['t1']}")) & (F.col(f"d.{names['t2']}") == F.col(f"x.{names['t2']}"))
+    joined = keyed.alias("d").join(small(drop).alias("x"), left, "left")
+    plain = joined.where(F.col("x.first").isNull()).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    repeated = joined.where(F.col("x.first")).select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    if drop.where("first").isEmpty():
+        return plain
+    return plain.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

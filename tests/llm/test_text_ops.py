@@ -80,6 +80,43 @@ def test_jaccard_matches_brute_force(spark, texts):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_jaccard_pieces_without_a_word(spark):
+    for texts in ([""], [None, " ", ""], ["", "a b c", None, "a b c"]):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.classes(frame(spark, texts).repartition(4)).collect()}
+        want = {i: (int(bool((t or "").strip())), i) for i, t in enumerate(texts)}
+        if len(texts) == 4:
+            want[3] = (1, 1)
+        assert got == want
+    assert jaccard.classes(frame(spark, ["a"]).limit(0)).collect() == []
+
+
+def test_jaccard_rows_without_an_id_of_their_own(spark):
+    rng = random.Random(4)
+    a, b, c = (prose(rng, 60, 4000) for _ in range(3))
+    near = a.rsplit(" ", 1)[0] + " edit"
+    rows = [(5, a), (None, a), (None, near), (7, b), (7, near), (7, b), (9, c), (None, ""), (3, ""), (7, ""), (None, "lonely words stand here now")]
+    docs = spark.createDataFrame([(i, t, "t") for i, t in rows], "doc_id long, text string, t1 string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.classes(docs).collect()), key=str)
+    n = len({tuple(b.split()[i:i + 5]) for i in range(56)})
+    m = len({tuple(near.split()[i:i + 5]) for i in range(56)})
+    want = [(5, m, 5), (None, m, 5), (None, m, 5), (7, n, 7), (7, m, 5), (7, n, 7), (9, n, 9), (None, 0, None), (3, 0, 3), (7, 0, 7), (None, 1, None)]
+    assert got == sorted(want, key=str)
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, a), (7, b), (9, c), (None, ""), (3, ""), (7, ""), (None, rows[-1][1])], key=str)
+
+
+def test_jaccard_hub_of_unlike_texts(spark, monkeypatch):
+    """Texts that share a passage and nothing else stay apart; near copies among them are found. Blocks are bounded by shingles too."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 20_000)
+    rng = random.Random(6)
+    passage = prose(rng, 40, 4000)
+    texts = [f"{passage} {prose(rng, 40, 100_000)}" for _ in range(1_500)]
+    texts += [t.rsplit(" ", 1)[0] + " edit" for t in texts[:50]]
+    got = {r.doc_id: r.component_id for r in jaccard.classes(frame(spark, texts)).collect()}
+    assert got == {i: i if i < 1_500 else i - 1_500 for i in range(len(texts))}
+
+
 def test_decontamination_matches_brute_force(spark, texts):
     items = [(0, texts[2]), (1, texts[70]), (2, "one"), (3, None), (4, ""), (5, texts[2]), (6, "EEN éen"), (7, " ".join(texts[8].split()[3:20]).upper()), (None, texts[9])]
     bench = spark.createDataFrame(items, "item_id long, text string")
