@@ -39,12 +39,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each class of near duplicates; rows that repeat its doc_id go."""
-    kept = _without(docs, jaccard.classes(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    named = docs.where("doc_id is not null")
-    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """One document, the one with the smallest doc_id, of each class of near duplicates."""
+    return jaccard.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
