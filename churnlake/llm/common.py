@@ -48,6 +48,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, cells: str | None = None) -
     return F.broadcast(df) if fits(df, rows, cells) else df
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before those that ``df`` has."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hash128, small
+from .common import cut, free, hash128, small
 
 #: Words of a window, and of a hashed k-gram (5 to 8 words are hashed, and 4 to 8 hashes compared, by overlapping fours).
 SPAN, K = 13, 7
@@ -153,14 +153,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = places.groupBy("k1", "k2").agg(F.size(F.array_distinct(covered)).cast("long").alias("n_hit"))
     items = places.select("k1", "k2", "size", "window").distinct().join(small(windows.where("item_id is not null")), ["size", "window"]).select("k1", "k2", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    per = cut(hit.join(items, ["k1", "k2"], "left").select("k1", "k2", "n_hit", F.coalesce("items", F.array().cast("array<string>")).alias("items")))
-    out = docs.withColumns({"n_words": n_words(F.col("text"))}).withColumns(dict(zip(("_k1", "_k2"), hash128(F.col("text")), strict=True)))
-    per = small(per).withColumnsRenamed({"k1": "_k1", "k2": "_k2"})
-    out = out.join(per, ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    none = F.array().cast("array<string>")
-    out = out.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "n_items": F.coalesce(F.size(F.coalesce("items", none)), F.lit(0)).cast("long"),
-                           "items_sha256": F.sha2(F.array_join(F.coalesce("items", none), ",").cast("binary"), 256)})
-    return out.drop("items").withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+    k1, k2, found, found_items = free(docs, "_k1", "_k2", "_hit", "_items")
+    per = cut(hit.join(items, ["k1", "k2"], "left").select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("n_hit").alias(found), F.coalesce("items", F.array().cast("array<string>")).alias(found_items)))
+    out = docs.withColumns({"n_words": n_words(F.col("text"))}).withColumns(dict(zip((k1, k2), hash128(F.col("text")), strict=True)))
+    out = out.join(small(per), [k1, k2], "left").drop(k1, k2)
+    names = F.coalesce(found_items, F.array().cast("array<string>"))
+    out = out.withColumns({"n_hit": F.coalesce(found, F.lit(0)).cast("long"), "n_items": F.size(names).cast("long"), "items_sha256": F.sha2(F.array_join(names, ",").cast("binary"), 256)})
+    return out.drop(found, found_items).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, n_words, small
+from .common import cut, free, n_words, small
 
 #: No source, hence no document, is taken more often than this.
 MOST = 3
@@ -56,8 +56,9 @@ def targets(docs: DataFrame, size: Column | None = None, cycle: tuple[int, ...]
 def allocate(docs: DataFrame, seed: int = SEED, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
     """``docs`` with size, source_size, target, rate, copies and taken (size times copies)."""
     docs = docs.drop(*ADDED)
-    per = cut(targets(docs, cycle=cycle, most=most)).select(F.col("source").alias("_source"), "source_size", "target", "rate")
-    out = docs.withColumn("size", n_words(F.col("text"))).join(small(per), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    (own,) = free(docs, "_source")
+    per = cut(targets(docs, cycle=cycle, most=most)).select(F.col("source").alias(own), "source_size", "target", "rate")
+    out = docs.withColumn("size", n_words(F.col("text"))).join(small(per), F.col("source").eqNullSafe(F.col(own))).drop(own)
     # 32 bits of md5, so that SQL engines draw alike
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)

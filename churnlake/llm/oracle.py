@@ -19,12 +19,12 @@ lined AS (SELECT *, len(tk)::VARCHAR || chr(10) || array_to_string(tk[1:3], chr(
 per_text AS (SELECT leaf, m, text, any_value(tk) AS tk, min(doc_id) AS doc_id FROM lined GROUP BY leaf, m, text),
 lines AS (SELECT leaf, m, any_value(tk) AS tk, count(*) AS n FROM per_text GROUP BY leaf, m),
 leaves AS (SELECT leaf, count(*) AS n_lines FROM lines GROUP BY leaf HAVING sum(n) >= 10),
-live AS (SELECT l.*, v.n_lines FROM lines l JOIN leaves v USING (leaf)),
-words AS (SELECT leaf, m, n_lines, unnest(range(len(tk))) AS pos, unnest(tk) AS token FROM live WHERE n_lines > 1),
-common AS (SELECT leaf, pos, token, count(*) AS n FROM words GROUP BY leaf, pos, token, n_lines HAVING count(*) >= n_lines * 0.5),
-pattern AS (SELECT leaf, pos, arg_max(token, (n, encode(token))) AS kept FROM common GROUP BY leaf, pos),
-agree AS (SELECT w.leaf, w.m FROM words w LEFT JOIN pattern p USING (leaf, pos) GROUP BY w.leaf, w.m HAVING count(*) FILTER (WHERE token = kept) >= count(*) * 0.5),
-template AS (SELECT l.m, l.leaf, CASE WHEN a.m IS NULL THEN 'line' || chr(10) || l.m ELSE 'leaf' || chr(10) || l.leaf END AS template FROM live l LEFT JOIN agree a ON a.leaf = l.leaf AND a.m = l.m),
+live AS (SELECT l.* FROM lines l JOIN leaves v USING (leaf)),
+words AS (SELECT leaf, m, n, unnest(range(4, len(tk) + 1)) AS pos, unnest(tk[4:]) AS token FROM live WHERE len(tk) > 3),
+common AS (SELECT leaf, pos, token FROM words GROUP BY leaf, pos, token HAVING sum(n) >= 10),
+split AS (SELECT w.leaf, w.m, list((w.pos, w.token) ORDER BY w.pos) FILTER (WHERE c.pos IS NOT NULL) AS pattern FROM words w LEFT JOIN common c USING (leaf, pos, token)
+  GROUP BY w.leaf, w.m HAVING count(c.pos) >= count(*) * 0.5),
+template AS (SELECT l.m, l.leaf, CASE WHEN s.m IS NULL THEN 'line' || chr(10) || l.m ELSE 'leaf' || chr(10) || l.leaf || chr(10) || s.pattern::VARCHAR END AS template FROM live l LEFT JOIN split s ON s.leaf = l.leaf AND s.m = l.m),
 places AS (SELECT template, text, min(doc_id) AS doc_id FROM per_text p JOIN template t ON t.leaf = p.leaf AND t.m = p.m GROUP BY template, text),
 support AS (SELECT template, arg_min(text, doc_id) AS keep FROM places GROUP BY template HAVING count(*) >= 10),
 gone AS (SELECT l.doc_id, l.i FROM lined l JOIN template t ON t.leaf = l.leaf AND t.m = l.m JOIN support s USING (template) WHERE l.text <> s.keep),
