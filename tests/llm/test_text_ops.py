@@ -179,7 +179,8 @@ def test_line_dedup_holds_several_templates_a_leaf(spark):
 
 def test_line_dedup_keeps_short_unlike_lines(spark):
     ends = ["good bread", "paper boats", "strong tea", "old friends", "wooden toys", "fine lace", "clay pots", "sharp knives", "warm soup", "neat rows", "loud music", "dry wine"]
-    texts = [f"some words of text {i} x{chr(97 + i)}\nHow to make {e}" for i, e in enumerate(ends)]
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(20)) + f"\nHow to make {e}" for e in ends]
     assert all(r.n_dropped == 0 for r in linededup.dedup(frame(spark, texts)).collect())
 
 
@@ -336,3 +337,66 @@ def test_wrapper_cues_inside_articles():
         assert wrapper.main_text(f"<div>{part}<p>body</p></div>") == "kept body", part
     for part in ['<div class="header">gone</div>', '<div id="site-header">gone</div>', '<div class="discussion">gone</div>', '<p class="copyright">gone</p>', '<div class="comment-text">gone</div>']:
         assert wrapper.main_text(f"{part}<p>body</p>") == "body", part
+
+
+def _plain_match(a, b):
+    """Simple tree matching by the plain recurrence: the size only."""
+    if a[0] != b[0]:
+        return 0
+    size = [[0] * (len(b[2]) + 1) for _ in range(len(a[2]) + 1)]
+    for i, u in enumerate(a[2], 1):
+        for j, v in enumerate(b[2], 1):
+            size[i][j] = max(size[i - 1][j], size[i][j - 1], size[i - 1][j - 1] + _plain_match(u, v))
+    return size[-1][-1] + 1
+
+
+def test_tree_matching_equals_the_plain_recurrence(monkeypatch):
+    rng = random.Random(1)
+
+    def made(depth):
+        kids = [made(depth - 1) for _ in range(rng.randrange(5))] if depth else []
+        return rng.choice("abc") + (f"({','.join(kids)})" if kids else "")
+
+    for _ in range(300):
+        a, b = (wrapper.tree(f"r({made(2)},{made(3)},{made(1)})") for _ in range(2))
+        size, pairs = wrapper.match(a, b)
+        assert size == len(pairs) == _plain_match(a, b)
+        assert len({p for p, _ in pairs}) == len({q for _, q in pairs}) == size and sorted(pairs) == sorted(pairs, key=lambda p: (p[1], p[0]))
+
+
+def test_tree_matching_of_many_siblings_is_fast():
+    import time
+    a = wrapper.tree("r(" + ",".join("ab"[i % 2] + str(i % 7) for i in range(5_000)) + ")")
+    b = wrapper.tree("r(" + ",".join("ab"[i % 2] + str(i % 7) for i in range(5_002) if i not in (3, 4_000)) + ")")
+    t = time.time()
+    size, pairs = wrapper.match(a, b)
+    assert time.time() - t < 1.5 and size == len(pairs) >= 4_990
+
+
+def test_wrapper_articles_survive_their_enclosure():
+    article = "<article><h1>kept</h1><p>body</p></article>"
+    for page in ['<div class="content-with-sidebar">{}<div class="sidebar">gone</div></div>', '<body class="right-sidebar">{}<div class="sidebar">gone</div>', '<div class="right-sidebar">{}</div><p>gone</p>',
+                 '<form id="aspnetForm"><div class="menu">gone</div>{}</form>', '<div class="page-modal"><nav>gone</nav>{}</div>']:
+        assert wrapper.main_text(page.format(article)) == "kept body", page
+    assert wrapper.main_text('<form id="aspnetForm"><h1>kept</h1><p>body</p><label>gone</label><input value="x"></form>') == "kept body"
+    assert wrapper.main_text('<div class="sidebar"><article>teaser</article></div>' + article) == "kept body"
+    assert wrapper.main_text('<aside><article>teaser</article></aside><p>kept</p>') == "kept"
+
+
+def test_wrapper_comments_adverts_and_hidden_parts_go():
+    for part in ['<section id="comments"><h2>gone</h2><p>gone</p><article>gone</article></section>', '<ul class="responses"><li>gone</ul>', '<p class="advert">gone</p>', '<span class="advert">gone</span>',
+                 '<div style="color:red; display: none">gone</div>', '<p style="visibility:hidden">gone</p>', '<div class="ad">gone</div>', '<div id="comment-list">gone</div>']:
+        for page in ("<article><p>kept</p>{}<p>body</p></article>", "<article><p>kept</p><p>body</p></article>{}", "<div><p>kept</p>{}<p>body</p></div>"):
+            assert wrapper.main_text(page.format(part)) == "kept body", (part, page)
+    assert wrapper.main_text('<article style="overflow:hidden;display:block"><p style="display:inline">kept</p></article>') == "kept"
+
+
+def test_wrapper_unclosed_raw_elements_end_with_their_parent():
+    for tag in ("svg", "select", "noscript", "object", "textarea"):
+        assert wrapper.main_text(f"<div><p>kept</p><div><{tag}>gone</div><p>body</p></div>") == "kept body", tag
+
+
+def test_wrapper_and_chat_empty_tables(spark):
+    assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+    rows = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_chats(rows)).count() == 0
