@@ -4,6 +4,7 @@ plus a short name; ``oracle.py`` holds the DuckDB twin of each S query."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as sc
 from ..functions.binning import cut, qcut, quantile_cut
 from ..operators import correlation as cor
+from ..operators import directory as di
 from ..operators import features as fe
 from ..operators import folds as fo
 from ..operators import importance as imp
@@ -67,6 +69,8 @@ RAW_CUSTOMER_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctb
 STRING_COLS = [f.name for f in cu.CUSTOMER_SCHEMA.fields if f.dataType.simpleString() == "string"]
 RAW_CATEGORICAL = ["gender", "city_tier", "subscription_type", "contract_type", "marketing_channel", "clv_segment"]
 SEARCH_Q, SEARCH_STATUS = "10", "Monitoring"
+INDEXED_SEARCHES = [("T1001", "All"), ("monitor", "All"), ("7", "Healthy"), ("ust10", "At Risk"), ("q-none", "All")]
+STORED_PAGES, STORED_KEY = (0, 1, 7), (0.5, "CUST100500")
 
 
 def _scores(spark, sf):
@@ -640,6 +644,32 @@ def sv4_page_customers(spark, sf):
     return sv.page_customers(_directory(spark, sf))
 
 
+def _stored(spark, sf):
+    return di.store(_directory(spark, sf), _scratch(spark, "directory"))
+
+
+@query("sv3_indexed_search")
+def sv3_indexed_search(spark, sf):
+    """Several terms on one index: part of an id, a status, too short for a trigram, nowhere."""
+    d = _stored(spark, sf)
+    found = [di.search(d, t, s).withColumn("term", F.lit(t)) for t, s in INDEXED_SEARCHES]
+    return functools.reduce(DataFrame.unionByName, found).drop("row")
+
+
+@query("sv4_stored_pages")
+def sv4_stored_pages(spark, sf):
+    """Pages 0, 1 and 7 of the stored directory."""
+    d = _stored(spark, sf)
+    pages = [di.page(d, n, sv.PAGE_SIZE).withColumn("page", F.lit(n)) for n in STORED_PAGES]
+    return functools.reduce(DataFrame.unionByName, pages).drop("row")
+
+
+@query("s6_stored_keyset_page")
+def s6_stored_keyset_page(spark, sf):
+    """The page behind a key that need not be a row's."""
+    return di.page_after(_stored(spark, sf), STORED_KEY, sv.PAGE_SIZE).drop("row")
+
+
 @query("sv5_risk_band")
 def sv5_risk_band(spark, sf):
     d = _directory(spark, sf)
@@ -905,9 +935,28 @@ def _dashboard(spark, sf):
     })
 
 
+DIRECTORY_FIELD = "customerDirectory"
+
+
+def _write_dashboard(spark, sf) -> tuple[str, DataFrame]:
+    """The whole document, directory rows included, as ordered parts; (its path, the stored rows)."""
+    path = _scratch(spark, "dashboard")
+    rows = _stored(spark, sf).rows
+    sinks.write_document_rows(_dashboard(spark, sf), DIRECTORY_FIELD, rows, "row", path)
+    return path, rows
+
+
 @query("sv11_dashboard_document", once=True)
 def sv11_dashboard_document(spark, sf):
-    return _dashboard(spark, sf)
+    path, _ = _write_dashboard(spark, sf)
+    return spark.read.text(path).withColumnRenamed("value", "json")
+
+
+@query("sv11_document_directory", once=True)
+def sv11_document_directory(spark, sf):
+    """The directory's records, read back from the written document."""
+    path, rows = _write_dashboard(spark, sf)
+    return sinks.read_document_rows(spark, path, rows.drop("row").schema)
 
 
 @query("sc16_document_build")
@@ -919,9 +968,11 @@ def sc16_document_build(spark, sf):
 
 @query("io4_write_document", once=True)
 def io4_write_document(spark, sf):
-    path = _scratch(spark, "dashboard")
-    sinks.write_document(_dashboard(spark, sf), path)
-    return spark.read.text(path).withColumnRenamed("value", "json")
+    """One row per file of the written document: its place in the name order and its size."""
+    path, _ = _write_dashboard(spark, sf)
+    files = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    return files.orderBy("file")
 
 
 @query("sc17_current_timestamp")

@@ -510,6 +510,15 @@ oracle("sv2_customer_directory", f"WITH {W}, {directory_cte()} SELECT * FROM dir
 oracle("sv3_search_customers", f"""WITH {W}, {directory_cte()} SELECT * FROM dir
   WHERE (contains(lower(id), '10') OR contains(lower(status), '10')) AND status = 'Monitoring'""")
 oracle("sv4_page_customers", f"WITH {W}, {directory_cte()} SELECT * FROM dir ORDER BY churn_probability DESC, id LIMIT 15")
+_HIT = "(contains(lower(id), {q}) OR contains(lower(status), {q}))"
+oracle("sv3_indexed_search", f"WITH {W}, {directory_cte()} " + " UNION ALL ".join(
+    f"SELECT *, '{t}' AS term FROM dir WHERE " + _HIT.format(q=f"'{t.lower()}'") + ("" if s == "All" else f" AND status = '{s}'")
+    for t, s in [("T1001", "All"), ("monitor", "All"), ("7", "Healthy"), ("ust10", "At Risk"), ("q-none", "All")]))
+oracle("sv4_stored_pages", f"""WITH {W}, {directory_cte()}, n AS (SELECT *, row_number() OVER (ORDER BY churn_probability DESC, id) - 1 AS k FROM dir)
+SELECT * EXCLUDE (k), CAST(k // 15 AS INT) AS page FROM n WHERE k // 15 IN (0, 1, 7)""")
+oracle("s6_stored_keyset_page", f"""WITH {W}, {directory_cte()} SELECT * FROM dir
+  WHERE churn_probability < 0.5 OR (churn_probability = 0.5 AND id > 'CUST100500') ORDER BY churn_probability DESC, id LIMIT 15""")
+oracle("sv11_document_directory", f"WITH {W}, {directory_cte()} SELECT * FROM dir")
 oracle("sv5_risk_band", f"""WITH {W}, {directory_cte()} SELECT id, riskScore,
   CASE WHEN riskScore > 75 THEN '#f43f5e' WHEN riskScore > 35 THEN '#f59e0b' ELSE '#34d399' END AS colour FROM dir""")
 _LEVERS = """lv AS (SELECT * FROM (VALUES ('clv-optimization', 'clv', 'Low', 'High'), ('early-tenure', 'tenure', 'New (<6m)', 'Loyal (4y+)'),

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalar import clip, strip_ws
+from .operators import directory as di
 from .operators import features as fe
 from .operators import importance as imp
 from .operators import metrics as me
@@ -171,8 +172,9 @@ def train(spark: SparkSession, out: str, learners: list[str] | None = None, n_tr
 
 
 def extract(spark: SparkSession, out: str) -> None:
-    """Stage 3: dashboard document (bounded tables) + customer directory
-    (a distributed table, riskiest first)."""
+    """Stage 3: customer directory (stored with its pages and search index,
+    riskiest first) + dashboard document, the directory's rows included, as
+    ordered parts that joined by name are one JSON document."""
     tr_f = spark.read.parquet(_p(out, "train_cleaned"))
     te_f = spark.read.parquet(_p(out, "test_cleaned"))
     preds = spark.read.parquet(_p(out, "test_predictions"))
@@ -182,8 +184,7 @@ def extract(spark: SparkSession, out: str) -> None:
     ranked = spark.read.option("header", True).schema(
         "model string, accuracy double, f1 double, precision double, recall double, roc_auc double, "
         "rank int, is_champion boolean").csv(_p(out, "model_results"))
-    directory = sv.customer_directory(preds, te_f)
-    sinks.write_table(directory, _p(out, "customer_directory"))
+    rows = di.store(sv.customer_directory(preds, te_f), _p(out, "customer_directory")).rows
     doc = sv.dashboard_document({
         "kpis": seg.kpis(tr_f, te_f, preds), "churnDrivers": imp.churn_drivers(fi),
         "riskSegments": seg.risk_segments(preds), "tenureImpact": seg.tenure_impact(tr_f),
@@ -193,10 +194,9 @@ def extract(spark: SparkSession, out: str) -> None:
         "modelPerformance": me.model_performance(ranked),
         "retentionLevers": sv.retention_levers(tr_f, tr_f), "campaigns": sv.campaign_sizing(tr_f, te_f, tr_f, preds),
         "insights": sv.insight_gaps(tr_f, tr_f),
-        "customerDirectorySize": spark.read.parquet(_p(out, "customer_directory")).agg(
-            F.count(F.lit(1)).alias("rows")),
+        "customerDirectorySize": rows.agg(F.count(F.lit(1)).alias("rows")),
     })
-    sinks.write_document(doc, _p(out, "dashboard"))
+    sinks.write_document_rows(doc, "customerDirectory", rows, "row", _p(out, "dashboard"))
 
 
 def submit(spark: SparkSession, out: str) -> dict:

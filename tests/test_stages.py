@@ -1,3 +1,4 @@
+import glob
 import json
 import tempfile
 
@@ -17,12 +18,13 @@ def test_three_stages_end_to_end(spark):
                      "rf (tuned) + SMOTE", "Ensemble (Soft Vote)", "Ensemble + SMOTE", "Stacking"}
     assert res["champion"] in names
     stages.extract(spark, out)
-    doc = json.loads(spark.read.text(f"{out}/dashboard").head()[0])
+    doc = json.loads("".join(open(f).read() for f in sorted(glob.glob(f"{out}/dashboard/part-*"))))
     assert doc["kpis"][0]["totalCustomers"] == 150
     assert [s["name"] for s in doc["riskSegments"]] == ["High Risk", "Medium Risk", "Low Risk"]
     summary = json.loads(spark.read.text(f"{out}/model_summary").head()[0])
     assert summary["champion_model"] == res["champion"] and 0 <= summary["holdout_auc"] <= 1
-    d = spark.read.parquet(f"{out}/customer_directory")
+    d = spark.read.parquet(f"{out}/customer_directory/rows")
+    assert [r["id"] for r in doc["customerDirectory"]] == [r["id"] for r in d.orderBy("row").collect()]
     assert d.count() == spark.read.parquet(f"{out}/test_cleaned").count()
     md = json.loads(spark.read.text(f"{out}/feature_metadata").head()[0])
     assert md["class_distribution"]["churned"] + md["class_distribution"]["not_churned"] == meta["train_shape"][0]
