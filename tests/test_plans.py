@@ -29,8 +29,8 @@ def test_customer_table_plan(spark):
 def test_no_python_udf_in_s_plans(spark, name):
     if name == "ag22_engagement_impact":
         pytest.skip("raises by design at sf0.001 (duplicate quintile edges)")
-    if name == "so5_union_synthetic" or name.startswith("op"):
-        pytest.skip("the SMOTE search has a numpy kernel; the training-data operators have their own test")
+    if name in ("so5_union_synthetic", "ag16_correlated_pairs") or name.startswith("op"):
+        pytest.skip("the SMOTE search and the pairwise products have numpy kernels; the training-data operators have their own test")
     plan = _plan(E.queries()[name](spark, SF))
     for marker in ("EvalPython", "PythonUDF", "InPandas", "InArrow"):
         assert marker not in plan, (name, marker)
