@@ -25,7 +25,9 @@ from ..operators import ranking as rk
 from ..operators import resample as rs
 from ..operators import serving as sv
 from ..operators import setops as so
+from ..operators import sketches as sk
 from ..session import ensure_checkpoint_dir
+from ..sources import bucketed
 from ..sources import customers as cu
 from ..sources import sinks
 from ..sources.tables import read_document, source_or_fallback
@@ -53,6 +55,13 @@ def j5_customer_table(spark, sf):
     return base.customers(spark, sf)
 
 
+@query("j5_bucketed_customers")
+def j5_bucketed_customers(spark, sf):
+    """The customer table from orders and line items that are stored by order key."""
+    import uuid
+    return cu.build_customers(spark, sf, bucketed.store_by_order(spark, sf, f"churn_{uuid.uuid4().hex}"))
+
+
 @query("ag24_contract_stats")
 def ag24_contract_stats(spark, sf):
     tr, _ = base.train_test(spark, sf)
@@ -197,6 +206,18 @@ def ag2_column_profile(spark, sf):
     return pr.column_profile(base.train_test(spark, sf)[0])
 
 
+@query("ag2_sketch_profile", once=True)
+def ag2_sketch_profile(spark, sf):
+    """Train and test customers as two loads: the merged estimates beside the exact counts of the whole table."""
+    path = _scratch(spark, "sketches")
+    for load, df in zip(("train", "test"), base.train_test(spark, sf)):
+        sk.add_load(df, path, load)
+    exact = pr.column_profile(base.customers(spark, sf))
+    merged = sk.merged_profile(sk.stored(spark, path)).withColumnRenamed("n_unique", "estimate")
+    near = F.abs(F.col("estimate") - F.col("n_unique")) <= F.ceil(F.col("n_unique") * sk.ERROR)
+    return exact.join(merged.drop("dtype"), "column").select("column", "n_unique", "rows", "missing", near.alias("within_error"))
+
+
 @query("ag3_target_distribution")
 def ag3_target_distribution(spark, sf):
     return pr.target_distribution(base.train_test(spark, sf)[0])

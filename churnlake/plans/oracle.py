@@ -175,6 +175,7 @@ WF = with_features()
 
 # ------------------------------------------------------------ 2.1 / 2.2 / 2.3
 oracle("j5_customer_table", f"WITH {W} SELECT * FROM customers")
+oracle("j5_bucketed_customers", f"WITH {W} SELECT * FROM customers")
 oracle("io1_read_table", "SELECT * FROM customer")
 oracle("pf1_select", f"WITH {W} SELECT customer_id, tenure_months, contract_type, churned FROM customers")
 oracle("pf2_drop_leakage", f"WITH {W} SELECT * EXCLUDE (recommended_action) FROM customers")
@@ -211,6 +212,9 @@ oracle("ag1_shape", f"WITH {W} SELECT count(*) AS {q('rows')}, {len(CUST_TYPES)}
 oracle("ag2_column_profile", f"WITH {W} " + " UNION ALL ".join(
     f"SELECT '{c}' AS {q('column')}, '{t}' AS dtype, count(DISTINCT {c}) AS n_unique FROM train"
     for c, t in CUST_TYPES.items()))
+oracle("ag2_sketch_profile", f"WITH {W} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS {q('column')}, count(DISTINCT {c}) AS n_unique, count(*) AS rows, count(*) - count({c}) AS missing, true AS within_error FROM customers"
+    for c in [*CUST_TYPES, *(c for c in ("churned_observed", "split") if c not in CUST_TYPES)]))
 oracle("ag3_target_distribution", f"""WITH {W} SELECT churned AS value, count(*) AS count,
   round_even(count(*) * 100.0E0 / sum(count(*)) OVER (), 6) AS pct FROM train GROUP BY churned""")
 oracle("ag4_imbalance_ratio", f"""WITH {W} SELECT round_even(CAST(count(*) FILTER (WHERE churned = 0) AS DOUBLE)

@@ -85,11 +85,20 @@ def _int(c: Column) -> Column:
     return c.cast("int")
 
 
-def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1 customer table from the TPC-H-like tables under ``sf_dir``."""
-    orders = load(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"])
-    lineitem = load(spark, sf_dir, "lineitem",
-                    ["l_orderkey", "l_partkey", "l_discount", "l_returnflag", "l_shipdate"])
+ORDER_COLS = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"]
+LINE_COLS = ["l_orderkey", "l_partkey", "l_discount", "l_returnflag", "l_shipdate"]
+
+
+def build_customers(spark: SparkSession, sf_dir: str, by_order: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """F1 customer table from the TPC-H-like tables under ``sf_dir``.
+
+    ``by_order`` = (orders, lineitem) as ``bucketed.store_by_order`` keeps
+    them: these two are then joined first, bucket by bucket without a
+    shuffle, and parts are looked up for the lines of observed orders only."""
+    if by_order is None:
+        orders, lineitem = load(spark, sf_dir, "orders", ORDER_COLS), load(spark, sf_dir, "lineitem", LINE_COLS)
+    else:
+        orders, lineitem = by_order[0].select(ORDER_COLS), by_order[1].select(LINE_COLS)
     part = load(spark, sf_dir, "part", ["p_partkey", "p_brand"])
     events = load(spark, sf_dir, "events", ["user_id", "event_type"])
     customer = load(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
@@ -121,8 +130,12 @@ def build_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs_orders = (o.filter(observed)
                   .select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_orderdate") > recent_lit).alias("recent")))
 
-    lines = lineitem.join(part, lineitem.l_partkey == part.p_partkey, "inner").drop("l_partkey", "p_partkey")
-    lo = lines.join(obs_orders, lines.l_orderkey == obs_orders.o_orderkey, "inner")
+    on_part, on_order = lineitem.l_partkey == part.p_partkey, lineitem.l_orderkey == obs_orders.o_orderkey
+    if by_order is None:
+        lo = lineitem.join(part, on_part, "inner").drop("l_partkey", "p_partkey").join(obs_orders, on_order, "inner")
+    else:
+        # the merge hint keeps the sorted buckets in use where the planner would broadcast a small side
+        lo = lineitem.hint("merge").join(obs_orders, on_order, "inner").join(part, on_part, "inner").drop("l_partkey", "p_partkey")
 
     # One aggregate per customer over the joined lines. The two filtered
     # distinct counts make Spark expand each line into one row per distinct
