@@ -100,8 +100,14 @@ def plan(dim: int, n: int, threshold: float) -> tuple[int, int]:
     return 1, 1
 
 
+def _unit_of(v: np.ndarray) -> np.ndarray:
+    """``v`` at length 1, brought near 1 by a power of two first: exact, and squares neither overflow nor vanish."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max())[1])
+    return v / np.linalg.norm(v)
+
+
 def _units(lists: pa.ListArray) -> list[np.ndarray]:
-    return [v / np.linalg.norm(v) for v in (np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64) for x in lists)]
+    return [_unit_of(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)) for x in lists]
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], plans: dict[int, tuple[int, int]]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:

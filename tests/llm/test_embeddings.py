@@ -60,3 +60,11 @@ def test_anisotropic_pairs_at_the_threshold(spark):
         got = {r.vec_id: r for r in capfilter.near_duplicates(rows(spark, x)).collect()}
         assert all(got[i].n_links <= n[i] for i in n) and sum(got[i].n_links for i in n) >= 0.995 * sum(n.values())
         assert np.mean([got[i].component_id == comp[i] for i in n]) >= 0.995
+
+
+def test_huge_and_tiny_components(spark):
+    """Finite components whose squares overflow or vanish link like any others."""
+    a = [1.0, 2.0, 3.0, 0.0]
+    made = [(i, [v * s for v in a], 0) for i, s in enumerate([1.0, 1e200, 1e300, 1e-200, 1e-310])] + [(9, [3e200, -2e200, 0.0, 1e200], 0)]
+    got = {r.vec_id: r for r in capfilter.near_duplicates(spark.createDataFrame(made, SCHEMA.replace("float", "double"))).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(5)] == [(4, 0)] * 5 and (got[9].n_links, got[9].kept) == (0, True)
