@@ -106,6 +106,17 @@ def _unit_of(v: np.ndarray) -> np.ndarray:
     return v / np.linalg.norm(v)
 
 
+def _rows(lists: pa.ChunkedArray) -> np.ndarray:
+    """Lists of one length as the rows of an array."""
+    flat = lists.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1)
+
+
+def _unit_rows(x: np.ndarray) -> np.ndarray:
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _units(lists: pa.ListArray) -> list[np.ndarray]:
     return [_unit_of(np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)) for x in lists]
 
@@ -124,7 +135,7 @@ def _decoded(batches: Iterator[pa.RecordBatch], plans: dict[int, tuple[int, int]
             yield part, found
 
 
-def _link_group(f: int, inner: bool, block: np.ndarray, low: int, node: np.ndarray, weight: np.ndarray, x: np.ndarray, lists: list[np.ndarray], threshold: float):
+def _link_group(f: int, inner: bool, block: np.ndarray, low: int, node: np.ndarray, weight: np.ndarray, x: np.ndarray, lists: np.ndarray, threshold: float):
     """(nodes, links counted here, root in this group) of one group: all pairs of a block, or pairs across two blocks."""
     n = len(node)
     counted, parent = np.zeros(n, np.int64), np.arange(n)
@@ -142,12 +153,12 @@ def _link_group(f: int, inner: bool, block: np.ndarray, low: int, node: np.ndarr
         return None
     # A pair counts here unless both have a smaller direction in common.
     rows = np.unique(np.concatenate([i, j]))
-    smaller = [lists[r][lists[r] < f] for r in rows]
-    names, inverse = np.unique(np.concatenate(smaller), return_inverse=True)
+    smaller = lists[rows] < f
+    names, inverse = np.unique(lists[rows][smaller], return_inverse=True)
     place = np.zeros(n, np.int64)
     place[rows] = np.arange(len(rows))
     seen = np.zeros((len(rows), max(1, len(names))), np.float32)
-    seen[np.repeat(np.arange(len(rows)), [len(s) for s in smaller]), inverse] = 1
+    seen[np.nonzero(smaller)[0], inverse] = 1
     for lo in range(0, len(i), 200_000):
         a, b = i[lo:lo + 200_000], j[lo:lo + 200_000]
         if len(a) > len(rows):
@@ -190,9 +201,9 @@ def links(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             if group.num_rows < 2:
                 continue
             f, lo, hi = (group[c][0].as_py() for c in ("f", "lo", "hi"))
-            x = np.stack(_units(group["x"].combine_chunks()))
-            lists = [np.asarray(v.values.to_numpy(zero_copy_only=False)) for v in group["fs"].combine_chunks()]
-            got = _link_group(f, lo == hi, group["block"].to_numpy(), lo, group["node"].to_numpy(), group["w"].to_numpy(), x, lists, threshold)
+            # one direction has vectors of one length, each with as many directions
+            x = _unit_rows(_rows(group["x"]).astype(np.float64))
+            got = _link_group(f, lo == hi, group["block"].to_numpy(), lo, group["node"].to_numpy(), group["w"].to_numpy(), x, _rows(group["fs"]), threshold)
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["node", "links", "root"])
 
