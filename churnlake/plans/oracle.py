@@ -176,6 +176,7 @@ WF = with_features()
 # ------------------------------------------------------------ 2.1 / 2.2 / 2.3
 oracle("j5_customer_table", f"WITH {W} SELECT * FROM customers")
 oracle("j5_bucketed_customers", f"WITH {W} SELECT * FROM customers")
+oracle("io3_write_csv", f"WITH {W} SELECT * FROM customers")
 oracle("io1_read_table", "SELECT * FROM customer")
 oracle("pf1_select", f"WITH {W} SELECT customer_id, tenure_months, contract_type, churned FROM customers")
 oracle("pf2_drop_leakage", f"WITH {W} SELECT * EXCLUDE (recommended_action) FROM customers")
