@@ -118,3 +118,28 @@ def test_without_rows_or_with_one_class(spark, rows):
     out = mo.cross_val_predict(SMALL, one, 3).collect()
     assert len(out) == one.count() and all(r.score > 0.5 for r in out)
     assert mo.cross_val_predict(SMALL, rows.limit(0), 3).count() == 0
+
+
+def test_trees_of_a_forest_take_a_level_together(spark, rows):
+    forest = bo.Params(12, depth=4, l2=0, cols="sqrt", forest=True)
+    data, edges = rows.withColumn("made", F.lit(-1)), bo.edges_of(rows)
+    fits = [bo.Fit("m", forest, (i,)) for i in range(2)]
+    one, many = bo.Lockstep(data, fits, edges).run(), bo.Lockstep(data, fits, edges, block_rows=60).run()
+    assert many.passes <= forest.depth  # a job a level, not one a tree and level
+    assert [[(t.feature, t.cut) for t in f] for f in one.trees] == [[(t.feature, t.cut) for t in f] for f in many.trees]
+
+
+@pytest.mark.parametrize("params", [bo.Params(3, depth=7, l2=0.0), bo.Params(3, depth=7, l2=0.0, forest=True, cols="all"), bo.Params(3, depth=7, l2=0.0, forest=True, cols="sqrt", weight="weight")])
+def test_sums_of_some_nodes_at_a_time_and_by_difference_give_the_same_tree(params, monkeypatch):
+    rng = np.random.default_rng(2)
+    x = np.stack([rng.integers(0, n, 500) for n in (7, 2, 12, 2, 9)]).astype(np.uint8)
+    block = {"x": x, "y": (x[0] + rng.normal(0, 2, 500) > 3).astype(float), "weight": 1 + rng.random(500), "fold": rng.integers(0, 3, 500), "made": np.full(500, -1), "hash": rng.integers(0, 1 << 62, 500).astype(np.uint64)}
+    starts, fit = np.array([0, 7, 9, 21, 23, 32]), bo.Fit("m", params, (0,))
+
+    def grown():
+        return bo._grow_here(block, np.zeros(500), fit, -2, 0, 3, starts)
+
+    whole = grown()
+    monkeypatch.setattr(bo, "CELLS", 100)  # three nodes at a time, no differences
+    for t, u in zip(whole, grown(), strict=True):
+        assert (t.feature, t.cut) == (u.feature, u.cut) and len(t.feature) > 20 and u.value == pytest.approx(t.value, rel=1e-6)
