@@ -14,8 +14,9 @@ only what is not a paragraph, heading or the like can be template, since copied
 adverts are dropped wherever they stand. A marked article survives a layout word around it (``content-with-sidebar``, a form
 around the whole page) if the page marks no other; a page all of whose text is in a form keeps the form's paragraphs.
 
-Matching compares equal subtrees by name first; what differs goes through the quadratic recurrence up to ``CELLS`` pairs of siblings,
-and beyond in a band of ``BAND`` siblings around the diagonal, so a page with thousands of siblings takes linear time.
+Matching compares equal subtrees by name first; what differs goes through the whole quadratic recurrence, at any number of siblings.
+It runs row by row on arrays, weights are worked out once per pair of different subtrees of one label, and only every
+root-of-the-rows-th row is kept (the rows between are made again on the way back), so thousands of siblings take some MB.
 
 Text: character references are decoded, white space in a block becomes one space, blocks are trimmed and joined by one space.
 
@@ -29,10 +30,12 @@ results; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut, fits, memo
 
-SHARE, LEAST_PAGES, DEPTH, CELLS, BAND = 0.6, 5, 100, 10_000, 12
+SHARE, LEAST_PAGES, DEPTH = 0.6, 5, 100
 
 # Element names of HTML by their part in layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -356,35 +359,50 @@ def match(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
         for s, t in [*zip(x[:head], y[:head], strict=True), *zip(x[len(x) - tail:], y[len(y) - tail:], strict=True)]:
             pairs += [(i - u[1], j - v[1]) for i, j in equal(s, t)]
         x, y = x[head:len(x) - tail], y[head:len(y) - tail]
+        if not x or not y:
+            return len(pairs), pairs
+        # subtrees by kind: the weight of a pair depends on the two kinds only, and is 0 unless the labels agree
+        kinds = [{k[3]: k for k in side} for side in (x, y)]
+        places = [{name: i for i, name in enumerate(side)} for side in kinds]
+        weight = np.zeros((len(kinds[0]), len(kinds[1])), np.int32)
+        labels: dict[str, list[tuple]] = {}
+        for t in kinds[1].values():
+            labels.setdefault(t[0], []).append(t)
+        for s in kinds[0].values():
+            for t in labels.get(s[0], ()):
+                weight[places[0][s[3]], places[1][t[3]]] = matched(s, t)[0]
+        px, py = (np.array([where[k[3]] for k in side]) for side, where in zip((x, y), places, strict=True))
         m, n = len(x), len(y)
-        band = max(m, n) if m * n <= CELLS else BAND + abs(m - n) // max(1, min(m, n))
-        size: list[dict[int, int]] = [{}]
-        spans = [(0, n)]
-        for i in range(1, m + 1):
-            middle = i * n // m
-            lo, hi = (1, n) if m * n <= CELLS else (max(1, middle - band), min(n, middle + band))
-            row, above = {lo - 1: size[-1].get(lo - 1, 0)}, size[-1]
-            top = max(above.values(), default=0)
-            for j in range(lo, hi + 1):
-                # left of its band a row is what it was, right of it as large as it got
-                up, slant = above.get(j, top if j > spans[-1][1] else 0), above.get(j - 1, top if j - 1 > spans[-1][1] else 0)
-                row[j] = max(up, row[j - 1], slant + matched(x[i - 1], y[j - 1])[0])
-            size.append(row)
-            spans.append((lo, hi))
-        i, j, total = m, min(n, spans[-1][1]) if m else 0, 0
-        while i and j >= spans[i][0]:
-            j = min(j, spans[i][1])
-            got, inner = matched(x[i - 1], y[j - 1])
-            above, (low, high) = size[i - 1], spans[i - 1]
-            top = max(above.values(), default=0)
-            up, slant = above.get(j, top if j > high else 0), above.get(j - 1, top if j - 1 > high else 0)
-            if got and size[i][j] == slant + got:
-                pairs += [(x[i - 1][1] - u[1] + p, y[j - 1][1] - v[1] + q) for p, q in inner]
-                i, j = i - 1, j - 1
-            elif size[i][j] == up:
-                i -= 1
-            else:
-                j -= 1
+        step = max(1, math.isqrt(m))
+
+        def rows(first: np.ndarray, lo: int, hi: int) -> Iterator[np.ndarray]:
+            """Rows ``lo`` + 1 to ``hi`` of the recurrence after row ``lo``: the larger of up, left, and slant with the pair."""
+            row = first
+            for i in range(lo, hi):
+                best = row.copy()
+                np.maximum(best[1:], row[:-1] + weight[px[i], py], out=best[1:])
+                row = np.maximum.accumulate(best)
+                yield row
+
+        kept = [np.zeros(n + 1, np.int32)]
+        for i, row in enumerate(rows(kept[0], 0, m), 1):
+            if i % step == 0:
+                kept.append(row)
+        i, j = m, n
+        while i and j:
+            lo = (i - 1) // step * step
+            size = [kept[lo // step], *rows(kept[lo // step], lo, i)]
+            while i > lo and j:
+                here, above = size[i - lo], size[i - lo - 1]
+                got = int(weight[px[i - 1], py[j - 1]])
+                if got and here[j] == above[j - 1] + got:
+                    inner = matched(x[i - 1], y[j - 1])[1]
+                    pairs += [(x[i - 1][1] - u[1] + p, y[j - 1][1] - v[1] + q) for p, q in inner]
+                    i, j = i - 1, j - 1
+                elif here[j] == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
         return len(pairs), pairs
 
     a, b = renamed(a), renamed(b)

@@ -373,6 +373,18 @@ def test_tree_matching_of_many_siblings_is_fast():
     assert time.time() - t < 1.5 and size == len(pairs) >= 4_990
 
 
+def test_tree_matching_of_many_siblings_equals_the_plain_recurrence():
+    """Siblings moved far from the diagonal: any number of them is aligned in full."""
+    rng = random.Random(3)
+    for n in (90, 130, 400):
+        long = [f"b{k}" if k % 3 else f"c(d{k % 5},e)" for k in range(n)]
+        a = wrapper.tree(f"r(x,{','.join(long)},s,{','.join(rng.choice('pq') for _ in range(n))})")
+        b = wrapper.tree(f"r(y,{','.join(rng.choice('pq') for _ in range(n))},{','.join(long)},t)")
+        size, pairs = wrapper.match(a, b)
+        assert size == len(pairs) == _plain_match(a, b) > n
+        assert len({p for p, _ in pairs}) == len({q for _, q in pairs}) == size
+
+
 def test_wrapper_articles_survive_their_enclosure():
     article = "<article><h1>kept</h1><p>body</p></article>"
     for page in ['<div class="content-with-sidebar">{}<div class="sidebar">gone</div></div>', '<body class="right-sidebar">{}<div class="sidebar">gone</div>', '<div class="right-sidebar">{}</div><p>gone</p>',
