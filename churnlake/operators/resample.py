@@ -27,7 +27,10 @@ task reproduces exactly the same rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, IntegralType, StructField, StructType
@@ -38,12 +41,47 @@ from .folds import class_rank
 DEFAULT_BLOCK_ROWS = 2048
 MAX_PIVOTS = 4096
 BROADCAST_BLOCKS = 500_000
+#: Distances of a Python worker at once (rows by pivots), and rows of a frame it hands out.
+DISTANCES, SENT_ROWS = 1 << 20, 4096
+
+
+def _to_pivots(v, pivots) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, distances to all pivots) of some rows of the column ``v`` at a time: a worker's memory depends neither on the
+    number of pivots nor on the rows of a batch."""
+    step = max(1, DISTANCES // max(1, len(pivots)))
+    norm = (pivots * pivots).sum(1)[None, :]
+    for lo in range(0, len(v), step):
+        a = np.stack(v[lo:lo + step]).astype(float)
+        d2 = (a * a).sum(1)[:, None] + norm - 2.0 * a @ pivots.T
+        yield lo, np.sqrt(np.maximum(d2, 0.0, out=d2), out=d2)
+
+
+def _targets(f, pivots, extent, blocks) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, cell, part) of the blocks that may hold a closer row than the radius, the own block left out; some rows at a time."""
+    reach = f["radius"].to_numpy() * (1 + 1e-9) + 1e-9
+    cell, own = f["cell"].to_numpy(), f["part"].to_numpy()
+    for lo, d in _to_pivots(f["v"].to_numpy(), pivots):
+        i, c = np.nonzero(d - extent[None, :] * (1 + 1e-9) <= reach[lo:lo + len(d), None])
+        n = blocks[c]
+        i, c = np.repeat(i, n) + lo, np.repeat(c, n)
+        part = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        keep = (c != cell[i]) | (part != own[i])
+        yield i[keep], c[keep], part[keep]
+
+
+def _sent(f, pivots, extent, blocks) -> Iterator[pd.DataFrame]:
+    """The rows copied to other blocks, at most ``SENT_ROWS`` copies a frame."""
+    reach = f["radius"].to_numpy() * (1 + 1e-9) + 1e-9
+    for rows, cells, parts in _targets(f, pivots, extent, blocks):
+        for lo in range(0, len(rows), SENT_ROWS):
+            i, c, part = rows[lo:lo + SENT_ROWS], cells[lo:lo + SENT_ROWS], parts[lo:lo + SENT_ROWS]
+            yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cell": c.astype("int32"),
+                                "part": part.astype("int32"), "radius": reach[i]})
 
 
 def _nearest(qid, qa, rid, ra, k: int):
     """(row of q, row of r, distance) of the k rows of r nearest to each row
     of q, itself excluded; r sorted by id, so ties go to the smaller id."""
-    import numpy as np
     rows_q, rows_r, dist = [], [], []
     norm = (ra * ra).sum(1)
     for lo in range(0, len(qa), 512):
@@ -66,9 +104,6 @@ def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows:
                n_rows: int | None = None) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded) of every row of
     ``df`` among the rows of ``df``: (id, nb_id, dist, nb_rank)."""
-    import numpy as np
-    import pandas as pd
-
     ensure_checkpoint_dir(df.sparkSession)
     id_type = df.schema[id_col].dataType
     if not isinstance(id_type, IntegralType):
@@ -86,17 +121,12 @@ def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows:
     pivots = np.array([r["v"] for r in picked], float).reshape(len(picked), -1)
     row = [StructField("id", id_type), StructField("v", ArrayType(DoubleType())), StructField("cell", IntegerType())]
 
-    def to_pivots(v) -> np.ndarray:
-        a = np.stack(v.to_numpy()).astype(float)
-        d2 = (a * a).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2.0 * a @ pivots.T
-        return np.sqrt(np.maximum(d2, 0.0))
-
     def assign(frames):
         for f in frames:
             if len(f):
-                d = to_pivots(f["v"])
-                f["cell"] = d.argmin(1).astype("int32")
-                f["away"] = d.min(1)
+                near = [(d.argmin(1), d.min(1)) for _, d in _to_pivots(f["v"].to_numpy(), pivots)]
+                f["cell"] = np.concatenate([c for c, _ in near]).astype("int32")
+                f["away"] = np.concatenate([a for _, a in near])
                 yield f[["id", "v", "cell", "away"]]
 
     rows = x.mapInPandas(assign, StructType([*row, StructField("away", DoubleType())])).checkpoint(eager=True)
@@ -128,22 +158,20 @@ def knn_within(df: DataFrame, id_col: str, vec_col: str, k: int = 5, block_rows:
 
     def send(frames):
         for f in frames:
-            if not len(f):
-                continue
-            reach = f["radius"].to_numpy() * (1 + 1e-9) + 1e-9
-            open_ = to_pivots(f["v"]) - extent[None, :] * (1 + 1e-9) <= reach[:, None]
-            i, c = np.nonzero(open_)
-            n = blocks[c]
-            i, c = np.repeat(i, n), np.repeat(c, n)
-            part = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
-            keep = (c != f["cell"].to_numpy()[i]) | (part != f["part"].to_numpy()[i])  # the own block is done
-            i, c, part = i[keep], c[keep], part[keep]
-            yield pd.DataFrame({"id": f["id"].to_numpy()[i], "v": f["v"].to_numpy()[i], "cell": c.astype("int32"),
-                                "part": part.astype("int32"), "radius": reach[i]})
+            if len(f):
+                yield from _sent(f, pivots, extent, blocks)
+
+    before = np.cumsum(blocks) - blocks
 
     def count_sent(frames):
-        for f in send(frames):
-            yield f.groupby(["cell", "part"]).size().astype("int64").reset_index(name="n")
+        n = np.zeros(int(blocks.sum()), np.int64)
+        for f in frames:
+            if len(f):
+                for _, c, part in _targets(f, pivots, extent, blocks):
+                    n += np.bincount(before[c] + part, minlength=len(n))
+        at = np.flatnonzero(n)
+        cell = np.searchsorted(before, at, "right") - 1
+        yield pd.DataFrame({"cell": cell.astype("int32"), "part": (at - before[cell]).astype("int32"), "n": n[at]})
 
     asked = asked.select("id", "v", "cell", "part", "radius").checkpoint(eager=True)
     sent = asked.mapInPandas(count_sent, "cell int, part int, n long").groupBy("cell", "part") \

@@ -2,6 +2,7 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from churnlake.operators import resample as rs
 from churnlake.operators.resample import knn_within, oversample, smote
 
 
@@ -95,3 +96,19 @@ def test_knn_groups_stay_bounded_where_nothing_is_pruned(spark, monkeypatch):
         d = np.sqrt(((pts - p) ** 2).sum(1))
         d[i] = np.inf
         assert np.allclose(sorted(got[i]), np.sort(d)[:3], atol=1e-9)
+
+
+def test_rows_are_sent_in_frames_of_bounded_size(monkeypatch):
+    """A worker never holds all distances or all copies of a batch, whatever the pivots rule out."""
+    import pandas as pd
+    rng = np.random.default_rng(7)
+    v = rng.random((500, 4))
+    f = pd.DataFrame({"id": np.arange(500), "v": list(v), "cell": np.zeros(500, "int32"), "part": np.zeros(500, "int32"), "radius": np.full(500, np.inf)})
+    pivots, extent, blocks = v[:40], np.full(40, 2.0), np.array([3] + [1] * 39)
+    monkeypatch.setattr(rs, "DISTANCES", 400)
+    monkeypatch.setattr(rs, "SENT_ROWS", 64)
+    assert max(d.size for _, d in rs._to_pivots(f["v"].to_numpy(), pivots)) <= 400
+    frames = list(rs._sent(f, pivots, extent, blocks))
+    assert max(map(len, frames)) <= 64
+    sent = pd.concat(frames)
+    assert len(sent) == 500 * (blocks.sum() - 1) == len(sent.drop_duplicates(["id", "cell", "part"]))  # all blocks but the own one
