@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..session import ensure_checkpoint_dir
+
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """IO3: header row, no index column; one file per partition (a cluster
@@ -26,7 +28,10 @@ def write_document_rows(doc: DataFrame, name: str, rows: DataFrame, order: str,
     one field), to which field ``name`` is added with one record per row of ``rows``, by ``order`` (a unique bigint from 0, itself left out).
 
     The array is written as ordered parts, one line a record: the range-partitioned sort writes them in parallel and nothing
-    is gathered. The files joined by name are one JSON document; ``read_document_rows`` reads the records back."""
+    is gathered. The files joined by name are one JSON document; ``read_document_rows`` reads the records back. The one row of ``doc``
+    is worked out once, before the sort: its sampling and the closing line would each run all of the document's aggregates again."""
+    ensure_checkpoint_dir(doc.sparkSession)
+    doc = doc.select("json").checkpoint(eager=True)
     fields = [F.col(c) for c in rows.columns if c != order]
     first = rows.agg(F.min(order)).head()[0]
     record = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
