@@ -48,3 +48,9 @@ def test_buckets_follow_the_input_and_a_retry_replaces(spark):
     assert again[1].count() == n
     text = "\n".join(f"{r[0]} {r[1]}" for r in spark.sql(f"DESCRIBE EXTENDED {name}_lineitem").collect())
     assert re.search(r"Num Buckets 8\b", text) and "l_orderkey" in text
+
+
+def test_a_bucket_holds_a_bounded_share_of_the_input():
+    for gb in (1, 6, 60):
+        assert (gb << 30) / bucketed.bucket_count(gb << 30) <= 32 << 20
+    assert bucketed.bucket_count(0) == 8
