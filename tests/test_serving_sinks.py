@@ -68,3 +68,20 @@ def test_csv_and_document_round_trip(spark):
     assert r["n"] == 3 and r["name"] == "m"
     got = source_or_fallback(spark, f"{base}/missing", lambda: doc, lambda: df)
     assert got.columns == df.columns
+
+
+def test_the_document_is_worked_out_once_for_its_parts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from churnlake.sources import sinks
+    runs = spark.sparkContext.accumulator(0)
+
+    def said(n):
+        runs.add(1)
+        return f'{{"n":{n}}}'
+
+    doc = spark.range(3).agg(F.count(F.lit(1)).alias("n")).select(F.udf(said)("n").alias("json"))
+    rows = spark.range(50).select(F.col("id").alias("row"), F.format_string("c%d", "id").alias("name"))
+    sinks.write_document_rows(doc, "all", rows, "row", f"{tmp_path}/doc")
+    assert runs.value == 1
+    assert sinks.read_document_rows(spark, f"{tmp_path}/doc", "name string").count() == 50
