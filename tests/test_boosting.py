@@ -144,3 +144,21 @@ def test_sums_of_some_nodes_at_a_time_and_by_difference_give_the_same_tree(param
     monkeypatch.setattr(bo, "CELLS", 100)  # three nodes at a time, no differences
     again, parts = grown()
     assert again == sizes and min(sizes) > 20 and parts == pytest.approx(whole, abs=1e-9)
+
+
+@pytest.mark.parametrize("packs", [(1024, 64), (40, 8)])
+def test_features_met_in_one_code_give_the_sums_of_each(packs, monkeypatch):
+    monkeypatch.setattr(bo, "PACKS", packs)
+    rng, sizes = np.random.default_rng(5), [2] * 20 + [32, 5, 31, 1, 9, 32]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    x = np.stack([rng.integers(0, n, 3000) for n in sizes]).astype(np.uint8)
+    use, grad, curve = np.sort(rng.choice(3000, 2500, False)), rng.normal(size=2500), rng.random(2500)
+    for n_open in (1, 2, 300):  # many and few rows a node
+        packed, slot = bo.Packed(x, starts), rng.integers(0, n_open, 2500)
+        got = bo._sums(packed, use, grad, curve, slot, n_open)
+        want = np.zeros_like(got)
+        for f in range(len(sizes)):
+            for k, v in enumerate((grad, curve, np.ones(2500))):
+                np.add.at(want[k], (slot, starts[f] + x[f, use]), v)
+        assert got == pytest.approx(want, abs=1e-9) and (got[2] == want[2]).all()
+    assert len(bo.Packed(x, starts).codes(packs[0])) < len(sizes) / 3  # not a count a feature
