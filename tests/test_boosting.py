@@ -162,3 +162,30 @@ def test_features_met_in_one_code_give_the_sums_of_each(packs, monkeypatch):
                 np.add.at(want[k], (slot, starts[f] + x[f, use]), v)
         assert got == pytest.approx(want, abs=1e-9) and (got[2] == want[2]).all()
     assert len(bo.Packed(x, starts).codes(packs[0])) < len(sizes) / 3  # not a count a feature
+
+
+def test_a_fit_is_one_block_with_its_own_smote_rows(spark, rows):
+    data = rows.withColumn("made", F.lit(-1))
+    for i in range(3):
+        data = data.unionByName(rows.where("label = 1").limit(90).withColumns({"customer_id": F.lit(None).cast("string"), "fold": F.lit(-1), "made": F.lit(i)}))
+    data, edges = data.checkpoint(), bo.edges_of(rows)
+    fits, made = [bo.Fit("m", SMALL, (i,), s) for i in range(3) for s in (False, True)], {(i,): i for i in range(3)}
+    one, many = (bo.Lockstep(data, fits, edges, made, block_rows=n).run() for n in (500, 60))
+    assert data.count() == 670 and one.one_block and one.passes == 1 and not many.one_block  # 490 rows a fit, not 670
+    a, b = ({(r.left_out, r.smote, r.customer_id): r.score for r in s.scores().collect()} for s in (one, many))
+    assert len(a) == 800 and a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-9) for k in a)
+    assert sum(a[k] != a[k[0], False, k[2]] for k in a if k[1]) > 200  # the sets are seen
+
+
+def test_trees_are_saved_by_their_tasks_and_once(spark, rows, tmp_path, monkeypatch):
+    monkeypatch.setattr(bo, "SAVE_EVERY", 3)
+    data, edges, fits = rows.withColumn("made", F.lit(-1)), bo.edges_of(rows), [bo.Fit("m", SMALL, (i,)) for i in range(2)]
+    kept, stored = bo.Lockstep(data, fits, edges).run(), bo.Lockstep(data, fits, edges, store=f"{tmp_path}/a").run()
+    assert stored.trees == [[], []]  # nothing at the driver
+    sizes = [[len(bo.pickle.loads(r.trees)) for r in spark.read.parquet(f"{tmp_path}/a/trees-{n:05d}").collect()] for n in (3, 6, 7)]
+    assert sizes == [[3, 3], [3, 3], [1, 1]]  # each round in one folder
+    assert stored.model("m", (1,)).trees == kept.model("m", (1,)).trees and len(kept.trees[1]) == 7
+    again = bo.Lockstep(data, fits, edges, store=f"{tmp_path}/a").run()
+    assert again.rounds_run == 0
+    a, b = ({(r.left_out, r.customer_id): r.score for r in s.scores().collect()} for s in (again, kept))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in b)
