@@ -57,8 +57,8 @@ from ..sources.customers import ID_COL
 BINS, SAVE_EVERY, BLOCK_ROWS = 32, 50, 1 << 18
 #: Sums of a level held at once (nodes by bins), and trees of a forest grown at once, in numbers.
 CELLS, TREE_CELLS = 1 << 19, 1 << 22
-#: Codes of a pack of features for nodes of many rows and of few rows (of 65,536 a code can hold).
-PACKS = 1024, 64
+#: Codes of a pack of features for nodes of many rows and of few rows (of 65,536 a code can hold), and of a group of features in a pack.
+PACKS, GROUP = (2048, 64), 45
 _U = np.uint64
 
 
@@ -122,20 +122,21 @@ class Tree:
         return np.array(self.feature, np.int32), np.array(self.cut, np.int32), np.array(self.left, np.int32), np.array(self.value)
 
 
-def walk(x: np.ndarray, tree: tuple[np.ndarray, ...], depth: int) -> np.ndarray:
-    """Node of every row after at most ``depth`` steps; ``x``: features by rows."""
+def walk(x: np.ndarray, tree: tuple[np.ndarray, ...], depth: int, some: np.ndarray | None = None) -> np.ndarray:
+    """Node of every row (or of the rows ``some``) after at most ``depth`` steps; ``x``: features by rows."""
     feature, cut, left, _ = tree
     n, flat = x.shape[1], x.reshape(-1)
-    out, rows, offset = np.zeros(n, np.int64), np.arange(n), feature.astype(np.int64) * n
+    places = np.arange(n) if some is None else some
+    out, rows, at, offset = np.zeros(len(places), np.int64), places, np.arange(len(places)), feature.astype(np.int64) * n
     node = out
     for _ in range(depth):
         going = np.flatnonzero(feature.take(node) >= 0)  # rows in a leaf are let go
         if not len(going):
             break
         if len(going) < len(rows):
-            rows, node = rows.take(going), node.take(going)
+            rows, at, node = rows.take(going), at.take(going), node.take(going)
         node = left.take(node) + (flat.take(offset.take(node) + rows) > cut.take(node))
-        out[rows] = node
+        out[at] = node
     return out
 
 
@@ -232,52 +233,92 @@ def _slopes(b: dict, margin: np.ndarray, fit: Fit, w: np.ndarray, use: np.ndarra
     return w * (prob - y), w * prob * (1 - prob)
 
 
+Groups = tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]
+
+
+def grouped(x: np.ndarray, starts: np.ndarray) -> Groups:
+    """Features (``x``: features by rows) in groups of at most ``GROUP`` codes (one feature may have more), of the codes that occur: the bins
+    of one column, or columns derived from each other, add few. (Groups by rows: codes; per group the places of its bins, and codes by
+    bins: 1 where a code has the bin)."""
+    sizes, groups, some = np.diff(starts).tolist(), [], slice(None, None, 1 + x.shape[1] // 4096)
+    for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        likely = []
+        for i, (_, code, bins) in enumerate(groups):  # the group that grows least, by some of the rows
+            n = np.count_nonzero(np.bincount(code[some] * sizes[f] + x[f, some]))
+            if n <= GROUP:
+                likely.append((n / max(1, len(bins)), -len(bins), i))
+        for *_, i in sorted(likely):
+            features, code, bins = groups[i]
+            both = code * sizes[f] + x[f]
+            found = np.flatnonzero(np.bincount(both))  # by all rows
+            if len(found) <= GROUP:
+                to = np.zeros(len(bins) * sizes[f], np.int64)
+                to[found] = np.arange(len(found))
+                groups[i] = [*features, f], to.take(both), np.column_stack([bins[found // sizes[f]], found % sizes[f]])
+                break
+        else:
+            groups.append(([f], x[f].astype(np.int64), np.arange(sizes[f])[:, None]))
+    codes = np.array([code for _, code, _ in groups], np.uint8).reshape(len(groups), x.shape[1])
+    return codes, [(np.concatenate([np.arange(starts[f], starts[f + 1]) for f in features]),
+                    np.concatenate([bins[:, [k]] == np.arange(sizes[f]) for k, f in enumerate(features)], 1).astype(float)) for features, _, bins in groups]
+
+
 class Packed:
     """``x`` (features by rows) with several features met in one code, up to ``PACKS`` codes: rows are counted once a code instead of once
-    a feature, and a feature's sums are those of the code added up over its other features."""
+    a feature, and a feature's sums are those of the code added up over its other features. A pack is one group of features, or two
+    crossed: a table, whose sums are added up along its other side."""
 
-    def __init__(self, x: np.ndarray, starts: np.ndarray):
+    def __init__(self, x: np.ndarray, starts: np.ndarray, groups: Groups | None = None):
         self.x, self.n_rows, self.starts = x, x.shape[1], starts
+        self.met, self.groups = groups if groups is not None else grouped(x, starts)
         self._made: dict[int, list] = {}
 
-    def codes(self, cells: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(code of every row, places of the features' bins, codes by bins: 1 where a code has the bin) of packs with at most ``cells``
-        codes, unless one feature has more."""
+    def codes(self, cells: int) -> list[tuple[int, ...]]:
+        """The one or two groups of every pack: at most ``cells`` codes, unless a group has more."""
         if cells not in self._made:
-            sizes, packs = np.diff(self.starts).tolist(), []
-            for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
-                for pack in packs:
-                    if pack[1] * sizes[f] <= cells:
-                        pack[0].append(f)
-                        pack[1] *= sizes[f]
-                        break
-                else:
-                    packs.append([[f], sizes[f]])
-            made = []
-            for features, _ in packs:
-                code, parts = np.zeros(self.n_rows, np.uint16), np.unravel_index(np.arange(np.prod([sizes[f] for f in features])), [sizes[f] for f in features])
-                for f in features:
-                    code *= np.uint16(sizes[f])
-                    code += self.x[f]
-                has = np.concatenate([part[:, None] == np.arange(sizes[f]) for part, f in zip(parts, features, strict=True)], 1)
-                made.append((code, np.concatenate([np.arange(self.starts[f], self.starts[f + 1]) for f in features]), has.astype(float)))
+            size = [len(has) for _, has in self.groups]
+            groups, made = sorted(range(len(size)), key=lambda i: -size[i]), []
+            while groups:
+                one = groups.pop(0)
+                two = next((i for i in groups if size[i] * size[one] <= cells), None)
+                if two is not None:
+                    groups.remove(two)
+                made.append((one,) if two is None else (one, two))
             self._made[cells] = made
         return self._made[cells]
 
 
 def _sums(x: Packed, use: np.ndarray, grad: np.ndarray, curve: np.ndarray, slot: np.ndarray, n_open: int) -> np.ndarray:
     """([gradient, curvature, rows], open nodes, bins of all features) of the rows ``use`` of ``x`` in nodes ``slot``."""
-    starts = x.starts
-    out, slot = np.zeros((3, n_open, int(starts[-1]))), slot.astype(np.int64)
+    slot = slot.astype(np.int64)
     place, code = np.empty(len(use), np.int64), np.empty(len(use), np.uint16)
+    met = [codes.take(use) for codes in x.met]
     wide, narrow = PACKS
-    for codes, bins, has in x.codes(wide if len(use) >= n_open * wide else narrow):  # few rows a node: fewer codes to add up
-        cells = len(has)
-        np.take(codes, use, out=code, mode="clip")
-        np.add(np.multiply(slot, cells, out=place), code, out=place)
-        for k, v in enumerate((grad, curve, None)):
-            out[k][:, bins] = np.bincount(place, v, n_open * cells).reshape(n_open, cells) @ has
-    return out
+    at, found = [], []
+    for pack in x.codes(wide if len(use) >= n_open * wide else narrow):  # few rows a node: fewer codes to add up
+        groups = [x.groups[i] for i in pack]
+        first, second = len(groups[0][1]), len(groups[-1][1]) if len(pack) > 1 else 1
+        cells, codes = first * second, met[pack[0]]
+        if len(pack) > 1:
+            codes = np.add(np.multiply(codes, np.uint16(second), out=code), met[pack[1]], out=code)
+        if n_open > 1:
+            np.add(np.multiply(slot, cells, out=place), codes, out=place)
+        else:
+            place[:] = codes
+        table = np.concatenate([np.bincount(place, v, n_open * cells) for v in (grad, curve, None)])
+        if len(pack) > 1:
+            table = table.reshape(3 * n_open, first, second)
+            sides = [table @ np.ones(second), (np.ones((1, first)) @ table)[:, 0]]
+        else:
+            sides = [table.reshape(3 * n_open, cells)]
+        for (bins, has), side in zip(groups, sides, strict=True):
+            at.append(bins)
+            found.append(side @ has)
+    order = np.empty(int(x.starts[-1]), np.int64)
+    if at:
+        order[np.concatenate(at)] = np.arange(len(order))
+        return np.concatenate(found, 1).take(order, 1).reshape(3, n_open, -1)
+    return np.zeros((3, n_open, 0))
 
 
 def _drawn_sums(x: np.ndarray, use: np.ndarray, grad: np.ndarray, curve: np.ndarray, slot: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -315,7 +356,7 @@ def _by_nodes(x: Packed, use: np.ndarray, grad: np.ndarray, curve: np.ndarray, s
 
 
 def _shrunk(g: np.ndarray, p: Params) -> np.ndarray:
-    return np.sign(g) * np.maximum(np.abs(g) - p.l1, 0) if p.l1 else g
+    return g - np.minimum(np.maximum(g, -p.l1), p.l1) if p.l1 else g
 
 
 def _score(g: np.ndarray, h: np.ndarray, p: Params) -> np.ndarray:
@@ -323,7 +364,7 @@ def _score(g: np.ndarray, h: np.ndarray, p: Params) -> np.ndarray:
 
 
 def leaf_value(g: float, h: float, p: Params) -> float:
-    value = -float(_shrunk(np.float64(g), p)) / max(h + p.l2, 1e-12)
+    value = -(g - min(max(g, -p.l1), p.l1)) / max(h + p.l2, 1e-12)
     return min(max(value, 0.0), 1.0) if p.forest else value * p.rate  # a share: sums by differences may stray by rounding
 
 
@@ -388,9 +429,10 @@ def grow(p: Params) -> Generator[tuple, np.ndarray | None, Tree]:
         if best is None:  # no training rows
             break
         if depth == 1:
-            tree.value[0] = leaf_value(best[0, 6], best[0, 7], p)
-        children = []
-        for s in np.argsort(-best[:, 2], kind="stable"):  # the best splits first, while leaves are left
+            tree.value[0] = leaf_value(float(best[0, 6]), float(best[0, 7]), p)
+        children, order = [], np.argsort(-best[:, 2], kind="stable").tolist()
+        best = best.tolist()
+        for s in order:  # the best splits first, while leaves are left
             feature, cut, gain, lg, lh, lc, g, h, c = best[s]
             if feature < 0 or leaves >= p.leaves:
                 continue
@@ -401,7 +443,8 @@ def grow(p: Params) -> Generator[tuple, np.ndarray | None, Tree]:
             leaves += 1
             children += [(tree.left[node], lc), (tree.left[node] + 1, c - lc)]
         least = max(p.split_rows, 2 * p.min_rows, 2)
-        nodes = sorted(n for n, rows in children if rows >= least) if depth < p.depth else []
+        # without leaves left no split is taken: their sums are not asked for
+        nodes = sorted(n for n, rows in children if rows >= least) if depth < p.depth and leaves < p.leaves else []
     return tree
 
 
@@ -415,7 +458,8 @@ def _grow_here(b: dict, margin: np.ndarray, fit: Fit, made: int, first: int, las
     train, held = np.flatnonzero(w > 0), np.flatnonzero((b["made"] < 0) & np.isin(b["fold"], fit.left))
     rows = np.concatenate([train, held[w[held] <= 0]])
     own = {c: b[c].take(rows, -1) for c in ("x", "y", "hash")}
-    x, w, moved = Packed(own["x"], starts), w.take(train), margin.take(rows)
+    codes, groups = b["groups"] if "groups" in b else grouped(b["x"], starts)
+    x, w, moved = Packed(own["x"], starts, (codes.take(rows, 1), groups)), w.take(train), margin.take(rows)
     forest, n = fit.params.forest, len(train)
     mine = {**own, "hash": own["hash"][:n]}
     out = []
@@ -425,45 +469,58 @@ def _grow_here(b: dict, margin: np.ndarray, fit: Fit, made: int, first: int, las
         arrays = tree.arrays()
         left = np.arange(n, len(rows)) if forest else np.flatnonzero(leaf < 0)  # not met by the growth
         if len(left):
-            leaf[left] = walk(np.ascontiguousarray(own["x"].take(left, 1)) if len(left) < len(rows) else own["x"], arrays, fit.params.depth)
+            leaf[left] = walk(own["x"], arrays, fit.params.depth, left)
         moved += np.where(leaf >= 0, arrays[3].take(leaf, mode="clip"), 0.0)
     margin[rows] = moved
     return out
 
 
 def _tree_here(b: dict, packed: Packed, margin: np.ndarray, fit: Fit, nth: int, w: np.ndarray) -> tuple[Tree, np.ndarray]:
-    """One tree, and the leaf of the rows that it was grown on (-1: other rows). The rows of finished nodes are let go level by level."""
+    """One tree, and the leaf of the rows that it was grown on (-1: other rows). The rows lie by node (``ids``, ``sizes``), so what holds for
+    a node is not looked up row by row; those of finished nodes are let go level by level."""
     width, total = len(packed.starts) - 1, int(packed.starts[-1])
     use = np.flatnonzero(w > 0)
-    grad, curve = _slopes(b, margin, fit, w, use)
-    x, node, empty = packed.x.reshape(-1), np.zeros(len(use), np.int64), not len(use)
-    leaf, mark = np.full(packed.n_rows, -1, np.int64), not fit.params.forest
+    grad, curve = np.zeros(len(w)), np.zeros(len(w))
+    grad[use], curve[use] = _slopes(b, margin, fit, w, use)
+    ids, sizes, empty = np.zeros(1, np.int64), np.array([len(use)]), not len(use)
+    x, leaf, mark = packed.x.reshape(-1), np.full(packed.n_rows, -1, np.int64), not fit.params.forest
     growth, held, best = grow(fit.params), None, None  # held: slots and sums of the level above
+
+    def rows(some: np.ndarray) -> np.ndarray:
+        return use if some.all() else use.compress(np.repeat(some, sizes))
+
+    def done(some: np.ndarray) -> None:
+        """The nodes ``some`` are left to their rows."""
+        nonlocal use, ids, sizes
+        if some.any():
+            if mark:
+                leaf[rows(some)] = np.repeat(ids[some], sizes[some])
+            use, ids, sizes = rows(~some), ids[~some], sizes[~some]
+
+    def split(feature: np.ndarray, cut: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """The rows go to the nodes' children, all left ones first; returns the nodes."""
+        nonlocal use, ids, sizes
+        done(feature[ids] < 0)
+        right = x.take(np.repeat(feature[ids].astype(np.int64) * packed.n_rows, sizes) + use) > np.repeat(cut[ids].astype(np.uint8), sizes)
+        n = np.diff(np.concatenate([[0], np.cumsum(right)])[np.concatenate([[0], np.cumsum(sizes)])])
+        use = np.concatenate([use.compress(~right), use.compress(right)])
+        of, ids, sizes = ids, np.concatenate([left[ids], left[ids] + 1]).astype(np.int64), np.concatenate([sizes - n, n])
+        return of
+
     try:
         step = next(growth)
         while True:
             (feature, cut, left, _), depth, slots = step
             n_open = int(slots.max()) + 1
             if depth:
-                split = feature.take(node) >= 0
-                if not split.all():
-                    if mark:
-                        leaf[use[~split]] = node[~split]
-                    keep = np.flatnonzero(split)
-                    use, grad, curve, node = use.take(keep), grad.take(keep), curve.take(keep), node.take(keep)
-                node = left.take(node) + (x.take(feature.astype(np.int64).take(node) * packed.n_rows + use) > cut.take(node))
+                near = split(feature, cut, left)
+                n = np.zeros(len(slots), np.int64)
+                n[ids] = sizes
                 # a closed node's rows are needed where they are the smaller part of a split
-                n = np.bincount(node, minlength=len(slots))
-                near = np.flatnonzero(feature >= 0)
                 near = near[(slots[left[near]] >= 0) | (slots[left[near] + 1] >= 0)]
                 wanted = np.zeros(len(slots), bool)
                 wanted[left[near]] = wanted[left[near] + 1] = True
-                some = wanted.take(node)
-                if not some.all():
-                    if mark:
-                        leaf[use[~some]] = node[~some]
-                    keep = np.flatnonzero(some)
-                    use, grad, curve, node = use.take(keep), grad.take(keep), curve.take(keep), node.take(keep)
+                done(~wanted[ids])
             drawn = _drawn(fit, nth, n_open, width)
             if empty:
                 best = None
@@ -471,10 +528,11 @@ def _tree_here(b: dict, packed: Packed, margin: np.ndarray, fit: Fit, nth: int,
                 above, sums = held
                 less = np.where(n[left[near]] <= n[left[near] + 1], left[near], left[near] + 1)
                 more = 2 * left[near] + 1 - less
-                at = np.full(len(slots), -1, np.int32)
+                at = np.full(len(slots), -1, np.int64)
                 at[less] = np.arange(len(less))
-                some = np.flatnonzero(at.take(node) >= 0)
-                small = _sums(packed, use.take(some), grad.take(some), curve.take(some), at.take(node.take(some)), len(less))
+                some = at[ids] >= 0
+                mine = rows(some)
+                small = _sums(packed, mine, grad.take(mine), curve.take(mine), np.repeat(at[ids[some]], sizes[some]), len(less))
                 large = sums[:, above[near]] - small
                 sums = np.empty((3, n_open, total))
                 for of, s in ((less, small), (more, large)):
@@ -482,19 +540,18 @@ def _tree_here(b: dict, packed: Packed, margin: np.ndarray, fit: Fit, nth: int,
                 best = _best(sums, fit, _columns(fit, nth, n_open, width), packed.starts)
                 held = slots, sums
             else:
-                may, slot, parts = _columns(fit, nth, n_open, width), slots.take(node), []
-                mine = np.flatnonzero(slot >= 0)
-                for lo, sums in _by_nodes(packed, use.take(mine), grad.take(mine), curve.take(mine), slot.take(mine), n_open, drawn):
+                may, some, parts = _columns(fit, nth, n_open, width), slots[ids] >= 0, []
+                mine = rows(some)
+                for lo, sums in _by_nodes(packed, mine, grad.take(mine), curve.take(mine), np.repeat(slots[ids[some]], sizes[some]), n_open, drawn):
                     parts.append(_best(sums, fit, may[lo:lo + sums.shape[1]], packed.starts, None if drawn is None else drawn[lo:lo + sums.shape[1]]))
                 held = (slots, sums) if drawn is None and len(parts) == 1 else None
                 best = np.concatenate(parts)
             step = growth.send(best)
-    except StopIteration as done:
-        tree = done.value
+    except StopIteration as end:
+        tree = end.value
     if mark:  # the rows of the last splits take one more step
-        feature, cut, left, _ = tree.arrays()
-        f = feature.take(node)
-        leaf[use] = np.where(f >= 0, left.take(node) + (x.take(np.maximum(f, 0).astype(np.int64) * packed.n_rows + use) > cut.take(node)), node)
+        split(*tree.arrays()[:3])
+        done(np.ones(len(ids), bool))
     return tree, leaf
 
 
@@ -550,7 +607,7 @@ class Lockstep:
         self.parts = n = max(1, len(self.fits))
         cost = [f.params.rounds * min(f.params.depth, 16) * (1 + (m >= 0)) for f, m in zip(self.fits, self.made, strict=True)]
         self.members = [[i] for i in sorted(range(len(self.fits)), key=lambda i: -cost[i])]
-        wanted = [{self.made[i] for i in m} for m in self.members]
+        wanted, starts = [{self.made[i] for i in m} for m in self.members], self.starts
 
         def dealt(b: dict) -> Iterator[tuple[int, dict]]:
             for m in np.unique(b["made"]):
@@ -560,7 +617,8 @@ class Lockstep:
         def joined(g: int, pieces: Iterator[tuple[int, dict]]) -> Iterator[tuple[int, dict]]:
             pieces = [b for _, b in pieces]
             if pieces:
-                yield g, _joined(pieces)
+                b = _joined(pieces)
+                yield g, {**b, "groups": grouped(b["x"], starts)}
 
         self.rows = blocks.flatMap(dealt).partitionBy(n, _here).mapPartitionsWithIndex(joined).persist(StorageLevel.MEMORY_AND_DISK)
         self._with_margins(self.rows.map(lambda r: np.zeros((1, len(r[1]["y"])))))

@@ -189,3 +189,33 @@ def test_trees_are_saved_by_their_tasks_and_once(spark, rows, tmp_path, monkeypa
     assert again.rounds_run == 0
     a, b = ({(r.left_out, r.customer_id): r.score for r in s.scores().collect()} for s in (again, kept))
     assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in b)
+
+
+@pytest.mark.parametrize("params", [bo.Params(1, depth=6, leaves=8, rate=0.5), bo.Params(1, depth=6, rate=0.5)])
+def test_no_sums_are_asked_for_when_no_leaves_are_left(params):
+    growth, asked = bo.grow(params), 0
+    step = next(growth)
+    while True:
+        n_open, asked = int(step[2].max()) + 1, asked + 1
+        try:  # every open node has a split
+            step = growth.send(np.tile([0.0, 3, 1, 2, 40, 512, 1, 80, 1024], (n_open, 1)))
+        except StopIteration as done:
+            tree = done.value
+            break
+    leaves = sum(f < 0 for f in tree.feature)
+    assert (asked, leaves) == ((3, 8) if params.leaves == 8 else (6, 64))
+
+
+def test_columns_derived_from_one_another_share_a_group_of_codes():
+    rng, sizes = np.random.default_rng(6), [32, 2, 2, 2, 2, 32, 5, 2]
+    a, b = rng.integers(0, 32, 6000), rng.integers(0, 32, 6000)
+    x = np.stack([a, *[a // 8 == k for k in range(4)], b, b % 5, rng.integers(0, 2, 6000)]).astype(np.uint8)
+    x[:, 5999] = [0, 1, 1, 1, 1, 0, 4, 1]  # codes of one row only
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    packed, use, slot = bo.Packed(x, starts), np.arange(6000), rng.integers(0, 2, 6000)
+    assert sorted(len(has) for _, has in packed.groups)[-2:] <= [bo.GROUP] * 2 and len(packed.groups) == 3 and len(packed.codes(2048)) == 2
+    got, want = bo._sums(packed, use, a * 0.5, b * 0.25, slot, 2), np.zeros((3, 2, starts[-1]))
+    for f in range(len(sizes)):
+        for k, v in enumerate((a * 0.5, b * 0.25, np.ones(6000))):
+            np.add.at(want[k], (slot, starts[f] + x[f]), v)
+    assert got == pytest.approx(want)
