@@ -226,3 +226,33 @@ def test_a_fit_of_a_million_rows_is_one_block(spark):
     row = [F.lit(1.0).alias(c) for c in ("label", "weight", "pos_weight")]
     data = spark.range(n).select(F.col("id").cast("string").alias("customer_id"), *row, array_to_vector(F.array(F.lit(0.0))).alias("features"), F.lit(0).alias("fold"), F.lit(-1).alias("made"))
     assert bo.Lockstep(data, [bo.Fit("m", SMALL, (0,))], []).one_block  # not a job a tree level
+
+
+@pytest.mark.parametrize("weights, alike", [([1.0, 2.0], True), (np.linspace(1, 2, 500), False)])
+def test_large_nodes_are_summed_in_pieces(weights, alike, monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.stack([rng.integers(0, n, 3000) for n in (32, 2, 12, 5)]).astype(np.uint8)
+    y, w = rng.integers(0, 2, 3000).astype(float), rng.choice(weights, 3000)
+    starts, use = np.array([0, 32, 34, 46, 51]), np.concatenate([np.arange(2000), np.arange(2000, 3000, 2)])
+    sizes, columns = np.array([2000, 3, 450, 47]), np.array([[0, 2], [1, 3], [0, 1], [2, 3]])
+    copies = bo._copies(rng.integers(0, 1 << 62, 3000).astype(np.uint64), 5, 1)
+    known = bo._kinds(w, y)
+    assert (known is not None) == alike
+    kinds = (known[0] + copies * np.int64(bo.BINS), known[1]) if alike else None
+    both, node, got = bo._both(-w * copies * y, w * copies), np.repeat(np.arange(4), sizes), []
+    for rows in (1 << 20, 64):
+        monkeypatch.setattr(bo, "ROWS", rows)
+        made = []
+        monkeypatch.setattr(bo.np, "bincount", lambda place, *a, real=np.bincount, **k: made.append(len(place)) or real(place, *a, **k))
+        got.append((bo._node_sums(bo.Packed(x, starts), use, both, sizes), bo._drawn_sums(x, use, both, sizes, columns, kinds)))
+        monkeypatch.undo()
+    assert max(made[-50:]) <= 64
+    for every, drawn in got:
+        for k, v in enumerate((both.real, both.imag, np.ones(3000))):
+            want = np.zeros((4, 51))
+            for f in range(4):
+                np.add.at(want, (node, starts[f] + x[f, use]), v[use])
+            assert every[k] == pytest.approx(want)
+            for n in range(4):
+                for j, f in enumerate(columns[n]):
+                    assert drawn[k, n, j * bo.BINS:j * bo.BINS + starts[f + 1] - starts[f]] == pytest.approx(want[n, starts[f]:starts[f + 1]])
