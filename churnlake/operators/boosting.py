@@ -142,6 +142,23 @@ def walk(x: np.ndarray, tree: tuple[np.ndarray, ...], depth: int, some: np.ndarr
     return out
 
 
+def _fall(x: np.ndarray, tree: tuple[np.ndarray, ...], depth: int, some: np.ndarray, leaf: np.ndarray) -> None:
+    """Writes the leaf of the rows ``some`` into ``leaf``: many rows node by node, few by ``walk``."""
+    feature, cut, left = (a.tolist() for a in tree[:3])
+    if len(some) < 64 * len(feature):
+        for lo in range(0, len(some), ROWS):
+            leaf[some[lo:lo + ROWS]] = walk(x, tree, depth, some[lo:lo + ROWS])
+        return
+    todo = [(0, some)]
+    while todo:
+        node, rows = todo.pop()
+        if feature[node] < 0:
+            leaf[rows] = node
+        else:
+            right = x[feature[node]].take(rows) > cut[node]
+            todo += [(left[node], rows.compress(~right)), (left[node] + 1, rows.compress(right))]
+
+
 # ------------------------------------------------------------------ rows
 
 def edges_of(mm: DataFrame, bins: int = BINS) -> list[np.ndarray]:
@@ -571,8 +588,7 @@ def _grow_here(b: dict, margin: np.ndarray, fit: Fit, made: int, first: int, las
         out.append(tree)
         arrays = tree.arrays()
         left = np.arange(n, len(rows)) if forest else np.flatnonzero(leaf < 0)  # not met by the growth
-        for lo in range(0, len(left), ROWS):
-            leaf[left[lo:lo + ROWS]] = walk(own["x"], arrays, fit.params.depth, left[lo:lo + ROWS])
+        _fall(own["x"], arrays, fit.params.depth, left, leaf)
         if forest:
             moved[n:] += arrays[3].take(leaf[n:])
         else:
@@ -634,8 +650,8 @@ def _tree_here(b: dict, packed: Packed, margin: np.ndarray, fit: Fit, nth: int,
             else:
                 right = x.take(np.repeat(offset[first:last], sizes[first:last]) + some) > np.repeat(cuts[first:last], sizes[first:last])
                 n[first:last] = np.diff(np.concatenate([[0], np.cumsum(right)])[np.concatenate([[0], np.cumsum(sizes[first:last])])])
-            sides[0].append(some[~right])
-            sides[1].append(some[right])
+            sides[0].append(some.compress(~right))
+            sides[1].append(some.compress(right))
         use = np.concatenate([*sides[0], *sides[1]])
         of, ids, sizes = ids, np.concatenate([left[ids], left[ids] + 1]).astype(np.int64), np.concatenate([sizes - n, n])
         return of

@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import fields, replace
-from itertools import combinations
+from itertools import combinations, count
 
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -136,7 +136,7 @@ class FitStore:
         self.n_fits, self.staged = 0, []
         self._tables: list[DataFrame] = []
         self._done: set[Key] = set()
-        self._edges = None
+        self._edges, self._nth = None, count()
 
     # The store of trained rows --------------------------------------------------
     def _exists(self, name: str) -> bool:
@@ -168,6 +168,12 @@ class FitStore:
         with ThreadPoolExecutor(4) as pool:
             return dict(zip(sets, pool.map(lambda left: self._synthetic(left, sets.index(left)), sets), strict=True))
 
+    def edges(self) -> list:
+        """Cut points of the features, made once."""
+        if self._edges is None:
+            self._edges = edges_of(self.rows)
+        return self._edges
+
     # Fitting --------------------------------------------------------------------
     def fit(self, wanted: Iterable[Key]) -> FitStore:
         """Make the fits of ``wanted`` that are not in the store; trees in lockstep, estimators side by side."""
@@ -186,13 +192,11 @@ class FitStore:
         return self
 
     def _fit_trees(self, keys: list[Key], made: dict, synthetic: dict[tuple[int, ...], DataFrame]) -> None:
-        name = f"trees-{len(self._tables)}"
+        name = f"trees-{next(self._nth)}"
         data = self.rows.withColumn("made", F.lit(-1))
         for part in synthetic.values():
             data = data.unionByName(part)
-        if self._edges is None:
-            self._edges = edges_of(self.rows)
-        grown = Lockstep(data, [Fit(m, self.members[m], left, smote) for m, left, smote in keys], self._edges, made, f"{self.folder}/{name}")
+        grown = Lockstep(data, [Fit(m, self.members[m], left, smote) for m, left, smote in keys], self.edges(), made, f"{self.folder}/{name}")
         grown.run()
         self.n_fits += len(keys)
         self._tables.append(self._table(f"scores-{name}", grown.scores))
@@ -285,18 +289,26 @@ def compare_models(mm: DataFrame, names: Sequence[str] | None = None, k: int = 5
     """ML3: model, accuracy, f1, precision, recall, roc_auc, seconds.
 
     Folds, bins and SMOTE rows are made once; then a learner's k fold fits run together and its out-of-fold predictions are written
-    (``seconds`` is that wall time); the metrics of all learners come from one grouped evaluation."""
+    (``seconds`` is that wall time), the learners side by side, as one alone leaves cores idle; the metrics of all learners come from
+    one grouped evaluation."""
     ls = ls or learners()
     store = FitStore(fold_matrix(mm, k), ls)
     lefts = [(i,) for i in range(k)]
     if smote:
         store.prepare(lefts)
-    secs, oofs = [], []
-    for name in (names or list(ls)):
+    names = list(names or ls)
+    if any(isinstance(ls[name], Params) for name in names):
+        store.edges()
+
+    def fitted(name: str) -> float:
         t0 = time.time()
         store.fit([(name, left, smote) for left in lefts])
-        oofs.append(_decided(store.out_of_fold(k, smote=smote).where(F.col("member") == name).select(*KEYS, "score")).withColumn("model", F.lit(name + suffix)))
-        secs.append((name + suffix, round(time.time() - t0, 3)))
+        return round(time.time() - t0, 3)
+
+    with ThreadPoolExecutor(max(1, len(names))) as pool:
+        took = dict(zip(dict.fromkeys(names), pool.map(fitted, dict.fromkeys(names)), strict=True))
+    secs = [(name + suffix, took[name]) for name in names]
+    oofs = [_decided(store.out_of_fold(k, smote=smote).where(F.col("member") == name).select(*KEYS, "score")).withColumn("model", F.lit(name + suffix)) for name in names]
     allo = oofs[0]
     for o in oofs[1:]:
         allo = allo.unionByName(o)

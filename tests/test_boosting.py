@@ -1,5 +1,6 @@
 """Fits in lockstep: splits against exhaustive search, blocks against one block, restart, counts of fits."""
 
+import threading
 from collections import Counter
 
 import numpy as np
@@ -256,3 +257,27 @@ def test_large_nodes_are_summed_in_pieces(weights, alike, monkeypatch):
             for n in range(4):
                 for j, f in enumerate(columns[n]):
                     assert drawn[k, n, j * bo.BINS:j * bo.BINS + starts[f + 1] - starts[f]] == pytest.approx(want[n, starts[f]:starts[f + 1]])
+
+
+def test_compared_learners_run_side_by_side(spark, rows, monkeypatch):
+    both, run = threading.Barrier(2, timeout=60), bo.Lockstep.run
+
+    def waits(self):
+        both.wait()
+        return run(self)
+
+    monkeypatch.setattr(bo.Lockstep, "run", waits)
+    got = mo.compare_models(rows.drop("fold"), k=3, ls={"a": SMALL, "b": bo.Params(4, depth=2)}).collect()
+    assert sorted(r.model for r in got) == ["a", "b"] and all(r.seconds > 0 for r in got)
+    monkeypatch.undo()
+    alone = {r.model: r for name in "ab" for r in mo.compare_models(rows.drop("fold"), [name], k=3, ls={"a": SMALL, "b": bo.Params(4, depth=2)}).collect()}
+    assert all(r[c] == alone[r.model][c] for r in got for c in mo.METRICS)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_rows_fall_to_the_leaves_they_walk_to(few):
+    rng = np.random.default_rng(8)
+    x, tree = rng.integers(0, 9, (3, 900)).astype(np.uint8), bo.Tree([0, 1, -1, -1, -1], [4, 2, 0, 0, 0], [1, 3, 0, 0, 0], [0.0] * 5, [0.0] * 5).arrays()
+    some, leaf = np.arange(0, 100 if few else 900, 2), np.full(900, -1)
+    bo._fall(x, tree, 2, some, leaf)
+    assert (leaf[some] == bo.walk(x, tree, 2)[some]).all() and (leaf[some] > 1).all() and (leaf[1::2] == -1).all()
