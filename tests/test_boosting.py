@@ -281,3 +281,13 @@ def test_rows_fall_to_the_leaves_they_walk_to(few):
     some, leaf = np.arange(0, 100 if few else 900, 2), np.full(900, -1)
     bo._fall(x, tree, 2, some, leaf)
     assert (leaf[some] == bo.walk(x, tree, 2)[some]).all() and (leaf[some] > 1).all() and (leaf[1::2] == -1).all()
+
+
+def test_a_fit_keeps_what_it_needs_of_its_rows(spark, rows):
+    data, edges, fit = rows.withColumn("made", F.lit(-1)), bo.edges_of(rows), bo.Fit("m", SMALL, (1,))
+    grown = bo.Lockstep(data, [fit], edges)
+    (_, kept), = grown.rows.collect()
+    block = bo._joined(bo._blocks(data, edges, 1000).collect())
+    assert "x" not in kept and "pos_weight" not in kept and (kept["weight"] == block["weight"]).all()
+    assert (bo.ungrouped(*kept["groups"], grown.starts) == block["x"]).all()
+    assert kept["id"].to_pylist() == [i if f == 1 else None for i, f in zip(block["id"].to_pylist(), block["fold"], strict=True)]
